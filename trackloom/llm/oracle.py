@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from trackloom.llm.license_scan import BASE, MIN_SHARE, OWN, Template
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -8,6 +10,26 @@ def words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
+def _matches(t: Template) -> str:
+    """Places (from 0) of a template's key phrase, each with the share of the template's words around it."""
+    key, size = "[" + ", ".join(f"'{w}'" for w in t.key) + "]", len(t.words)
+    listed = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
+    places = f"list_filter(range(1, len(w) + 1), lambda p: w[p] = '{t.key[0]}' AND w[p:p + {len(t.key) - 1}] = {key})"
+    share = f"len(list_filter(range({size}), lambda k: p - {t.at} + k >= 1 AND w[greatest(p - {t.at} + k, 1)] = {listed}[k + 1]))::double / {size}.0::double"
+    return f"list_transform({places}, lambda p: {{'label': '{t.label}', 'base': {str(t.base).lower()}, 'at': p - 1, 'share': {share}}})"
+
+
+_LICENSES = f"""
+    WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents),
+    m AS (SELECT doc_id, len(w) AS n, list_concat({_matches(BASE[0])}, {", ".join(_matches(t) for t in BASE[1:] + OWN)}) AS x FROM d),
+    g AS (SELECT doc_id, n, list_filter(x, lambda y: y.base OR y.share >= {MIN_SHARE}) AS x, list_filter(x, lambda y: y.base) AS b FROM m)
+    SELECT doc_id, n::bigint AS n_words, len(b)::bigint AS n_base, list_min(list_transform(b, lambda y: y['at']))::bigint AS first_word,
+        list_max(list_transform(b, lambda y: y['at']))::bigint AS last_word,
+        coalesce(array_to_string(list_sort(list_distinct(list_transform(b, lambda y: y['label']))), ','), '') AS base_labels,
+        coalesce(array_to_string(list_sort(list_distinct(list_transform(x, lambda y: y['label']))), ','), '') AS labels,
+        coalesce(list_max(list_transform(x, lambda y: y['share'])), 0)::double AS score
+    FROM g"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""
         WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents),
@@ -27,6 +49,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+    "op3_license_scan": _LICENSES,
+    "op4_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(floor(turn / 1024), -1)::bigint AS chunk, turn,
+                coalesce(regexp_replace(role, '[\s<|>]+', '_', 'g'), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
+            FROM conversations),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, speaker, body) AS n FROM t),
+        v AS (SELECT DISTINCT conv_id, chunk, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        p AS (
+            SELECT v.conv_id, v.chunk, perspective, n, speaker = perspective AS own, body || '<|im_end|>' AS body,
+                '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+            FROM v JOIN o ON v.conv_id IS NOT DISTINCT FROM o.conv_id AND v.chunk = o.chunk),
+        q AS (
+            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, chunk, perspective ORDER BY n) - length(body) - 1 AS s FROM p)
+        SELECT conv_id, chunk, perspective, count(*)::bigint AS n_turns, count(*) FILTER (own)::bigint AS n_learned,
+            string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
+            coalesce(string_agg(s::bigint || '-' || (s + length(body))::bigint, ',' ORDER BY n) FILTER (own), '') AS spans
+        FROM q GROUP BY conv_id, chunk, perspective""",
+    "op7_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS n, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT n, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT n, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+        r AS (SELECT n, s FROM (SELECT n, s, count(*) OVER (PARTITION BY h) AS c FROM p) WHERE c > 1),
+        gone AS (SELECT n, list(DISTINCT i) AS g FROM (SELECT n, unnest(range(s, s + 35)) AS i FROM r) GROUP BY n)
+        SELECT doc_id, len(w)::bigint AS n_words, coalesce(len(g), 0)::bigint AS n_removed,
+            sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(g, []), i)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN gone USING (n)""",
     "op9_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, decontaminate, exact_dedup, url_filter
+from trackloom.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, langid, license_scan, quality, substring_dedup, url_filter
 
 #: The rules of the url query: (verdict, host and path).
 URL_RULES = [
@@ -24,6 +24,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def remainder(n: int):
+    """The part of the rows that a document falls into, by its id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.sample(documents.where(remainder(4) != 2), "text", "lang", langid.PER_LABEL))
+    found = langid.predict(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -36,6 +48,33 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat_format.rotate(read(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.withColumn("spans", spans)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model, share = quality.train(documents, read(spark, sf_dir, "labels").where(remainder(5) != 0))
+    return quality.score(documents, model, share).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = jaccard_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join.groups(tables).select(F.col("key").alias("doc_id"), "class_id", "set_id", "n_links")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
@@ -53,7 +92,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
+    "op3_license_scan": op3_license_scan,
+    "op4_chat_format": op4_chat_format,
+    "op5_quality": op5_quality,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,

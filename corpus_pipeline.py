@@ -44,7 +44,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, exact): the ids of each text, and whether they decode to its very bytes."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    both = bpe.encode_and_decode(docs, ranks, pattern)
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 

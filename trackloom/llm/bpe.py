@@ -28,6 +28,8 @@ from trackloom.llm.common import text_or_empty
 
 #: Characters that are handed to the library at once; longer texts are cut at safe places.
 PIECE_CHARS = 50_000
+#: Rows that are encoded before their ids go back to the JVM.
+STEP_ROWS = 128
 
 # A letter or digit never shares a match with an ASCII blank, line feed or punctuation mark after
 # it, and no look-ahead of an earlier match reads past it.
@@ -73,17 +75,34 @@ def encode_text(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
     return np.asarray(ids, np.int32)
 
 
+def _ids(encoding: tiktoken.Encoding, texts: pa.Array) -> pa.ListArray:
+    found = [encode_text(encoding, x or "") for x in texts.to_pylist()]
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+
+
+def _bytes(encoding: tiktoken.Encoding, ids: pa.ListArray) -> pa.BinaryArray:
+    flat = pc.fill_null(ids.flatten(), 0).to_numpy(zero_copy_only=False)
+    offsets = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+    return pa.array([encoding.decode_bytes(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+
+
+def _in_steps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The same rows, few at a time: what is held beside the input stays small."""
+    for batch in batches:
+        for lo in range(0, max(len(batch), 1), STEP_ROWS):
+            yield batch.slice(lo, STEP_ROWS)
+
+
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``df`` with the array ``into`` of token ids of the column ``text``."""
 
     @F.arrow_udf("array<int>")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load_encoding(rank_file, pattern)
-        for batch in batches:
-            found = [encode_text(encoding, x or "") for x in batch.to_pylist()]
-            offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+        for texts in _in_steps(batches):
+            yield _ids(encoding, texts)
 
     return df.withColumn(into, ids_of(text_or_empty(text)))
 
@@ -94,13 +113,26 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", into:
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = load_encoding(rank_file, pattern)
-        for batch in batches:
-            flat, offsets = pc.fill_null(batch.flatten(), 0).to_numpy(zero_copy_only=False), np.cumsum([0, *pc.fill_null(pc.list_value_length(batch), 0).to_pylist()])
-            yield pa.array([encoding.decode_bytes(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+        for ids in _in_steps(batches):
+            yield _bytes(encoding, ids)
 
     return df.withColumn(into, bytes_of(F.col(f"`{ids}`")))
 
 
+def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and with ``decoded``, made from the ids, in one pass of one Python worker."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def both_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoding = load_encoding(rank_file, pattern)
+        for texts in _in_steps(batches):
+            ids = _ids(encoding, texts)
+            yield pa.StructArray.from_arrays([ids, _bytes(encoding, ids)], ["ids", "decoded"])
+
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")]
+    return df.select(*others, both_of(text_or_empty(text)).alias("__both")).select(*others, F.col("__both.ids").alias("ids"), F.col("__both.decoded").alias("decoded"))
+
+
 def ids_digest(ids: Column) -> Column:
     """SHA-256 of the decimal ids joined by one blank."""
     return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)

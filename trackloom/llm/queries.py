@@ -77,8 +77,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
-    both = bpe.decode(ids, ranks, pattern)
+    both = bpe.encode_and_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -39,6 +39,10 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PICKS = 8
 SMALL = 4096
+#: Buckets of at most so many sets are compared many at once.
+TINY = 48
+#: Low bits of a pick that hold its run.
+RUN_BITS = 15
 DEPTH = 3
 BRANCH = 4
 #: Share of the smaller sample that a pair must have in common to be verified; at the threshold of 0.8 some 16 picks share fewer with a chance below 1e-4.
@@ -93,7 +97,7 @@ def _sketcher(size: int, runs: int):
                     below = np.flatnonzero((chance >> np.uint64(11)).astype(np.float64) < bar[text])
                     order = below[np.lexsort((chance[below], text[below]))]
                     # the run goes into the lowest bits, so picks of different runs never meet
-                    found.append((mix(members[order], 300) & ~np.uint64(15)) | np.uint64(run))
+                    found.append((mix(members[order], 300) & ~np.uint64(RUN_BITS)) | np.uint64(run))
                     owner.append(text[order])
                 found, owner = np.concatenate(found), np.concatenate(owner)
                 order = np.argsort(owner, kind="stable")
@@ -105,11 +109,11 @@ def _sketcher(size: int, runs: int):
     return sketch
 
 
-def shared_pairs(ids: np.ndarray, sizes: np.ndarray, picks: list[np.ndarray], threshold: float, others: tuple | None = None) -> pd.DataFrame:
-    """Pairs of one bucket (or between two blocks) whose sizes allow the threshold and that share enough picks."""
-    left_n = len(ids)
-    if others is not None:
-        ids, sizes, picks = np.concatenate([ids, others[0]]), np.concatenate([sizes, others[1]]), picks + others[2]
+def shared_pairs(ids: np.ndarray, sizes: np.ndarray, picks: list[np.ndarray], threshold: float, left_n: int | None = None) -> np.ndarray:
+    """Pairs of one bucket whose sizes allow the threshold and that share enough picks; with ``left_n`` only pairs across that place.
+
+    Picks are columns of a matrix of 0 and 1, of which a few MB are held at a time.
+    """
     count = np.array([len(p) for p in picks])
     flat, column = np.unique(np.concatenate(picks), return_inverse=True)
     often = np.flatnonzero(np.bincount(column, minlength=len(flat)) > 1)
@@ -117,53 +121,112 @@ def shared_pairs(ids: np.ndarray, sizes: np.ndarray, picks: list[np.ndarray], th
     place[often] = np.arange(len(often))
     row = np.repeat(np.arange(len(ids)), count)
     held = place[column] >= 0
-    out = []
-    step = max(64, 8_000_000 // max(1, len(often)))
-    blocks = []
+    row, column = row[held], place[column[held]]
+    step = int(np.clip(4_000_000 // max(1, len(often)), 64, 2048))
+
+    def block(lo: int) -> np.ndarray:
+        m = (row >= lo) & (row < lo + step)
+        out = np.zeros((min(step, len(ids) - lo), len(often)), np.float32)
+        out[row[m] - lo, column[m]] = 1
+        return out
+
+    out = [np.zeros((2, 0), np.int64)]
     for lo in range(0, len(ids), step):
-        m = held & (row >= lo) & (row < lo + step)
-        block = np.zeros((min(step, len(ids) - lo), len(often)), np.float32)
-        block[row[m] - lo, place[column[m]]] = 1
-        blocks.append((lo, block))
-        for at, other in blocks if others is None else [b for b in blocks if b[0] < left_n]:
-            shared = block @ other.T
+        one = block(lo)
+        for at in range(0, lo + 1, step):
+            shared = one @ (one if at == lo else block(at)).T
             i, j = np.nonzero(shared)
             a, b = i + lo, j + at
-            ok = (a > b) if others is None else (b < left_n) & (a >= left_n)
+            ok = (a > b) & ((left_n is None) | ((a >= (left_n or 0)) & (b < (left_n or 0))))
             i, j, a, b = i[ok], j[ok], a[ok], b[ok]
             small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            fewest = np.minimum(count[a], count[b])
-            ok = (small >= threshold * large) & (shared[i, j] >= LEAST_SHARED * fewest)
+            ok = (small >= threshold * large) & (shared[i, j] >= LEAST_SHARED * np.minimum(count[a], count[b]))
             out.append(np.stack([np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])]))
-        if len(ids) > 4 * SMALL:  # bounded memory: blocks that can be rebuilt are not kept
-            blocks = blocks[-1:] if others is None else blocks
-    pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    return np.concatenate(out, 1)
+
+
+def tiny_pairs(start: np.ndarray, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for many buckets of a few rows at once; ``start`` is each row's first row of its bucket."""
+    n = len(ids)
+    ahead = np.arange(n) - start
+    right = np.repeat(np.arange(n), ahead)
+    left = np.arange(len(right)) - np.repeat(np.cumsum(ahead) - ahead, ahead) + np.repeat(start, ahead)
+    ok = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right])
+    left, right = left[ok], right[ok]
+    count = np.diff(offsets)
+    padded = np.full((n, max(1, int(count.max(initial=1)))), -1, np.int64)
+    padded -= np.arange(n)[:, None]
+    padded[np.repeat(np.arange(n), count), np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], count)] = flat
+    keep = np.zeros(len(left), bool)
+    step = max(1, 4_000_000 // padded.shape[1] ** 2)
+    for at in range(0, len(left), step):
+        x, y = left[at : at + step], right[at : at + step]
+        shared = (padded[x][:, :, None] == padded[y][:, None, :]).sum((1, 2))
+        keep[at : at + step] = shared >= LEAST_SHARED * np.minimum(count[x], count[y])
+    a, b = ids[left[keep]], ids[right[keep]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def _brute(threshold: float):
+    """Brute force within the buckets of rows that are sorted by bucket; one bucket at most waits for its rest."""
+
+    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
+        node, ids, sizes = (rows[c].to_numpy() for c in ("node", "cid", "n"))
+        picks = rows["picks"].combine_chunks()
+        picks = pa.concat_arrays(picks.chunks) if isinstance(picks, pa.ChunkedArray) else picks
+        flat, offsets = picks.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(picks).to_numpy())])
+        edge = np.flatnonzero(np.diff(node)) + 1
+        first, end = np.r_[0, edge], np.r_[edge, len(node)]
+        out = [np.zeros((2, 0), np.int64)]
+        large = end - first > TINY
+        start = np.repeat(first, end - first)
+        tiny = np.flatnonzero(~np.repeat(large, end - first))
+        if len(tiny):
+            moved = np.zeros(len(node), np.int64)
+            moved[tiny] = np.arange(len(tiny))
+            sub = picks.take(pa.array(tiny))
+            out.append(tiny_pairs(moved[start[tiny]], ids[tiny], sizes[tiny], sub.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(sub).to_numpy())]), threshold))
+        for a, b in zip(first[large].tolist(), end[large].tolist(), strict=True):
+            out.append(shared_pairs(ids[a:b], sizes[a:b], [flat[offsets[i] : offsets[i + 1]] for i in range(a, b)], threshold))
+        pairs = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if waiting is not None:
+                table = pa.concat_tables([waiting, table])
+            node = table["node"].to_numpy()
+            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0
+            if cut:
+                yield pairs_of(table.slice(0, cut))
+            waiting = table.slice(cut)
+        if waiting is not None and len(waiting):
+            yield pairs_of(waiting)
+
+    return run
 
 
 def candidates(classes: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, of ``classes`` (cid, n, picks)."""
-    members = classes.select("cid", "n", "picks", F.posexplode("picks").alias("at", "node")).select("cid", "n", "picks", "at", "node")
+    members = classes.select("cid", F.posexplode("picks").alias("at", "node"))
     found = []
-
-    def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("cid")
-        return shared_pairs(rows["cid"].to_numpy(), rows["n"].to_numpy(), list(rows["picks"]), threshold)
-
     for depth in range(DEPTH + 1):
-        slim = members.select("cid", "at", "node")
-        counts = slim.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        tagged = materialise(slim.join(counts, "node"), "nodes")
+        counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        tagged = materialise(members.join(counts, "node"), "nodes")
         lesser = tagged.where(F.col("m") <= small).join(classes, "cid").select("node", "cid", "n", "picks")
-        found.append(lesser.groupBy("node").applyInPandas(bucket, "a long, b long"))
+        parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found.append(lesser.repartition(parts, "node").sortWithinPartitions("node", "cid").mapInArrow(_brute(threshold), "a long, b long"))
         large = tagged.where(F.col("m") > small)
         if large.isEmpty():
             break
         if depth == DEPTH:
             found.append(_blocks(large.join(classes, "cid"), threshold, small))
             break
-        nexts = F.slice("picks", F.col("at") + 2, F.lit(BRANCH))
-        split = large.join(classes, "cid").select("cid", "node", "at", F.posexplode(F.filter(nexts, lambda p: F.shiftright(p, 0).bitwiseAND(15) == F.element_at("picks", F.col("at") + 1).bitwiseAND(15))).alias("k", "pick"))
+        own = F.element_at("picks", F.col("at") + 1).bitwiseAND(F.lit(RUN_BITS))
+        nexts = F.filter(F.slice("picks", F.col("at") + 2, F.lit(BRANCH)), lambda p: p.bitwiseAND(F.lit(RUN_BITS)) == own)
+        split = large.join(classes, "cid").select("cid", "node", "at", F.posexplode(nexts).alias("k", "pick"))
         members = split.select("cid", (F.col("at") + F.col("k") + 1).alias("at"), F.xxhash64("node", "pick").alias("node"))
     pairs = found[0]
     for more in found[1:]:
@@ -173,14 +236,16 @@ def candidates(classes: DataFrame, threshold: float, small: int = SMALL) -> Data
 
 def _blocks(rows: DataFrame, threshold: float, small: int) -> DataFrame:
     """Brute force within buckets that no split made small: their members in blocks, block against block."""
-    split = rows.select("node", "cid", "n", "picks", F.ceil(F.col("m") / (small / 2)).cast("int").alias("blocks"), F.lit(0).alias("unused"))
+    split = rows.select("node", "cid", "n", "picks", F.ceil(F.col("m") / (small / 2)).cast("int").alias("blocks"))
     split = split.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int"))
     sides = split.select("node", "cid", "n", "picks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     sides = sides.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
     def both(rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [(p["cid"].to_numpy(), p["n"].to_numpy(), list(p["picks"])) for _, p in rows.groupby("block")]
-        return shared_pairs(*parts[0], threshold, parts[1] if len(parts) > 1 else None)
+        rows = rows.sort_values(["block", "cid"])
+        border = int((rows["block"] == rows["block"].iloc[0]).sum())
+        pairs = shared_pairs(rows["cid"].to_numpy(), rows["n"].to_numpy(), list(rows["picks"]), threshold, border if border < len(rows) else None)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     return sides.groupBy("node", "x", "y").applyInPandas(both, "a long, b long")
 

@@ -51,6 +51,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once what was made of it is written too."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/trackloom/" in file:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete every table that ``materialise`` wrote under the shared folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trackloom")
@@ -65,9 +74,13 @@ def pack(df: DataFrame, **named: Column) -> DataFrame:
 
 
 def unpack(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
-    """The caller's columns again, then the results; a result replaces an input column of its name."""
+    """The caller's columns again, then the results; a result replaces an input column of its name.
+
+    Results are computed in a step of their own, where no column of the caller has its name yet.
+    """
+    done = df.select(ROW, *[v.alias(f"__result{i}") for i, v in enumerate(results.values())])
     kept = [F.col(f"{ROW}.`{c}`").alias(c) for c in columns if c not in results]
-    return df.select(*kept, *[v.alias(k) for k, v in results.items()])
+    return done.select(*kept, *[F.col(f"__result{i}").alias(k) for i, k in enumerate(results)])
 
 
 def text_or_empty(column: str = "text") -> Column:

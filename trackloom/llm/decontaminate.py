@@ -159,11 +159,13 @@ class Automaton:
 
 
 def _matcher(automaton):
+    """Not deterministic in name, so that Spark runs it once even where its result is filtered on."""
+
     @F.arrow_udf(RESULT)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return _match(automaton, batches)
 
-    return match
+    return match.asNondeterministic()
 
 
 def _match(automaton, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -17,7 +17,8 @@ equal anchors at the same offset. So a window can only repeat if its anchor does
 2. Texts with shared anchors are parsed again. Each shared anchor is verified by a second hash of
    the whole stretch that its windows cover (128 bits with the anchor's name). If all stretches of
    an anchor repeat, so do all their windows.
-3. For the other anchors, at the edges of repeats, the windows are compared one by one.
+3. For the other anchors, at the edges of repeats, the windows of each different stretch are compared
+   one by one. Tables of a finished step are deleted when the next one is written.
 
 Texts are identified by two 64-bit hashes; exact copies are counted once and need no comparison.
 Every join has a summed side with one row for a name or text and AQE splits the other, so frequent
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import find_words, materialise, mix, range_hasher, text_identity, text_or_empty, text_slices, word_hashes, word_table
+from trackloom.llm.common import discard, find_words, materialise, mix, range_hasher, text_identity, text_or_empty, text_slices, word_hashes, word_table
 
 WINDOW = 35
 ROUNDS = 2
@@ -154,9 +155,10 @@ def _stretches(window: int):
                         _signed(r2[lo:hi][text]),
                         _signed(whole),
                         pa.array(low - a.firsts[text]),
+                        pa.array(n),
                         pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), _signed(each)),
                     ],
-                    ["key", "place", "r1", "r2", "whole", "low", "windows"],
+                    ["key", "place", "r1", "r2", "whole", "low", "n", "windows"],
                 )
 
     return run
@@ -174,8 +176,10 @@ def _cut(window: int):
                     words = []
                 elif cuts:
                     change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, [c["a"] for c in cuts], 1)
-                    np.add.at(change, [c["b"] for c in cuts], -1)
+                    for c in cuts:
+                        for a, b in [(c["a"], c["b"])] if c["ks"] is None else [(c["a"] + k, c["a"] + k + window) for k in c["ks"]]:
+                            change[a] += 1
+                            change[b] -= 1
                     words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
                 words_n.append(n)
                 removed_n.append(n - len(words))
@@ -191,22 +195,38 @@ def _several(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def repeated(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(r1, r2, ranges): for each different text with repeats, the word ranges [a, b) that repeated windows cover."""
+    """(r1, r2, ranges): for each different text with repeats, what repeated windows cover.
+
+    A range is the words [a, b), or, where ``ks`` lists numbers, the windows that begin at a + k.
+    """
     r1, r2 = text_identity(text_or_empty(text))
     texts = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
     anchors = materialise(texts.mapInArrow(_anchors(window), "key long, place long, r1 long, r2 long"), "anchors")
-    keys = anchors.join(_several(anchors, "key"), "key", "left_semi").groupBy("r1", "r2").agg(F.collect_set("key").alias("keys"))
-    stretches = texts.join(keys, ["r1", "r2"]).select("r1", "r2", "text", "keys").mapInArrow(
-        _stretches(window), "key long, place long, r1 long, r2 long, whole long, low long, windows array<long>"
+    shared = materialise(_several(anchors, "key"), "shared")
+    keys = materialise(anchors.join(shared, "key", "left_semi").groupBy("r1", "r2").agg(F.collect_set("key").alias("keys")), "keys")
+    discard(anchors)
+    found = texts.join(keys, ["r1", "r2"]).select("r1", "r2", "text", "keys").mapInArrow(
+        _stretches(window), "key long, place long, r1 long, r2 long, whole long, low long, n long, windows array<long>"
     )
-    stretches = materialise(stretches, "stretches")
-
-    lone = stretches.groupBy("key", "whole").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p = q").select("key").distinct()
-    whole = stretches.join(lone, "key", "left_anti").select("r1", "r2", F.col("low").alias("a"), (F.col("low") + F.size("windows") - 1 + window).alias("b"))
-    single = stretches.join(lone, "key", "left_semi").select("key", "r1", "r2", "place", "low", F.posexplode("windows").alias("k", "window"))
-    single = single.select("key", "window", "r1", "r2", F.xxhash64("place", "k").alias("place"), (F.col("low") + F.col("k")).alias("a"))
-    again = single.join(_several(single, "key", "window"), ["key", "window"], "left_semi").select("r1", "r2", "a", (F.col("a") + window).alias("b"))
-    ranges = whole.unionByName(again).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    found = materialise(found, "stretches")
+
+    lone = found.groupBy("key", "whole").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p = q")
+    lone = materialise(lone.select("key").distinct(), "lone")
+    slim = found.select("key", "r1", "r2", "low", "n")
+    none = F.lit(None).cast("array<int>")
+    whole = slim.join(lone, "key", "left_anti").select("r1", "r2", F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + window).alias("b"), none.alias("ks"))
+    whole = materialise(whole, "whole")
+    edges = materialise(found.join(lone, "key", "left_semi").select("key", "place", "r1", "r2", "whole", "low", "windows"), "edges")
+    discard(found)
+
+    # Equal stretches are compared once: a window repeats if its stretch does, or if another stretch has it too.
+    stretches = edges.groupBy("key", "whole").agg((F.min("place") != F.max("place")).alias("many"), F.first("windows").alias("windows"))
+    each = stretches.select("key", "whole", "many", F.posexplode("windows").alias("k", "window"))
+    twice = each.groupBy("key", "window").agg(F.max("many").alias("many"), F.min("whole").alias("p"), F.max("whole").alias("q")).where("many or p <> q").select("key", "window")
+    good = each.join(materialise(twice, "windows"), ["key", "window"], "left_semi").groupBy("key", "whole").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    single = edges.select("key", "whole", "r1", "r2", "low").join(materialise(good, "good"), ["key", "whole"])
+    single = single.select("r1", "r2", F.col("low").alias("a"), F.lit(None).cast("long").alias("b"), "ks")
+    ranges = whole.unionByName(single).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b", "ks")).alias("ranges"))
     return materialise(ranges, "ranges")
 
 
@@ -217,7 +237,7 @@ def remove(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame
     twins = keyed.groupBy("__r1", "__r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__r1").alias("r1"), F.col("__r2").alias("r2"), F.lit(True).alias("twin"))
     verdicts = repeated(df, text, window).join(twins, ["r1", "r2"], "full").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("ranges").alias("__ranges"), F.col("twin").alias("__twin"))
     joined = keyed.join(verdicts, ["__r1", "__r2"], "left")
-    cut = _cut(window)(text_or_empty(text), F.coalesce("__twin", F.lit(False)), F.coalesce("__ranges", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    cut = _cut(window)(text_or_empty(text), F.coalesce("__twin", F.lit(False)), F.coalesce("__ranges", F.array().cast("array<struct<a:bigint,b:bigint,ks:array<int>>>")))
     new = {"n_words": "n_words", "n_removed": "n_removed", "kept_text": "kept"}
     others = [F.col(f"`{c}`") for c in df.columns if c not in new]
     return joined.select(*others, cut.alias("__cut")).select(*others, *[F.col(f"__cut.{v}").alias(k) for k, v in new.items()])

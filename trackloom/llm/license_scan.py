@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_or_empty
+from trackloom.llm.common import pack, text_or_empty, unpack
 
 ANCHORS = 2
 MIN_SHARE = 0.5
@@ -93,9 +93,7 @@ def scan(df: DataFrame, templates: list[Template] | None = None, text: str = "te
     index = [(t, sorted(set(t.key), key=lambda w: (-rarity[w], w))[:ANCHORS]) for t in templates]
     anchors = sorted({w for _, found in index for w in found})
 
-    new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    columns = [c for c in df.columns if c not in new]
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], words_of(text_or_empty(text)).alias("__words"))
+    rows = pack(df, __words=words_of(text_or_empty(text)))
     words = F.col("__words")
     located = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     hits = F.when(F.arrays_overlap(words, _strings(anchors)), F.filter(located, lambda x: x["w"].isin(anchors)))
@@ -129,13 +127,14 @@ def scan(df: DataFrame, templates: list[Template] | None = None, text: str = "te
     def labels(matches: Column) -> Column:
         return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
 
-    return rows.select(
-        *[F.col(f"`{c}`") for c in columns],
-        F.size(words).cast("long").alias("n_words"),
-        F.size(based).cast("long").alias("n_base"),
-        F.array_min(F.transform(based, lambda m: m["at"])).alias("first_word"),
-        F.array_max(F.transform(based, lambda m: m["at"])).alias("last_word"),
-        labels(based).alias("base_labels"),
-        labels(some).alias("labels"),
-        F.coalesce(F.array_max(F.transform(some, lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    return unpack(
+        rows.select("__row", "__words", some.alias("__some"), based.alias("__based")),
+        df.columns,
+        n_words=F.size("__words").cast("long"),
+        n_base=F.size("__based").cast("long"),
+        first_word=F.array_min(F.transform("__based", lambda m: m["at"])),
+        last_word=F.array_max(F.transform("__based", lambda m: m["at"])),
+        base_labels=labels(F.col("__based")),
+        labels=labels(F.col("__some")),
+        score=F.coalesce(F.array_max(F.transform("__some", lambda m: m["share"])), F.lit(0.0)),
     )

@@ -9,10 +9,15 @@ so no bucket is dropped. The runs have hashes of their own, and as many are made
 recall asks for: a pair at the threshold is missed by one run with a chance of about
 exp(-threshold * PICKS). Pairs that share enough picks are then verified on their whole sets.
 
-Texts with equal sets are one class and are joined once, whatever the number of copies. A bucket
-is at most ``small`` short rows; pairs are never gathered, and a set travels once for each pair it
-is a candidate of. Groups of links (connected components) are found by label propagation with
-pointer jumping, each round a table in the shared folder.
+No pair leaves its bucket. Two sets that meet in several buckets are judged in the one whose name is
+the smallest, which both know as they carry the names of all theirs. A first pass over the buckets
+keeps the rows that have a pair to be judged there; only these are joined with their texts, and a
+second pass counts each row's links and names the smallest row it is connected to: the result is
+one row for a set and bucket, however many pairs a group of near copies has.
+
+Texts with equal sets are one class and are joined once, whatever the number of copies. Groups of
+links (connected components) are found by label propagation with pointer jumping, each round a
+table in the shared folder.
 
 Defined results: null text counts as empty; a text of 1 to ``size`` - 1 words is one run of all of
 them; texts without words form one class of their own (similarity 1 to each other, 0 to others);
@@ -26,7 +31,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -38,9 +42,11 @@ SIZE = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PICKS = 8
-SMALL = 4096
+SMALL = 2048
 #: Buckets of at most so many sets are compared many at once.
 TINY = 48
+#: Values, or pairs of values, that one numpy step takes at once.
+STEP = 2_000_000
 #: Low bits of a pick that hold its run.
 RUN_BITS = 15
 DEPTH = 3
@@ -109,170 +115,246 @@ def _sketcher(size: int, runs: int):
     return sketch
 
 
-def shared_pairs(ids: np.ndarray, sizes: np.ndarray, picks: list[np.ndarray], threshold: float, left_n: int | None = None) -> np.ndarray:
-    """Pairs of one bucket whose sizes allow the threshold and that share enough picks; with ``left_n`` only pairs across that place.
-
-    Picks are columns of a matrix of 0 and 1, of which a few MB are held at a time.
-    """
-    count = np.array([len(p) for p in picks])
-    flat, column = np.unique(np.concatenate(picks), return_inverse=True)
-    often = np.flatnonzero(np.bincount(column, minlength=len(flat)) > 1)
-    place = np.full(len(flat), -1)
-    place[often] = np.arange(len(often))
-    row = np.repeat(np.arange(len(ids)), count)
-    held = place[column] >= 0
-    row, column = row[held], place[column[held]]
-    step = int(np.clip(4_000_000 // max(1, len(often)), 64, 2048))
-
-    def block(lo: int) -> np.ndarray:
-        m = (row >= lo) & (row < lo + step)
-        out = np.zeros((min(step, len(ids) - lo), len(often)), np.float32)
-        out[row[m] - lo, column[m]] = 1
+def _expanded(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``first[i]``, ``first[i] + 1``, ... of which there are ``n[i]``, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+class Lists:
+    """Lists of values of some rows, the values numbered so that rows and numbers sort together."""
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray):
+        self.offsets, self.values = offsets, flat
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        distinct, number = np.unique(flat, return_inverse=True)
+        self.number, self.span = number.astype(np.int64), len(distinct) + 1
+        self.keys = np.sort(self.row * self.span + self.number)
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Lists:
+        return cls(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())]))
+
+    def common(self, left: np.ndarray, right: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+        """How many values the rows ``left[i]`` and ``right[i]`` share; of the left ones only those that are ``counted``."""
+        size = self.offsets[left + 1] - self.offsets[left]
+        out = np.zeros(len(left), np.int64)
+        edge = np.concatenate([[0], np.cumsum(size)])
+        lo = 0
+        while lo < len(left):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + STEP, side="right")) - 1)
+            at, n = _expanded(self.offsets[left[lo:hi]], size[lo:hi]), size[lo:hi]
+            wanted = np.repeat(right[lo:hi], n) * self.span + self.number[at]
+            found = np.searchsorted(self.keys, wanted)
+            hit = self.keys[np.minimum(found, len(self.keys) - 1)] == wanted if len(self.keys) else np.zeros(0, bool)
+            if counted is not None:
+                hit &= counted[at]
+            out[lo:hi] = np.bincount(np.repeat(np.arange(hi - lo), n), hit, minlength=hi - lo)
+            lo = hi
         return out
 
-    out = [np.zeros((2, 0), np.int64)]
-    for lo in range(0, len(ids), step):
-        one = block(lo)
-        for at in range(0, lo + 1, step):
-            shared = one @ (one if at == lo else block(at)).T
-            i, j = np.nonzero(shared)
-            a, b = i + lo, j + at
-            ok = (a > b) & ((left_n is None) | ((a >= (left_n or 0)) & (b < (left_n or 0))))
-            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            ok = (small >= threshold * large) & (shared[i, j] >= LEAST_SHARED * np.minimum(count[a], count[b]))
-            out.append(np.stack([np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])]))
-    return np.concatenate(out, 1)
-
-
-def tiny_pairs(start: np.ndarray, ids: np.ndarray, sizes: np.ndarray, flat: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
-    """The same for many buckets of a few rows at once; ``start`` is each row's first row of its bucket."""
-    n = len(ids)
-    ahead = np.arange(n) - start
-    right = np.repeat(np.arange(n), ahead)
-    left = np.arange(len(right)) - np.repeat(np.cumsum(ahead) - ahead, ahead) + np.repeat(start, ahead)
-    ok = np.minimum(sizes[left], sizes[right]) >= threshold * np.maximum(sizes[left], sizes[right])
-    left, right = left[ok], right[ok]
-    count = np.diff(offsets)
-    padded = np.full((n, max(1, int(count.max(initial=1)))), -1, np.int64)
-    padded -= np.arange(n)[:, None]
-    padded[np.repeat(np.arange(n), count), np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], count)] = flat
-    keep = np.zeros(len(left), bool)
-    step = max(1, 4_000_000 // padded.shape[1] ** 2)
-    for at in range(0, len(left), step):
-        x, y = left[at : at + step], right[at : at + step]
-        shared = (padded[x][:, :, None] == padded[y][:, None, :]).sum((1, 2))
-        keep[at : at + step] = shared >= LEAST_SHARED * np.minimum(count[x], count[y])
-    a, b = ids[left[keep]], ids[right[keep]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)])
-
-
-def _brute(threshold: float):
-    """Brute force within the buckets of rows that are sorted by bucket; one bucket at most waits for its rest."""
-
-    def pairs_of(rows: pa.Table) -> pa.RecordBatch:
-        node, ids, sizes = (rows[c].to_numpy() for c in ("node", "cid", "n"))
-        picks = rows["picks"].combine_chunks()
-        picks = pa.concat_arrays(picks.chunks) if isinstance(picks, pa.ChunkedArray) else picks
-        flat, offsets = picks.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(picks).to_numpy())])
-        edge = np.flatnonzero(np.diff(node)) + 1
-        first, end = np.r_[0, edge], np.r_[edge, len(node)]
-        out = [np.zeros((2, 0), np.int64)]
-        large = end - first > TINY
-        start = np.repeat(first, end - first)
-        tiny = np.flatnonzero(~np.repeat(large, end - first))
-        if len(tiny):
-            moved = np.zeros(len(node), np.int64)
-            moved[tiny] = np.arange(len(tiny))
-            sub = picks.take(pa.array(tiny))
-            out.append(tiny_pairs(moved[start[tiny]], ids[tiny], sizes[tiny], sub.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(sub).to_numpy())]), threshold))
-        for a, b in zip(first[large].tolist(), end[large].tolist(), strict=True):
-            out.append(shared_pairs(ids[a:b], sizes[a:b], [flat[offsets[i] : offsets[i + 1]] for i in range(a, b)], threshold))
-        pairs = np.unique(np.concatenate(out, 1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+    def common_matrix(self, a: int, b: int, counted: np.ndarray | None = None) -> np.ndarray:
+        """The same for any two of the rows [a, b): frequent values by a matrix product, the others by their few pairs."""
+        m, part = b - a, slice(int(self.offsets[a]), int(self.offsets[b]))
+        row, number = self.row[part] - a, self.number[part]
+        if counted is not None:
+            row, number = row[counted[part]], number[counted[part]]
+        _, column, count = np.unique(number, return_inverse=True, return_counts=True)
+        total = np.zeros((m, m), np.float32)
+        often = np.flatnonzero(count > max(8, m // 16))
+        place = np.full(len(count), -1)
+        place[often] = np.arange(len(often))
+        at = place[column]
+        for lo in range(0, len(often), 512):
+            mine = (at >= lo) & (at < lo + 512)
+            one = np.zeros((m, min(512, len(often) - lo)), np.float32)
+            one[row[mine], at[mine] - lo] = 1
+            total += one @ one.T
+        few = np.flatnonzero((at < 0) & (count[column] > 1))
+        few = few[np.argsort(column[few], kind="stable")]
+        row, column = row[few], column[few]
+        first = np.flatnonzero(np.diff(np.r_[-1, column]))
+        ahead = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        edge, lo = np.concatenate([[0], np.cumsum(ahead)]), 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + STEP, side="right")) - 1)
+            right = np.repeat(np.arange(lo, hi), ahead[lo:hi])
+            left = _expanded(np.arange(lo, hi) - ahead[lo:hi], ahead[lo:hi])
+            found = np.bincount(row[right] * m + row[left], minlength=m * m).reshape(m, m)
+            total += found + found.T
+            lo = hi
+        return total
+
+
+class Buckets:
+    """Rows sorted by bucket (unit, node, side, n, count, picks, leaves), and the pairs that each bucket has to judge."""
+
+    def __init__(self, rows: pa.Table, threshold: float):
+        rows = rows.combine_chunks()
+        self.threshold, self.rows = threshold, len(rows)
+        self.node, self.side, self.n, self.count = (rows[c].to_numpy() for c in ("node", "side", "n", "count"))
+        unit = rows["unit"].to_numpy()
+        edge = np.flatnonzero(np.diff(unit)) + 1
+        self.first, self.end = np.r_[0, edge], np.r_[edge, len(unit)]
+        self.picks, self.leaves = (Lists.of(_one(rows[c])) for c in ("picks", "leaves"))
+        self.earlier = self.leaves.values < self.node[self.leaves.row]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, int] | None]]:
+        """(left, right, rows of the one large bucket, or None): pairs whose sizes allow the threshold, that share enough
+        picks, and that no other bucket judges: of all the leaves two sets share, the smallest is theirs."""
+        size = self.end - self.first
+        large = size > TINY
+        start = np.repeat(self.first, size)
+        ahead = np.where(np.repeat(large, size), 0, np.arange(self.rows) - start)
+        edge, lo = np.concatenate([[0], np.cumsum(ahead)]), 0
+        while lo < self.rows:
+            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + STEP, side="right")) - 1)
+            right = np.repeat(np.arange(lo, hi), ahead[lo:hi])
+            left = _expanded(start[lo:hi], ahead[lo:hi])
+            ok = self._sized(left, right)
+            left, right = left[ok], right[ok]
+            ok = self.picks.common(left, right) >= LEAST_SHARED * np.minimum(self.count[left], self.count[right])
+            left, right = left[ok], right[ok]
+            ok = self.leaves.common(left, right, self.earlier) == 0
+            yield left[ok], right[ok], None
+            lo = hi
+        for a, b in zip(self.first[large].tolist(), self.end[large].tolist(), strict=True):
+            shared = self.picks.common_matrix(a, b)
+            shared[self.leaves.common_matrix(a, b, self.earlier) > 0] = 0
+            left, right = np.nonzero(np.tril(shared, -1))
+            enough = shared[left, right] >= LEAST_SHARED * np.minimum(self.count[a + left], self.count[a + right])
+            left, right = a + left[enough], a + right[enough]
+            ok = self._sized(left, right)
+            yield left[ok], right[ok], (a, b)
+
+    def _sized(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(self.n[left], self.n[right]), np.maximum(self.n[left], self.n[right])
+        across = (self.side[left] < 0) | (self.side[left] != self.side[right])
+        return across & (small >= self.threshold * large)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
+def _whole_buckets(work):
+    """``work`` on tables of whole buckets from rows that are sorted by ``unit``; one bucket at most waits for its rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if waiting is not None:
-                table = pa.concat_tables([waiting, table])
-            node = table["node"].to_numpy()
-            cut = int(np.searchsorted(node, node[-1])) if len(node) else 0
-            if cut:
-                yield pairs_of(table.slice(0, cut))
-            waiting = table.slice(cut)
-        if waiting is not None and len(waiting):
-            yield pairs_of(waiting)
+            if not len(batch):
+                continue
+            unit = batch["unit"].to_numpy()
+            cut = int(np.flatnonzero(unit == unit[-1])[0])
+            if waiting and (cut or waiting[-1]["unit"][0].as_py() != unit[0]):
+                own = int(np.flatnonzero(unit != waiting[-1]["unit"][0].as_py())[0]) if unit[0] == waiting[-1]["unit"][0].as_py() else 0
+                yield from work(pa.Table.from_batches([*waiting, batch.slice(0, own)]))
+                waiting, batch, cut = [], batch.slice(own), cut - own
+            if cut > 0:
+                yield from work(pa.Table.from_batches([batch.slice(0, cut)]))
+                batch = batch.slice(cut)
+            waiting.append(batch)
+        if waiting:
+            yield from work(pa.Table.from_batches(waiting))
 
     return run
 
 
-def candidates(classes: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of ``classes`` (cid, n, picks)."""
-    members = classes.select("cid", F.posexplode("picks").alias("at", "node"))
+def _promising(threshold: float):
+    """Of each bucket the rows that have a pair to be verified there."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(rows), bool)
+        for left, right, _ in Buckets(rows, threshold).pairs():
+            held[left] = held[right] = True
+        yield from rows.filter(pa.array(held)).to_batches()
+
+    return _whole_buckets(work)
+
+
+_FOUND = pa.schema([("cid", pa.int64()), ("root", pa.int64()), ("linked", pa.int64())])
+
+
+def _verified(threshold: float, size: int):
+    """For each row of a bucket with links there: the smallest id it is connected to, and how many texts it is linked with."""
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        held = Buckets(rows, threshold)
+        members, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lo, hi, raw, off in text_slices(rows["text"]):
+            found, text = word_runs(raw, off, size)
+            members.append(found)
+            count.append(np.bincount(text, minlength=hi - lo))
+        length = np.concatenate(count)
+        sets = Lists(np.concatenate(members), np.concatenate([[0], np.cumsum(length)]))
+        del members
+        cid, copies = rows["cid"].to_numpy(), rows["members"].to_numpy()
+        linked, root = np.zeros(len(rows), np.int64), cid.copy()
+        for left, right, bounds in held.pairs():
+            if bounds is None:
+                same = sets.common(left, right)
+            else:
+                same = sets.common_matrix(*bounds)[left - bounds[0], right - bounds[0]].astype(np.int64)
+            ok = same >= threshold * (length[left] + length[right] - same)
+            left, right = left[ok], right[ok]
+            linked += np.bincount(left, copies[right], len(rows)).astype(np.int64) + np.bincount(right, copies[left], len(rows)).astype(np.int64)
+            while len(left) and (root[left] != root[right]).any():
+                least = np.minimum(root[left], root[right])
+                np.minimum.at(root, left, least)
+                np.minimum.at(root, right, least)
+        with_links = np.flatnonzero(linked)
+        yield pa.RecordBatch.from_arrays([pa.array(x[with_links]) for x in (cid, root, linked)], schema=_FOUND)
+
+    return _whole_buckets(work)
+
+
+def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
+    """(unit, node, side, cid, n, members, count, picks, leaves): the rows of all buckets of ``classes`` (cid, n, members, picks).
+
+    ``picks`` are those picks that another set has too, of ``count`` in all; ``leaves`` are the
+    buckets that the set ends in. A bucket that stays large is dealt out as blocks: each two of its
+    blocks form a unit, whose pairs are those between different ``side`` s, or all where it is -1.
+    """
+    picked = classes.select("cid", F.posexplode("picks").alias("at", "node"))
     found = []
     for depth in range(DEPTH + 1):
-        counts = members.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        tagged = materialise(members.join(counts, "node"), "nodes")
-        lesser = tagged.where(F.col("m") <= small).join(classes, "cid").select("node", "cid", "n", "picks")
-        parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found.append(lesser.repartition(parts, "node").sortWithinPartitions("node", "cid").mapInArrow(_brute(threshold), "a long, b long"))
+        counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        tagged = materialise(picked.join(counts, "node"), "nodes")
+        top, last = F.lit(depth == 0), F.lit(depth == DEPTH)
+        blocks = F.when(F.col("m") <= small, 1).when(last, F.ceil(F.col("m") / (small / 2))).otherwise(0).cast("int")
+        found.append(tagged.select("cid", F.struct("node", blocks.alias("blocks"), top.alias("top")).alias("b")))
         large = tagged.where(F.col("m") > small)
-        if large.isEmpty():
-            break
-        if depth == DEPTH:
-            found.append(_blocks(large.join(classes, "cid"), threshold, small))
+        if depth == DEPTH or large.isEmpty():
             break
         own = F.element_at("picks", F.col("at") + 1).bitwiseAND(F.lit(RUN_BITS))
         nexts = F.filter(F.slice("picks", F.col("at") + 2, F.lit(BRANCH)), lambda p: p.bitwiseAND(F.lit(RUN_BITS)) == own)
-        split = large.join(classes, "cid").select("cid", "node", "at", F.posexplode(nexts).alias("k", "pick"))
-        members = split.select("cid", (F.col("at") + F.col("k") + 1).alias("at"), F.xxhash64("node", "pick").alias("node"))
-    pairs = found[0]
+        split = large.join(classes.select("cid", "picks"), "cid").select("cid", "node", "at", F.posexplode(nexts).alias("k", "pick"))
+        picked = split.select("cid", (F.col("at") + F.col("k") + 1).alias("at"), F.xxhash64("node", "pick").alias("node"))
+    every = found[0]
     for more in found[1:]:
-        pairs = pairs.unionAll(more)
-    return pairs.distinct()
-
-
-def _blocks(rows: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Brute force within buckets that no split made small: their members in blocks, block against block."""
-    split = rows.select("node", "cid", "n", "picks", F.ceil(F.col("m") / (small / 2)).cast("int").alias("blocks"))
-    split = split.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("long")).cast("int"))
-    sides = split.select("node", "cid", "n", "picks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sides = sides.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-
-    def both(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["block", "cid"])
-        border = int((rows["block"] == rows["block"].iloc[0]).sum())
-        pairs = shared_pairs(rows["cid"].to_numpy(), rows["n"].to_numpy(), list(rows["picks"]), threshold, border if border < len(rows) else None)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-    return sides.groupBy("node", "x", "y").applyInPandas(both, "a long, b long")
-
-
-def _sets(size: int):
-    @F.arrow_udf("array<bigint>")
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            parts = [pa.array([], pa.list_(pa.int64()))]
-            for lo, hi, raw, off in text_slices(batch):
-                members, text = word_runs(raw, off, size)
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=hi - lo))]).astype(np.int32)
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(members.view(np.int64))))
-            yield pa.concat_arrays(parts)
-
-    return sets
-
-
-def _common():
-    @F.arrow_udf("bigint")
-    def common(a: pa.Array, b: pa.Array) -> pa.Array:
-        """How many members two sets have in common."""
-        fa, fb = a.flatten().to_numpy(), b.flatten().to_numpy()
-        oa, ob = np.cumsum([0, *pc.list_value_length(a).to_pylist()]), np.cumsum([0, *pc.list_value_length(b).to_pylist()])
-        return pa.array([len(np.intersect1d(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]], assume_unique=True)) for i in range(len(a))], pa.int64())
-
-    return common
+        every = every.unionAll(more)
+    listed = every.groupBy("cid").agg(F.collect_list("b").alias("bs"))
+    known = listed.join(classes.select("cid", "n", "members", F.size("picks").alias("count")), "cid").select(
+        "cid", "n", "members", "count",
+        F.transform(F.filter("bs", lambda b: b["top"]), lambda b: b["node"]).alias("picks"),
+        F.transform(F.filter("bs", lambda b: b["blocks"] > 0), lambda b: b["node"]).alias("leaves"),
+        F.explode(F.filter("bs", lambda b: b["blocks"] > 0)).alias("b"),
+    )
+    block = F.pmod(F.xxhash64("cid"), F.col("b.blocks").cast("long")).cast("int")
+    known = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
+    x, y = F.least("block", "other"), F.greatest("block", "other")
+    unit = F.when(F.col("b.blocks") == 1, F.col("b.node")).otherwise(F.xxhash64("b.node", x, y))
+    side = F.when(x == y, -1).otherwise((F.col("block") == y).cast("int"))
+    return known.select(unit.alias("unit"), F.col("b.node").alias("node"), side.alias("side"), "cid", "n", "members", "count", "picks", "leaves")
+
+
+def verified(rows: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(cid, root, linked) of each bucket's rows that have links there; ``texts`` has a text for each cid."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_promising(threshold), rows.schema)
+    dealt = materialise(dealt, "promising")
+    read = dealt.join(texts(dealt.select("cid").distinct()), "cid")
+    return read.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_verified(threshold, size), "cid long, root long, linked long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,12 +371,13 @@ def components(edges: DataFrame) -> DataFrame:
             return roots.select(F.col("u").alias("cid"), "root")
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> dict[str, DataFrame]:
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, small: int = SMALL) -> dict[str, DataFrame]:
     """The join's tables.
 
     ``rows``: (key, r1, r2, cid), a row for each row of ``df``, with its text's identity and its class;
-    ``classes``: (cid, n, members), the classes of equal sets; ``links``: (a, b, similarity) between
-    classes, a < b; ``roots``: (cid, root) of every class.
+    ``classes``: (cid, n, members), the classes of equal sets; ``links``: (cid, root, linked), a row for
+    each bucket in which a class has links: a class it is connected with there, and with how many rows
+    of other classes it is linked there; ``roots``: (cid, root) of every class.
     """
     runs = runs_for(threshold, target_recall)
     r1, r2 = text_identity(text_or_empty(text))
@@ -303,16 +386,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     grouped = sketched.groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("r1", "r2")).alias("text"), F.first("picks").alias("picks"))
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    pairs = materialise(candidates(classes.where("n > 0").select("cid", "n", "picks"), threshold), "pairs")
-    ends = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct().join(classes, "cid").select("cid", "text.r1", "text.r2")
-    texts = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
-    sets = texts.join(ends, ["r1", "r2"]).select("cid", _sets(size)("text").alias("members"))
-    sets = materialise(sets.groupBy("cid").agg(F.first("members").alias("members")), "sets")
-    held = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
-    both = held.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), _common()("x", "y").alias("k"))
-    links = both.select("a", "b", (F.col("k") / (F.col("nx") + F.col("ny") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
-    links = materialise(links, "links")
-    found = components(links)
+    def texts(wanted: DataFrame) -> DataFrame:
+        ends = wanted.join(classes, "cid").select("cid", "text.r1", "text.r2")
+        every = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
+        return every.join(ends, ["r1", "r2"]).groupBy("cid").agg(F.first("text").alias("text"))
+
+    links = materialise(verified(buckets(classes.where("n > 0"), small), texts, threshold, size), "links")
+    found = components(links.where("cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")))
     roots = classes.select("cid").join(found, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
     rows = sketched.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"]).select("key", "r1", "r2", "cid")
     return {"rows": rows, "classes": classes.select("cid", "n", "members"), "links": links, "roots": roots}
@@ -324,9 +404,8 @@ def groups(tables: dict[str, DataFrame]) -> DataFrame:
     ``class_id`` is the smallest key of the group of linked texts, ``set_id`` that of the texts with
     the same set, ``n_links`` the number of other rows at the threshold or above, copies included.
     """
-    links, classes = tables["links"], tables["classes"]
-    both = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
-    linked = both.join(classes.select(F.col("cid").alias("other"), "members"), "other").groupBy("cid").agg(F.sum("members").alias("linked"))
+    links = tables["links"]
+    linked = links.groupBy("cid").agg(F.sum("linked").alias("linked"))
     rows = materialise(tables["rows"], "rows")
     least = rows.groupBy("cid").agg(F.min("key").alias("set_id"), F.count(F.lit(1)).alias("members"))
     known = materialise(least.join(tables["roots"], "cid").join(linked, "cid", "left"), "known")

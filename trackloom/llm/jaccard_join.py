@@ -49,8 +49,9 @@ TINY = 48
 STEP = 2_000_000
 #: Low bits of a pick that hold its run.
 RUN_BITS = 15
-DEPTH = 3
-BRANCH = 4
+#: Splits of a large bucket, and the paths that each of its sets goes on by.
+DEPTH = 2
+BRANCH = 2
 #: Share of the smaller sample that a pair must have in common to be verified; at the threshold of 0.8 some 16 picks share fewer with a chance below 1e-4.
 LEAST_SHARED = 0.4
 
@@ -315,7 +316,7 @@ def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
     buckets that the set ends in. A bucket that stays large is dealt out as blocks: each two of its
     blocks form a unit, whose pairs are those between different ``side`` s, or all where it is -1.
     """
-    picked = classes.select("cid", F.posexplode("picks").alias("at", "node"))
+    picked = classes.select("cid", F.explode("picks").alias("node")).withColumn("path", F.array("node"))
     found = []
     for depth in range(DEPTH + 1):
         counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -326,10 +327,11 @@ def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
         large = tagged.where(F.col("m") > small)
         if depth == DEPTH or large.isEmpty():
             break
-        own = F.element_at("picks", F.col("at") + 1).bitwiseAND(F.lit(RUN_BITS))
-        nexts = F.filter(F.slice("picks", F.col("at") + 2, F.lit(BRANCH)), lambda p: p.bitwiseAND(F.lit(RUN_BITS)) == own)
-        split = large.join(classes.select("cid", "picks"), "cid").select("cid", "node", "at", F.posexplode(nexts).alias("k", "pick"))
-        picked = split.select("cid", (F.col("at") + F.col("k") + 1).alias("at"), F.xxhash64("node", "pick").alias("node"))
+        # each bucket has an order of its own in which its sets' other picks come; a set goes on by its first ones
+        others = F.array_sort(F.transform(F.array_except("picks", "path"), lambda p: F.struct(F.xxhash64("node", p).alias("node"), p.alias("pick"))))
+        ended = F.array(F.struct(F.xxhash64("node").alias("node"), F.col("node").alias("pick")))
+        split = large.join(classes.select("cid", "picks"), "cid").select("cid", "path", F.explode(F.when(F.size(others) > 0, F.slice(others, 1, BRANCH)).otherwise(ended)).alias("next"))
+        picked = split.select("cid", "next.node", F.array_append("path", F.col("next.pick")).alias("path"))
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)

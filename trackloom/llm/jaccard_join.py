@@ -52,7 +52,7 @@ RUN_BITS = 15
 #: Splits of a large bucket, and the paths that each of its sets goes on by.
 DEPTH = 2
 BRANCH = 2
-#: Share of the smaller sample that a pair must have in common to be verified; at the threshold of 0.8 some 16 picks share fewer with a chance below 1e-4.
+#: Share of either sample that a pair must have in common to be verified; at the threshold of 0.8 some 16 picks share fewer with a chance below 1e-4.
 LEAST_SHARED = 0.4
 
 _ALNUM, _LOWER = word_table("alnum"), lower_table()
@@ -213,7 +213,7 @@ class Buckets:
             left = _expanded(start[lo:hi], ahead[lo:hi])
             ok = self._sized(left, right)
             left, right = left[ok], right[ok]
-            ok = self.picks.common(left, right) >= LEAST_SHARED * np.minimum(self.count[left], self.count[right])
+            ok = self.picks.common(left, right) >= LEAST_SHARED * np.maximum(self.count[left], self.count[right])
             left, right = left[ok], right[ok]
             ok = self.leaves.common(left, right, self.earlier) == 0
             yield left[ok], right[ok], None
@@ -222,7 +222,7 @@ class Buckets:
             shared = self.picks.common_matrix(a, b)
             shared[self.leaves.common_matrix(a, b, self.earlier) > 0] = 0
             left, right = np.nonzero(np.tril(shared, -1))
-            enough = shared[left, right] >= LEAST_SHARED * np.minimum(self.count[a + left], self.count[a + right])
+            enough = shared[left, right] >= LEAST_SHARED * np.maximum(self.count[a + left], self.count[a + right])
             left, right = a + left[enough], a + right[enough]
             ok = self._sized(left, right)
             yield left[ok], right[ok], (a, b)
@@ -313,35 +313,39 @@ def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
     """(unit, node, side, cid, n, members, count, picks, leaves): the rows of all buckets of ``classes`` (cid, n, members, picks).
 
     ``picks`` are those picks that another set has too, of ``count`` in all; ``leaves`` are the
-    buckets that the set ends in. A bucket that stays large is dealt out as blocks: each two of its
-    blocks form a unit, whose pairs are those between different ``side`` s, or all where it is -1.
+    buckets that the set ends in. Pairs have to share ``LEAST_SHARED`` of the picks of either, so if
+    all sets leave out just fewer than that, of the picks that most sets have, such a pair still
+    shares one of the others (prefix filter). A bucket that stays large is dealt out as blocks: each
+    two of its blocks form a unit, whose pairs are those between different ``side`` s, or all where
+    it is -1.
     """
-    picked = classes.select("cid", F.explode("picks").alias("node")).withColumn("path", F.array("node"))
+    every = classes.select("cid", F.explode("picks").alias("node"))
+    counts = every.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    listed = every.join(counts, "node").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("m", "node"))).alias("ps"))
+    held = listed.join(classes.select("cid", "n", "members", F.size("picks").alias("count")), "cid").withColumn("picks", F.transform("ps", lambda p: p["node"]))
+    left_out = F.ceil(F.col("count") * LEAST_SHARED).cast("int") - 1
+    held = materialise(held.withColumn("indexed", F.slice("picks", 1, F.greatest(F.size("picks") - left_out, F.lit(0)))).drop("ps"), "picks")
+
+    picked = held.select("cid", F.explode("indexed").alias("node")).withColumn("path", F.array("node"))
     found = []
     for depth in range(DEPTH + 1):
         counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         tagged = materialise(picked.join(counts, "node"), "nodes")
-        top, last = F.lit(depth == 0), F.lit(depth == DEPTH)
-        blocks = F.when(F.col("m") <= small, 1).when(last, F.ceil(F.col("m") / (small / 2))).otherwise(0).cast("int")
-        found.append(tagged.select("cid", F.struct("node", blocks.alias("blocks"), top.alias("top")).alias("b")))
+        blocks = F.when(F.col("m") <= small, 1).when(F.lit(depth == DEPTH), F.ceil(F.col("m") / (small / 2))).otherwise(0).cast("int")
+        found.append(tagged.select("cid", F.struct("node", blocks.alias("blocks")).alias("b")).where("b.blocks > 0"))
         large = tagged.where(F.col("m") > small)
         if depth == DEPTH or large.isEmpty():
             break
         # each bucket has an order of its own in which its sets' other picks come; a set goes on by its first ones
         others = F.array_sort(F.transform(F.array_except("picks", "path"), lambda p: F.struct(F.xxhash64("node", p).alias("node"), p.alias("pick"))))
         ended = F.array(F.struct(F.xxhash64("node").alias("node"), F.col("node").alias("pick")))
-        split = large.join(classes.select("cid", "picks"), "cid").select("cid", "path", F.explode(F.when(F.size(others) > 0, F.slice(others, 1, BRANCH)).otherwise(ended)).alias("next"))
+        split = large.join(held.select("cid", "picks"), "cid").select("cid", "path", F.explode(F.when(F.size(others) > 0, F.slice(others, 1, BRANCH)).otherwise(ended)).alias("next"))
         picked = split.select("cid", "next.node", F.array_append("path", F.col("next.pick")).alias("path"))
     every = found[0]
     for more in found[1:]:
         every = every.unionAll(more)
-    listed = every.groupBy("cid").agg(F.collect_list("b").alias("bs"))
-    known = listed.join(classes.select("cid", "n", "members", F.size("picks").alias("count")), "cid").select(
-        "cid", "n", "members", "count",
-        F.transform(F.filter("bs", lambda b: b["top"]), lambda b: b["node"]).alias("picks"),
-        F.transform(F.filter("bs", lambda b: b["blocks"] > 0), lambda b: b["node"]).alias("leaves"),
-        F.explode(F.filter("bs", lambda b: b["blocks"] > 0)).alias("b"),
-    )
+    ends = every.groupBy("cid").agg(F.collect_list("b").alias("bs"))
+    known = ends.join(held.drop("indexed"), "cid").select("cid", "n", "members", "count", "picks", F.transform("bs", lambda b: b["node"]).alias("leaves"), F.explode("bs").alias("b"))
     block = F.pmod(F.xxhash64("cid"), F.col("b.blocks").cast("long")).cast("int")
     known = known.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
     x, y = F.least("block", "other"), F.greatest("block", "other")

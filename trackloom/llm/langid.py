@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_or_empty, text_slices
+from trackloom.llm.common import pack, text_or_empty, text_slices, unpack
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -162,9 +162,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: flo
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred``, ``score`` (calibrated, 0 to 1) and ``accepted``."""
-    others = [F.col(f"`{c}`") for c in df.columns if c not in ("lang_pred", "score", "accepted")]
     if model is None:
-        return df.select(*others, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
+        return unpack(pack(df), df.columns, lang_pred=F.lit("und"), score=F.lit(0.0), accepted=F.lit(False))
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
@@ -181,5 +180,5 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                     scores.append(float(p[i, best[i]]) if lettered else 0.0)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    found = df.select(*others, identify(text_or_empty(text)).alias("__found"))
-    return found.select(*others, F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"), (F.col("__found.score") >= model.threshold).alias("accepted"))
+    found = pack(df, __found=identify(text_or_empty(text)))
+    return unpack(found, df.columns, lang_pred=F.col("__found.lang_pred"), score=F.col("__found.score"), accepted=F.col("__found.score") >= model.threshold)

@@ -106,6 +106,19 @@ def test_large_buckets_are_split_and_no_pair_is_judged_twice(spark, monkeypatch)
         assert {i: r["class_id"] for i, r in found.items()} == roots
 
 
+def test_pairs_of_unequal_size_at_the_threshold_are_found(spark):
+    """A text of 160 runs and itself with 40 more, a similarity of exactly 0.8, for which the chance to share too few picks is largest."""
+    assert jaccard_join.runs_and_share(0.8, 0.9999) == (2, 0.25)
+    assert 9e-4 < jaccard_join.miss_chance(0.8, 2, 0.4) < 2e-3
+    rows = []
+    for i in range(6000):
+        words = [f"p{i}w{j}" for j in range(204)]
+        rows += [(2 * i, " ".join(words[:164])), (2 * i + 1, " ".join(words))]
+    found = by_id(jaccard_join.groups(jaccard_join.join(docs(spark, rows))).withColumnRenamed("key", "doc_id"))
+    missed = sum(r["n_links"] != 1 for r in found.values())
+    assert missed <= 2
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 12)] + [(20, 25), (22, 25)], "a long, b long")
     assert {r["cid"]: r["root"] for r in jaccard_join.components(chain).collect()} == {**{i: 0 for i in range(13)}, 20: 20, 22: 20, 25: 20}

@@ -5,9 +5,9 @@ whose hash falls below ``PICKS`` / its size, so similar sets pick mostly the sam
 picked a common member fall into one bucket. A bucket of at most ``small`` sets is compared by brute
 force; a larger one is split again on the next picks of its members, along the path of members
 chosen so far, and what is still large after ``DEPTH`` splits is compared by brute force in blocks,
-so no bucket is dropped. The runs have hashes of their own, and as many are made as the target
-recall asks for: a pair at the threshold is missed by one run with a chance of about
-exp(-threshold * PICKS). Pairs that share enough picks are then verified on their whole sets.
+so no bucket is dropped. The runs have hashes of their own. Pairs that share enough picks are then
+verified on their whole sets; the number of runs and the share that is enough follow together from
+the target recall, by the chance that a pair at the threshold shares too few (``miss_chance``).
 
 No pair leaves its bucket. Two sets that meet in several buckets are judged in the one whose name is
 the smallest, which both know as they carry the names of all theirs. A first pass over the buckets
@@ -52,16 +52,38 @@ RUN_BITS = 15
 #: Splits of a large bucket, and the paths that each of its sets goes on by.
 DEPTH = 2
 BRANCH = 2
-#: Share of either sample that a pair must have in common to be verified; at the threshold of 0.8 some 16 picks share fewer with a chance below 1e-4.
-LEAST_SHARED = 0.4
+#: Shares of the larger sample that a pair may have to have in common to be verified.
+SHARES = (0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)
 
 _ALNUM, _LOWER = word_table("alnum"), lower_table()
 _BASE = 0xD1342543DE82EF95 | 1
 
 
-def runs_for(threshold: float, target: float) -> int:
-    """Runs after which a pair at the threshold is missed with a chance of at most 1 - ``target``."""
-    return max(1, math.ceil(math.log(1 / (1 - target)) / (threshold * PICKS)))
+def miss_chance(threshold: float, runs: int, share: float) -> float:
+    """Chance that a pair at the threshold shares no pick, or less than ``share`` of the picks of either set.
+
+    Taken for the worst sizes, a set and itself with more members: of the picks of each set, the share
+    in common is then the threshold, and it is larger for all other sizes. Numbers of picks are taken
+    as Poisson; those of small sets vary less.
+    """
+    mean = runs * PICKS
+    most = math.ceil(mean + 12 * math.sqrt(mean) + 12)
+
+    def chances(m: float) -> np.ndarray:
+        return np.array([math.exp(k * math.log(m) - m - math.lgamma(k + 1)) if m else float(k == 0) for k in range(most + 1)])
+
+    both, own = chances(mean * threshold), np.cumsum(chances(mean * (1 - threshold)))
+    kept = sum(both[k] * own[min(most, math.floor(k / share + 1e-9) - k)] ** 2 for k in range(1, most + 1))
+    return float(max(0.0, 1 - kept))
+
+
+def runs_and_share(threshold: float, target: float) -> tuple[int, float]:
+    """The fewest runs, and the largest share of common picks, with which a pair at the threshold is missed with a chance of at most 1 - ``target``."""
+    for runs in range(1, RUN_BITS + 2):
+        for share in SHARES:
+            if miss_chance(threshold, runs, share) <= 1 - target:
+                return runs, share
+    raise ValueError(f"a recall of {target} at {threshold} needs more than {RUN_BITS + 1} runs")
 
 
 def word_runs(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,9 +211,9 @@ class Lists:
 class Buckets:
     """Rows sorted by bucket (unit, node, side, n, count, picks, leaves), and the pairs that each bucket has to judge."""
 
-    def __init__(self, rows: pa.Table, threshold: float):
+    def __init__(self, rows: pa.Table, threshold: float, share: float):
         rows = rows.combine_chunks()
-        self.threshold, self.rows = threshold, len(rows)
+        self.threshold, self.share, self.rows = threshold, share, len(rows)
         self.node, self.side, self.n, self.count = (rows[c].to_numpy() for c in ("node", "side", "n", "count"))
         unit = rows["unit"].to_numpy()
         edge = np.flatnonzero(np.diff(unit)) + 1
@@ -213,7 +235,7 @@ class Buckets:
             left = _expanded(start[lo:hi], ahead[lo:hi])
             ok = self._sized(left, right)
             left, right = left[ok], right[ok]
-            ok = self.picks.common(left, right) >= LEAST_SHARED * np.maximum(self.count[left], self.count[right])
+            ok = self.picks.common(left, right) >= self.share * np.maximum(self.count[left], self.count[right])
             left, right = left[ok], right[ok]
             ok = self.leaves.common(left, right, self.earlier) == 0
             yield left[ok], right[ok], None
@@ -222,7 +244,7 @@ class Buckets:
             shared = self.picks.common_matrix(a, b)
             shared[self.leaves.common_matrix(a, b, self.earlier) > 0] = 0
             left, right = np.nonzero(np.tril(shared, -1))
-            enough = shared[left, right] >= LEAST_SHARED * np.maximum(self.count[a + left], self.count[a + right])
+            enough = shared[left, right] >= self.share * np.maximum(self.count[a + left], self.count[a + right])
             left, right = a + left[enough], a + right[enough]
             ok = self._sized(left, right)
             yield left[ok], right[ok], (a, b)
@@ -261,12 +283,12 @@ def _whole_buckets(work):
     return run
 
 
-def _promising(threshold: float):
+def _promising(threshold: float, share: float):
     """Of each bucket the rows that have a pair to be verified there."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(rows), bool)
-        for left, right, _ in Buckets(rows, threshold).pairs():
+        for left, right, _ in Buckets(rows, threshold, share).pairs():
             held[left] = held[right] = True
         yield from rows.filter(pa.array(held)).to_batches()
 
@@ -276,11 +298,11 @@ def _promising(threshold: float):
 _FOUND = pa.schema([("cid", pa.int64()), ("root", pa.int64()), ("linked", pa.int64())])
 
 
-def _verified(threshold: float, size: int):
+def _verified(threshold: float, share: float, size: int):
     """For each row of a bucket with links there: the smallest id it is connected to, and how many texts it is linked with."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        held = Buckets(rows, threshold)
+        held = Buckets(rows, threshold, share)
         members, count = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for lo, hi, raw, off in text_slices(rows["text"]):
             found, text = word_runs(raw, off, size)
@@ -309,11 +331,11 @@ def _verified(threshold: float, size: int):
     return _whole_buckets(work)
 
 
-def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
+def buckets(classes: DataFrame, share: float, small: int = SMALL) -> DataFrame:
     """(unit, node, side, cid, n, members, count, picks, leaves): the rows of all buckets of ``classes`` (cid, n, members, picks).
 
     ``picks`` are those picks that another set has too, of ``count`` in all; ``leaves`` are the
-    buckets that the set ends in. Pairs have to share ``LEAST_SHARED`` of the picks of either, so if
+    buckets that the set ends in. Pairs have to share ``share`` of the picks of either, so if
     all sets leave out just fewer than that, of the picks that most sets have, such a pair still
     shares one of the others (prefix filter). A bucket that stays large is dealt out as blocks: each
     two of its blocks form a unit, whose pairs are those between different ``side`` s, or all where
@@ -323,7 +345,7 @@ def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
     counts = every.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     listed = every.join(counts, "node").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("m", "node"))).alias("ps"))
     held = listed.join(classes.select("cid", "n", "members", F.size("picks").alias("count")), "cid").withColumn("picks", F.transform("ps", lambda p: p["node"]))
-    left_out = F.ceil(F.col("count") * LEAST_SHARED).cast("int") - 1
+    left_out = F.ceil(F.col("count") * share).cast("int") - 1
     held = materialise(held.withColumn("indexed", F.slice("picks", 1, F.greatest(F.size("picks") - left_out, F.lit(0)))).drop("ps"), "picks")
 
     picked = held.select("cid", F.explode("indexed").alias("node")).withColumn("path", F.array("node"))
@@ -354,13 +376,13 @@ def buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
     return known.select(unit.alias("unit"), F.col("b.node").alias("node"), side.alias("side"), "cid", "n", "members", "count", "picks", "leaves")
 
 
-def verified(rows: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+def verified(rows: DataFrame, texts: DataFrame, threshold: float, share: float, size: int) -> DataFrame:
     """(cid, root, linked) of each bucket's rows that have links there; ``texts`` has a text for each cid."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_promising(threshold), rows.schema)
+    dealt = rows.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_promising(threshold, share), rows.schema)
     dealt = materialise(dealt, "promising")
     read = dealt.join(texts(dealt.select("cid").distinct()), "cid")
-    return read.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_verified(threshold, size), "cid long, root long, linked long")
+    return read.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_verified(threshold, share, size), "cid long, root long, linked long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -385,7 +407,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     each bucket in which a class has links: a class it is connected with there, and with how many rows
     of other classes it is linked there; ``roots``: (cid, root) of every class.
     """
-    runs = runs_for(threshold, target_recall)
+    runs, share = runs_and_share(threshold, target_recall)
     r1, r2 = text_identity(text_or_empty(text))
     sketched = df.select(F.col(f"`{key}`").alias("key"), r1.alias("r1"), r2.alias("r2"), _sketcher(size, runs)(text_or_empty(text)).alias("s"))
     sketched = materialise(sketched.select("key", "r1", "r2", "s.n", "s.s1", "s.s2", "s.picks"), "sketches")
@@ -397,7 +419,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
         every = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
         return every.join(ends, ["r1", "r2"]).groupBy("cid").agg(F.first("text").alias("text"))
 
-    links = materialise(verified(buckets(classes.where("n > 0"), small), texts, threshold, size), "links")
+    links = materialise(verified(buckets(classes.where("n > 0"), share, small), texts, threshold, share, size), "links")
     found = components(links.where("cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")))
     roots = classes.select("cid").join(found, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
     rows = sketched.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"]).select("key", "r1", "r2", "cid")

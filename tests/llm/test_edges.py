@@ -119,6 +119,20 @@ def test_pairs_of_unequal_size_at_the_threshold_are_found(spark):
     assert missed <= 2
 
 
+def test_pairs_of_unequal_size_in_large_buckets_are_found(spark):
+    """Sets of 160 and 200 runs, a similarity of exactly 0.8, whose runs are all held by a quarter of the other sets too."""
+    rng = random.Random(9)
+    passages = [" ".join(f"p{i}w{j}" for j in range(16)) for i in range(40)]
+    rows = []
+    for _ in range(800):
+        chosen = rng.sample(passages, 10)
+        rows += ["and so it is " + " and so it is ".join(chosen[:k]) + " and so it is" for k in (8, 10)]
+    links, roots = components({i: shingles(t) for i, t in enumerate(rows)}, 0.8)
+    found = by_id(jaccard_join.groups(jaccard_join.join(docs(spark, list(enumerate(rows))), small=64)).withColumnRenamed("key", "doc_id"))
+    assert {i: r["n_links"] for i, r in found.items()} == links
+    assert {i: r["class_id"] for i, r in found.items()} == roots
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 12)] + [(20, 25), (22, 25)], "a long, b long")
     assert {r["cid"]: r["root"] for r in jaccard_join.components(chain).collect()} == {**{i: 0 for i in range(13)}, 20: 20, 22: 20, 25: 20}

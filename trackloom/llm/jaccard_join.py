@@ -3,9 +3,9 @@
 A text is the set of its runs of ``size`` words. In each run of the join every set picks the members
 whose hash falls below ``PICKS`` / its size, so similar sets pick mostly the same ones. Sets that
 picked a common member fall into one bucket. A bucket of at most ``small`` sets is compared by brute
-force; a larger one is split again on the next picks of its members, along the path of members
-chosen so far, and what is still large after ``DEPTH`` splits is compared by brute force in blocks,
-so no bucket is dropped. The runs have hashes of their own. Pairs that share enough picks are then
+force, a larger one by brute force in blocks, so no bucket and no pair of one is dropped. Large
+buckets with common sets become one bucket where that makes less work, as in a group of near copies,
+whose sets meet in as many large buckets as they have common picks. The runs have hashes of their own. Pairs that share enough picks are then
 verified on their whole sets; the number of runs and the share that is enough follow together from
 the target recall, by the chance that a pair at the threshold shares too few (``miss_chance``).
 
@@ -49,9 +49,6 @@ TINY = 48
 STEP = 2_000_000
 #: Low bits of a pick that hold its run.
 RUN_BITS = 15
-#: Splits of a large bucket, and the paths that each of its sets goes on by.
-DEPTH = 2
-BRANCH = 2
 #: Shares of the larger sample that a pair may have to have in common to be verified.
 SHARES = (0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05)
 
@@ -331,6 +328,19 @@ def _verified(threshold: float, share: float, size: int):
     return _whole_buckets(work)
 
 
+def _joined(large: DataFrame, block: float) -> DataFrame:
+    """(cid, node, blocks) of large buckets (cid, node, m): those connected by common sets are one where that makes fewer rows, and so fewer pairs."""
+    first = large.groupBy("cid").agg(F.min("node").alias("a"))
+    roots = components(large.join(first, "cid").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    named = large.join(F.broadcast(roots.withColumnRenamed("cid", "node")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    blocks = lambda m: F.ceil(m / block).cast("int")
+    sets = named.groupBy("root", "cid").agg(F.sum(blocks(F.col("m"))).alias("rows"))
+    whole = sets.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("rows").alias("rows")).where(F.col("sets") * blocks(F.col("sets")) <= F.col("rows"))
+    named = named.join(F.broadcast(whole.select("root", "sets")), "root", "left")
+    node = F.when(F.col("sets").isNull(), F.col("node")).otherwise(F.xxhash64("root"))
+    return materialise(named.select("cid", node.alias("node"), blocks(F.coalesce("sets", "m")).alias("blocks")).distinct(), "large")
+
+
 def buckets(classes: DataFrame, share: float, small: int = SMALL) -> DataFrame:
     """(unit, node, side, cid, n, members, count, picks, leaves): the rows of all buckets of ``classes`` (cid, n, members, picks).
 
@@ -348,24 +358,13 @@ def buckets(classes: DataFrame, share: float, small: int = SMALL) -> DataFrame:
     left_out = F.ceil(F.col("count") * share).cast("int") - 1
     held = materialise(held.withColumn("indexed", F.slice("picks", 1, F.greatest(F.size("picks") - left_out, F.lit(0)))).drop("ps"), "picks")
 
-    picked = held.select("cid", F.explode("indexed").alias("node")).withColumn("path", F.array("node"))
-    found = []
-    for depth in range(DEPTH + 1):
-        counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        tagged = materialise(picked.join(counts, "node"), "nodes")
-        blocks = F.when(F.col("m") <= small, 1).when(F.lit(depth == DEPTH), F.ceil(F.col("m") / (small / 2))).otherwise(0).cast("int")
-        found.append(tagged.select("cid", F.struct("node", blocks.alias("blocks")).alias("b")).where("b.blocks > 0"))
-        large = tagged.where(F.col("m") > small)
-        if depth == DEPTH or large.isEmpty():
-            break
-        # each bucket has an order of its own in which its sets' other picks come; a set goes on by its first ones
-        others = F.array_sort(F.transform(F.array_except("picks", "path"), lambda p: F.struct(F.xxhash64("node", p).alias("node"), p.alias("pick"))))
-        ended = F.array(F.struct(F.xxhash64("node").alias("node"), F.col("node").alias("pick")))
-        split = large.join(held.select("cid", "picks"), "cid").select("cid", "path", F.explode(F.when(F.size(others) > 0, F.slice(others, 1, BRANCH)).otherwise(ended)).alias("next"))
-        picked = split.select("cid", "next.node", F.array_append("path", F.col("next.pick")).alias("path"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
+    picked = held.select("cid", F.explode("indexed").alias("node"))
+    counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    tagged = materialise(picked.join(counts, "node"), "nodes")
+    every = tagged.where(F.col("m") <= small).select("cid", F.struct("node", F.lit(1).alias("blocks")).alias("b"))
+    large = tagged.where(F.col("m") > small)
+    if not large.isEmpty():
+        every = every.unionAll(_joined(large, small / 2).select("cid", F.struct("node", "blocks").alias("b")))
     ends = every.groupBy("cid").agg(F.collect_list("b").alias("bs"))
     known = ends.join(held.drop("indexed"), "cid").select("cid", "n", "members", "count", "picks", F.transform("bs", lambda b: b["node"]).alias("leaves"), F.explode("bs").alias("b"))
     block = F.pmod(F.xxhash64("cid"), F.col("b.blocks").cast("long")).cast("int")

@@ -136,6 +136,37 @@ def test_overlap_fold_differs_from_suffix_minimum(spark):
     assert [r["idx"] for r in transforms.without_overlap(tracks(spark, even)).orderBy("idx").collect()] == [r["idx"] for r in transforms.without_overlap_fold(tracks(spark, even)).orderBy("idx").collect()] == [0, 2, 3]
 
 
+def test_folds_hold_no_whole_track(spark):
+    """Tracks of many batches and batches of many tracks give what the whole track gives, and no group is loaded as one table."""
+    rows = [(t, i, 20 * i + (i % 7), 20 * i + (i % 5), 1, False, "audio", 600 + i % 11) for t in range(5) for i in range(100 if t == 3 else 4)]
+    rows += [(9, i, i // 2 * 40, i // 2 * 40, 1, False, "audio", 900) for i in range(60)]
+    df = tracks(spark, rows)
+    kept, packets = set(), {}
+    for t in {r[0] for r in rows}:
+        mine, last = [r for r in rows if r[0] == t], None
+        for r in mine[::-1]:
+            if last is None or (r[2] < last[2] and r[3] < last[3]):
+                last = r
+                kept.add(r[:2])
+        packet, used, count, first = -1, 0, 0, None
+        for r in mine:
+            guess = 90000 * count * 1024 // 44_100
+            if first is None or used + r[7] + 7 > 2800 or abs(first[2] + guess - r[2]) > 10 or abs(first[3] + guess - r[3]) > 10:
+                packet, used, count, first = packet + 1, 0, 0, r
+            used, count = used + r[7] + 7, count + 1
+            packets[r[:2]] = packet
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        folds = [transforms.without_overlap_fold(df), transforms.packed_adts(df, 44_100), transforms.unique_times(df)]
+        assert all("FlatMapGroups" not in f._jdf.queryExecution().toString() for f in folds)
+        assert {(r["track_id"], r["idx"]) for r in folds[0].collect()} == kept
+        assert {(r["track_id"], r["idx"]): r["packet"] for r in folds[1].collect()} == packets
+        found = {(r["track_id"], r["idx"]): (r["pts"], r["dts"]) for r in folds[2].collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {r[:2]: (r[2] + r[1] % 2, r[3] + r[1] % 2) if r[0] == 9 else (r[2], r[3]) for r in rows}
+
+
 def test_interleave_puts_video_first_on_ties(spark):
     rows = [(1, 0, 0, 90, 90, True, "video", 1), (1, 1, 0, 44100, 44100, False, "audio", 1), (1, 2, 0, 0, 44100, False, "audio", 1)]
     assert [r["idx"] for r in transforms.interleaved(tracks(spark, rows)).orderBy("pos").collect()] == [2, 0, 1]

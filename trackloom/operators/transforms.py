@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -58,21 +59,39 @@ def without_overlap(samples: DataFrame, order: list[str] | None = None) -> DataF
     return samples.withColumn("__next", F.min("dts").over(later)).where("__next is null or dts < __next").drop("__next")
 
 
+def folded(samples: DataFrame, inputs: list[str], start: Callable[[], Callable], finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema, order: Column) -> DataFrame:
+    """Each track's rows in order through a step of its own, made by ``start``, which gets a row's ``inputs``; only the step's state outlives a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, step = None, None
+        for batch in batches:
+            out = []
+            keys = zip(*(batch.column(c).to_pylist() for c in TRACK), strict=True)
+            for key, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in inputs), strict=True), strict=True):
+                if step is None or key != track:
+                    track, step = key, start()
+                out.append(step(*row))
+            yield finish(batch, out)
+
+    return samples.repartition(*TRACK).sortWithinPartitions(*TRACK, order).mapInArrow(run, schema)
+
+
 def without_overlap_fold(samples: DataFrame) -> DataFrame:
-    """Rows whose pts and dts are both below those of the last row kept, from the end: the general case, one track at a time in order."""
-    schema = samples.schema
+    """Rows whose pts and dts are both below those of the last row kept, from the end: the general case, in order with one row as state."""
+
+    def start() -> Callable:
+        last = None
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
-        pts, dts = table["pts"].to_pylist(), table["dts"].to_pylist()
-        keep, last = [], None
-        for i in range(len(pts) - 1, -1, -1):
-            if last is None or (pts[i] < pts[last] and dts[i] < dts[last]):
-                keep.append(i)
-                last = i
-        return table.take(keep[::-1])
+        def step(pts: int, dts: int) -> bool:
+            nonlocal last
+            keep = last is None or (pts < last[0] and dts < last[1])
+            if keep:
+                last = pts, dts
+            return keep
 
-    return samples.groupBy(*TRACK).applyInArrow(fold, schema)
+        return step
+
+    return folded(samples, ["pts", "dts"], start, lambda batch, keep: batch.filter(pa.array(keep, pa.bool_())), samples.schema, F.col("idx").desc_nulls_first())
 
 
 def unique_times(samples: DataFrame) -> DataFrame:
@@ -90,14 +109,14 @@ def unique_times(samples: DataFrame) -> DataFrame:
     marked = samples.withColumn("__hit", hit | falls)
     tracks = marked.groupBy(*TRACK).agg(F.max("__hit").alias("dirty"))
     joined = samples.join(tracks, TRACK)
-    schema = samples.schema
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
+    def start() -> Callable:
         seen_pts: list[int] = []
         seen_dts: list[int] = []
-        out_pts, out_dts, bumps = [], [], 0
-        for pts, dts in zip(table["pts"].to_pylist(), table["dts"].to_pylist(), strict=True):
+        bumps = 0
+
+        def step(pts: int, dts: int) -> tuple[int, int]:
+            nonlocal bumps
             while pts in seen_pts or dts in seen_dts:
                 bumps += 1
                 if bumps > ADJUSTMENTS:
@@ -108,14 +127,17 @@ def unique_times(samples: DataFrame) -> DataFrame:
                     seen.remove(min(seen))
             seen_pts.append(pts)
             seen_dts.append(dts)
-            out_pts.append(pts)
-            out_dts.append(dts)
-        for name, values in (("pts", out_pts), ("dts", out_dts)):
-            table = table.set_column(table.schema.get_field_index(name), name, pa.array(values, pa.int64()))
-        return table
+            return pts, dts
+
+        return step
+
+    def finish(batch: pa.RecordBatch, times: list) -> pa.RecordBatch:
+        new = {"pts": pa.array([t[0] for t in times], pa.int64()), "dts": pa.array([t[1] for t in times], pa.int64())}
+        return pa.RecordBatch.from_pydict({c: new.get(c, batch.column(c)) for c in batch.schema.names})
 
     clean = joined.where("not dirty").drop("dirty")
-    return clean.unionByName(joined.where("dirty").drop("dirty").groupBy(*TRACK).applyInArrow(fold, schema))
+    dirty = joined.where("dirty").select(*samples.columns)
+    return clean.unionByName(folded(dirty, ["pts", "dts"], start, finish, samples.schema, F.col("idx").asc_nulls_last()))
 
 
 def interleaved(samples: DataFrame) -> DataFrame:
@@ -149,11 +171,11 @@ def packed_adts(samples: DataFrame, sample_rate: int, limit: int = 2800, drift:
     """``packet`` numbers of sound frames: a packet is full by size, or when its times can no longer be told from its first frame's."""
     schema = samples.withColumn("packet", F.lit(0).cast("long")).schema
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("idx")
+    def start() -> Callable:
         packet, used, count, first = -1, 0, 0, None
-        out = []
-        for pts, dts, size in zip(table["pts"].to_pylist(), table["dts"].to_pylist(), table["size"].to_pylist(), strict=True):
+
+        def step(pts: int, dts: int, size: int) -> int:
+            nonlocal packet, used, count, first
             frame = size + 7
             if frame > limit:
                 raise ValueError("Unsupported: audio bitrate is too high")
@@ -161,9 +183,11 @@ def packed_adts(samples: DataFrame, sample_rate: int, limit: int = 2800, drift:
             if first is None or used + frame > limit or abs(first[0] + guess - pts) > drift or abs(first[1] + guess - dts) > drift:
                 packet, used, count, first = packet + 1, 0, 0, (pts, dts)
             used, count = used + frame, count + 1
-            out.append(packet)
-        return table.append_column("packet", pa.array(out, pa.int64()))
+            return packet
 
-    return samples.groupBy(*TRACK).applyInArrow(fold, schema)
+        return step
 
+    def finish(batch: pa.RecordBatch, packets: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(packets, pa.int64())], names=[*batch.schema.names, "packet"])
 
+    return folded(samples, ["pts", "dts", "size"], start, finish, schema, F.col("idx").asc_nulls_last())

@@ -28,41 +28,47 @@ ROW = "__row"
 # ---------------------------------------------------------------- shared-folder tables
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only if that is unset."""
+    """This application's part of the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session in one process, where all tasks see the driver's disk, gets a folder of its own when
+    that is unset; on a cluster it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/trackloom/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    This cuts lineage: a lost executor later costs a re-read, not a recomputation. Shuffle files
-    of the finished step are released by asking the JVM to collect what nothing refers to.
+    This cuts lineage: a lost executor later costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trackloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote, once what was made of it is written too."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/trackloom/" in file:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once what was made of them is written too."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/trackloom/{df.sparkSession.sparkContext.applicationId}/" in folder:
+                _delete(df.sparkSession, folder)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that ``materialise`` wrote under the shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/trackloom")
+    """Delete every table of this application, when no result that reads them is needed any more."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -87,6 +93,13 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def evenly(text: Column, pieces: int, size: int) -> Column:
+    """``text``, or of one longer than ``pieces * size`` characters so many pieces of that size, evenly spaced over the whole."""
+    step = F.call_function("div", F.length(text) - size, F.lit(pieces - 1))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.substring(text, i * step + 1, F.lit(size)))
+    return F.when(F.length(text) > pieces * size, F.array_join(cut, "")).otherwise(text)
+
+
 def text_identity(text: Column) -> list[Column]:
     """Two independent 64-bit lanes that identify a text."""
     return [F.xxhash64(F.lit(0x5BD1E995), text), F.xxhash64(text, F.lit(0x27D4EB2F), F.length(text))]

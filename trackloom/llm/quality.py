@@ -4,10 +4,13 @@ A text is a bag of passages (runs of ``PASSAGE_BYTES`` bytes, so the whole text
 passage is encoded from its byte profile and its word statistics; gated attention weights, learned
 from the labels of whole documents only, say how much each passage counts; the weighted passage
 representation is scored by a logistic layer. The parameters are fitted in numpy on a bounded
-sample (``per_label`` documents of each label, none longer than ``MAX_FIT_BYTES``) with the labels
-balanced, and the bias is then moved to the label shares of all labelled rows.
+sample (``per_label`` documents of each label; of a text longer than ``FIT_PIECES`` passages so many
+passages, evenly spaced over all of it) with the labels balanced, and the bias is then moved to the
+label shares of all labelled rows.
 
 Scoring is row-local over every whole text; a model of fixed size is broadcast; nothing is shuffled.
+Scores are computed in double precision and rounded to ``DIGITS`` places, so that a text's score does
+not depend on the texts it shares a batch with.
 
 Defined results: a null text counts as empty; an empty text is a bag of one empty passage and gets
 the model's score for it; without any labelled row of one of the two labels the score is the share
@@ -24,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import find_words, text_or_empty, text_slices, word_hashes, word_table
+from trackloom.llm.common import evenly, find_words, pack, text_or_empty, text_slices, unpack, word_hashes, word_table
 
 PASSAGE_BYTES = 1024
 PER_LABEL = 1200
-MAX_FIT_BYTES = 1 << 16
+#: Passages of a text that are learned from at most.
+FIT_PIECES = 64
+#: Places of a score; matrix products of other shapes differ far behind them.
+DIGITS = 6
 HIDDEN, GATE = 24, 12
 
 _WORDS = word_table("space")
@@ -70,6 +76,9 @@ class Model:
     scale: np.ndarray
     w: dict[str, np.ndarray]
 
+    def in_double(self) -> Model:
+        return Model(self.mean.astype(np.float64), self.scale.astype(np.float64), {k: v.astype(np.float64) for k, v in self.w.items()})
+
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         w, s = self.w, first[:-1]
         bag = np.repeat(np.arange(len(s)), np.diff(first))
@@ -145,25 +154,28 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 1.0
     picked = [known.where(F.col("l") == c).orderBy(F.xxhash64("k"), "k").limit(per_label) for c in (0, 1)]
-    texts = df.select(F.col(f"`{key}`").alias("k"), text_or_empty(text).alias("t")).where(f"octet_length(t) <= {MAX_FIT_BYTES}")
+    texts = df.select(F.col(f"`{key}`").alias("k"), evenly(text_or_empty(text), FIT_PIECES, PASSAGE_BYTES).alias("t"))
     rows = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "k").orderBy("k", "l", F.xxhash64("t")).limit(4 * per_label).collect()
     return fit([(r["t"], r["l"]) for r in rows], share), share
 
 
 def score(df: DataFrame, model: Model | None, share: float, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``df`` with ``score`` (that label 1 holds) and ``predicted``."""
-    others = [F.col(f"`{c}`") for c in df.columns if c not in ("score", "predicted")]
     if model is None:
-        scored = df.select(*others, F.lit(float(share)).alias("score"))
+        judged = F.lit(float(share))
     else:
-        sent = df.sparkSession.sparkContext.broadcast(model)
+        sent = df.sparkSession.sparkContext.broadcast(model.in_double())
 
         @F.arrow_udf("double")
         def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             held = sent.value
             for batch in batches:
-                found = [held.forward(*passages(raw, off))["p"] for _, _, raw, off in text_slices(batch)]
-                yield pa.array(np.concatenate([np.zeros(0), *found]).astype(np.float64))
-
-        scored = df.select(*others, judge(text_or_empty(text)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+                found = []
+                for _, _, raw, off in text_slices(batch):
+                    x, first = passages(raw, off)
+                    found.append(held.forward(x.astype(np.float64), first)["p"].round(DIGITS))
+                yield pa.array(np.concatenate([np.zeros(0), *found]))
+
+        judged = judge(text_or_empty(text))
+    scored = pack(df, score=judged)
+    return unpack(scored, df.columns, score=F.col("score"), predicted=(F.col("score") >= threshold).cast("int"))

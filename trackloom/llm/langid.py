@@ -3,10 +3,14 @@
 Subwords are the byte 3- and 4-grams of lower-cased words with a blank at each word's edges, hashed
 into ``BUCKETS`` rows of an embedding table. A text is the average of its subwords' embeddings; a
 linear softmax on it gives the languages. The table and the softmax are trained by mini-batch
-stochastic gradient descent in numpy on a bounded sample (``per_label`` texts a language, none
-longer than ``MAX_FIT_BYTES``), cut into segments so that short texts are learned too. Part of the
-sample is kept back to fit a temperature and, from it, the score below which a prediction should
-not be relied on (``accepted`` is false): rejection is calibrated, not guessed.
+stochastic gradient descent in numpy on a bounded sample: ``per_label`` texts a language, fewer where
+there are more than ``TOTAL`` / ``per_label`` languages; of a text longer than ``FIT_PIECES`` pieces of
+``PIECE_CHARS`` characters so many pieces, evenly spaced over all of it, so long texts are learned from
+and what the driver holds is bounded. The texts are cut into segments of ``SEGMENT_BYTES``, of which
+``MAX_SEGMENTS`` in all are learned, so that short texts are learned too. A fifth of the sampled texts,
+with all their copies, is kept back whole (as sampled) to fit a temperature and, from it, the score
+below which a prediction should not be relied on (``accepted`` is false): rejection is calibrated on
+texts as they are judged, not guessed.
 
 As the model is linear after the embedding, a text's logits are the average over its subwords of
 ``table @ weights``; that product (BUCKETS x languages floats, a size set by the model and not by
@@ -19,6 +23,7 @@ language first in alphabetical order wins; result columns replace input columns
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +33,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import pack, text_or_empty, text_slices, unpack
+from trackloom.llm.common import evenly, pack, text_or_empty, text_slices, unpack
 
 BUCKETS = 1 << 15
 DIM = 16
 PER_LABEL = 400
-MAX_FIT_BYTES = 1 << 16
+TOTAL = 4000
+FIT_PIECES, PIECE_CHARS = 32, 512
 SEGMENT_BYTES = 256
 MAX_SEGMENTS = 4000
 TARGET_PRECISION = 0.995
@@ -85,15 +91,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(df: DataFrame, text: str, label: str, per_label: int) -> list[tuple[str, str]]:
-    """About ``per_label`` (text, label) rows of each label, chosen by a hash of the text; never more than twice that in all."""
-    rows = df.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("l")).where(f"l is not null and octet_length(t) between 1 and {MAX_FIT_BYTES}")
+    """About ``per_label`` (text, label) rows of each label, and ``TOTAL`` in all, chosen by a hash of the text; never more than twice that."""
+    rows = df.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{label}`").cast("string").alias("l")).where("l is not null and t <> ''")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
+    per_label = min(per_label, max(1, TOTAL // len(counts)))
     share = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(min(1.0, per_label / n)))])
     rank = F.xxhash64("t")
     picked = rows.where(F.pmod(rank, F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
-    return [(r["t"], r["l"]) for r in picked.orderBy(rank, "l").limit(2 * per_label * len(counts)).collect()]
+    picked = picked.select(evenly(F.col("t"), FIT_PIECES, PIECE_CHARS).alias("t"), "l", rank.alias("rank"))
+    return [(r["t"], r["l"]) for r in picked.orderBy("rank", "l").limit(2 * min(per_label * len(counts), TOTAL)).collect()]
 
 
 def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: float = 6.0, seed: int = 7) -> Model | None:
@@ -104,15 +112,19 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: flo
     rng = np.random.default_rng(seed)
     labels = sorted({l for _, l in rows})
     index = {l: i for i, l in enumerate(labels)}
-    kept_back = rng.random(len(rows)) < 0.2
-    parts: list[tuple[bytes, int, bool]] = []
+    kept_back = np.array([zlib.crc32(t.encode()) % 5 == 0 for t, _ in rows])  # copies stay on one side
+    lang = np.array([index[l] for _, l in rows])
+    kept_back &= np.isin(lang, lang[~kept_back])  # a language is learned even if all its few texts would be kept back
+    parts: list[tuple[bytes, int]] = []
     for (text, label), back in zip(rows, kept_back.tolist(), strict=True):
         data = text.encode()
-        parts += [(data[a : a + SEGMENT_BYTES], index[label], back) for a in range(0, len(data), SEGMENT_BYTES)]
+        if not back:
+            parts += [(data[a : a + SEGMENT_BYTES], index[label]) for a in range(0, len(data), SEGMENT_BYTES)]
     per = {c: [i for i, p in enumerate(parts) if p[1] == c] for c in range(len(labels))}
-    chosen = np.concatenate([rng.permutation(v)[: MAX_SEGMENTS // max(1, min(len(labels), 8))] for v in per.values()])
-    parts = [parts[i] for i in chosen.tolist()]
-    train, check = [p for p in parts if not p[2]] or parts, [p for p in parts if p[2]] or parts
+    chosen = np.concatenate([rng.permutation(np.array(v, np.int64))[: MAX_SEGMENTS // max(1, min(len(labels), 8))] for v in per.values()])
+    train = [parts[i] for i in chosen.tolist()]
+    whole = [(t.encode(), index[l]) for t, l in rows]
+    check = [w for w, back in zip(whole, kept_back.tolist(), strict=True) if back] or whole
 
     def laid(items):
         off = np.cumsum([0, *[len(p[0]) for p in items]])
@@ -146,8 +158,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: flo
             embed[sorted_rows[starts]] -= (lr * 8) * np.add.reduceat((back[doc] * share[:, None])[order_r], starts, axis=0)
             done += 1
     model = Model(labels, (embed @ weight).astype(np.float32), bias, 1.0, 0.0)
-    raw, off, y = laid(check)
-    logits = np.log(np.maximum(model.probabilities(raw, off), 1e-30))
+    y = np.array([c for _, c in check])
+    logits = np.log(np.maximum(np.concatenate([model.probabilities(*laid(check[at : at + batch])[:2]) for at in range(0, len(check), batch)]), 1e-30))
     temperatures = np.geomspace(0.05, 5, 40)
     losses = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-30)).mean() for t in temperatures]
     model.temperature = float(temperatures[int(np.argmin(losses))])

@@ -230,20 +230,42 @@ def test_license_scan(spark):
 # ---------------------------------------------------------------- chats
 
 def test_chat_format(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, None, "x"), (1, 2, None, "x"), (None, 5, "ann", "y"), (2, None, "a b", "z"), (3, 0, "system", "alone"), (4, 0, "ann", "p"), (4, 2000, "bob", "q")]
-    df = spark.createDataFrame([(*r, "mine") for r in rows], "conv_id long, turn long, role string, text string, chunk string")
-    found = {(r["conv_id"], r["chunk"], r["perspective"]): r for r in chat_format.rotate(df).collect()}
-    assert set(found) == {(1, 0, "ann"), (1, 0, "bob"), (1, 0, "unknown"), (None, 0, "ann"), (2, -1, "a_b"), (4, 0, "ann"), (4, 1, "bob")}
-    for (_, _, who), r in found.items():
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, None, "x"), (1, 2, None, "x"), (None, 5, "ann", "y"), (2, None, "a b", "z"), (2, -3, "a_b", "w"), (2, 1, "unknown", "u"), (2, 2, None, "v"),
+            (3, 0, "system", "alone"), (4, 0, "ann", "p"), (4, 2000, "bob", "q"), (5, 1, "a%20b", ""), (5, 1, "a b", "")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "conv_id long, turn long, role string, text string, part string")
+    found = {(r["conv_id"], r["part"], r["perspective"]): r for r in chat_format.rotate(df).collect()}
+    people = {(1, "ann"), (1, "bob"), (1, "%null"), (None, "ann"), (2, "a%20b"), (2, "a_b"), (2, "unknown"), (2, "%null"), (4, "ann"), (4, "bob"), (5, "a%2520b"), (5, "a%20b")}
+    assert set(found) == {(c, 0, p) for c, p in people}
+    for (conv, _, who), r in found.items():
         parts = [r["rendered"][s["start"] : s["end"]] for s in r["spans"]]
         assert len(parts) == r["n_learned"] and all(p.endswith("<|im_end|>") for p in parts) and r["rendered"].count("<|im_start|>") == r["n_turns"]
-        assert f"name={who}\n" not in r["rendered"]
+        assert f"name={who}\n" not in r["rendered"] and r["n_turns"] == sum(c == conv for c, *_ in rows) and r["start"] == 0
     ann = found[1, 0, "ann"]["rendered"]
     assert ann.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n") and "user name=bob\n<|im_end|>" in ann
-    assert found[1, 0, "unknown"]["n_learned"] == 2
+    assert found[1, 0, "%null"]["n_learned"] == 2
+    assert found[2, 0, "a_b"]["rendered"].index("z<") < found[2, 0, "a_b"]["rendered"].index("w<")
+    assert "name=bob\nq" in found[4, 0, "ann"]["rendered"] and "name=ann\np" in found[4, 0, "bob"]["rendered"]
     assert chat_format.rotate(df.where("false")).count() == 0
 
 
+def test_chat_format_parts_are_the_whole(spark):
+    """Long dialogues and texts, without turn numbers too, come in parts that make the very rendering in one part."""
+    rng = random.Random(8)
+    rows = [(c, rng.choice([None, -1, t, 7]), rng.choice(["system", "ann", "bob", "cy", None]), "x" * rng.choice([0, 3, 40, 900])) for c in (1, 2, None) for t in range(120)]
+    rows += [(2, 50, "ann", LONG), (2, 51, "dee", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["perspective"]): r for r in chat_format.rotate(df, part_chars=1 << 40).collect()}
+    assert len(whole) == 4 + 5 + 4 and all(r["n_turns"] == {1: 120, 2: 122, None: 120}[c] for (c, _), r in whole.items())
+    parts = {}
+    for r in chat_format.rotate(df, part_chars=2000).orderBy("part").collect():
+        parts.setdefault((r["conv_id"], r["perspective"]), []).append(r)
+    assert set(parts) == set(whole)
+    for k, listed in parts.items():
+        assert len(listed) > 5 and "".join(r["rendered"] for r in listed) == whole[k]["rendered"]
+        assert [(r["start"] + s["start"], r["start"] + s["end"]) for r in listed for s in r["spans"]] == [(s["start"], s["end"]) for s in whole[k]["spans"]]
+        assert all(len(r["rendered"]) < 2000 + 80 * r["n_turns"] + max(map(len, (t or "" for *_, t in rows))) for r in listed)
+
+
 # ---------------------------------------------------------------- classifiers
 
 def test_langid(spark):
@@ -261,6 +283,16 @@ def test_langid(spark):
     assert {r["lang_pred"] for r in langid.predict(df, None).collect()} == {"und"}
 
 
+def test_langid_learns_from_long_texts(spark):
+    """A language that only long texts have is learned, from a bounded part of each that is spread over the whole."""
+    rows = [(i, f"der hund und nummer {i} liegt auf dem bett mit dem " * 3, "de") for i in range(40)] + [(100 + i, f"the cat and number {i} sat on the mat with that " * 3000, "en") for i in range(40)]
+    taken = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", 40)
+    assert {l for _, l in taken} == {"de", "en"} and all(len(t) <= langid.FIT_PIECES * langid.PIECE_CHARS for t, _ in taken)
+    model = langid.fit(taken)
+    found = by_id(langid.predict(docs(spark, [(1, "the mat with that"), (2, "auf dem bett"), (3, rows[-1][1])]), model))
+    assert [found[i]["lang_pred"] for i in (1, 2, 3)] == ["en", "de", "en"] and 0 <= model.threshold <= 1
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = [" ".join(rng.choice(["river", "stone", "walks", "gently", "over", "hills"]) for _ in range(80)) for _ in range(60)]
@@ -273,6 +305,12 @@ def test_quality(spark):
     assert found[503]["predicted"] == 1 and found[504]["predicted"] == 0 and all(0 <= r["score"] <= 1 for r in found.values())
     assert found[500]["score"] == found[501]["score"]
     assert quality.score(df.where("false"), model, share).count() == 0
+    again = [r for r in quality.score(docs(spark, [(i, t) for i in range(3) for t in (None, good[0], LONG, bad[0] + " x")]), model, share).collect()]
+    assert len(again) == 12 and len({(r["text"], r["score"]) for r in again}) == 4
+    long_only = spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, quality int")
+    stretched = docs(spark, [(i, " ".join([t] * 200)) for i, t in enumerate(good[:40] + bad[:40])])
+    learned = by_id(quality.score(stretched, *quality.train(stretched, long_only)))
+    assert all(r["predicted"] == int(i < 40) for i, r in learned.items())
     model, share = quality.train(df, labels.where("false"))
     assert model is None and {r["score"] for r in quality.score(df, model, share).collect()} == {1.0}
 

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from trackloom.llm.chat_format import ENCODED
 from trackloom.llm.license_scan import BASE, MIN_SHARE, OWN, Template
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,6 +31,10 @@ _LICENSES = f"""
         coalesce(list_max(list_transform(x, lambda y: y['share'])), 0)::double AS score
     FROM g"""
 
+_NAME = "role"
+for _raw, _code in ENCODED:
+    _NAME = f"replace({_NAME}, chr({ord(_raw)}), '{_code}')"
+
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": f"""
         WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents),
@@ -50,23 +55,25 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)""",
     "op3_license_scan": _LICENSES,
-    "op4_chat_format": r"""
+    "op4_chat_format": rf"""
         WITH t AS (
-            SELECT conv_id, coalesce(floor(turn / 1024), -1)::bigint AS chunk, turn,
-                coalesce(regexp_replace(role, '[\s<|>]+', '_', 'g'), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body
-            FROM conversations),
-        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY turn NULLS FIRST, speaker, body) AS n FROM t),
-        v AS (SELECT DISTINCT conv_id, chunk, speaker AS perspective FROM t WHERE speaker <> 'system'),
+            SELECT conv_id, turn, coalesce({_NAME}, '%null') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+        o AS (
+            SELECT *, row_number() OVER w AS n, ((sum(length(body) + 24) OVER w - length(body) - 24) // 1048576)::bigint AS part
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING)),
+        v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
         p AS (
-            SELECT v.conv_id, v.chunk, perspective, n, speaker = perspective AS own, body || '<|im_end|>' AS body,
+            SELECT o.conv_id, part, perspective, n, speaker = perspective AS own, body || '<|im_end|>' AS body,
                 '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
-            FROM v JOIN o ON v.conv_id IS NOT DISTINCT FROM o.conv_id AND v.chunk = o.chunk),
+            FROM v JOIN o ON v.conv_id IS NOT DISTINCT FROM o.conv_id),
         q AS (
-            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, chunk, perspective ORDER BY n) - length(body) - 1 AS s FROM p)
-        SELECT conv_id, chunk, perspective, count(*)::bigint AS n_turns, count(*) FILTER (own)::bigint AS n_learned,
-            string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
-            coalesce(string_agg(s::bigint || '-' || (s + length(body))::bigint, ',' ORDER BY n) FILTER (own), '') AS spans
-        FROM q GROUP BY conv_id, chunk, perspective""",
+            SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, part, perspective ORDER BY n) - length(body) - 1 AS s FROM p),
+        r AS (
+            SELECT conv_id, part, perspective, count(*)::bigint AS n_turns, count(*) FILTER (own)::bigint AS n_learned,
+                string_agg(head || body || chr(10), '' ORDER BY n) AS rendered,
+                coalesce(string_agg(s::bigint || '-' || (s + length(body))::bigint, ',' ORDER BY n) FILTER (own), '') AS spans
+            FROM q GROUP BY conv_id, part, perspective)
+        SELECT *, (sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY part) - length(rendered))::bigint AS start FROM r""",
     "op7_substring_dedup": r"""
         WITH d AS (SELECT doc_id, row_number() OVER () AS n, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
         p AS (SELECT n, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT n, w, unnest(range(1, len(w) - 33)) AS s FROM d)),

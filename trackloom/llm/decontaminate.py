@@ -7,10 +7,14 @@ window of some item ends; an item of fewer words is a window as a whole and is f
 suffix links. Spans of covered words that exceed the length limit can then be cut from the text,
 and texts whose coverage exceeds a limit dropped.
 
-The automaton is made on the driver in blocks of ``block_words`` item words (the proven bound of
-what is sent to a task), each block being another pass over the rows, so a larger benchmark takes
-more passes, not more memory. Words that no item has break every match, so only runs of known
-words long enough for a window are streamed. Rows are never shuffled.
+The automaton is made on the driver in blocks of ``block_words`` item words, read block by block: that
+is the proven bound of what the driver holds and sends to tasks. A benchmark of one block is one
+row-local pass. A larger one takes more passes, not more memory: each block is a pass of its own, which
+writes what it found in each different text with hits (few rows, by a digest of the text) before the
+next block's automaton is made and its own is given up; the findings then join the rows. Items that
+end windows in a state are not listed there but are a range of the suffix tree's order, so boilerplate
+that many items share takes no more room. Words that no item has break every match, so only runs of
+known words long enough for a window are streamed.
 
 Defined results: null texts and null items have no words; no words, no windows; a null item id is
 listed as ``null``; item ids are compared as strings and items with the same id count once; repeated
@@ -21,17 +25,19 @@ or an empty table gives no hits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import find_words, lower_table, pack, text_or_empty, text_slices, unpack, word_table
+from trackloom.llm.common import ROW, find_words, lower_table, materialise, pack, text_or_empty, text_slices, unpack, word_table
 
 WINDOW = 10
-#: Words of benchmark items that one automaton holds (some hundred MB of Python objects at most).
-BLOCK_WORDS = 500_000
+#: Words of benchmark items that one automaton holds, about 1 kB each.
+BLOCK_WORDS = 200_000
 
 _KIND = word_table("alnum")
 _LOWER = lower_table()
@@ -55,19 +61,19 @@ class Automaton:
         self.number: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.owners: list[set[str]] = [set()]  # items whose prefix ends in this state
-        self.whole: dict[int, list[tuple[int, str]]] = {}  # short items that end in this state
+        self.names: list[str] = []
         self.least = window
+        ends: list[tuple[int, int]] = []  # states in which a prefix of an item ends, and the item
+        whole: dict[int, list[int]] = {}  # short items that end in a state
         for item, words in items:
             if words:
-                self._add(item, words)
-        self._close()
+                self._add(item, words, ends, whole)
+        self._close(ends, whole)
 
     def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        self.owners.append(set())
         return len(self.link) - 1
 
     def _extend(self, last: int, word: int) -> int:
@@ -93,24 +99,40 @@ class Automaton:
             p = self.link[p]
         return copy
 
-    def _add(self, item: str, words: list[bytes]) -> None:
-        last, number = 0, self.number
+    def _add(self, item: str, words: list[bytes], ends: list[tuple[int, int]], whole: dict[int, list[int]]) -> None:
+        last, number, name = 0, self.number, len(self.names)
+        self.names.append(item)
         for word in words:
             last = self._extend(last, number.setdefault(word, len(number)))
-            self.owners[last].add(item)
+            ends.append((last, name))
         if len(words) < self.window:
-            self.whole.setdefault(last, []).append((len(words), item))
+            whole.setdefault(last, []).append(name)
             self.least = min(self.least, len(words))
 
-    def _close(self) -> None:
-        """Owners go up to all suffixes of at least a window's length; short items down to all that end with them."""
+    def _close(self, ends: list[tuple[int, int]], whole: dict[int, list[int]]) -> None:
+        """Number the states so that those whose words end with a state's are a range; short items go down to all that end with them."""
         order = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        below = [1] * len(self.link)
         for v in reversed(order):
-            if self.length[self.link[v]] >= self.window:
-                self.owners[self.link[v]] |= self.owners[v]
-        self.shorter: list[list[tuple[int, str]]] = [[] for _ in self.link]
+            below[self.link[v]] += below[v]
+        first, free = [0] * len(self.link), [1] * len(self.link)
+        #: For each state the (size, items) of short items that its words end with; states without own ones share their parent's.
+        self.shorter: list[tuple[tuple[int, list[int]], ...]] = [()] * len(self.link)
         for v in order:
-            self.shorter[v] = self.shorter[self.link[v]] + self.whole.get(v, [])
+            up = self.link[v]
+            first[v] = free[up]
+            free[up] += below[v]
+            free[v] = first[v] + 1
+            self.shorter[v] = (*self.shorter[up], (self.length[v], whole[v])) if v in whole else self.shorter[up]
+        self.first, self.below = np.array(first), np.array(below)
+        at = np.array([first[v] for v, _ in ends], np.int64)
+        by = np.argsort(at, kind="stable")
+        self.end_at, self.end_of = at[by], np.array([n for _, n in ends], np.int32)[by]
+
+    def owners(self, state: int) -> np.ndarray:
+        """The items that hold the words of a state."""
+        lo, hi = np.searchsorted(self.end_at, [self.first[state], self.first[state] + self.below[state]])
+        return np.unique(self.end_of[lo:hi])
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         get = self.number.get
@@ -123,13 +145,17 @@ class Automaton:
             return [], set()
         breaks = np.flatnonzero(np.diff(known) > 1) + 1
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        states: set[int] = set()
+        short: dict[int, list[int]] = {}
         for first, end in zip(known[np.r_[0, breaks]].tolist(), (known[np.r_[breaks - 1, len(known) - 1]] + 1).tolist(), strict=True):
             if end - first >= self.least:
-                self._stream(numbers[first:end].tolist(), first, spans, items)
+                self._stream(numbers[first:end].tolist(), first, spans, states, short)
+        items = {self.names[n] for listed in short.values() for n in listed}
+        for v in states:
+            items.update(self.names[n] for n in self.owners(v).tolist())
         return spans, items
 
-    def _stream(self, run: list[int], first: int, spans: list[tuple[int, int]], items: set[str]) -> None:
+    def _stream(self, run: list[int], first: int, spans: list[tuple[int, int]], states: set[int], short: dict[int, list[int]]) -> None:
         nexts, link, length, window = self.next, self.link, self.length, self.window
         state = matched = 0
         for i, word in enumerate(run, first + 1):
@@ -143,11 +169,11 @@ class Automaton:
                 covered, v = window, state
                 while length[link[v]] >= window:
                     v = link[v]
-                items |= self.owners[v]
-            for size, item in self.shorter[state]:
+                states.add(v)
+            for size, listed in self.shorter[state]:
                 if size <= matched:
                     covered = max(covered, size)
-                    items.add(item)
+                    short[id(listed)] = listed
             if covered:
                 if spans and spans[-1][1] >= i - covered:
                     begin = spans.pop()[0]
@@ -209,20 +235,24 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
 
 def find(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``df`` with ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` of covered words and characters."""
-    spark = df.sparkSession
-    out, at = df, None
-    for block in _blocks(items, item_id, item_text, block_words):
-        match = _matcher(spark.sparkContext.broadcast(Automaton(block, window)))
-        out = out.withColumn("__match", match(text_or_empty(text)))
-        out = out.withColumn("__found", F.col("__match") if at is None else _merged(F.col("__found"), F.col("__match"))).drop("__match")
-        at = True
-    new = {
-        "n_words": F.col("__found.n_words"),
-        "n_hit": F.col("__found.n_hit"),
-        "items": F.col("__found.items"),
-        "spans": F.col("__found.spans"),
-    }
-    return out.select(*[c for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+    sent = lambda block: df.sparkSession.sparkContext.broadcast(Automaton(block, window))
+    blocks = _blocks(items, item_id, item_text, block_words)
+    first, second = next(blocks), next(blocks, None)
+    rows = pack(df, text=text_or_empty(text))
+    if second is None:
+        found = rows.select(ROW, _matcher(sent(first))(F.col("text")).alias("found"))
+    else:
+        digest, passes = F.sha2(F.encode("text", "utf-8"), 256).alias("digest"), []
+        for block in chain([first, second], blocks):
+            automaton = sent(block)
+            hits = rows.select(digest, _matcher(automaton)(F.col("text")).alias("hit")).where("hit.n_hit > 0")
+            passes.append(materialise(hits.groupBy("digest").agg(F.first("hit").alias("hit")), "benchmark-hits"))
+            automaton.destroy()
+        hits = reduce(DataFrame.unionAll, passes).groupBy("digest").agg(F.collect_list("hit").alias("hits"))
+        hits = hits.select("digest", F.aggregate(F.slice("hits", 2, F.greatest(F.size("hits") - 1, F.lit(1))), F.get("hits", F.lit(0)), _merged).alias("hit"))
+        counted = rows.select(ROW, digest, _matcher(sent([]))(F.col("text")).alias("none"))
+        found = counted.join(hits, "digest", "left").select(ROW, F.coalesce("hit", "none").alias("found"))
+    return unpack(found, df.columns, **{c: F.col(f"found.{c}") for c in ("n_words", "n_hit", "items", "spans")})
 
 
 def _merged(a: Column, b: Column) -> Column:

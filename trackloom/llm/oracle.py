@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 from trackloom.llm.chat_format import ENCODED
-from trackloom.llm.license_scan import BASE, MIN_SHARE, OWN, Template
+from trackloom.llm.license_scan import AGREE, BASE, INDEXED, LOOKED_UP, MIN_SHARE, OWN
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -11,25 +11,38 @@ def words(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
-def _matches(t: Template) -> str:
-    """Places (from 0) of a template's key phrase, each with the share of the template's words around it."""
-    key, size = "[" + ", ".join(f"'{w}'" for w in t.key) + "]", len(t.words)
-    listed = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
-    places = f"list_filter(range(1, len(w) + 1), lambda p: w[p] = '{t.key[0]}' AND w[p:p + {len(t.key) - 1}] = {key})"
-    share = f"len(list_filter(range({size}), lambda k: p - {t.at} + k >= 1 AND w[greatest(p - {t.at} + k, 1)] = {listed}[k + 1]))::double / {size}.0::double"
-    return f"list_transform({places}, lambda p: {{'label': '{t.label}', 'base': {str(t.base).lower()}, 'at': p - 1, 'share': {share}}})"
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+_TEMPLATES = ", ".join(f"({n}, '{t.label}', {str(t.base).lower()}, {_listed(t.words)}, {_listed(t.key)}, {t.at})" for n, t in enumerate(BASE + OWN))
 _LICENSES = f"""
-    WITH d AS (SELECT doc_id, {words("text")} AS w FROM documents),
-    m AS (SELECT doc_id, len(w) AS n, list_concat({_matches(BASE[0])}, {", ".join(_matches(t) for t in BASE[1:] + OWN)}) AS x FROM d),
-    g AS (SELECT doc_id, n, list_filter(x, lambda y: y.base OR y.share >= {MIN_SHARE}) AS x, list_filter(x, lambda y: y.base) AS b FROM m)
-    SELECT doc_id, n::bigint AS n_words, len(b)::bigint AS n_base, list_min(list_transform(b, lambda y: y['at']))::bigint AS first_word,
-        list_max(list_transform(b, lambda y: y['at']))::bigint AS last_word,
-        coalesce(array_to_string(list_sort(list_distinct(list_transform(b, lambda y: y['label']))), ','), '') AS base_labels,
-        coalesce(array_to_string(list_sort(list_distinct(list_transform(x, lambda y: y['label']))), ','), '') AS labels,
-        coalesce(list_max(list_transform(x, lambda y: y['share'])), 0)::double AS score
-    FROM g"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words("text")} AS w FROM documents),
+    t(t, label, base, words, key, key_at) AS (VALUES {_TEMPLATES}),
+    tw AS (SELECT t, base, list_contains(key, words[p]) AS in_key, p - 1 AS p, words[p] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM t)),
+    dw AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+    lw AS (SELECT r, word, i FROM dw SEMI JOIN tw USING (word)),
+    n AS (SELECT word, count(DISTINCT r) AS n FROM tw LEFT JOIN lw USING (word) GROUP BY word),
+    ranked AS (
+        SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY n, word) AS k, CASE WHEN in_key THEN row_number() OVER (PARTITION BY t, in_key ORDER BY n, word) END AS kk
+        FROM (SELECT t, word, any_value(base) AS base, bool_or(in_key) AS in_key FROM tw GROUP BY t, word) JOIN n USING (word)),
+    chosen AS (SELECT t, word, base AND coalesce(kk = 1, false) AS fixed FROM ranked WHERE k <= {INDEXED} OR kk = 1),
+    idx AS (SELECT word, any_value(n) AS n, bool_or(fixed) AS fixed FROM chosen JOIN n USING (word) GROUP BY word),
+    held AS (SELECT r, word, fixed, row_number() OVER (PARTITION BY r ORDER BY n, word) AS k FROM (SELECT DISTINCT r, word FROM lw) JOIN idx USING (word)),
+    hit AS (SELECT lw.r, lw.word, lw.i FROM lw JOIN held USING (r, word) WHERE k <= {LOOKED_UP} OR fixed),
+    proposed AS (
+        SELECT r, tw.t, i - p AS s, count(*) AS c FROM hit JOIN chosen USING (word) JOIN tw ON tw.t = chosen.t AND tw.word = hit.word GROUP BY ALL),
+    m AS (
+        SELECT r, label, base, s, len(list_filter(range(len(words)), lambda k: s + k >= 0 AND w[greatest(s + k, 0) + 1] = words[k + 1]))::double / len(words)::double AS share
+        FROM proposed JOIN t USING (t) JOIN d USING (r)
+        WHERE (base OR c >= {AGREE}) AND s + key_at >= 0 AND w[greatest(s + key_at, 0) + 1:greatest(s + key_at, 0) + len(key)] = key),
+    g AS (
+        SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+        FROM m WHERE base OR share >= {MIN_SHARE} GROUP BY r)
+    SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word,
+        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::double AS score
+    FROM d LEFT JOIN g USING (r)"""
 
 _NAME = "role"
 for _raw, _code in ENCODED:

@@ -1,32 +1,36 @@
-"""Removal of long repeated passages by recompression.
-
-Rounds of recompression rename the words of all texts: symbols are split by a bit of their name into
-left and right ones, and each left symbol with a right one after it becomes one new symbol, named
-by its two parts. A name is a hash of the content it stands for, which is what a global dictionary
-of pairs would give, without the shuffle for it: equal content gets the same name everywhere. A run
-of one symbol has no pair inside (a symbol is never both left and right), so it keeps one name for
-each place and the parse stays local: where a symbol of round ``ROUNDS`` begins and ends depends on
-``MARGIN`` words around it. Equal passages therefore share all symbols but those at their edges.
-
-Every window of ``window`` words has several such interior symbols; it is represented by the one
-with the smallest name. That symbol with its margin is the window's anchor: equal windows have
-equal anchors at the same offset. So a window can only repeat if its anchor does.
-
-1. One pass emits an anchor for about 16 words. Anchors that occur once reveal, after a summed
-   count, that none of their windows repeats; most text is done here.
-2. Texts with shared anchors are parsed again. Each shared anchor is verified by a second hash of
-   the whole stretch that its windows cover (128 bits with the anchor's name). If all stretches of
-   an anchor repeat, so do all their windows.
-3. For the other anchors, at the edges of repeats, the windows of each different stretch are compared
-   one by one. Tables of a finished step are deleted when the next one is written.
-
-Texts are identified by two 64-bit hashes; exact copies are counted once and need no comparison.
-Every join has a summed side with one row for a name or text and AQE splits the other, so frequent
-passages and groups of copies meet in no single task.
+"""Removal of long repeated passages by recompression in Spark rounds.
+
+A window is ``window`` consecutive words of one text; a word goes if a window over it occurs elsewhere.
+
+Setting aside. One pass over all texts parses each by itself and emits an anchor for about 16 words: the
+smallest-named symbol inside a window, which equal windows have in common. Windows whose anchors occur in
+one place only can't repeat; only the stretches of text around the others go on. Names are hashes here,
+so a collision keeps too much and never loses a repeat.
+
+Rounds. The words of the stretches are named by a global dictionary, a Spark table with one row for each
+different word. Then each round takes the texts as sequences of symbols and names (i) every maximal run
+of one symbol and (ii) every pair of a left element and a right one after it, by another such dictionary
+with one row for each different run or pair: whether a symbol is left or right is a bit of its name, so
+equal passages are parsed equally but at their edges. Names are numbers given by the dictionary, not
+hashes of the content: by induction two symbols have the same name if and only if they stand for the
+same words. After ``ROUNDS`` rounds symbols cover several words each.
+
+Finding. Of the symbols that lie inside a window whatever its context (those not cut by its borders, nor
+next to a symbol that is), the longest one of the highest level that has any is its anchor; equal
+windows have equal anchors at equal offsets. Windows next to each other with one anchor form a stretch.
+A stretch is spelled in the fewest symbols that don't depend on its context; equal spellings are equal
+words, so grouping by anchor and spelling verifies repeats without looking at a word again. If all
+stretches of an anchor repeat, so do all their windows. For the other anchors, at the edges of repeats,
+the windows of each different stretch are compared by anchor, offset and a 64-bit hash of word names.
+
+Texts are dealt out in chunks of about ``SLICE_BYTES``, and a chunk emits each of its symbols' parts once.
+Exact copies are told by two 64-bit hashes of the text and count as one place. Every join has a summed
+side with one row for a name or text and AQE splits the other, so frequent passages and groups of
+copies meet in no single task. Tables of a finished step are deleted when the next one is written.
 
 Defined results: null text has no words; texts below ``window`` words keep all; repeated rows are
-copies of each other; kept words are joined by one blank; result columns replace input columns of
-their names; an empty table gives an empty result.
+copies of each other; kept words are joined by one blank; a text of any length is one row of a task;
+result columns replace input columns of their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,18 +42,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import discard, find_words, materialise, mix, range_hasher, text_identity, text_or_empty, text_slices, word_hashes, word_table
+from trackloom.llm.common import (
+    ROW,
+    discard,
+    find_words,
+    materialise,
+    mix,
+    pack,
+    range_hasher,
+    text_identity,
+    text_or_empty,
+    text_slices,
+    unpack,
+    word_hashes,
+    word_table,
+)
 
 WINDOW = 35
-ROUNDS = 2
-MARGIN = 2  # words on each side that decide a boundary after two rounds
+ROUNDS = 3
+#: Rounds of the parse that sets text aside, and the words on each side that decide a boundary after them.
+LOCAL_ROUNDS, MARGIN = 2, 2
 _LOW = np.uint64(0xFFFFFFFF)
 _SPACE = word_table("space")
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 
 
-def recompress(names: np.ndarray, heads: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Names and first words of the symbols after ``rounds`` rounds; ``heads`` marks the first word of each text."""
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.uint64).view(np.int64))
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places ``first[i]``, ``first[i] + 1``, ... of which there are ``n[i]``, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def _range_best(score: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest score in each [lo, hi)."""
+    best, table = np.zeros(len(lo), np.uint64), score
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        best[at] = np.maximum(table[lo[at]], table[hi[at] - 2**k])
+        table = np.maximum(table[: -(2**k)], table[2**k :]) if len(table) > 2**k else table[:0]
+    return best
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+# ---------------------------------------------------------------- setting aside
+
+def local_parse(names: np.ndarray, heads: np.ndarray, rounds: int = LOCAL_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Names and first words of the symbols after some rounds over one slice; ``heads`` marks the first word of each text."""
     starts, head = np.arange(len(names)), heads
     for k in range(rounds):
         left = (mix(names, 11 + k) & np.uint64(1)).astype(bool)
@@ -63,100 +111,304 @@ def recompress(names: np.ndarray, heads: np.ndarray, rounds: int = ROUNDS) -> tu
     return names, starts
 
 
-class Parsed:
-    """The anchors of the texts of one slice."""
+class Anchors:
+    """The anchors of the texts of one slice: ``keys``, their text, place, and first and last window."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, window: int):
-        starts, ends, self.firsts = find_words(raw, off, _SPACE)
-        self.n = len(starts)
-        names = word_hashes(raw, starts, ends)
-        self.second = word_hashes(raw, starts, ends, 1)
-        sizes = np.diff(self.firsts)
-        heads = np.zeros(self.n + 1, bool)
-        heads[self.firsts[:-1]] = True
-        symbols, q = recompress(names, heads[: self.n])
-        p = np.append(q[1:], self.n)
+        self.starts, self.ends, self.firsts = find_words(raw, off, _SPACE)
+        n, sizes = len(self.starts), np.diff(self.firsts)
         count = np.maximum(sizes - window + 1, 0)
-        self.text = np.repeat(np.arange(len(sizes)), count)
-        s = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + self.firsts[:-1][self.text]
+        text = np.repeat(np.arange(len(sizes)), count)
+        s = _ragged(self.firsts[:-1], count)
         if not len(s):
-            self.anchor_text = self.low = self.high = self.q = np.zeros(0, np.int64)
+            self.text = self.low = self.high = self.q = np.zeros(0, np.int64)
             self.keys = np.zeros(0, np.uint64)
             return
-        is_start = np.zeros(self.n + 1, np.int64)
+        names, heads = word_hashes(raw, self.starts, self.ends), np.zeros(n + 1, bool)
+        heads[self.firsts[:-1]] = True
+        symbols, q = local_parse(names, heads[:n])
+        p = np.append(q[1:], n)
+        is_start = np.zeros(n + 1, np.int64)
         is_start[q] = 1
         before = np.concatenate([[0], np.cumsum(is_start)])  # symbols that start before word i
         lo, hi = before[s + MARGIN], before[s + window - MARGIN + 1] - 1
-        hi = np.where(s + window - MARGIN == self.n, len(q), hi)
+        hi = np.where(s + window - MARGIN == n, len(q), hi)
         # Symbols [lo, hi) lie wholly in the window's interior; smallest name, then leftmost.
-        table = [(mix(symbols, 41) & ~_LOW) | np.arange(len(symbols), dtype=np.uint64)]
-        while 2 ** len(table) <= window:
-            half, t = 2 ** (len(table) - 1), table[-1]
-            table.append(np.minimum(t[:-half], t[half:]) if len(t) > half else t[:0])
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        best = np.zeros(len(s), np.uint64)
-        for k in range(len(table)):
-            m = np.flatnonzero(level == k)
-            if len(m):
-                best[m] = np.minimum(table[k][lo[m]], table[k][hi[m] - 2**k])
-        chosen = (best & _LOW).astype(np.int64)
-        edge = np.flatnonzero(np.diff(np.r_[-1, chosen]))
-        self.low, self.high = s[edge], s[np.r_[edge[1:], len(s)] - 1]  # first and last window of each anchor
-        self.anchor_text, self.q = self.text[edge], q[chosen[edge]]
+        score = (mix(symbols, 41) & ~_LOW) | (_LOW - np.arange(len(symbols), dtype=np.uint64))
+        chosen = (_LOW - (_range_best(score, lo, hi) & _LOW)).astype(np.int64)
+        edge = _changes(chosen)
+        self.low, self.high = s[edge], s[np.r_[edge[1:], len(s)] - 1]
+        self.text, self.q = text[edge], q[chosen[edge]]
         self.keys = mix(range_hasher(names, _BASES[0])(self.q - MARGIN, p[chosen[edge]] + MARGIN), 43)
 
-    def places(self, identity: np.ndarray) -> np.ndarray:
-        """A number for each anchor's place: the same in exact copies, else different."""
-        return mix(mix(identity[self.anchor_text], 47) + (self.q - self.firsts[self.anchor_text]).astype(np.uint64), 53)
 
+def _emit_anchors(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r1, r2 = (batch[c].to_numpy().view(np.uint64) for c in ("r1", "r2"))
+            for lo, hi, raw, off in text_slices(batch["text"]):
+                a = Anchors(raw, off, window)
+                place = mix(mix(r1[lo:hi][a.text], 47) + (a.q - a.firsts[a.text]).astype(np.uint64), 53)
+                yield pa.RecordBatch.from_arrays([_signed(a.keys), _signed(place), _signed(r1[lo:hi][a.text]), _signed(r2[lo:hi][a.text])], ["key", "place", "r1", "r2"])
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
+    return run
 
 
-def _anchors(window: int):
+_STRETCHES = "array<struct<r1:bigint,r2:bigint,start:bigint,n:int>>"
+_STRETCH = pa.struct([("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
+
+
+def _set_aside(window: int):
+    """Chunks of the stretches of words under shared anchors: what they are, their words as codes, and the words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
         for batch in batches:
-            r1, r2 = (batch[c].to_numpy().view(np.uint64) for c in ("r1", "r2"))
+            r1, r2 = (batch[c].to_numpy() for c in ("r1", "r2"))
             for lo, hi, raw, off in text_slices(batch["text"]):
-                a = Parsed(raw, off, window)
+                a = Anchors(raw, off, window)
+                listed = batch["keys"].slice(lo, hi - lo)
+                owner = np.repeat(np.arange(hi - lo), np.asarray(listed.value_lengths()))
+                wanted = np.sort(mix(listed.flatten().to_numpy().view(np.uint64) + mix(owner.astype(np.uint64), 59), 61))
+                mine = mix(a.keys + mix(a.text.astype(np.uint64), 59), 61)
+                at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+                shared = wanted[at] == mine if len(wanted) else np.zeros(len(mine), bool)
+                # Copies of a text come one after the other, as rows are joined in order of their identity.
+                new = np.ones(hi - lo, bool)
+                new[1:] = (r1[lo + 1 : hi] != r1[lo : hi - 1]) | (r2[lo + 1 : hi] != r2[lo : hi - 1])
+                new[0] = (r1[lo], r2[lo]) != seen
+                seen = (r1[hi - 1], r2[hi - 1])
+                shared = np.flatnonzero(shared & new[a.text])
+                if not len(shared):
+                    continue
+                low, end, text = a.low[shared], a.high[shared] + window, a.text[shared]
+                gap = np.r_[True, (text[1:] != text[:-1]) | (low[1:] > end[:-1])]
+                first = np.flatnonzero(gap)
+                low, end, text = low[first], np.maximum.reduceat(end, first), text[first]
+                words = _ragged(low, end - low)
+                w0, w1 = a.starts[words], a.ends[words]
+                name = word_hashes(raw, w0, w1) ^ mix(word_hashes(raw, w0, w1, 1), 3)
+                _, one, code = np.unique(name, return_index=True, return_inverse=True)
+                data = raw.tobytes()
+                spelled = [data[x:y] for x, y in zip(w0[one].tolist(), w1[one].tolist(), strict=True)]
+                stretches = pa.StructArray.from_arrays([pa.array(r1[lo:hi][text]), pa.array(r2[lo:hi][text]), pa.array(low - a.firsts[text]), pa.array((end - low).astype(np.int32))], fields=list(_STRETCH))
+                yield pa.RecordBatch.from_arrays(
+                    [_one_list(stretches), _one_list(pa.array(code.astype(np.int32))), _one_list(pa.array(spelled, pa.binary()))], ["stretches", "codes", "words"]
+                )
+
+    return run
+
+
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+# ---------------------------------------------------------------- rounds
+
+_PARTS = pa.struct([("a", pa.int64()), ("n", pa.int32()), ("b", pa.int64()), ("m", pa.int32())])
+CHUNK = f"chunk long, stretches {_STRETCHES}, names array<array<bigint>>, starts array<array<int>>, codes array<int>, parts array<struct<a:bigint,n:int,b:bigint,m:int>>"
+
+
+def elements(names: np.ndarray, starts: np.ndarray, heads: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs and pairs of a round: (first symbol of each, a, n, b, m), ``n`` times ``a`` and then ``m`` times ``b``, or none.
+
+    ``heads``: the words at which stretches begin, which no run or pair goes across.
+    """
+    head = np.zeros(len(names) + 1, bool)
+    head[np.searchsorted(starts, heads)] = True
+    first = np.ones(len(names), bool)
+    first[1:] = (names[1:] != names[:-1]) | head[1 : len(names)]
+    run = np.flatnonzero(first)
+    a, n = names[run], np.diff(np.r_[run, len(names)])
+    left = (mix(a.view(np.uint64), 11 + k) & np.uint64(1)).astype(bool)
+    pair = np.zeros(len(run), bool)
+    pair[:-1] = left[:-1] & ~left[1:] & ~head[run[1:]]
+    kept = np.ones(len(run), bool)
+    kept[1:] = ~pair[:-1]
+    b, m = np.where(pair, np.roll(a, -1), 0), np.where(pair, np.roll(n, -1), 0)
+    return run[kept], a[kept], n[kept], b[kept], m[kept]
+
+
+def _distinct_parts(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each different (a, n, b, m), and the number of each row's."""
+    order = np.lexsort((m, b, n, a))
+    new = _changes(a[order], n[order], b[order], m[order])
+    code = np.empty(len(a), np.int64)
+    code[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(a)]))
+    return order[new], code
+
+
+def _round(k: int, last: bool):
+    """Chunks with the names of round ``k`` filled in, and with the runs and pairs that the next round has to name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                stretches, codes = (row[c].flatten() for c in ("stretches", "codes"))
+                codes = codes.to_numpy()
+                given = row["given"].flatten()
+                name = np.zeros(len(given), np.int64)
+                name[given.field("pos").to_numpy()] = given.field("name").to_numpy()
+                if k == 0:
+                    names, starts = [], []
+                    top, at = name[codes], np.arange(len(codes))
+                else:
+                    names, starts = ([x.values.to_numpy() for x in row[c][0]] for c in ("names", "starts"))
+                    at, top = starts.pop(), names.pop()
+                    top = np.where(codes >= 0, name[np.maximum(codes, 0)], top) if len(name) else top
+                names, starts = [*names, top], [*starts, at]
+                parts = pa.array([], _PARTS)
+                code = np.zeros(0, np.int32)
+                if not last:
+                    n = stretches.field("n").to_numpy()
+                    first, a, c, b, m = elements(top, at, np.cumsum(n) - n, k)
+                    code = np.full(len(first), -1, np.int32)
+                    new = np.flatnonzero((c > 1) | (m > 0))
+                    one, number = _distinct_parts(a[new], c[new], b[new], m[new])
+                    code[new] = number
+                    new = new[one]
+                    parts = pa.StructArray.from_arrays([pa.array(a[new]), pa.array(c[new].astype(np.int32)), pa.array(b[new]), pa.array(m[new].astype(np.int32))], fields=list(_PARTS))
+                    names, starts = [*names, a], [*starts, at[first]]  # elements that are one symbol keep its name
+                levels = lambda xs, t: pa.array([xs], pa.list_(pa.list_(t)))
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(a.keys), _signed(a.places(r1[lo:hi])), _signed(r1[lo:hi][a.anchor_text]), _signed(r2[lo:hi][a.anchor_text])], ["key", "place", "r1", "r2"]
+                    [row["chunk"], row["stretches"], levels(names, pa.int64()), levels([s.astype(np.int32) for s in starts], pa.int32()), _one_list(pa.array(code)), _one_list(parts)],
+                    ["chunk", "stretches", "names", "starts", "codes", "parts"],
                 )
 
     return run
 
 
+def _named(chunks: DataFrame, column: str, k: int) -> DataFrame:
+    """(chunk, given): the names of all ``column`` values of each chunk, by a global dictionary of one row a value.
+
+    The number of a name ends in its round, so names of different rounds differ.
+    """
+    listed = chunks.select("chunk", F.posexplode(column).alias("pos", "value"))
+    dictionary = materialise(listed.select("value").groupBy("value").agg(F.count(F.lit(1)).alias("chunks")).select("value", (F.monotonically_increasing_id() * (ROUNDS + 1) + k).alias("name")), f"names-{k}")
+    given = listed.join(dictionary, "value").groupBy("chunk").agg(F.collect_list(F.struct("pos", "name")).alias("given"))
+    given = materialise(given, f"given-{k}")
+    discard(dictionary)
+    return given
+
+
+def rounds(chunks: DataFrame) -> DataFrame:
+    """``chunks`` (chunk, stretches, codes, words) with the names and first words of their symbols after each round."""
+    none = "cast(array() as array<array<bigint>>) as names", "cast(array() as array<array<int>>) as starts"
+    for k in range(ROUNDS + 1):
+        given = _named(chunks, "words" if k == 0 else "parts", k)
+        rows = chunks.join(given, "chunk", "left").withColumn("given", F.coalesce("given", F.array().cast("array<struct<pos:int,name:bigint>>")))
+        rows = rows.selectExpr("chunk", "stretches", "codes", "given", *(none if k == 0 else ("names", "starts")))
+        done = materialise(rows.mapInArrow(_round(k, k == ROUNDS), CHUNK), f"round-{k}")
+        discard(chunks, given)
+        chunks = done
+    return chunks
+
+
+# ---------------------------------------------------------------- finding
+
+class Levels:
+    """The symbols of a chunk after each round, and which of them don't depend on what is around a range of words."""
+
+    def __init__(self, names: list[np.ndarray], starts: list[np.ndarray]):
+        self.names, self.starts = names, starts
+        self.size = len(names[0])
+        self.ends = [np.append(s[1:], self.size) for s in starts]
+        #: For each symbol of the level below, the symbol that holds it.
+        self.above = [np.searchsorted(up, below, side="right") - 1 for below, up in zip(starts, starts[1:], strict=False)]
+
+    def inside(self, low: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level the symbols [l, r) within the words [low, end) that any other text around them would leave as they are.
+
+        Whatever the symbols at the borders of a level are joined with, it happens in the symbols of the next
+        level that hold them; all between is decided inside.
+        """
+        found = [(low, end)]
+        for above in self.above:
+            l, r = found[-1]
+            some = r > l
+            l, r = np.where(some, above[np.minimum(l, len(above) - 1)] + 1, 0), np.where(some, above[np.maximum(r - 1, 0)], 0)
+            found.append((l, np.maximum(l, r)))
+        return found
+
+    def anchors(self, low: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level, symbol): the longest symbol of the highest level that has any inside; of equal length by a hash of the name, then the first."""
+        level, symbol = np.full(len(low), -1), np.zeros(len(low), np.int64)
+        for k, (l, r) in reversed(list(enumerate(self.inside(low, end)))):
+            at = np.flatnonzero((r > l) & (level < 0))
+            if len(at):
+                index = np.arange(len(self.names[k]), dtype=np.uint64)
+                length = np.minimum(self.ends[k] - self.starts[k], 1023).astype(np.uint64)
+                score = (length << np.uint64(54)) | ((mix(self.names[k].view(np.uint64), 41) >> np.uint64(42)) << np.uint64(32)) | (_LOW - index)
+                level[at], symbol[at] = k, (_LOW - (_range_best(score, l[at], r[at]) & _LOW)).astype(np.int64)
+        return level, symbol
+
+    def spelled(self, low: np.ndarray, end: np.ndarray, head: np.ndarray) -> pa.Array:
+        """``head`` and the names that spell the words [low, end): symbols of the highest level inside, and of lower ones at the borders."""
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (range, order, name)
+        ids = np.arange(len(low))
+        parts.append((ids, np.full(len(low), -1.0), head))
+        found = self.inside(low, end)
+
+        def put(k: int, l: np.ndarray, r: np.ndarray) -> None:
+            n = np.maximum(r - l, 0)
+            at = _ragged(l, n)
+            parts.append((np.repeat(ids, n), self.starts[k][at].astype(np.float64), self.names[k][at]))
+
+        for k, (l, r) in enumerate(found):
+            if k + 1 < len(found):
+                up_l, up_r = found[k + 1]
+                more = up_r > up_l
+                first = np.where(more, np.searchsorted(self.starts[k], self.starts[k + 1][np.minimum(up_l, len(self.starts[k + 1]) - 1)]), r)
+                last = np.where(more, np.searchsorted(self.starts[k], self.ends[k + 1][np.maximum(up_r - 1, 0)]), r)
+                put(k, l, first)
+                put(k, last, r)
+            else:
+                put(k, l, r)
+        owner, place, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, owner))
+        offsets = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(low)))] * 8
+        return pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(name[order].astype(np.int64).tobytes())])
+
+
 def _stretches(window: int):
-    """For the shared anchors of each text: the hash of all that their windows cover, and of each window."""
+    """For each anchor of a chunk: its name, its place, how its windows together are spelled, and the hash of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r1, r2 = (batch[c].to_numpy().view(np.uint64) for c in ("r1", "r2"))
-            for lo, hi, raw, off in text_slices(batch["text"]):
-                a = Parsed(raw, off, window)
-                listed = batch["keys"].slice(lo, hi - lo)
-                owner = np.repeat(np.arange(hi - lo), np.asarray(listed.value_lengths()))
-                wanted = np.sort(mix(listed.flatten().to_numpy().view(np.uint64) + mix(owner.astype(np.uint64), 59), 61))
-                mine = mix(a.keys + mix(a.anchor_text.astype(np.uint64), 59), 61)
-                at = np.searchsorted(wanted, mine)
-                shared = np.flatnonzero((at < len(wanted)) & (wanted[np.minimum(at, len(wanted) - 1)] == mine)) if len(wanted) else np.zeros(0, np.int64)
-                low, high, q, text = a.low[shared], a.high[shared], a.q[shared], a.anchor_text[shared]
-                hashed = range_hasher(a.second, _BASES[1])
-                whole = mix(hashed(low, high + window) + mix(((q - low) * 4096 + (high - low)).astype(np.uint64), 67), 71)
-                n = high - low + 1
-                s = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                each = mix(hashed(s, s + window) + mix((np.repeat(q, n) - s).astype(np.uint64), 73), 79)
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                levels = Levels(*([x.values.to_numpy() for x in row[c][0]] for c in ("names", "starts")))
+                levels.starts = [s.astype(np.int64) for s in levels.starts]
+                of = row["stretches"].flatten()
+                r1, r2, start, n = (of.field(c).to_numpy() for c in ("r1", "r2", "start", "n"))
+                begin = np.cumsum(n, dtype=np.int64) - n
+                count = np.maximum(n - window + 1, 0)
+                text, s = np.repeat(np.arange(len(n)), count), _ragged(begin, count)
+                level, symbol = levels.anchors(s, s + window)
+                edge = _changes(text, level, symbol)
+                low, high, text = s[edge], s[np.r_[edge[1:], len(s)] - 1], text[edge]
+                level, symbol = level[edge], symbol[edge]
+                key, q = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
+                for k in range(len(levels.names)):
+                    m = level == k
+                    key[m], q[m] = levels.names[k][symbol[m]], levels.starts[k][symbol[m]]
+                whole = levels.spelled(low, high + window, (q - low) * 4096 + (high - low))
+                k = high - low + 1
+                each = _ragged(low, k)
+                hashed = range_hasher(mix(levels.names[0].view(np.uint64), 17), _BASES[1])
+                hashes = mix(hashed(each, each + window) + mix((np.repeat(q, k) - each).astype(np.uint64), 73), 79)
+                place = mix(mix(r1[text].view(np.uint64), 47) + (q - begin[text] + start[text]).astype(np.uint64), 53)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        _signed(a.keys[shared]),
-                        _signed(a.places(r1[lo:hi])[shared]),
-                        _signed(r1[lo:hi][text]),
-                        _signed(r2[lo:hi][text]),
-                        _signed(whole),
-                        pa.array(low - a.firsts[text]),
-                        pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), _signed(each)),
+                        pa.array(key),
+                        _signed(place),
+                        pa.array(r1[text]),
+                        pa.array(r2[text]),
+                        whole,
+                        pa.array(low - begin[text] + start[text]),
+                        pa.array(k),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)].astype(np.int32)), _signed(hashes)),
                     ],
                     ["key", "place", "r1", "r2", "whole", "low", "n", "windows"],
                 )
@@ -201,43 +453,49 @@ def repeated(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFra
     """
     r1, r2 = text_identity(text_or_empty(text))
     texts = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
-    anchors = materialise(texts.mapInArrow(_anchors(window), "key long, place long, r1 long, r2 long"), "anchors")
+    anchors = materialise(texts.mapInArrow(_emit_anchors(window), "key long, place long, r1 long, r2 long"), "anchors")
     shared = materialise(_several(anchors, "key"), "shared")
     keys = materialise(anchors.join(shared, "key", "left_semi").groupBy("r1", "r2").agg(F.collect_set("key").alias("keys")), "keys")
-    discard(anchors)
-    found = texts.join(keys, ["r1", "r2"]).select("r1", "r2", "text", "keys").mapInArrow(
-        _stretches(window), "key long, place long, r1 long, r2 long, whole long, low long, n long, windows array<long>"
-    )
+    discard(anchors, shared)
+    held = texts.join(keys, ["r1", "r2"]).select("r1", "r2", "text", "keys")
+    chunks = held.mapInArrow(_set_aside(window), f"stretches {_STRETCHES}, codes array<int>, words array<binary>")
+    chunks = materialise(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    discard(keys)
+    parsed = rounds(chunks)
+    found = parsed.select("stretches", "names", "starts").mapInArrow(_stretches(window), "key long, place long, r1 long, r2 long, whole binary, low long, n long, windows array<long>")
     found = materialise(found, "stretches")
+    discard(parsed)
 
-    lone = found.groupBy("key", "whole").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p = q")
-    lone = materialise(lone.select("key").distinct(), "lone")
+    spellings = found.groupBy("key", "whole").agg((F.min("place") != F.max("place")).alias("many"), F.first("windows").alias("windows"))
+    spellings = materialise(spellings, "spellings")
+    lone = materialise(spellings.where("not many").select("key").distinct(), "lone")
     slim = found.select("key", "r1", "r2", "low", "n")
     none = F.lit(None).cast("array<int>")
     whole = slim.join(lone, "key", "left_anti").select("r1", "r2", F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + window).alias("b"), none.alias("ks"))
     whole = materialise(whole, "whole")
-    edges = materialise(found.join(lone, "key", "left_semi").select("key", "place", "r1", "r2", "whole", "low", "windows"), "edges")
-    discard(found)
 
     # Equal stretches are compared once: a window repeats if its stretch does, or if another stretch has it too.
-    stretches = edges.groupBy("key", "whole").agg((F.min("place") != F.max("place")).alias("many"), F.first("windows").alias("windows"))
-    each = stretches.select("key", "whole", "many", F.posexplode("windows").alias("k", "window"))
+    edges = spellings.join(lone, "key", "left_semi")
+    each = edges.select("key", "whole", "many", F.posexplode("windows").alias("k", "window"))
     twice = each.groupBy("key", "window").agg(F.max("many").alias("many"), F.min("whole").alias("p"), F.max("whole").alias("q")).where("many or p <> q").select("key", "window")
-    good = each.join(materialise(twice, "windows"), ["key", "window"], "left_semi").groupBy("key", "whole").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    single = edges.select("key", "whole", "r1", "r2", "low").join(materialise(good, "good"), ["key", "whole"])
+    twice = materialise(twice, "windows")
+    good = each.join(twice, ["key", "window"], "left_semi").groupBy("key", "whole").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    good = materialise(good, "good")
+    single = found.select("key", "whole", "r1", "r2", "low").join(good, ["key", "whole"])
     single = single.select("r1", "r2", F.col("low").alias("a"), F.lit(None).cast("long").alias("b"), "ks")
     ranges = whole.unionByName(single).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b", "ks")).alias("ranges"))
-    return materialise(ranges, "ranges")
+    ranges = materialise(ranges, "ranges")
+    discard(found, spellings, lone, whole, twice, good)
+    return ranges
 
 
 def remove(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text`` (its words that no repeated window covers)."""
     r1, r2 = text_identity(text_or_empty(text))
-    keyed = df.withColumns({"__r1": r1, "__r2": r2})
-    twins = keyed.groupBy("__r1", "__r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("__r1").alias("r1"), F.col("__r2").alias("r2"), F.lit(True).alias("twin"))
-    verdicts = repeated(df, text, window).join(twins, ["r1", "r2"], "full").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("ranges").alias("__ranges"), F.col("twin").alias("__twin"))
-    joined = keyed.join(verdicts, ["__r1", "__r2"], "left")
-    cut = _cut(window)(text_or_empty(text), F.coalesce("__twin", F.lit(False)), F.coalesce("__ranges", F.array().cast("array<struct<a:bigint,b:bigint,ks:array<int>>>")))
-    new = {"n_words": "n_words", "n_removed": "n_removed", "kept_text": "kept"}
-    others = [F.col(f"`{c}`") for c in df.columns if c not in new]
-    return joined.select(*others, cut.alias("__cut")).select(*others, *[F.col(f"__cut.{v}").alias(k) for k, v in new.items()])
+    keyed = pack(df, r1=r1, r2=r2)
+    twins = keyed.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r1", "r2", F.lit(True).alias("twin"))
+    joined = keyed.join(repeated(df, text, window).join(twins, ["r1", "r2"], "full"), ["r1", "r2"], "left")
+    body = F.coalesce(F.col(f"{ROW}.`{text}`").cast("string"), F.lit(""))
+    cut = _cut(window)(body, F.coalesce("twin", F.lit(False)), F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint,ks:array<int>>>")))
+    done = joined.select(ROW, cut.alias("cut"))
+    return unpack(done, df.columns, n_words=F.col("cut.n_words"), n_removed=F.col("cut.n_removed"), kept_text=F.col("cut.kept"))

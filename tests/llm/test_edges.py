@@ -21,6 +21,26 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
+def test_no_column_of_the_caller_is_touched(spark):
+    """Columns with the names that operators use inside, and odd ones, come back as they were."""
+    names = ["__row", "__r1", "__r2", "__same", "__found", "__match", "__text", "__length", "__key", "__ranges", "__twin", "__cut", "__both", "a.b", "r1", "r2", "cid", "digit", "rid", "found", "hit", "digest", "both", "words", "held", "key", "path x"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, *[f"{n} {i}" for n in names]) for i, t in enumerate(["one two three", None, "one two  three", "four five six " * 30, "four five six " * 30])]
+    df = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(1, "two three"), (2, "five six")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int")
+    model, share = quality.train(df, labels)
+    outputs = [
+        decontaminate.find(df, items), decontaminate.find(df, items, block_words=1), exact_dedup.dedup(df), jaccard_join.dedup(df), substring_dedup.remove(df), license_scan.scan(df),
+        bpe.encode_and_decode(df, RANKS, PATTERN), quality.score(df, model, share), langid.predict(df, langid.fit([("one two three", "en")])), decontaminate.clean(df, items),
+        url_filter.judge(df, [("block", "x/")], url="text"),
+    ]
+    for n, out in enumerate(outputs):
+        assert len(out.columns) == len(set(out.columns))
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in names), (n, r)
+
+
 # ---------------------------------------------------------------- tokens
 
 def test_bpe(spark):
@@ -184,6 +204,10 @@ def test_decontaminate(spark):
     assert found[5] == (9, 0, []) and found[6] == (5, 4, ["null"]) and found[7] == (12, 12, ["1"]) and found[8][1:] == (12, ["1"])
     blocks = decontaminate.find(df, items, block_words=5)
     assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in blocks.collect()} == found
+    shared = items.unionByName(items.selectExpr("item_id + 10 as item_id", "text"))
+    both = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find(df, shared).collect()}
+    assert both[1] == (12, ["1", "11"]) and both[2] == (2, ["12", "2"]) and both[6] == (4, ["null"])
+    assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontaminate.find(df, shared, block_words=13).collect()} == both
     kept = {r["doc_id"]: r for r in decontaminate.clean(df, items).collect()}
     assert sorted(kept) == [1, 2, 3, 4, 5, 8] and kept[1]["text"] == "before. ! after the end of it, and so on and so on for a good while more than that"
     assert kept[2]["text"] == "a  é in the middle" and kept[3]["text"] is None and kept[8]["text"] == LONG and kept[1]["spans"] == "mine" and kept[1]["n_hit"] == 4
@@ -224,6 +248,13 @@ def test_license_scan(spark):
     assert found[4][0]["base_labels"] == "apache-2" and found[4][0]["first_word"] == 200_000
     assert (found[5][0]["n_base"], found[5][0]["first_word"]) == (1, 5) and found[6][0]["n_base"] == 0 and found[8][0]["labels"] == ""
     assert sorted(r["labels"] for r in found[7]) == ["gpl-3", "mit"]
+    notices = [(i, f"{LONG if i == 3 else ''}{'* ' * i}{' '.join(t.words)} and more") for i, t in enumerate(license_scan.OWN)] + [(100, " ".join(w for t in license_scan.OWN for w in sorted(t.words)))]
+    read = by_id(license_scan.scan(docs(spark, notices)))
+    for i, t in enumerate(license_scan.OWN):
+        assert t.label in read[i]["labels"].split(",") and read[i]["score"] == 1.0, t
+    assert read[100]["base_labels"] == ""
+    plan = license_scan.scan(df, license_scan.BASE + license_scan.OWN * 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_contains") < 10
     assert license_scan.scan(df.where("false")).count() == 0
 
 
@@ -359,8 +390,14 @@ def test_url_filter(spark):
             if (host == h or host.endswith("." + h)) and path.startswith(slash + p) and (best is None or len(rule) > len(best[1])):
                 best = (verdict, rule)
         expected[i] = (host, path, best[1] if best else None, best[0] if best else "allow")
-    for block in (100, 2):
+    for block in (100, 2, 1):
         found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, block_rules=block).collect()}
         assert found == expected
+    nested = [("block" if n % 2 else "allow", f"{'a.' * (n % 3)}b.org/{'x' * n}") for n in range(40)] + [("block", "b.org/xxxy/z"), ("allow", "b.org/xy/"), ("block", "B.org/xxx"), ("allow", "org/xxxxxxxxxx")]
+    paths = [f"http://{h}b.org/{'x' * n}{t}" for h in ("", "a.", "c.a.a.") for n in range(45) for t in ("", "y/z/1")]
+    rows = spark.createDataFrame(list(enumerate(paths)), "page_id long, url string")
+    for r in url_filter.judge(rows, nested, block_rules=7).collect():
+        fits = [(len(f), len(f.partition("/")[0]), v == "block") for v, f in nested if ("." + r["host"]).endswith("." + f.partition("/")[0].lower()) and r["path"].startswith("/" + f.partition("/")[2])]
+        assert (len(r["rule"]), len(r["rule"].partition("/")[0]), r["verdict"] == "block") == max(fits), r
     assert url_filter.judge(df.where("false"), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge(df, [], default="block").collect()} == {"block"}

@@ -6,7 +6,7 @@ each Python worker loads once. Each text is encoded as the library would encode
 a long text is cut only at places where the split pattern always ends a match.
 
 Defined results: null text counts as empty; empty text has no ids and decodes to no bytes; special
-tokens are ordinary text; repeated rows are encoded each; other columns are kept and a column of
+tokens are ordinary text; null ids are left out when decoding; repeated rows are encoded each; other columns are kept and a column of
 the name ``into`` is replaced; an empty table gives an empty result.
 """
 
@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import text_or_empty
+from trackloom.llm.common import pack, text_or_empty, unpack
 
 #: Characters that are handed to the library at once; longer texts are cut at safe places.
 PIECE_CHARS = 50_000
@@ -83,7 +83,9 @@ def _ids(encoding: tiktoken.Encoding, texts: pa.Array) -> pa.ListArray:
 
 
 def _bytes(encoding: tiktoken.Encoding, ids: pa.ListArray) -> pa.BinaryArray:
-    flat = pc.fill_null(ids.flatten(), 0).to_numpy(zero_copy_only=False)
+    if ids.flatten().null_count:
+        return pa.array([encoding.decode_bytes([i for i in x or [] if i is not None]) for x in ids.to_pylist()], pa.binary())
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
     offsets = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
     return pa.array([encoding.decode_bytes(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
@@ -108,7 +110,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", into
 
 
 def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``df`` with the raw bytes ``into`` that the ids stand for; they need not be valid UTF-8. Null ids count as none."""
+    """``df`` with the raw bytes ``into`` that the ids stand for; they need not be valid UTF-8. Null lists count as empty, null ids are left out."""
 
     @F.arrow_udf("binary")
     def bytes_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -129,8 +131,7 @@ def encode_and_decode(df: DataFrame, rank_file: str, pattern: str, text: str = "
             ids = _ids(encoding, texts)
             yield pa.StructArray.from_arrays([ids, _bytes(encoding, ids)], ["ids", "decoded"])
 
-    others = [F.col(f"`{c}`") for c in df.columns if c not in ("ids", "decoded")]
-    return df.select(*others, both_of(text_or_empty(text)).alias("__both")).select(*others, F.col("__both.ids").alias("ids"), F.col("__both.decoded").alias("decoded"))
+    return unpack(pack(df, both=both_of(text_or_empty(text))), df.columns, ids=F.col("both.ids"), decoded=F.col("both.decoded"))
 
 
 def ids_digest(ids: Column) -> Column:

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import find_words, lower_table, materialise, mix, range_hasher, text_identity, text_or_empty, text_slices, word_hashes, word_table
+from trackloom.llm.common import find_words, lower_table, materialise, mix, pack, range_hasher, text_identity, text_or_empty, text_slices, unpack, word_hashes, word_table
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -445,8 +445,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
     """``df`` with one row of each group of linked texts: the one with the smallest key (of equal keys, the smallest text identity; of equal rows, one)."""
     found = groups(join(df, key, text, **options))
     stays = found.groupBy("class_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")).alias("s"))
-    stays = materialise(stays.select(F.col("s.key").alias("__key"), F.col("s.r1").alias("__r1"), F.col("s.r2").alias("__r2")), "stays")
+    stays = materialise(stays.select(F.col("s.key").alias("k"), F.col("s.r1").alias("a"), F.col("s.r2").alias("b")), "stays")
     r1, r2 = text_identity(text_or_empty(text))
-    keyed = df.withColumns({"__r1": r1, "__r2": r2, "__same": F.col(f"`{key}`")})
-    kept = keyed.join(stays, [keyed["__r1"] == stays["__r1"], keyed["__r2"] == stays["__r2"], keyed["__same"].eqNullSafe(stays["__key"])], "left_semi")
-    return kept.dropDuplicates(["__same", "__r1", "__r2"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = pack(df, key=F.col(f"`{key}`"), r1=r1, r2=r2)
+    kept = keyed.join(stays, (keyed["r1"] == stays["a"]) & (keyed["r2"] == stays["b"]) & keyed["key"].eqNullSafe(stays["k"]), "left_semi")
+    return unpack(kept.dropDuplicates(["key", "r1", "r2"]), df.columns)

@@ -1,12 +1,13 @@
 """Track semantics against plain scalar models on random small inputs, and the edge cases by hand."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import arith, octets
-from trackloom.operators import compare, containers, editboxes, track, transforms
+from trackloom.operators import compare, containers, editboxes, stitching, tools, track, transforms
 from trackloom.sources import readers
 
 SAMPLE = "track_id long, idx long, pts long, dts long, timescale long, keyframe boolean, type string, size int"
@@ -151,7 +152,7 @@ def test_folds_hold_no_whole_track(spark):
         packet, used, count, first = -1, 0, 0, None
         for r in mine:
             guess = 90000 * count * 1024 // 44_100
-            if first is None or used + r[7] + 7 > 2800 or abs(first[2] + guess - r[2]) > 10 or abs(first[3] + guess - r[3]) > 10:
+            if first is None or used + r[7] + 7 > 3661 or abs(first[2] + guess - r[2]) > 10 or abs(first[3] + guess - r[3]) > 10:
                 packet, used, count, first = packet + 1, 0, 0, r
             used, count = used + r[7] + 7, count + 1
             packets[r[:2]] = packet
@@ -168,17 +169,199 @@ def test_folds_hold_no_whole_track(spark):
 
 
 def test_interleave_puts_video_first_on_ties(spark):
-    rows = [(1, 0, 0, 90, 90, True, "video", 1), (1, 1, 0, 44100, 44100, False, "audio", 1), (1, 2, 0, 0, 44100, False, "audio", 1)]
-    assert [r["idx"] for r in transforms.interleaved(tracks(spark, rows)).orderBy("pos").collect()] == [2, 0, 1]
+    rows = [(1, 0, 0, 90, 90, True, "video", 1), (1, 1, 0, 0, 44100, False, "audio", 1), (1, 2, 0, 44100, 44100, False, "audio", 1)]
+    assert [r["idx"] for r in transforms.interleaved(tracks(spark, rows)).orderBy("pos").collect()] == [1, 0, 2]
+
+
+def test_interleave_against_a_merge(spark):
+    """Also where decode times fall: sound goes on while it is before the next picture, and each kind keeps its order."""
+    rng = random.Random(7)
+    rows, expected = [], {}
+    for t in range(40):
+        seq = [(rng.choice(["video", "audio", "data"]), rng.randint(0, 12)) for _ in range(rng.randint(1, 14))]
+        rows += [(t, i, 0, d, 1, False, kind, 1) for i, (kind, d) in enumerate(seq)]
+        video, audio, out = [(i, d) for i, (k, d) in enumerate(seq) if k == "video"], [(i, d) for i, (k, d) in enumerate(seq) if k == "audio"], []
+        for i, d in video:
+            while audio and audio[0][1] < d:
+                out.append(audio.pop(0)[0])
+            out.append(i)
+        expected[t] = out + [i for i, _ in audio]
+    found = {}
+    for r in transforms.interleaved(tracks(spark, rows)).orderBy("track_id", "pos").collect():
+        found.setdefault(r["track_id"], []).append(r["idx"])
+    assert found == {t: o for t, o in expected.items() if o}
+    odd = transforms.interleaved(tracks(spark, [(1, 0, 0, 5, 1, True, "video", 1), (1, 1, 0, 3, 1, True, "video", 1), (1, 2, 0, 4, 1, True, "audio", 1)]))
+    assert [(r["idx"], r["nth"]) for r in odd.orderBy("pos").collect()] == [(2, 0), (0, 0), (1, 1)]
 
 
 def test_trim_without_boxes_and_limits(spark):
     rows = [(1, i, 10 * i, 10 * i, 1000, i % 4 == 0, "video", 1) for i in range(12)] + [(2, i, 10 * i, 10 * i, 1000, i == 5, "video", 1) for i in range(6)]
-    out, boxes = transforms.trim(tracks(spark, rows), None, 45, 30)
+    out, boxes, _ = transforms.trim(tracks(spark, rows), None, 45, 30)
     assert [(r["track_id"], r["idx"], r["pts"], r["keyframe"]) for r in out.orderBy("track_id", "idx").collect()][:4] == [(1, 0, 0, True), (1, 1, 10, False), (1, 2, 20, False), (1, 3, 30, False)]
     assert [(r["track_id"], r["start_pts"], r["duration_pts"]) for r in boxes.collect() if r["track_id"] == 1] == [(1, 5, 30)]
 
 
+def model_duration(dts):
+    steps = sorted(b - a for a, b in zip(dts, dts[1:]))
+    half = len(steps) // 2
+    median = 0 if not steps else steps[half] if len(steps) % 2 else (steps[half - 1] + steps[half]) // 2
+    return None if steps and steps[0] < 0 else dts[-1] - dts[0] + median
+
+
+def test_trim_errors_against_a_model(spark):
+    rng = random.Random(11)
+    rows, boxes, expected = [], [], {}
+    for t in range(120):
+        dts, at = [], rng.choice([0, 0, 5])
+        for _ in range(rng.randint(1, 12)):
+            dts.append(at)
+            at += rng.choice([0, 1, 2, 3, -1 if t % 9 == 0 else 2])
+        seq = [(max(0, d + rng.choice([0, 0, 1, -1 if t % 4 == 0 else 2])), d, rng.random() < 0.5) for d in map(lambda d: max(d, 0), dts)]
+        rows += [(t, i, p, d, 1000, k, "video", 1) for i, (p, d, k) in enumerate(seq)]
+        listed = random_boxes(rng) if t % 2 else []
+        if t % 10 == 1:
+            listed = [(4, 5), (2, 3)]
+        boxes += [(t, i, a, n) for i, (a, n) in enumerate(listed)]
+        start, size, error, out = 3, 6, None, []
+        whole = model_duration([d for _, d, _ in seq])
+        if t % 10 == 1 or (not listed and not whole):
+            expected[t] = ([], "Invalid")
+            continue
+        cut = [b for b in model_trim(listed, start, size if listed else min(size, whole)) if b[0] != -1]
+        low, high = min((a for a, n in cut), default=0), max((a + n for a, n in cut), default=0)
+        key = first = last = -1
+        for i, (p, d, k) in enumerate(seq):
+            if low >= high:
+                break
+            if k and key < 0:
+                if first >= 0:
+                    error = "Invalid"
+                    break
+                key = i
+            elif k and first < 0 and p <= low:
+                key = i
+            if first < 0 and p >= low:
+                first = i
+            if p < high:
+                last = i
+        if not error and 0 <= key <= first <= last:
+            base = seq[key][1]
+            out = [(i - key, p - base, d - base) for i, (p, d, _) in enumerate(seq) if key <= i <= last]
+            error = "Unsupported" if base > low else None if model_duration([d for _, _, d in out]) else "Invalid"
+        expected[t] = ([] if error else out, error)
+    found = {t: [] for t in expected}
+    out, _, summary = transforms.trim(tracks(spark, rows), spark.createDataFrame(boxes, BOX), 3, 6)
+    for r in out.orderBy("track_id", "idx").collect():
+        found[r["track_id"]].append((r["idx"], r["pts"], r["dts"]))
+    errors = {r["track_id"]: r["error_category"] for r in summary.collect()}
+    assert {t: (found[t], errors[t]) for t in expected} == expected
+    assert {e for _, e in expected.values()} == {None, "Invalid", "Unsupported"}
+
+
+def test_stitch_against_a_model(spark):
+    """Audio and video gaps, timescales, boxes that some files lack, sound that overlaps, and the errors."""
+    rng = random.Random(13)
+    rows, boxes, expected = [], [], {}
+    for t in range(60):
+        files, error = [], None
+        for f in range(rng.randint(1, 3)):
+            scale = rng.choice([30, 60])
+            at, video = rng.choice([0, 2]), []
+            for _ in range(1 if t % 12 == 5 and f else rng.randint(2, 5)):
+                video.append(at)
+                at += rng.choice([1, 2, 3])
+            at, audio = rng.choice([0, 1, 9]), []
+            for _ in range(0 if t % 12 == 7 and f else rng.randint(1, 6)):
+                audio.append(at)
+                at += rng.choice([2, 5, 9])
+            vb = [(video[0], 3), (video[0] + 4, 2)] if t % 2 and rng.random() < 0.6 else []
+            ab = [(audio[0], 4)] if audio and t % 3 == 0 and rng.random() < 0.5 else []
+            files.append((scale, video, audio, vb, ab))
+            i = 0
+            for d in video:
+                rows.append((t, f, i, d, d, scale, True, "video", 1))
+                i += 1
+            for d in audio:
+                rows.append((t, f, i, d, d + 1, 100, True, "audio", 1))
+                i += 1
+            boxes += [(t, f, o, a, n, "video") for o, (a, n) in enumerate(vb)] + [(t, f, o, a, n, "audio") for o, (a, n) in enumerate(ab)]
+        s = files[0][0]
+        to = lambda x, k: (x * s + k // 2) // k
+        sound = lambda x: (x * 100 + s // 2) // s
+        vd = ad = 0
+        has_audio, has_boxes = any(a for _, _, a, _, _ in files), any(vb or ab for *_, vb, ab in files)
+        out_v, out_a, box_v, box_a = [], [], [], []
+        for k, video, audio, vb, ab in files:
+            video, vb = [to(x, k) if k != s else x for x in video], [(to(a, k), to(n, k)) if k != s else (a, n) for a, n in vb]
+            if (has_audio and not audio) or (len(video) == 1):
+                error = "InvalidArguments" if has_audio and not audio else "Unsupported"
+                break
+            own = model_duration(video)
+            vo = vd - video[0]
+            out_v += [x + vo for x in video]
+            box_v += [(a + vo, n) for a, n in vb] or [(video[0] + vo, own)]
+            vd += own
+            counted = model_duration(audio) if ab else sound(sum(n for _, n in vb)) if vb else sound(own)
+            gap = audio[0] + 1 - sound(video[0])
+            ao = ad - (audio[0] + 1) + gap
+            out_a += [(x + ao, x + 1 + ao) for x in audio if not (ao < 0 and -ao > x and -ao > x + 1)]
+            box_a += [(a + ao, n) for a, n in ab] or [(audio[0] + 1 + ao, counted)]
+            ad += counted
+        kept = []
+        for p, d in out_a[::-1]:
+            if not kept or (p < kept[-1][0] and d < kept[-1][1]):
+                kept.append((p, d))
+        expected[t] = ([], [], [], error) if error else (out_v, kept[::-1], (box_v + box_a) if has_boxes else [], None)
+    df = spark.createDataFrame(rows, "track_id long, file_ord int, idx long, pts long, dts long, timescale long, keyframe boolean, type string, size int")
+    listed = spark.createDataFrame(boxes, "track_id long, file_ord int, ord int, start_pts long, duration_pts long, type string")
+    out, new_boxes, summary = stitching.stitched_files(df, listed)
+    found = {t: ([], [], [], None) for t in expected}
+    for r in out.orderBy("track_id", "type", "idx").collect():
+        found[r["track_id"]][0 if r["type"] == "video" else 1].append(r["dts"] if r["type"] == "video" else (r["pts"], r["dts"]))
+    for r in new_boxes.orderBy("track_id", "ord").collect():
+        found[r["track_id"]][2].append((r["start_pts"], r["duration_pts"]))
+    for r in summary.collect():
+        found[r["track_id"]] = (*found[r["track_id"]][:3], r["error_category"])
+    assert found == expected and {e for *_, e in expected.values()} == {None, "InvalidArguments", "Unsupported"}
+
+
+def test_long_tracks_take_linear_time(spark):
+    """A track of a hundred thousand rows: each row costs the same wherever it stands."""
+    rows = spark.range(100_000).selectExpr("1L as track_id", "id as idx", "id * 10 as pts", "id * 10 + id % 7 as dts", "1L as timescale", "id % 50 = 0 as keyframe", "if(id % 400 = 399, 'caption', 'video') as type", "1 as size").cache()
+    rows.count()
+    began = time.monotonic()
+    found = compare.captions_ahead(rows.where("type = 'video'"), rows.where("type = 'caption'"))
+    assert found.where("caption_idx is null or caption_idx < idx").count() == 0
+    assert transforms.without_overlap(rows, 4096).count() == transforms.without_overlap(rows).count() == 100_000
+    falling = rows.withColumn("dts", F.expr("if(idx % 1000 = 999, dts - 5000, dts)"))
+    assert transforms.without_overlap(falling, 4096).select("idx").exceptAll(transforms.without_overlap(falling).select("idx")).count() == 0
+    assert time.monotonic() - began < 60
+
+
+def test_rules_of_files(spark):
+    rows = tracks(spark, [(1, i, p, d, 1, k, "video", 1) for i, (p, d, k) in enumerate([(0, 0, True), (2, 1, True), (1, 2, True), (3, 3, True)])])
+    assert [r["keyframe"] for r in containers.open_gops(rows).orderBy("idx").collect()] == [True, False, False, True]
+    same = tracks(spark, [(1, i, 4, 4, 1, True, "video", 1) for i in range(3)])
+    assert all(r["keyframe"] for r in containers.open_gops(same).collect())
+    assert [r["idx"] for r in track.thumbnails(rows, 1).collect()] == [0] and [r["idx"] for r in track.thumbnails(rows, 2).orderBy("idx").collect()] == [0, 3]
+    sizes = [50, 100, 150, 250, 300]
+    assert [value(spark, arith.padding(F.lit(n), [100])) for n in sizes] == [50, 0, 0, 0, 0] and value(spark, arith.padding(F.lit(7), [])) == 0
+    assert [value(spark, octets.output_kind(F.lit(p))) for p in ("a.mov", "a.m4v", "a.ts.x", "b.webm", "b")] == ["mp4", "mp4", "mp2ts", "webm", "unknown"]
+    assert transforms.ADTS_BYTES == 3661
+    fall = [r.asDict() for r in transforms.durations(tracks(spark, [(1, 0, 0, 5, 1, True, "video", 1), (1, 1, 0, 3, 1, True, "video", 1)])).collect()]
+    assert fall == [{"track_id": 1, "duration": None, "error_category": "Invalid"}]
+    with pytest.raises(Exception, match="Unsupported"):
+        editboxes.written(spark.createDataFrame([(1, 0, 0, 5, "caption")], BOX + ", type string"), spark.createDataFrame([(1, "caption", 1, 1)], "track_id long, type string, timescale long, movie_timescale long")).collect()
+    with pytest.raises(ValueError, match="Unsupported"):
+        editboxes.written(None, None, "dash")
+
+
+def test_work_is_cut_at_keyframes(spark):
+    rows = tracks(spark, [(1, i, 10 * i, 10 * i, 1, i % 4 == 0, "video", 1) for i in range(30)])
+    parts = [(r["part"], r["first_dts"], r["last_dts"]) for r in tools.work_parts(rows, 3).orderBy("part").collect()]
+    assert parts == [(0, 0, 110), (1, 120, 230), (2, 240, 290)]
+
+
 def test_chunks_join_back_and_shift_inverts(spark):
     rows = tracks(spark, [(1, i, i, i, 1, i % 3 == 0, "video", i) for i in range(9)])
     cut = track.with_gop(rows)

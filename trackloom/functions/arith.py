@@ -153,8 +153,53 @@ def h264_profile(width, height) -> Column:
     return F.when(size <= 480, "baseline").when(size <= 720, "main").otherwise("high")
 
 
-#: Upper sample rates of the Vorbis bands, with the least and greatest bitrate (kbps) of each.
-VORBIS_BANDS = ((8000, None, None), (12000, 8, 32), (16000, 16, 48), (24000, 16, 86), (32000, 30, 86), (40000, 32, 190))
+#: Sample rates at which Vorbis bands begin, with the greatest bitrates of one and two channels.
+VORBIS_BANDS = ((8000, 42000, 32000), (9000, 50000, 44000), (15000, 100000, 86000), (19000, 90000, 86000), (26000, 190000, 190000), (40000, 240000, 250000))
+#: Sample rates that sound may have.
+SAMPLE_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+#: Codecs by kind.
+AAC, PCM = ("aac_main", "aac_lc", "aac_lc_sbr"), ("pcm_s16le", "pcm_s16be", "pcm_s24le", "pcm_s24be")
+IMAGES = ("jpg", "png", "gif", "bmp", "webp", "tiff")
+MAX_DIMENSION, MAX_IMAGE_SIDE, MAX_IMAGE_PIXELS = 0x2000, 16384, 8192 * 8192
+
+
+def vorbis_bitrate(sample_rate, channels, bitrate) -> Column:
+    """A bitrate kept within what the band of a sample rate allows; from the last band's rate on it is not limited, below the first there is none (null)."""
+    out = F.when(_c(sample_rate) < VORBIS_BANDS[0][0], F.lit(None).cast("int"))
+    for (_, one, two), (upper, *_) in zip(VORBIS_BANDS, VORBIS_BANDS[1:], strict=False):
+        out = out.when(_c(sample_rate) < upper, F.least(_c(bitrate), F.when(_c(channels) == 1, one).otherwise(two)))
+    return out.otherwise(_c(bitrate))
+
+
+def is_aac(codec) -> Column:
+    return F.coalesce(_c(codec).isin(*AAC), F.lit(False))
+
+
+def is_pcm(codec) -> Column:
+    return F.coalesce(_c(codec).isin(*PCM), F.lit(False))
+
+
+def is_image(codec) -> Column:
+    return F.coalesce(_c(codec).isin(*IMAGES), F.lit(False))
+
+
+def known_sample_rate(rate) -> Column:
+    return _c(rate).isin(*SAMPLE_RATES)
+
+
+def valid_dimensions(width, height) -> Column:
+    """Sizes a video may have."""
+    return _c(width).between(1, MAX_DIMENSION) & _c(height).between(1, MAX_DIMENSION)
+
+
+def valid_image_size(width, height) -> Column:
+    return _c(width).between(1, MAX_IMAGE_SIDE) & _c(height).between(1, MAX_IMAGE_SIDE) & (_c(width).cast("long") * _c(height).cast("long") <= MAX_IMAGE_PIXELS)
+
+
+def encoder_rate(fps, codec: str = "h264") -> Column:
+    """Frames in a thousand seconds, rounded; VP8 takes no less than one a second."""
+    rate = F.greatest(_c(fps), F.lit(1.0)) if codec == "vp8" else _c(fps)
+    return F.floor(rate * 1000.0 + 0.5).cast("int")
 
 
 def display_size(coded_width, coded_height, par_width, par_height) -> tuple[Column, Column]:
@@ -166,19 +211,26 @@ def display_size(coded_width, coded_height, par_width, par_height) -> tuple[Colu
     return w, h
 
 
-def output_size(width, height, wanted) -> tuple[Column, Column]:
-    """A size scaled so that its smaller side is ``wanted`` (never up), both sides even."""
+def output_size(width, height, wanted, orientation=0, square: bool = False) -> tuple[Column, Column]:
+    """A size whose smaller side becomes ``wanted`` (0 leaves it), made square by its smaller side if asked, and turned if the orientation is odd."""
     least = F.least(_c(width), _c(height))
-    to = F.least(least, _c(wanted))
-    return even(round_divide(width, to, least)), even(round_divide(height, to, least))
+    scaled = lambda x: F.when(_c(wanted) == 0, _c(x)).otherwise(round_divide(x, wanted, least))
+    w, h = scaled(width), scaled(height)
+    if square:
+        w = h = F.least(w, h)
+    turned = F.pmod(_c(orientation), F.lit(2)) == 1
+    return F.when(turned, h).otherwise(w), F.when(turned, w).otherwise(h)
 
 
 def padding(size, buckets: list[int]) -> Column:
-    """Bytes that pad ``size`` to the next bucket; beyond the last, buckets go on by the last difference. An exact bucket needs none."""
+    """Bytes that pad ``size`` to the next bucket; beyond the last of several, buckets go on by the last difference. An exact bucket needs none, nor does anything beyond a lone one."""
     size = _c(size)
-    delta = buckets[-1] - buckets[-2] if len(buckets) > 1 else buckets[-1]
-    beyond = F.lit(buckets[-1]) + ceil_divide(size - buckets[-1], 1, delta) * delta
-    out = F.when(size > buckets[-1], beyond - size)
-    for bucket in sorted(buckets):
-        out = out.when(size <= bucket, F.lit(bucket) - size)
-    return out.cast("long")
+    if not buckets:
+        return size.cast("long") * 0
+    out = F.when(size < buckets[0], F.lit(buckets[0]) - size)
+    for low, high in zip(buckets, buckets[1:], strict=False):
+        out = out.when((size > low) & (size < high), F.lit(high) - size)
+    if len(buckets) > 1:
+        delta = buckets[-1] - buckets[-2]
+        out = out.when(size > buckets[-1], F.pmod(F.lit(buckets[-1]) - size, F.lit(delta)))
+    return out.otherwise(0).cast("long")

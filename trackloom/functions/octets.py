@@ -152,17 +152,17 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-#: Output kinds by a part of the path, in the order in which they are tried.
-OUTPUTS = (".mp4", ".m4a", ".dash_init", ".dash_data", ".ts", ".webm")
+#: Output types by a part of the path, in the order in which they are tried.
+OUTPUTS = ((".mp4", "mp4"), (".m4a", "mp4"), (".m4v", "mp4"), (".mov", "mp4"), (".ts", "mp2ts"), (".webm", "webm"))
 
 
 def output_kind(path: Column) -> Column:
-    """The first known part that the path holds anywhere, without its dot."""
+    """The type of the first known part that the path holds anywhere, or ``unknown``."""
     found = None
-    for part in OUTPUTS:
+    for part, kind in OUTPUTS:
         fits = F.contains(path, F.lit(part))
-        found = F.when(fits, part[1:]) if found is None else found.when(fits, part[1:])
-    return found
+        found = F.when(fits, kind) if found is None else found.when(fits, kind)
+    return found.otherwise("unknown")
 
 
 def offsets(text: Column) -> Column:

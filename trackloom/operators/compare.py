@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.arith import psnr
+from trackloom.operators.editboxes import box_array, valid
 from trackloom.operators.track import TRACK, ordered, with_gop
 
 MAX_GOP, MAX_SAMPLES = 0x200, 0x4000
@@ -19,8 +20,9 @@ def captions_ahead(video: DataFrame, captions: DataFrame) -> DataFrame:
     both = video.select(*TRACK, "idx", "pts", F.lit(None).cast("struct<at:bigint,idx:bigint>").alias("c")).unionByName(
         captions.select(*TRACK, F.lit(None).cast("long").alias("idx"), "pts", F.struct(F.col("pts").alias("at"), F.col("idx").alias("idx")).alias("c"))
     )
-    after = Window.partitionBy(*TRACK).orderBy("pts", F.col("c").isNotNull(), F.col("c.idx")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first("c", ignorenulls=True).over(after)).where("idx is not null")
+    # From the last time to the first, so that the frame begins at its first row and grows by one: a row costs the same wherever it stands.
+    ahead = Window.partitionBy(*TRACK).orderBy(F.desc("pts"), F.col("c").isNotNull().desc(), F.col("c.idx").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("next", F.last("c", ignorenulls=True).over(ahead)).where("idx is not null")
     return found.select(*TRACK, "idx", "pts", F.col("next.idx").alias("caption_idx"), F.col("next.at").alias("caption_pts"))
 
 
@@ -42,8 +44,41 @@ def overall_quality(frames: DataFrame) -> DataFrame:
 
 
 def bucket(pts: Column, timescale: Column) -> Column:
-    """Hundredths of a second, in single precision."""
-    return F.floor((pts * 100).cast("float") / timescale.cast("float")).cast("long")
+    """Hundredths of a second of a played time, in single precision and truncated."""
+    hundredths = pts.cast("float") * F.lit(100.0).cast("float")
+    return (hundredths / timescale.cast("float")).cast("float").cast("long")
+
+
+def bucket_quality(reference: DataFrame, test: DataFrame, plane: str = "plane") -> DataFrame:
+    """(track, n_reference, n_test, matched, sse, pixels, psnr, error_category) of played frames that share a time bucket.
+
+    ``real_pts`` (below zero where no box plays a frame) and ``timescale`` give the bucket. Two test frames
+    in a bucket make the track Invalid; several reference frames may share one test frame; frames
+    without a partner are counted only. An equi-join on (track, bucket): nothing is compared across.
+    """
+    def shown(df: DataFrame, name: str) -> DataFrame:
+        return df.where("real_pts >= 0").select(*TRACK, bucket(F.col("real_pts"), F.col("timescale")).alias("time"), F.col(plane).alias(name))
+
+    one, two = shown(reference, "a"), shown(test, "b")
+    taken = two.groupBy(*TRACK, "time").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"))
+    counts = one.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n_reference"))
+    tests = taken.groupBy(*TRACK).agg(F.sum("n").alias("n_test"), (F.max("n") > 1).alias("twice"))
+    pairs = one.join(taken, [*TRACK, "time"])
+    same = F.col("a").eqNullSafe(F.col("b"))
+    sums = pairs.groupBy(*TRACK).agg(
+        F.count(F.lit(1)).alias("matched"),
+        F.sum(F.when(same, F.lit(0).cast("long")).otherwise(squared_error(F.col("a"), F.col("b")))).alias("sse"),
+        F.sum(F.when(same, F.lit(0)).otherwise(F.size("a")).cast("long")).alias("pixels"),
+    )
+    every = counts.join(tests, TRACK, "full").join(sums, TRACK, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    bad = F.coalesce("twice", F.lit(False))
+    valid = lambda c: F.when(~bad, zero(F.col(c))).alias(c)
+    error = F.when(bad, "Invalid").when(zero(F.col("matched")) == 0, "no_matching_frames")
+    return every.select(
+        *TRACK, zero(F.col("n_reference")).alias("n_reference"), zero(F.col("n_test")).alias("n_test"), valid("matched"), valid("sse"), valid("pixels"),
+        F.when(~bad & (F.col("pixels") > 0), psnr(F.col("sse") / F.nullif(F.col("pixels"), F.lit(0).cast("long")))).alias("psnr"), error.alias("error_category"),
+    )
 
 
 def positional_diff(left: DataFrame, right: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
@@ -56,14 +91,44 @@ def positional_diff(left: DataFrame, right: DataFrame, columns: list[str], order
     return both.where(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def validated(samples: DataFrame) -> DataFrame:
-    """(track_id, n, error_category): the first rule that a track breaks, or null."""
-    w = ordered()
-    rows = with_gop(samples)
-    rows = rows.withColumns({"falls": F.col("dts") <= F.lag("dts").over(w), "sound_falls": (F.col("type") == "audio") & (F.col("pts") <= F.lag("pts").over(w))})
-    sizes = rows.groupBy(*TRACK, "gop").agg(F.count(F.lit(1)).alias("n"), F.max("falls").alias("falls"), F.max("sound_falls").alias("sound_falls"))
-    tracks = sizes.groupBy(*TRACK).agg(
-        F.sum("n").alias("n"), F.max(F.when(F.col("gop") > 0, F.col("n"))).alias("longest"), F.min("gop").alias("first"), F.coalesce(F.max("falls"), F.lit(False)).alias("falls"), F.coalesce(F.max("sound_falls"), F.lit(False)).alias("sound_falls")
+#: Video codecs and audio codecs that pass.
+VIDEO_CODECS, AUDIO_CODECS = ("h264",), ("aac_lc", "aac_lc_sbr")
+
+
+def validated(samples: DataFrame, settings: DataFrame | None = None, boxes: DataFrame | None = None, block: int | None = None) -> DataFrame:
+    """(track_id, n_video, n_audio, error_category): the first rule that a file breaks, or null.
+
+    Video and audio rows are judged each among their own: as many as the cap, codec, no video, no
+    keyframe first, edit boxes of either kind, decode order of video, order of audio in both times, size
+    of a keyframe group. ``settings``: (track_id, type, codec); ``boxes``: edit boxes with ``type``.
+    """
+    w = Window.partitionBy(*TRACK, "type").orderBy("idx")
+    rows = samples.where(F.col("type").isin("video", "audio"))
+    falls = lambda c: F.coalesce(F.col(c) <= F.lag(c).over(w), F.lit(False))
+    rows = rows.withColumns({"falls": falls("dts"), "pts_falls": (F.col("type") == "audio") & falls("pts")})
+    rows = with_gop(rows.withColumn("keyframe", F.col("keyframe") & (F.col("type") == "video")), block)
+    video, audio = F.col("type") == "video", F.col("type") == "audio"
+    groups = rows.groupBy(*TRACK, "gop").agg(
+        F.count_if(video).alias("v"), F.count_if(audio).alias("a"), F.bool_or(video & F.col("falls")).alias("vf"), F.bool_or(audio & F.col("falls")).alias("af"), F.bool_or("pts_falls").alias("ap")
     )
-    rule = F.when(F.col("n") > MAX_SAMPLES, "too_many_samples").when(F.col("first") == 0, "no_first_keyframe").when(F.col("falls"), "dts_order").when(F.col("sound_falls"), "pts_order").when(F.col("longest") > MAX_GOP, "gop_too_long")
-    return tracks.select(*TRACK, "n", rule.alias("error_category"))
+    tracks = groups.groupBy(*TRACK).agg(
+        F.sum("v").alias("n_video"), F.sum("a").alias("n_audio"), F.bool_or("vf").alias("vf"), F.bool_or("af").alias("af"), F.bool_or("ap").alias("ap"),
+        F.max(F.when(F.col("gop") > 0, F.col("v"))).alias("longest"), F.coalesce(F.max(F.when(F.col("gop") == 0, F.col("v"))), F.lit(0)).alias("before"),
+    )
+    none = F.lit(False)
+    codec_v = codec_a = none
+    if settings is not None:
+        codecs = settings.groupBy(*TRACK).agg(F.max(F.when(video, F.col("codec"))).alias("vc"), F.max(F.when(audio, F.col("codec"))).alias("ac"))
+        tracks = tracks.join(codecs, TRACK, "left")
+        codec_v, codec_a = ~F.coalesce(F.col("vc").isin(*VIDEO_CODECS), none), (F.col("n_audio") > 0) & ~F.coalesce(F.col("ac").isin(*AUDIO_CODECS), none)
+    bad_boxes = none
+    if boxes is not None:
+        listed = boxes.where(F.col("type").isin("video", "audio")).groupBy(*TRACK, "type").agg(box_array().alias("boxes"))
+        bad = listed.groupBy(*TRACK).agg(F.bool_or(~valid(F.col("boxes"))).alias("bad_boxes"))
+        tracks, bad_boxes = tracks.join(bad, TRACK, "left"), F.coalesce("bad_boxes", none)
+    rule = (
+        F.when((F.col("n_video") >= MAX_SAMPLES) | (F.col("n_audio") >= MAX_SAMPLES), "too_many_samples")
+        .when(codec_v, "video_codec").when(codec_a, "audio_codec").when(F.col("n_video") == 0, "no_video").when(F.col("before") > 0, "no_first_keyframe")
+        .when(bad_boxes, "edit_boxes").when(F.col("vf"), "video_dts_order").when(F.col("af"), "audio_dts_order").when(F.col("ap"), "audio_pts_order").when(F.col("longest") > MAX_GOP, "gop_too_long")
+    )
+    return tracks.select(*TRACK, "n_video", "n_audio", rule.alias("error_category"))

@@ -5,15 +5,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.arith import div, round_divide
 from trackloom.operators.track import TRACK
 
 BOXES = "array<struct<start:bigint,duration:bigint>>"
 
 
-def as_array(boxes: DataFrame) -> DataFrame:
-    """(track_id, boxes): the boxes of each track in order. A list is at most a few dozen boxes, so it travels as one value."""
+def box_array() -> Column:
+    """The boxes of a group in order, as an aggregate. A list is at most a few dozen boxes, so it travels as one value."""
     listed = F.array_sort(F.collect_list(F.struct("ord", F.col("start_pts").alias("start"), F.col("duration_pts").alias("duration"))))
-    return boxes.groupBy(*TRACK).agg(F.transform(listed, lambda b: F.struct(b["start"].alias("start"), b["duration"].alias("duration"))).alias("boxes"))
+    return F.transform(listed, lambda b: F.struct(b["start"].alias("start"), b["duration"].alias("duration")))
+
+
+def as_array(boxes: DataFrame) -> DataFrame:
+    """(track_id, boxes): the boxes of each track in order."""
+    return boxes.groupBy(*TRACK).agg(box_array().alias("boxes"))
+
+
+def of_type(boxes: DataFrame, kind: str) -> DataFrame:
+    """The boxes of one kind of track."""
+    return boxes.where(F.col("type") == kind)
+
+
+MAX_EDITS = 60
+
+
+def loaded(edits: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Edit boxes of a file's edits (track_id, ord, start, duration in movie ticks; null stands for implicit).
+
+    ``tracks``: (track_id, type, timescale, movie_timescale, duration, playback_duration in movie ticks).
+    Durations are rescaled to track ticks; an implicit one is the whole track's (an implicit empty edit has no
+    effect and goes); edits after those that cover the playback duration have none either and go.
+    More than 60 edits are unsafe.
+    """
+    joined = edits.withColumnRenamed("duration", "edit").join(tracks, TRACK).where("start <> -1 or edit is not null")
+    movie, own = F.col("movie_timescale"), F.col("timescale")
+    length = F.coalesce("edit", round_divide(F.col("duration"), movie, own))
+    per = Window.partitionBy(*TRACK)
+    joined = joined.withColumn("edits", F.count(F.lit(1)).over(per)).withColumn("duration_pts", round_divide(length, own, movie))
+    before = F.coalesce(F.sum("duration_pts").over(per.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = joined.withColumn("before", before).where(F.col("before") < round_divide(F.col("playback_duration"), own, movie))
+    unsafe = F.when(F.col("edits") > MAX_EDITS, F.raise_error(F.lit("Unsafe: too many edits")).cast("long")).otherwise(F.col("start"))
+    order = (F.row_number().over(per.orderBy("ord")) - 1).cast("int")
+    return kept.select(*TRACK, order.alias("ord"), unsafe.alias("start_pts"), "duration_pts", F.lit(1.0).cast("float").alias("rate"), "type")
+
+
+def written(boxes: DataFrame, tracks: DataFrame, file_format: str = "regular") -> DataFrame:
+    """(track_id, ord, start_time, duration): edits in movie ticks (truncated) of boxes; only regular files take any, and captions can't."""
+    if file_format != "regular":
+        raise ValueError(f"Unsupported: edit boxes in a {file_format} file")
+    joined = boxes.join(tracks.select(*TRACK, "type", "timescale", "movie_timescale"), [*TRACK, "type"])
+    bad = F.when(F.col("type") == "caption", F.raise_error(F.lit("Unsupported: edit box in a caption track")).cast("long"))
+    return joined.select(*TRACK, "type", "ord", F.coalesce(bad, F.col("start_pts")).alias("start_time"), div(F.col("duration_pts") * F.col("movie_timescale"), F.col("timescale")).alias("duration"))
+
+
+def shifted(boxes: DataFrame, offset: Column) -> DataFrame:
+    """Boxes moved by an offset; an empty box stays where it is and can only be moved by 0."""
+    empty = F.col("start_pts") == -1
+    moved = F.when(empty & (offset != 0), F.raise_error(F.lit("InvalidArguments: an empty box can't be moved")).cast("long")).when(empty, F.col("start_pts")).otherwise(F.col("start_pts") + offset)
+    return boxes.withColumn("start_pts", moved)
+
+
+def included(samples: DataFrame, boxes: DataFrame, start_ms: int, duration_ms: int) -> DataFrame:
+    """Samples that are played in [start, start + duration) of milliseconds in single precision, and not before the first such one in file order, which anchors the output."""
+    rows = with_real_pts(samples, boxes)
+    time = (F.lit(1000.0).cast("float") * F.col("real_pts").cast("float") / F.col("timescale").cast("float")).cast("float")
+    rows = rows.where((F.col("real_pts") >= 0) & (time >= F.lit(float(start_ms)).cast("float")) & (time < F.lit(float(start_ms + duration_ms)).cast("float")))
+    first = rows.groupBy(*TRACK).agg(F.min_by("real_pts", "idx").alias("first_pts"))
+    return rows.join(first, TRACK).where("real_pts >= first_pts").drop("first_pts")
 
 
 def valid(boxes: Column) -> Column:

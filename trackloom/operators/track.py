@@ -53,25 +53,32 @@ def concatenated(parts: list[DataFrame]) -> DataFrame:
     return reindexed(reduce(lambda a, b: a.unionByName(b), listed), order=["file_ord", "idx"])
 
 
-def running_sum(df: DataFrame, value: Column, into: str, block: int | None = None) -> DataFrame:
-    """Inclusive running sum along ``idx``.
+_RUNNING = {"sum": (F.sum, lambda here, before: F.coalesce(here + before, here, before)), "min": (F.min, F.least), "max": (F.max, F.greatest)}
 
-    With ``block``, a track longer than that is summed in blocks of index numbers: sums of blocks
-    first (pre-aggregated, few rows), then within each block, so no task sorts a whole long track.
+
+def running(df: DataFrame, value: Column, into: str, how: str = "sum", block: int | None = None, reverse: bool = False, inclusive: bool = True) -> DataFrame:
+    """Running sum, min or max along ``idx`` (from the end with ``reverse``); null where nothing has come yet.
+
+    With ``block``, a track longer than that is taken in blocks of index numbers: values of whole blocks
+    first (pre-aggregated, few rows), then within each block, so no task sorts a whole long track. Every
+    frame begins at the first row of its order, so a row costs the same wherever it stands.
     """
+    total, joined = _RUNNING[how]
+    last = Window.currentRow if inclusive else -1
+    along = lambda c: F.col(c).desc() if reverse else F.col(c).asc()
     if block is None:
-        return df.withColumn(into, F.sum(value).over(so_far(ordered())))
+        return df.withColumn(into, total(value).over(Window.partitionBy(*TRACK).orderBy(along("idx")).rowsBetween(Window.unboundedPreceding, last)))
     cut = df.withColumn("__block", F.call_function("div", F.col("idx"), F.lit(block)))
-    sums = cut.groupBy(*TRACK, "__block").agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*TRACK).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*TRACK, "__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    inside = so_far(Window.partitionBy(*TRACK, "__block").orderBy("idx"))
-    return cut.join(sums, [*TRACK, "__block"]).withColumn(into, F.sum(value).over(inside) + F.col("__before")).drop("__block", "__before")
+    parts = cut.groupBy(*TRACK, "__block").agg(total(value).alias("__part"))
+    before = Window.partitionBy(*TRACK).orderBy(along("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*TRACK, "__block", total("__part").over(before).alias("__before"))
+    inside = Window.partitionBy(*TRACK, "__block").orderBy(along("idx")).rowsBetween(Window.unboundedPreceding, last)
+    return cut.join(parts, [*TRACK, "__block"]).withColumn(into, joined(total(value).over(inside), F.col("__before"))).drop("__block", "__before")
 
 
 def with_gop(df: DataFrame, block: int | None = None) -> DataFrame:
     """``gop`` counts keyframes so far; rows before the first have 0."""
-    return running_sum(df, F.col("keyframe").cast("long"), "gop", block)
+    return running(df, F.col("keyframe").cast("long"), "gop", block=block)
 
 
 def shifted(df: DataFrame, offset: Column) -> DataFrame:
@@ -88,17 +95,18 @@ def presentation_rank(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", (F.row_number().over(ordered(order=["pts", "idx"])) - 1).cast("long"))
 
 
-def chunk_spans(df: DataFrame) -> DataFrame:
+def chunk_spans(df: DataFrame, block: int | None = None) -> DataFrame:
     """For each keyframe group: its index range, first pts, pts of its last sample, and pts of the next group's keyframe."""
-    spans = with_gop(df).where("gop > 0").groupBy(*TRACK, "gop").agg(
+    spans = with_gop(df, block).where("gop > 0").groupBy(*TRACK, "gop").agg(
         F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min_by("pts", "idx").alias("start_pts"), F.max_by("pts", "idx").alias("last_pts")
     )
     return spans.withColumn("next_pts", F.lead("start_pts").over(ordered(order="gop")))
 
 
 def thumbnails(df: DataFrame, k: int) -> DataFrame:
-    """At most ``k`` evenly spaced rows of each track, first and last included."""
+    """At most ``k`` evenly spaced rows of each track, first and last included; one alone is the first."""
     sizes = df.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n"))
-    wanted = sizes.select(*TRACK, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"), "n")
-    place = F.call_function("div", F.col("i") * (F.col("n") - 1) * 2 + (k - 1), F.lit(2 * (k - 1)))
-    return df.join(wanted.select(*TRACK, place.cast("long").alias("idx")).distinct(), [*TRACK, "idx"], "left_semi")
+    wanted = sizes.select(*TRACK, F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1))).alias("i"), "n")
+    steps = max(k - 1, 1)
+    place = F.call_function("div", F.col("i") * (F.col("n") - 1) * 2 + steps, F.lit(2 * steps))
+    return df.join(wanted.select(*TRACK, F.when(F.lit(k > 1), place).otherwise(0).cast("long").alias("idx")).distinct(), [*TRACK, "idx"], "left_semi")

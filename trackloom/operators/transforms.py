@@ -9,54 +9,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.arith import ms_to_ticks, ms_to_ticks_up, round_divide, seconds, whole_median
-from trackloom.operators.editboxes import BOXES, as_array, trimmed
-from trackloom.operators.track import TRACK, ordered
+from trackloom.operators.editboxes import BOXES, as_array, trimmed, valid
+from trackloom.operators.track import TRACK, ordered, running
 
 LOOKBACK, ADJUSTMENTS = 16, 32
 
 
 def durations(samples: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Duration of each track: all decode-time steps and their median for the last sample."""
+    """(keys, duration, error_category): all decode-time steps and their median for the last sample; decode times that fall make a track Invalid, without a duration."""
     keys = keys or TRACK
     stepped = samples.select(*keys, "dts", (F.col("dts") - F.lag("dts").over(ordered(keys))).alias("delta"))
-    return stepped.groupBy(*keys).agg((F.max("dts") - F.min("dts") + whole_median("delta")).alias("duration"), F.coalesce(F.min("delta") >= 0, F.lit(True)).alias("ordered"))
+    falls = F.coalesce(F.min("delta") < 0, F.lit(False))
+    return stepped.groupBy(*keys).agg(F.when(~falls, F.max("dts") - F.min("dts") + whole_median("delta")).alias("duration"), F.when(falls, "Invalid").alias("error_category"))
 
 
-def gop_bounds(samples: DataFrame, start: Column, end: Column) -> DataFrame:
-    """(key, first, last) indexes needed to play pts in [start, end), and whether there are any; ``samples`` holds both as columns or literals."""
-    w = Window.partitionBy(*TRACK)
-    first = F.min(F.when(F.col("pts") >= start, F.col("idx"))).over(w)
-    rows = samples.withColumn("first", first)
-    near = F.max(F.when(F.col("keyframe") & (F.col("idx") <= F.col("first")) & (F.col("pts") <= start), F.col("idx")))
-    return rows.groupBy(*TRACK).agg(
-        F.max("first").alias("first"), F.max(F.when(F.col("pts") < end, F.col("idx"))).alias("last"), F.coalesce(near, F.min(F.when(F.col("keyframe"), F.col("idx")))).alias("key")
-    )
+def trim(samples: DataFrame, boxes: DataFrame | None, start_ms: int, duration_ms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, boxes, tracks) of a time range, re-based to the keyframe it needs.
 
+    ``tracks`` has a row for each track: its output ``duration`` and ``error_category``. Invalid: boxes that
+    are not valid; without boxes, decode times that fall or no duration at all; the first keyframe comes
+    after the first sample of the range; a result of no duration. Unsupported: the keyframe is decoded after the
+    range begins. Such tracks, and those without samples in the range, give no rows.
 
-def trim(samples: DataFrame, boxes: DataFrame | None, start_ms: int, duration_ms: int) -> tuple[DataFrame, DataFrame]:
-    """Samples and boxes of a time range, re-based to the keyframe it needs. Tracks without such samples give none."""
+    One windowed pass finds each row's step, one aggregate each track's facts; then only rows of the range
+    meet the few rows that say what it is.
+    """
+    if duration_ms <= 0:
+        raise ValueError("InvalidArguments: a range without duration")
     start, length = ms_to_ticks(F.lit(start_ms).cast("long"), F.col("timescale")), ms_to_ticks_up(F.lit(duration_ms).cast("long"), F.col("timescale"))
-    tracks = samples.groupBy(*TRACK).agg(F.first("timescale").alias("timescale")).join(durations(samples), TRACK)
+    own = [c for c in ("idx", "pts", "dts", "timescale", "keyframe", "type") if c in samples.columns]
+    rows = samples.select(*TRACK, *own)
+    stepped = rows.withColumn("delta", F.col("dts") - F.lag("dts").over(ordered()))
+    tracks = stepped.groupBy(*TRACK).agg(
+        F.first("timescale").alias("timescale"), (F.max("dts") - F.min("dts") + whole_median("delta")).alias("whole"), F.coalesce(F.min("delta") < 0, F.lit(False)).alias("falls")
+    )
     listed = tracks.join(as_array(boxes), TRACK, "left") if boxes is not None else tracks.withColumn("boxes", F.array().cast(BOXES))
     listed = listed.withColumn("boxes", F.coalesce("boxes", F.array().cast(BOXES)))
-    limited = F.when(F.size("boxes") == 0, F.least(length, F.col("duration"))).otherwise(length)
-    cut = listed.select(*TRACK, trimmed(F.col("boxes"), start, limited).alias("boxes"))
+    plain = F.size("boxes") == 0
+    wrong = F.when(~valid(F.col("boxes")) | (plain & (F.col("falls") | (F.col("whole") == 0))), "Invalid")
+    cut = listed.select(*TRACK, wrong.alias("wrong"), trimmed(F.col("boxes"), start, F.when(plain, F.least(length, F.col("whole"))).otherwise(length)).alias("boxes"))
     real = F.filter("boxes", lambda b: b["start"] != -1)
-    cut = cut.withColumns({"low": F.array_min(F.transform(real, lambda b: b["start"])), "high": F.array_max(F.transform(real, lambda b: b["start"] + b["duration"]))}).where("low < high")
-    inside = samples.join(cut, TRACK)
-    limits = gop_bounds(inside.select(*TRACK, "idx", "pts", "keyframe", "low", "high"), F.col("low"), F.col("high")).where("key >= 0 and first >= key and last >= first")
-    kept = inside.join(limits, TRACK).where("idx between key and last")
-    base = F.min(F.when(F.col("idx") == F.col("key"), F.col("dts"))).over(Window.partitionBy(*TRACK))
-    kept = kept.withColumn("base", base)
-    out = kept.select(*TRACK, (F.col("idx") - F.col("key")).alias("idx"), (F.col("pts") - F.col("base")).alias("pts"), (F.col("dts") - F.col("base")).alias("dts"), "timescale", "keyframe", "type")
-    first = kept.where("idx = key").select(*TRACK, "base", F.posexplode("boxes").alias("ord", "b"))
-    return out, first.select(*TRACK, "ord", (F.col("b.start") - F.col("base")).alias("start_pts"), F.col("b.duration").alias("duration_pts"))
-
-
-def without_overlap(samples: DataFrame, order: list[str] | None = None) -> DataFrame:
+    cut = cut.withColumns({"low": F.array_min(F.transform(real, lambda b: b["start"])), "high": F.array_max(F.transform(real, lambda b: b["start"] + b["duration"]))})
+
+    inside = stepped.join(cut.where("wrong is null and low < high").select(*TRACK, "low", "high", "boxes"), TRACK)
+    reached = inside.withColumn("first", F.min(F.when(F.col("pts") >= F.col("low"), F.col("idx"))).over(Window.partitionBy(*TRACK)))
+    near = F.max(F.when(F.col("keyframe") & (F.col("pts") <= F.col("low")) & (F.col("idx") <= F.coalesce("first", "idx")), F.col("idx")))
+    limits = reached.groupBy(*TRACK).agg(
+        F.max("first").alias("first"),
+        F.max(F.when(F.col("pts") < F.col("high"), F.col("idx"))).alias("last"),
+        F.greatest(near, F.min(F.when(F.col("keyframe"), F.col("idx")))).alias("key"),
+        F.min(F.when(F.col("keyframe"), F.col("idx"))).alias("first_key"),
+    )
+    late = F.coalesce(F.col("first_key") > F.col("first"), F.lit(False))
+    limits = limits.select(*TRACK, late.alias("late"), "key", "last", F.coalesce(~late & (F.col("first") >= F.col("key")) & (F.col("last") >= F.col("first")), F.lit(False)).alias("found"))
+    kept = inside.join(limits.where("found").select(*TRACK, "key", "last"), TRACK).where("idx between key and last")
+    step = F.when(F.col("idx") > F.col("key"), F.col("delta"))
+    facts = kept.groupBy(*TRACK).agg(
+        F.min(F.when(F.col("idx") == F.col("key"), F.col("dts"))).alias("base"), F.first("key").alias("key"), F.first("last").alias("last"), F.first("low").alias("low"), F.first("boxes").alias("boxes"),
+        (F.coalesce(F.sum(step), F.lit(0)) + whole_median(step)).alias("duration"), F.coalesce(F.min(step) < 0, F.lit(False)).alias("falls"),
+    )
+    facts = facts.withColumn("error", F.when(F.col("base") > F.col("low"), "Unsupported").when(F.col("falls") | (F.col("duration") == 0), "Invalid"))
+    good = facts.where("error is null")
+    out = rows.join(good.select(*TRACK, "base", "key", "last"), TRACK).where("idx between key and last")
+    moved = {"idx": F.col("idx") - F.col("key"), "pts": F.col("pts") - F.col("base"), "dts": F.col("dts") - F.col("base")}
+    result = out.select(*TRACK, *[moved.get(c, F.col(c)).alias(c) for c in own])
+    exploded = good.select(*TRACK, "base", F.posexplode("boxes").alias("ord", "b"))
+    # A leading empty box is re-based like the others.
+    new_boxes = exploded.select(*TRACK, "ord", (F.col("b.start") - F.col("base")).alias("start_pts"), F.col("b.duration").alias("duration_pts"))
+    summary = cut.select(*TRACK, "wrong").join(limits.select(*TRACK, "late"), TRACK, "left").join(facts.select(*TRACK, "duration", "error"), TRACK, "left")
+    error = F.coalesce("wrong", F.when(F.col("late"), "Invalid"), "error")
+    return result, new_boxes, summary.select(*TRACK, F.when(error.isNull(), F.coalesce("duration", F.lit(0).cast("long"))).alias("duration"), error.alias("error_category"))
+
+
+def without_overlap(samples: DataFrame, block: int | None = None) -> DataFrame:
     """Rows that start before all later ones, where pts and dts go together: a suffix minimum."""
-    later = ordered(order=order or ["idx"]).rowsBetween(1, Window.unboundedFollowing)
-    return samples.withColumn("__next", F.min("dts").over(later)).where("__next is null or dts < __next").drop("__next")
+    later = running(samples, F.col("dts"), "__next", how="min", block=block, reverse=True, inclusive=False)
+    return later.where("__next is null or dts < __next").drop("__next")
 
 
 def folded(samples: DataFrame, inputs: list[str], start: Callable[[], Callable], finish: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema, order: Column) -> DataFrame:
@@ -101,11 +129,10 @@ def unique_times(samples: DataFrame) -> DataFrame:
     folded in order.
     """
     w = ordered()
-    near = [F.coalesce((F.col(c) == F.lag(c, k).over(w)), F.lit(False)) for c in ("pts", "dts") for k in range(1, LOOKBACK + 1)]
-    hit = near[0]
-    for n in near[1:]:
-        hit = hit | n
-    falls = F.coalesce(F.col("dts") < F.lag("dts").over(w), F.lit(False)) | F.coalesce(F.col("pts") < F.lag("pts").over(w), F.lit(False))
+    before = w.rowsBetween(-LOOKBACK, -1)
+    repeats = lambda c: F.array_contains(F.collect_list(c).over(before), F.col(c))
+    falls = lambda c: F.coalesce(F.col(c) < F.lag(c).over(w), F.lit(False))
+    hit, falls = repeats("pts") | repeats("dts"), falls("pts") | falls("dts")
     marked = samples.withColumn("__hit", hit | falls)
     tracks = marked.groupBy(*TRACK).agg(F.max("__hit").alias("dirty"))
     joined = samples.join(tracks, TRACK)
@@ -141,11 +168,18 @@ def unique_times(samples: DataFrame) -> DataFrame:
 
 
 def interleaved(samples: DataFrame) -> DataFrame:
-    """Audio and video in the order in which they are written: by decode time in single-precision seconds, video first on ties."""
+    """Audio and video in the order in which they are written: sound goes on while it is before the next picture, in single-precision seconds, and each kind keeps its own order.
+
+    Where decode times fall, a row waits for those of its kind before it, so each row counts with the
+    largest time of its kind so far; that makes the merge a sort. On ties video comes first.
+    """
     rows = samples.where(F.col("type").isin("audio", "video"))
-    time, rank = seconds(F.col("dts"), F.col("timescale")), F.when(F.col("type") == "video", 0).otherwise(1)
-    order = Window.partitionBy(*TRACK).orderBy(time, rank, "idx")
-    return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+    own = Window.partitionBy(*TRACK, "type").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__time", F.max(seconds(F.col("dts"), F.col("timescale"))).over(own))
+    order = Window.partitionBy(*TRACK).orderBy("__time", F.when(F.col("type") == "video", 0).otherwise(1), "idx")
+    rows = rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("__time")
+    kind = Window.partitionBy(*TRACK, "type").orderBy("pos")
+    return rows.withColumn("nth", (F.row_number().over(kind) - 1).cast("long"))
 
 
 def rescaled(samples: DataFrame, timescale: Column) -> DataFrame:
@@ -167,7 +201,11 @@ def stitched(samples: DataFrame) -> DataFrame:
     return moved.withColumn("idx", (F.row_number().over(ordered(order=["file_ord", "idx"])) - 1).cast("long"))
 
 
-def packed_adts(samples: DataFrame, sample_rate: int, limit: int = 2800, drift: int = 10) -> DataFrame:
+#: Bytes of a packed run of sound frames: twenty transport payloads of 184 bytes, less 19 of packet header.
+ADTS_BYTES = 20 * (188 - 4) - (3 + 1 + 2 + 2 + 1 + 5 + 5)
+
+
+def packed_adts(samples: DataFrame, sample_rate: int, limit: int = ADTS_BYTES, drift: int = 10) -> DataFrame:
     """``packet`` numbers of sound frames: a packet is full by size, or when its times can no longer be told from its first frame's."""
     schema = samples.withColumn("packet", F.lit(0).cast("long")).schema
 

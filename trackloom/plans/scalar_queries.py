@@ -33,11 +33,12 @@ def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("pad_bucket", """
-    SELECT doc_id, strlen(text)::bigint AS size, (CASE WHEN strlen(text) <= 1000 THEN 1000 - strlen(text) WHEN strlen(text) <= 2500 THEN 2500 - strlen(text) WHEN strlen(text) <= 5000 THEN 5000 - strlen(text)
-        ELSE 5000 + (strlen(text) - 5000 + 2499) // 2500 * 2500 - strlen(text) END)::bigint AS pad FROM documents""")
+    SELECT doc_id, size, (CASE WHEN size < 1000 THEN 1000 - size WHEN size > 1000 AND size < 2500 THEN 2500 - size WHEN size > 2500 AND size < 5000 THEN 5000 - size
+        WHEN size > 5000 THEN (2500 - (size - 5000) % 2500) % 2500 ELSE 0 END)::bigint AS pad, (CASE WHEN size < 1000 THEN 1000 - size ELSE 0 END)::bigint AS lone
+    FROM (SELECT doc_id, strlen(text)::bigint AS size FROM documents)""")
 def pad_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("size"))
-    return sized.withColumn("pad", arith.padding(F.col("size"), BUCKETS))
+    return sized.withColumns({"pad": arith.padding(F.col("size"), BUCKETS), "lone": arith.padding(F.col("size"), BUCKETS[:1])})
 
 
 @query("magic_sniff", """
@@ -49,11 +50,11 @@ def magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("path_parts", r"""
-    WITH p AS (SELECT doc_id AS file_id, '/in/' || source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.MP4' ELSE '.mp4.ts' END AS path FROM documents)
+    WITH p AS (SELECT doc_id AS file_id, '/in/' || source || '/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.MP4' WHEN 1 THEN '.mp4.ts' WHEN 2 THEN '.mov' WHEN 3 THEN '.x.ts' ELSE '.webm' END AS path FROM documents)
     SELECT file_id, regexp_extract(path, '([^/]*)$', 1) AS name, lower(regexp_extract(path, '\.([^./]*)$', 1)) AS ext, regexp_replace(path, '\.[^./]*$', '') AS stem, regexp_replace(path, '/[^/]*$', '') AS parent,
-        CASE WHEN contains(path, '.mp4') THEN 'mp4' WHEN contains(path, '.ts') THEN 'ts' END AS output FROM p""")
+        CASE WHEN contains(path, '.mp4') OR contains(path, '.mov') THEN 'mp4' WHEN contains(path, '.ts') THEN 'mp2ts' WHEN contains(path, '.webm') THEN 'webm' ELSE 'unknown' END AS output FROM p""")
 def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("/in/"), "source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".MP4").otherwise(".mp4.ts"))
+    path = F.concat(F.lit("/in/"), "source", F.lit("/"), "doc_id", F.element_at(F.array(*map(F.lit, (".MP4", ".mp4.ts", ".mov", ".x.ts", ".webm"))), (F.col("doc_id") % 5 + 1).cast("int")))
     named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"))
     p = F.col("path")
     return named.select("file_id", octets.file_name(p).alias("name"), octets.extension(p).alias("ext"), octets.without_extension(p).alias("stem"), octets.parent(p).alias("parent"), octets.output_kind(p).alias("output"))
@@ -69,13 +70,15 @@ def image_delay_pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("output_sizes", """
-    SELECT o_orderkey, (w * t + least(w, h) // 2) // least(w, h) + ((w * t + least(w, h) // 2) // least(w, h)) % 2 AS w2, (h * t + least(w, h) // 2) // least(w, h) + ((h * t + least(w, h) // 2) // least(w, h)) % 2 AS h2,
-        CASE WHEN least(w, h) <= 480 THEN 'baseline' WHEN least(w, h) <= 720 THEN 'main' ELSE 'high' END AS profile
-    FROM (SELECT *, least(least(w, h), 360) AS t FROM (SELECT o_orderkey, 100 + o_orderkey % 1900 AS w, 100 + o_custkey % 1000 AS h FROM orders))""")
+    WITH o AS (SELECT o_orderkey, (100 + o_orderkey % 1900) AS w, (100 + o_custkey % 1000) AS h, o_orderkey % 4 AS turn, (o_orderkey % 3) * 360 AS t FROM orders),
+    s AS (SELECT *, CASE WHEN t = 0 THEN w ELSE (w * t + least(w, h) // 2) // least(w, h) END AS a, CASE WHEN t = 0 THEN h ELSE (h * t + least(w, h) // 2) // least(w, h) END AS b FROM o)
+    SELECT o_orderkey, CASE WHEN turn % 2 = 1 THEN b ELSE a END AS w2, CASE WHEN turn % 2 = 1 THEN a ELSE b END AS h2, least(a, b) AS side,
+        CASE WHEN least(w, h) <= 480 THEN 'baseline' WHEN least(w, h) <= 720 THEN 'main' ELSE 'high' END AS profile FROM s""")
 def output_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1900 + 100).alias("w"), (F.col("o_custkey") % 1000 + 100).alias("h"))
-    w, h = arith.output_size(F.col("w"), F.col("h"), F.lit(360))
-    return sizes.select("o_orderkey", w.alias("w2"), h.alias("h2"), arith.h264_profile(F.col("w"), F.col("h")).alias("profile"))
+    sizes = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 1900 + 100).alias("w"), (F.col("o_custkey") % 1000 + 100).alias("h"), (F.col("o_orderkey") % 4).alias("turn"), (F.col("o_orderkey") % 3 * 360).alias("t"))
+    w, h = arith.output_size(F.col("w"), F.col("h"), F.col("t"), F.col("turn"))
+    side, _ = arith.output_size(F.col("w"), F.col("h"), F.col("t"), F.col("turn"), square=True)
+    return sizes.select("o_orderkey", w.alias("w2"), h.alias("h2"), side.alias("side"), arith.h264_profile(F.col("w"), F.col("h")).alias("profile"))
 
 
 @query("mono_mix", """
@@ -83,11 +86,3 @@ def output_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mono_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = F.transform("embedding", lambda v: F.floor(v.cast("double") * 65536).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(containers.mono(sound).cast("array<string>"), ",").alias("mono"))
-
-
-@query("annexb_units")
-def annexb_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mark = F.unhex(F.lit("00000001"))
-    payload = F.concat(mark, F.col("nal"), F.unhex(F.lit("000001")), F.col("nal"))
-    rows = views.samples(spark, sf_dir).select("track_id", "idx", payload.alias("payload"))
-    return rows.select("track_id", "idx", F.explode(octets.nal_units(F.col("payload"))).alias("u")).select("track_id", "idx", "u.*")

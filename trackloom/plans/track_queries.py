@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import compare, containers, editboxes, track, transforms
 from trackloom.plans.catalog import query
 from trackloom.sources import views
-from trackloom.sources.views import CLIPS, DAY, EDIT_BOXES, HOUR, SAMPLES
+from trackloom.sources.views import CLIPS, CROSSED, DAY, EDIT_BOXES, HOUR, SAMPLES
 
 BLOCK = 4096
 GOPS = f"(SELECT *, sum(keyframe::int) OVER (PARTITION BY track_id ORDER BY idx)::bigint AS gop FROM {SAMPLES})"
@@ -51,9 +51,15 @@ def track_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.durations(views.samples(spark, sf_dir)).select("track_id", "duration")
 
 
-@query("transport_duration", f"SELECT track_id, (coalesce(sum(delta), 0) + coalesce(floor(median(delta)), 0))::bigint AS duration FROM {DELTAS} GROUP BY track_id")
+@query("transport_duration", f"""
+    WITH s AS (SELECT track_id, type, idx, dts * 90000 // 1000000 AS dts, CASE WHEN type = 'audio' THEN idx // 4 ELSE idx END AS packet FROM {SAMPLES}),
+    p AS (SELECT track_id, type, packet, arg_min(dts, idx) AS dts, count(*) AS n FROM s GROUP BY ALL),
+    d AS (SELECT *, dts - lag(dts) OVER (PARTITION BY track_id, type ORDER BY packet) AS delta FROM p)
+    SELECT track_id, type, (coalesce(sum(delta), 0) + CASE WHEN type = 'audio' THEN (arg_max(n, packet) * 92160000 + 22050) // 44100 ELSE coalesce(floor(median(delta)), 0) END)::bigint AS duration
+    FROM d GROUP BY track_id, type""")
 def transport_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.transport_duration(views.samples(spark, sf_dir))
+    rows = containers.transport_times(views.samples(spark, sf_dir).drop("nal")).withColumn("packet", F.expr("case when type = 'audio' then idx div 4 else idx end"))
+    return containers.transport_duration(rows, 44_100)
 
 
 @query("track_fps_bitrate", f"""
@@ -70,7 +76,7 @@ def track_fps_bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH c AS (SELECT track_id, gop, min(idx) AS first_idx, max(idx) AS last_idx, arg_min(pts, idx) AS start_pts, arg_max(pts, idx) AS last_pts FROM {GOPS} WHERE gop > 0 GROUP BY track_id, gop)
     SELECT *, lead(start_pts) OVER (PARTITION BY track_id ORDER BY gop) AS next_pts FROM c""")
 def chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track.chunk_spans(views.samples(spark, sf_dir))
+    return track.chunk_spans(views.samples(spark, sf_dir), BLOCK)
 
 
 @query("presentation_rank", f"SELECT track_id, idx, row_number() OVER (PARTITION BY track_id ORDER BY pts, idx) - 1 AS rank FROM {SAMPLES}")
@@ -155,9 +161,9 @@ def trim_edit_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT track_id, any_value(first) AS first, any_value(last) AS last, coalesce(max(idx) FILTER (keyframe AND idx <= first AND pts <= low), min(idx) FILTER (keyframe)) AS key FROM s GROUP BY track_id)
     SELECT s.track_id, s.idx - key AS idx, s.pts - b.dts AS pts, s.dts - b.dts AS dts, s.keyframe
     FROM s JOIN k USING (track_id) JOIN {SAMPLES} b ON b.track_id = s.track_id AND b.idx = key
-    WHERE s.idx BETWEEN key AND k.last AND k.first >= key AND k.last >= k.first""")
+    WHERE s.idx BETWEEN key AND k.last AND k.first >= key AND k.last >= k.first AND b.dts <= s.low AND k.last > key""")
 def trim_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = transforms.trim(views.samples(spark, sf_dir), views.edit_boxes(spark, sf_dir), START_MS, LENGTH_MS)
+    rows, _, _ = transforms.trim(views.samples(spark, sf_dir), views.edit_boxes(spark, sf_dir), START_MS, LENGTH_MS)
     return rows.select("track_id", "idx", "pts", "dts", "keyframe")
 
 
@@ -177,7 +183,7 @@ def stitch_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT *, min(dts) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM t)
     SELECT track_id, idx, dts FROM n WHERE later IS NULL OR dts < later""")
 def remove_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.without_overlap(views.coarse(spark, sf_dir)).select("track_id", "idx", "dts")
+    return transforms.without_overlap(views.coarse(spark, sf_dir), BLOCK).select("track_id", "idx", "dts")
 
 
 @query("remove_overlap_fold")
@@ -191,10 +197,13 @@ def unique_pts_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("av_interleave", f"""
-    SELECT track_id, idx, type, row_number() OVER (PARTITION BY track_id ORDER BY dts::real / timescale::real, type <> 'video', idx) - 1 AS pos
-    FROM {SAMPLES} WHERE type IN ('audio', 'video')""")
+    WITH m AS (
+        SELECT track_id, idx, type, max(dts::real / timescale::real) OVER (PARTITION BY track_id, type ORDER BY idx) AS t
+        FROM {CROSSED} WHERE type IN ('audio', 'video')),
+    p AS (SELECT track_id, idx, type, row_number() OVER (PARTITION BY track_id ORDER BY t, type <> 'video', idx) - 1 AS pos FROM m)
+    SELECT *, row_number() OVER (PARTITION BY track_id, type ORDER BY pos) - 1 AS nth FROM p""")
 def av_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transforms.interleaved(views.samples(spark, sf_dir)).select("track_id", "idx", "type", "pos")
+    return transforms.interleaved(views.crossed(spark, sf_dir)).select("track_id", "idx", "type", "pos", "nth")
 
 
 @query("rescale_video", f"SELECT track_id, idx, (pts * 90000 + 500000) // 1000000 AS pts, (dts * 90000 + 500000) // 1000000 AS dts FROM {SAMPLES} WHERE type = 'video'")
@@ -219,8 +228,8 @@ def caption_asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("open_gop", f"""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY pts, dts) - 1 AS rank FROM {SAMPLES})
-    SELECT track_id, idx, keyframe AND (idx = 0 OR rank = idx) AS keyframe FROM r""")
+    WITH r AS (SELECT track_id, pts, dts, row_number() OVER (PARTITION BY track_id ORDER BY pts, dts, idx) - 1 AS idx FROM {SAMPLES})
+    SELECT s.track_id, s.idx, keyframe AND (s.idx = 0 OR (r.pts = s.pts AND r.dts = s.dts)) AS keyframe FROM {SAMPLES} s JOIN r USING (track_id, idx)""")
 def open_gop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.open_gops(views.samples(spark, sf_dir)).select("track_id", "idx", "keyframe")
 
@@ -254,10 +263,11 @@ def transport_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("pcm_pack", f"""
-    WITH c AS (SELECT *, sum(size) OVER (PARTITION BY track_id ORDER BY idx) AS cum FROM {SAMPLES} WHERE type = 'audio')
-    SELECT track_id, idx, ((cum - 1) // 256)::bigint AS sound, size > 0 AND (cum - 1) // 256 <> (cum - size) // 256 AS straddles FROM c""")
+    WITH c AS (SELECT *, sum(size) OVER (PARTITION BY track_id ORDER BY idx) AS cum, sum(size) OVER (PARTITION BY track_id) AS total FROM {SAMPLES} WHERE type = 'audio')
+    SELECT track_id, idx, ((cum - 1) // 256)::bigint AS sound, size > 0 AND (cum - 1) // 256 <> (cum - size) // 256 AS straddles,
+        (CASE WHEN cum = total THEN (256 - total % 256) % 256 ELSE 0 END)::bigint AS silence FROM c""")
 def pcm_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.packed_sounds(views.samples(spark, sf_dir).where("type = 'audio'"), 256).select("track_id", "idx", "sound", "straddles")
+    return containers.packed_sounds(views.samples(spark, sf_dir).where("type = 'audio'"), 256).select("track_id", "idx", "sound", "straddles", "silence")
 
 
 @query("track_diff", f"""
@@ -271,9 +281,23 @@ def track_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("validate_rules", f"""
-    WITH g AS (SELECT *, dts <= lag(dts) OVER w AS falls, type = 'audio' AND pts <= lag(pts) OVER w AS sf FROM {GOPS} WINDOW w AS (PARTITION BY track_id ORDER BY idx)),
-    s AS (SELECT track_id, gop, count(*) AS n, bool_or(falls) AS falls, bool_or(sf) AS sf FROM g GROUP BY track_id, gop)
-    SELECT track_id, sum(n)::bigint AS n, CASE WHEN sum(n) > 16384 THEN 'too_many_samples' WHEN min(gop) = 0 THEN 'no_first_keyframe' WHEN bool_or(falls) THEN 'dts_order'
-        WHEN bool_or(sf) THEN 'pts_order' WHEN max(n) FILTER (gop > 0) > 512 THEN 'gop_too_long' END AS error_category FROM s GROUP BY track_id""")
+    WITH s AS (SELECT *, keyframe AND type = 'video' AS key FROM {CROSSED} WHERE type IN ('video', 'audio')),
+    g AS (
+        SELECT *, sum(key::int) OVER (PARTITION BY track_id ORDER BY idx) AS gop, dts <= lag(dts) OVER w AS falls, pts <= lag(pts) OVER w AS pf
+        FROM s WINDOW w AS (PARTITION BY track_id, type ORDER BY idx)),
+    n AS (SELECT track_id, gop, count(*) FILTER (type = 'video') AS v FROM g GROUP BY ALL),
+    l AS (SELECT track_id, max(v) FILTER (gop > 0) AS longest, coalesce(max(v) FILTER (gop = 0), 0) AS before FROM n GROUP BY track_id),
+    t AS (
+        SELECT track_id, count(*) FILTER (type = 'video') AS n_video, count(*) FILTER (type = 'audio') AS n_audio, coalesce(bool_or(falls) FILTER (type = 'video'), false) AS vf,
+            coalesce(bool_or(falls) FILTER (type = 'audio'), false) AS af, coalesce(bool_or(pf) FILTER (type = 'audio'), false) AS ap FROM g GROUP BY track_id)
+    SELECT track_id, n_video, n_audio, CASE WHEN n_video >= 16384 OR n_audio >= 16384 THEN 'too_many_samples' WHEN track_id % 5 = 0 THEN 'video_codec' WHEN n_audio > 0 AND track_id % 7 = 0 THEN 'audio_codec'
+        WHEN n_video = 0 THEN 'no_video' WHEN before > 0 THEN 'no_first_keyframe' WHEN track_id % 11 = 0 THEN 'edit_boxes' WHEN vf THEN 'video_dts_order' WHEN af THEN 'audio_dts_order' WHEN ap THEN 'audio_pts_order'
+        WHEN longest > 512 THEN 'gop_too_long' END AS error_category FROM t JOIN l USING (track_id)""")
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.validated(views.samples(spark, sf_dir))
+    samples, boxes = views.crossed(spark, sf_dir), views.edit_boxes(spark, sf_dir)
+    tracks = boxes.select("track_id").distinct()
+    settings = tracks.select("track_id", F.explode(F.array(F.lit("video"), F.lit("audio"))).alias("type")).withColumn(
+        "codec", F.expr("case when type = 'video' then if(track_id % 5 = 0, 'vp8', 'h264') else if(track_id % 7 = 0, 'vorbis', 'aac_lc') end")
+    )
+    overlapping = boxes.withColumn("duration_pts", F.expr(f"if(track_id % 11 = 0, {4 * DAY}, duration_pts)"))
+    return compare.validated(samples, settings, overlapping, BLOCK)

@@ -50,6 +50,22 @@ def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).withColumns({"pts": tick, "dts": tick, "timescale": F.lit(1).cast("long")})
 
 
+def crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tracks; in every third one the video's decode times fall now and then by an hour, and sound has its own ticks."""
+    rows = samples(spark, sf_dir).drop("nal")
+    back = F.when((F.col("track_id") % 3 == 0) & (F.col("type") == "video") & (F.col("idx") % 4 == 1), F.greatest(F.col("dts") - 30 * HOUR, F.lit(0).cast("long"))).otherwise(F.col("dts"))
+    sound = F.col("type") == "audio"
+    ticks = lambda c: F.when(sound, F.call_function("div", c * 48, F.lit(1000))).otherwise(c)
+    return rows.withColumns({"pts": ticks(F.col("pts")), "dts": ticks(back), "timescale": F.when(sound, 48_000).otherwise(F.col("timescale")).cast("long")})
+
+
+CROSSED = f"""(
+    SELECT track_id, idx, type, keyframe, size, CASE WHEN type = 'audio' THEN pts * 48 // 1000 ELSE pts END AS pts,
+        CASE WHEN type = 'audio' THEN dts * 48 // 1000 WHEN track_id % 3 = 0 AND type = 'video' AND idx % 4 = 1 THEN greatest(dts - {30 * HOUR}, 0) ELSE dts END AS dts,
+        CASE WHEN type = 'audio' THEN 48000 ELSE timescale END::bigint AS timescale
+    FROM {SAMPLES})"""
+
+
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tracks cut into files of seven days."""
     return samples(spark, sf_dir).withColumn("file_ord", F.expr(f"dts div {7 * DAY}"))

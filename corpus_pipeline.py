@@ -12,39 +12,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from trackloom.llm.common import materialise
+from trackloom.llm.common import discard, materialise
 from trackloom.llm.queries import read, remainder
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): each document whole beside what the operators look at, so that no column of it can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on labels of these documents, doesn't reject."""
+    """Documents that the quality classifier, fitted on labels of these documents, doesn't reject.
+
+    Null and empty texts are judged as the empty text, long ones by all their passages; equal texts are
+    judged alike, so repeated rows stay or go together; without labels of both kinds all stay. Rows come
+    back as they were, whatever other columns they have; an empty table gives an empty one.
+    """
     model, share = quality.train(docs, read(spark, sf_dir, "labels").where(remainder(5) != 0))
-    scored = quality.score(docs, model, share)
-    return scored.where(F.col("predicted") == 1).select(docs.columns)
+    return quality.score(held(docs), model, share).where("predicted = 1").select("row.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
-    return exact_dedup.dedup(docs).where("kept").select(docs.columns)
+    """One document of each group of texts that are equal but for white space: the one with the smallest doc_id.
+
+    Null and empty texts are copies of each other; a null doc_id stays only in a group of such; of rows
+    with the same doc_id and text one stays. Texts of any length are compared whole. Rows come back as
+    they were, whatever other columns they have; an empty table gives an empty one.
+    """
+    return exact_dedup.dedup(held(docs)).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of five-word runs."""
-    return jaccard_join.dedup(docs)
+    """One document of each group linked by a similarity of 0.8 or more of five-word runs: the one with the smallest doc_id.
+
+    Texts without words form one group; texts of fewer than five words are one run; a null doc_id stays
+    only in a group of such; of rows with the same doc_id and text one stays. Rows come back as they
+    were, whatever other columns they have; an empty table gives an empty one.
+    """
+    return jaccard_join.dedup(held(docs)).select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages they share with the benchmark; texts that are mostly such passages go. ``n_chars`` follows the text."""
-    before = docs.withColumn("__length", F.length("text"))
-    cleaned = decontaminate.clean(before, read(spark, sf_dir, "benchmark"), max_coverage=0.5)
-    changed = F.length("text") != F.col("__length")
-    return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Texts without the passages they share with the benchmark; texts of which such passages are more than half go.
+
+    ``n_chars``, where there is one, follows the text. Null and empty texts have no passages and stay as
+    they are, as do all documents without one; repeated rows are judged each; texts of any length are
+    read whole. All other columns come back as they were; an empty table gives an empty one.
+    """
+    cleaned = decontaminate.clean(held(docs), read(spark, sf_dir, "benchmark"), max_coverage=0.5)
+    changed = ~F.col("text").eqNullSafe(F.col("row.text"))
+    new = {"text": F.when(changed, F.col("text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, exact): the ids of each text, and whether they decode to its very bytes."""
+    """(doc_id, lang, source, n_tokens, ids, exact): the ids of each text, and whether they decode to its very bytes.
+
+    Null and empty texts have no ids; every row is encoded, repeated ones each, and texts of any length
+    as the library would encode them whole; other columns are left out; an empty table gives an empty one.
+    """
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    both = bpe.encode_and_decode(docs, ranks, pattern)
+    both = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern)
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
@@ -62,7 +92,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is deleted when the next one is written."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for n, (name, stage) in enumerate(STAGES):
+        done = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if n:
+            discard(docs)
+        docs = done
     return docs

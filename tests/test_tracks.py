@@ -6,8 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.functions import arith, octets
-from trackloom.operators import compare, containers, editboxes, stitching, tools, track, transforms
+from trackloom.functions import arith, media, octets
+from trackloom.operators import compare, containers, editboxes, images, stitching, tools, track, transforms
 from trackloom.sources import readers
 
 SAMPLE = "track_id long, idx long, pts long, dts long, timescale long, keyframe boolean, type string, size int"
@@ -432,3 +432,42 @@ def test_file_scan_and_boxes(spark, tmp_path):
 def test_empty_tracks(spark):
     none = tracks(spark, [])
     assert track.with_gop(none).count() == transforms.interleaved(none).count() == transforms.unique_times(none).count() == compare.validated(none).count() == 0
+
+
+def test_means_against_plain_rounds(spark):
+    rng = random.Random(3)
+    rows = [(k, float(rng.randrange(40)), float(rng.randrange(40))) for k in "ab" for _ in range(30)] + [("c", 1.0, 2.0)] * 5
+    expected = {}
+    for k in "abc":
+        points = [p[1:] for p in rows if p[0] == k]
+        colours = sorted(set(points))
+        m = min(3, len(colours))
+        centres = [colours[i * (len(colours) - 1) // max(m - 1, 1)] for i in range(m)]
+        for _ in range(100):
+            near = [min(range(m), key=lambda n: (sum((a - b) ** 2 for a, b in zip(p, centres[n])), n)) for p in points]
+            moved = [tuple(sum(c) / len(own) for c in zip(*own)) if (own := [p for p, n in zip(points, near) if n == i]) else centres[i] for i in range(m)]
+            if max(abs(a - b) for x, y in zip(moved, centres) for a, b in zip(x, y)) <= 1e-8:
+                break
+            centres = moved
+        expected[k] = [tuple(round(x, 6) for x in c) for c in moved]
+    found = {}
+    for r in images.means(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], ["x", "y"], 3).orderBy("k", "n").collect():
+        found.setdefault(r["k"], []).append((round(r["x"], 6), round(r["y"], 6)))
+    assert found == expected
+
+
+def test_single_precision_stays_single(spark):
+    """351970315620 ticks are 351970.34375 s in single precision, but 351970.3125 s if only the quotient is rounded."""
+    df = spark.createDataFrame([(351970315620, 1_000_000)], "t long, s long")
+    assert df.select(arith.seconds(F.col("t"), F.col("s")).cast("double").alias("x")).first()["x"] == 351970.34375
+
+
+def test_sound_headers(spark):
+    head = media.adts_header(F.lit(20), 44_100, 2)
+    frame = F.concat(head, F.unhex(F.lit("00" * 20)))
+    assert value(spark, media.adts(frame)).asDict() == {"codec": "aac_lc", "sample_rate": 44100, "channels": 2, "header_size": 7, "data_size": 20, "error": None}
+    assert value(spark, media.adts(F.substring(frame, 1, 26))) is None and value(spark, media.adts(F.substring(frame, 1, 5))) is None
+    assert value(spark, media.adts(F.unhex(F.lit("0" * 40))))["error"] == "Invalid"
+    assert value(spark, media.audio_config(F.unhex(F.lit("12100000000000")))).asDict() == {"object_type": 2, "sample_rate": 44100, "channels": 2}
+    assert value(spark, containers.decoded_pcm(F.unhex(F.lit("0080FF7F01")))) == [-32768, 32767]
+    assert value(spark, containers.decoded_pcm(F.unhex(F.lit("AA8000BB0100")), 24)) == [128, 1]

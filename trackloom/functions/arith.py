@@ -122,9 +122,14 @@ def ms_to_ticks_up(ms, timescale) -> Column:
     return div(_c(ms) * _c(timescale) + 999, 1000)
 
 
+def single(x) -> Column:
+    """A number in single precision. The product keeps it there: of two casts in a row Catalyst leaves out the one to float."""
+    return _c(x).cast("float") * F.lit(1.0).cast("float")
+
+
 def seconds(ticks, timescale) -> Column:
     """Seconds in single precision, as ordering by time needs them."""
-    return (_c(ticks).cast("float") / _c(timescale).cast("float")).cast("float")
+    return (single(ticks) / single(timescale)).cast("float")
 
 
 def to_90khz(ticks, timescale) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.arith import psnr
+from trackloom.functions.arith import psnr, single
 from trackloom.operators.editboxes import box_array, valid
 from trackloom.operators.track import TRACK, ordered, with_gop
 
@@ -46,7 +46,7 @@ def overall_quality(frames: DataFrame) -> DataFrame:
 def bucket(pts: Column, timescale: Column) -> Column:
     """Hundredths of a second of a played time, in single precision and truncated."""
     hundredths = pts.cast("float") * F.lit(100.0).cast("float")
-    return (hundredths / timescale.cast("float")).cast("float").cast("long")
+    return (hundredths / single(timescale)).cast("float").cast("long")
 
 
 def bucket_quality(reference: DataFrame, test: DataFrame, plane: str = "plane") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.arith import div, round_divide
+from trackloom.functions.arith import div, round_divide, single
 from trackloom.operators.track import TRACK
 
 BOXES = "array<struct<start:bigint,duration:bigint>>"
@@ -69,7 +69,7 @@ def shifted(boxes: DataFrame, offset: Column) -> DataFrame:
 def included(samples: DataFrame, boxes: DataFrame, start_ms: int, duration_ms: int) -> DataFrame:
     """Samples that are played in [start, start + duration) of milliseconds in single precision, and not before the first such one in file order, which anchors the output."""
     rows = with_real_pts(samples, boxes)
-    time = (F.lit(1000.0).cast("float") * F.col("real_pts").cast("float") / F.col("timescale").cast("float")).cast("float")
+    time = (F.lit(1000.0).cast("float") * F.col("real_pts").cast("float") / single(F.col("timescale"))).cast("float")
     rows = rows.where((F.col("real_pts") >= 0) & (time >= F.lit(float(start_ms)).cast("float")) & (time < F.lit(float(start_ms + duration_ms)).cast("float")))
     first = rows.groupBy(*TRACK).agg(F.min_by("real_pts", "idx").alias("first_pts"))
     return rows.join(first, TRACK).where("real_pts >= first_pts").drop("first_pts")

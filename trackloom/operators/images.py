@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.arith import div
 from trackloom.functions.colour import byte_to_unit, lab
+from trackloom.sources.tables import discard, materialise
 
 BINS = 24
 
@@ -86,14 +85,19 @@ def peaks(bins: DataFrame, keys: list[str], count: int, radius: int = 1) -> Data
     spread = bins.select(*keys, "x", "y", "z", "weight", F.explode(near).alias("i")).select("*", F.explode(near).alias("j")).select("*", F.explode(near).alias("k"))
     summed = spread.groupBy(*keys, (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"), (F.col("z") + F.col("k")).alias("z")).agg(F.sum("weight").alias("total"))
     summed = summed.join(bins.select(*keys, "x", "y", "z"), [*keys, "x", "y", "z"], "left_semi")
-    chosen = None
-    for n in range(count):
-        best = summed.groupBy(*keys).agg(F.max_by(F.struct("x", "y", "z", "total"), F.struct("total", -F.col("x"), -F.col("y"), -F.col("z"))).alias("p"))
-        best = best.select(*keys, F.lit(n).alias("n"), "p.*")
-        chosen = best if chosen is None else chosen.unionByName(best)
-        taken = best.select(*keys, F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-        summed = summed.join(taken, keys).where(f"abs(x - px) > {2 * radius} or abs(y - py) > {2 * radius} or abs(z - pz) > {2 * radius}").drop("px", "py", "pz")
-    return chosen
+    # An image has at most BINS**3 bins, so they travel as one value and are picked from one after the other.
+    listed = summed.groupBy(*keys).agg(F.collect_list(F.struct("total", *[(-F.col(c)).cast("int").alias(c) for c in "xyz"])).alias("bins"))
+    kind = dict(listed.dtypes)["bins"]
+    zero = F.struct(F.col("bins").alias("left"), F.array().cast(kind).alias("chosen"))
+
+    def step(acc: Column, _: Column) -> Column:
+        best = F.array_max(acc["left"])
+        apart = lambda b: (F.abs(b["x"] - best["x"]) > 2 * radius) | (F.abs(b["y"] - best["y"]) > 2 * radius) | (F.abs(b["z"] - best["z"]) > 2 * radius)
+        return F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(F.filter(acc["left"], apart).alias("left"), F.array_append(acc["chosen"], best).alias("chosen")))
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(count)), zero, step, lambda acc: acc["chosen"])
+    found = listed.select(*keys, F.posexplode(chosen).alias("n", "b"))
+    return found.select(*keys, "n", *[(-F.col(f"b.{c}")).alias(c) for c in "xyz"], F.col("b.total").alias("total"))
 
 
 def nearest(pixels: DataFrame, palette: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
@@ -107,28 +111,31 @@ def nearest(pixels: DataFrame, palette: DataFrame, keys: list[str], axes: list[s
     return joined.withColumn("n", F.array_min(F.transform("palette", lambda p: F.struct(far(p).alias("d"), p["n"].alias("n"))))["n"]).drop("palette")
 
 
-def means(pixels: DataFrame, keys: list[str], axes: list[str], k: int, rounds: int = 10) -> DataFrame:
-    """k-means of each image's pixels: numpy within one image, images spread over tasks."""
-    fields = ", ".join(f"{a} double" for a in axes)
-
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[axes].to_numpy(np.float64)
-        centre = np.unique(x, axis=0)
-        centre = centre[np.linspace(0, len(centre) - 1, min(k, len(centre))).astype(int)]
-        for _ in range(rounds):
-            near = ((x[:, None] - centre[None]) ** 2).sum(2).argmin(1)
-            moved = np.array([x[near == i].mean(0) if (near == i).any() else centre[i] for i in range(len(centre))])
-            if np.abs(moved - centre).max() < 1e-8:
-                break
-            centre = moved
-        out = pd.DataFrame(centre, columns=axes)
-        out.insert(0, "n", range(len(out)))
-        for key in keys[::-1]:
-            out.insert(0, key, rows[key].iloc[0])
-        return out
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.schema.fields if f.name in keys)
-    return pixels.select(*keys, *axes).groupBy(*keys).applyInPandas(cluster, f"{kinds}, n int, {fields}")
+def means(pixels: DataFrame, keys: list[str], axes: list[str], k: int, rounds: int = 100, delta: float = 1e-8) -> DataFrame:
+    """(keys, n, axes): k-means of each image's pixels, from ``k`` of its different colours evenly spaced in their order.
+
+    Each round gives every pixel its nearest centre, of which an image has ``k`` in one value, and averages
+    pixels by centre, summed before they are shuffled; it is written as a table of ``k`` rows an image. It
+    ends when no centre moves by more than ``delta``, after ``rounds`` at the latest. A centre without pixels stays.
+    """
+    points = pixels.select(*keys, *axes)
+    order = Window.partitionBy(*keys).orderBy(*axes)
+    ranked = points.distinct().withColumns({"at": F.row_number().over(order) - 1, "of": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    m = F.least(F.col("of"), F.lit(k))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda i: F.when(m > 1, div(i * (F.col("of") - 1), F.greatest(m - 1, F.lit(1)))).otherwise(0))
+    number = F.array_position(places, F.col("at").cast("long")) - 1
+    centres = materialise(ranked.withColumn("n", number.cast("int")).where("n >= 0").select(*keys, "n", *axes), "centres")
+    for _ in range(rounds):
+        near = nearest(points, centres, keys, axes)
+        moved = near.groupBy(*keys, "n").agg(*[F.avg(a).alias(f"new_{a}") for a in axes])
+        stepped = centres.join(moved, [*keys, "n"], "left")
+        far = F.greatest(F.lit(0.0), *[F.coalesce(F.abs(F.col(f"new_{a}") - F.col(a)), F.lit(0.0)) for a in axes])
+        after = materialise(stepped.select(*keys, "n", *[F.coalesce(f"new_{a}", a).alias(a) for a in axes], far.alias("far")), "centres")
+        discard(centres)
+        centres = after.drop("far")
+        if after.where(F.col("far") > delta).isEmpty():
+            break
+    return centres
 
 
 # ---------------------------------------------------------------- resampling

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions.arith import round_divide
+from trackloom.functions.arith import round_divide, seconds
 from trackloom.operators.containers import bitrate
 from trackloom.operators.editboxes import with_real_pts
 from trackloom.operators.track import TRACK, reindexed
@@ -15,7 +15,7 @@ from trackloom.operators.transforms import durations
 def frame_listing(samples: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each sample with the second it is played at, in single precision; below zero where no box plays it."""
     rows = with_real_pts(samples, boxes)
-    return rows.withColumn("play_time", (F.col("real_pts").cast("float") / F.col("timescale").cast("float")).cast("float")).drop("real_pts")
+    return rows.withColumn("play_time", seconds(F.col("real_pts"), F.col("timescale"))).drop("real_pts")
 
 
 def track_listing(samples: DataFrame) -> DataFrame:

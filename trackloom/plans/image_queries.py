@@ -11,13 +11,13 @@ from trackloom.plans.catalog import query
 from trackloom.sources import views
 from trackloom.sources.views import FRAMES
 
-#: Consecutive values of a plane as red, green and blue.
-PIXELS = f"(SELECT frame_id, label, i, plane[3 * i + 1] AS r, plane[3 * i + 2] AS g, plane[3 * i + 3] AS b FROM {FRAMES}, range(21) AS x(i))"
+#: Consecutive values of a plane as red, green and blue; beyond its 64 values there is 0.
+PIXELS = f"(SELECT frame_id, label, i, coalesce(plane[3 * i + 1], 0) AS r, coalesce(plane[3 * i + 2], 0) AS g, coalesce(plane[3 * i + 3], 0) AS b FROM {FRAMES}, range(22) AS x(i))"
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = views.frames(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(20))))
-    return frames.select("frame_id", "label", "i", *[F.get("plane", (F.col("i") * 3 + k)).alias(c) for k, c in enumerate("rgb")])
+    frames = views.frames(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(21))))
+    return frames.select("frame_id", "label", "i", *[F.coalesce(F.get("plane", (F.col("i") * 3 + k)), F.lit(0)).alias(c) for k, c in enumerate("rgb")])
 
 
 PAIRS = f"""(SELECT a.frame_id, list_sum(list_transform(range(1, 65), lambda i: (a.plane[i] - b.plane[i]) * (a.plane[i] - b.plane[i])))::bigint AS e, a.plane = b.plane AS same
@@ -76,7 +76,16 @@ def colour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.histogram(pixels(spark, sf_dir), ["label"], F.col("r"), F.col("g"), F.col("b"), F.lit(1).cast("long"))
 
 
-@query("colour_peaks")
+@query("colour_peaks", f"""
+    WITH RECURSIVE t AS (SELECT label, {_CURVES[0]} AS x, {_CURVES[1]} AS y, {_CURVES[2]} AS z FROM {PIXELS}),
+    h AS (SELECT label, greatest(0, least(23, floor((y * 1.16::double - 0.16::double) * 24)))::int AS x, greatest(0, least(23, floor(((x - y) * 5 + 1) / 2 * 24)))::int AS y, greatest(0, least(23, floor(((y - z) * 2 + 1) / 2 * 24)))::int AS z FROM t),
+    b AS (SELECT label, x, y, z, count(*) AS w FROM h GROUP BY ALL),
+    s AS (SELECT a.label, a.x, a.y, a.z, sum(o.w)::bigint AS total FROM b a JOIN b o ON o.label = a.label AND abs(o.x - a.x) <= 1 AND abs(o.y - a.y) <= 1 AND abs(o.z - a.z) <= 1 GROUP BY ALL),
+    l AS (SELECT label, list({{'total': total, 'x': -x, 'y': -y, 'z': -z}}) AS bins FROM s GROUP BY label),
+    p AS (
+        SELECT label, 0 AS n, list_max(bins) AS c, bins FROM l
+        UNION ALL SELECT label, n + 1, list_max(k), k FROM (SELECT label, n, list_filter(bins, lambda q: abs(q.x - c.x) > 2 OR abs(q.y - c.y) > 2 OR abs(q.z - c.z) > 2) AS k FROM p WHERE n < 2) WHERE len(k) > 0)
+    SELECT label, n::int AS n, -c.x AS x, -c.y AS y, -c.z AS z, c.total AS total FROM p""")
 def colour_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.peaks(colour_histogram(spark, sf_dir), ["label"], 3)
 

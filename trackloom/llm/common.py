@@ -7,17 +7,17 @@ single text), never by the partition.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.sources.tables import discard, drop_tables, materialise, shared_dir  # noqa: F401
+
 #: Bytes of text that one numpy step takes at once (a longer single text is taken whole).
 SLICE_BYTES = 1 << 20
 
@@ -25,53 +25,6 @@ SLICE_BYTES = 1 << 20
 ROW = "__row"
 
 
-# ---------------------------------------------------------------- shared-folder tables
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's part of the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a session in one process, where all tasks see the driver's disk, gets a folder of its own when
-    that is unset; on a cluster it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/trackloom/{spark.sparkContext.applicationId}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    This cuts lineage: a lost executor later costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialise`` wrote, once what was made of them is written too."""
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if f"/trackloom/{df.sparkSession.sparkContext.applicationId}/" in folder:
-                _delete(df.sparkSession, folder)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table of this application, when no result that reads them is needed any more."""
-    _delete(spark, shared_dir(spark))
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # ---------------------------------------------------------------- row packing
 
 def pack(df: DataFrame, **named: Column) -> DataFrame:

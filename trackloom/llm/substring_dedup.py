@@ -2,9 +2,9 @@
 
 A window is ``window`` consecutive words of one text; a word goes if a window over it occurs elsewhere.
 
-Setting aside. One pass over all texts parses each by itself and emits an anchor for about 16 words: the
-smallest-named symbol inside a window, which equal windows have in common. Windows whose anchors occur in
-one place only can't repeat; only the stretches of text around the others go on. Names are hashes here,
+Setting aside. One pass over all texts parses each by itself and emits an anchor for about 12 words: the
+smallest-named symbol inside a window, with some words around it, which equal windows have in common. Windows
+whose anchors occur in one place only can't repeat; only the stretches of text under the others go on. Names are hashes here,
 so a collision keeps too much and never loses a repeat.
 
 Rounds. The words of the stretches are named by a global dictionary, a Spark table with one row for each
@@ -16,14 +16,14 @@ hashes of the content: by induction two symbols have the same name if and only i
 same words. After ``ROUNDS`` rounds symbols cover several words each.
 
 Finding. Of the symbols that lie inside a window whatever its context (those not cut by its borders, nor
-next to a symbol that is), the longest one of the highest level that has any is its anchor; equal
+next to a symbol that is), the longest one of the second round is its anchor, or of a lower one if there is none; equal
 windows have equal anchors at equal offsets. Windows next to each other with one anchor form a stretch.
 A stretch is spelled in the fewest symbols that don't depend on its context; equal spellings are equal
 words, so grouping by anchor and spelling verifies repeats without looking at a word again. If all
 stretches of an anchor repeat, so do all their windows. For the other anchors, at the edges of repeats,
 the windows of each different stretch are compared by anchor, offset and a 64-bit hash of word names.
 
-Texts are dealt out in chunks of about ``SLICE_BYTES``, and a chunk emits each of its symbols' parts once.
+Stretches are dealt out in chunks of about ``CHUNK_WORDS``, and a chunk emits each of its symbols' parts once.
 Exact copies are told by two 64-bit hashes of the text and count as one place. Every join has a summed
 side with one row for a name or text and AQE splits the other, so frequent passages and groups of
 copies meet in no single task. Tables of a finished step are deleted when the next one is written.
@@ -60,8 +60,16 @@ from trackloom.llm.common import (
 
 WINDOW = 35
 ROUNDS = 3
+#: The highest level of symbols that windows are known by; those of higher ones reach too far into a window's borders.
+ANCHOR_LEVEL = 2
+#: The level of windows that are one word over and over.
+RUN = -1
+#: Words of a chunk, about.
+CHUNK_WORDS = 1 << 17
 #: Rounds of the parse that sets text aside, and the words on each side that decide a boundary after them.
 LOCAL_ROUNDS, MARGIN = 2, 2
+#: Words on each side that an anchor is known by besides: the more, the fewer windows go on that only have a few words in common.
+AROUND = 6
 _LOW = np.uint64(0xFFFFFFFF)
 _SPACE = word_table("space")
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
@@ -131,15 +139,16 @@ class Anchors:
         is_start = np.zeros(n + 1, np.int64)
         is_start[q] = 1
         before = np.concatenate([[0], np.cumsum(is_start)])  # symbols that start before word i
-        lo, hi = before[s + MARGIN], before[s + window - MARGIN + 1] - 1
-        hi = np.where(s + window - MARGIN == n, len(q), hi)
+        around = max(MARGIN, min(AROUND, (window - 7) // 2))  # leaves room for any symbol
+        lo, hi = before[s + around], before[s + window - around + 1] - 1
+        hi = np.where(s + window - around == n, len(q), hi)
         # Symbols [lo, hi) lie wholly in the window's interior; smallest name, then leftmost.
         score = (mix(symbols, 41) & ~_LOW) | (_LOW - np.arange(len(symbols), dtype=np.uint64))
         chosen = (_LOW - (_range_best(score, lo, hi) & _LOW)).astype(np.int64)
         edge = _changes(chosen)
         self.low, self.high = s[edge], s[np.r_[edge[1:], len(s)] - 1]
         self.text, self.q = text[edge], q[chosen[edge]]
-        self.keys = mix(range_hasher(names, _BASES[0])(self.q - MARGIN, p[chosen[edge]] + MARGIN), 43)
+        self.keys = mix(range_hasher(names, _BASES[0])(self.q - around, p[chosen[edge]] + around), 43)
 
 
 def _emit_anchors(window: int):
@@ -158,11 +167,24 @@ _STRETCHES = "array<struct<r1:bigint,r2:bigint,start:bigint,n:int>>"
 _STRETCH = pa.struct([("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
 
 
+def _one_list(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _chunk(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """One row: the stretches, the code of each of their words, and the words that the codes stand for."""
+    r1, r2, start, n, name = (np.concatenate([p[c] for p in parts]) for c in range(5))
+    spelled = [w for p in parts for w in p[5]]
+    _, one, code = np.unique(name, return_index=True, return_inverse=True)
+    stretches = pa.StructArray.from_arrays([pa.array(r1), pa.array(r2), pa.array(start), pa.array(n.astype(np.int32))], fields=list(_STRETCH))
+    return pa.RecordBatch.from_arrays([_one_list(stretches), _one_list(pa.array(code.astype(np.int32))), _one_list(pa.array([spelled[x] for x in one.tolist()], pa.binary()))], ["stretches", "codes", "words"])
+
+
 def _set_aside(window: int):
-    """Chunks of the stretches of words under shared anchors: what they are, their words as codes, and the words."""
+    """Chunks of the stretches of words under shared anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = None
+        seen, parts, size = None, [], 0
         for batch in batches:
             r1, r2 = (batch[c].to_numpy() for c in ("r1", "r2"))
             for lo, hi, raw, off in text_slices(batch["text"]):
@@ -182,31 +204,25 @@ def _set_aside(window: int):
                 if not len(shared):
                     continue
                 low, end, text = a.low[shared], a.high[shared] + window, a.text[shared]
-                gap = np.r_[True, (text[1:] != text[:-1]) | (low[1:] > end[:-1])]
-                first = np.flatnonzero(gap)
+                first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (low[1:] > end[:-1])])
                 low, end, text = low[first], np.maximum.reduceat(end, first), text[first]
                 words = _ragged(low, end - low)
                 w0, w1 = a.starts[words], a.ends[words]
-                name = word_hashes(raw, w0, w1) ^ mix(word_hashes(raw, w0, w1, 1), 3)
-                _, one, code = np.unique(name, return_index=True, return_inverse=True)
                 data = raw.tobytes()
-                spelled = [data[x:y] for x, y in zip(w0[one].tolist(), w1[one].tolist(), strict=True)]
-                stretches = pa.StructArray.from_arrays([pa.array(r1[lo:hi][text]), pa.array(r2[lo:hi][text]), pa.array(low - a.firsts[text]), pa.array((end - low).astype(np.int32))], fields=list(_STRETCH))
-                yield pa.RecordBatch.from_arrays(
-                    [_one_list(stretches), _one_list(pa.array(code.astype(np.int32))), _one_list(pa.array(spelled, pa.binary()))], ["stretches", "codes", "words"]
-                )
+                parts.append((r1[lo:hi][text], r2[lo:hi][text], low - a.firsts[text], end - low, word_hashes(raw, w0, w1) ^ mix(word_hashes(raw, w0, w1, 1), 3), [data[x:y] for x, y in zip(w0.tolist(), w1.tolist(), strict=True)]))
+                size += len(words)
+                if size >= CHUNK_WORDS:
+                    yield _chunk(parts)
+                    parts, size = [], 0
+        if parts:
+            yield _chunk(parts)
 
     return run
 
 
-def _one_list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
 # ---------------------------------------------------------------- rounds
 
-_PARTS = pa.struct([("a", pa.int64()), ("n", pa.int32()), ("b", pa.int64()), ("m", pa.int32())])
-CHUNK = f"chunk long, stretches {_STRETCHES}, names array<array<bigint>>, starts array<array<int>>, codes array<int>, parts array<struct<a:bigint,n:int,b:bigint,m:int>>"
+ROUND = "chunk long, n array<int>, names array<bigint>, starts array<int>, next array<bigint>, next_starts array<int>, codes array<int>, a array<bigint>, b array<bigint>, times array<bigint>"
 
 
 def elements(names: np.ndarray, starts: np.ndarray, heads: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -229,80 +245,74 @@ def elements(names: np.ndarray, starts: np.ndarray, heads: np.ndarray, k: int) -
     return run[kept], a[kept], n[kept], b[kept], m[kept]
 
 
-def _distinct_parts(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row of each different (a, n, b, m), and the number of each row's."""
-    order = np.lexsort((m, b, n, a))
-    new = _changes(a[order], n[order], b[order], m[order])
+def _distinct_parts(a: np.ndarray, b: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each different (a, b, times), and the number of each row's."""
+    order = np.lexsort((times, b, a))
+    new = _changes(a[order], b[order], times[order]) if len(a) else order
     code = np.empty(len(a), np.int64)
     code[order] = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(a)]))
     return order[new], code
 
 
-def _round(k: int, last: bool):
-    """Chunks with the names of round ``k`` filled in, and with the runs and pairs that the next round has to name."""
+def _round(k: int):
+    """The symbols of round ``k`` with their names filled in, and the runs and pairs that the next round has to name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                stretches, codes = (row[c].flatten() for c in ("stretches", "codes"))
-                codes = codes.to_numpy()
+                n, codes, names, starts = (row[c].flatten().to_numpy() for c in ("n", "codes", "names", "starts"))
                 given = row["given"].flatten()
-                name = np.zeros(len(given), np.int64)
+                name = np.zeros(len(given) + 1, np.int64)
                 name[given.field("pos").to_numpy()] = given.field("name").to_numpy()
-                if k == 0:
-                    names, starts = [], []
-                    top, at = name[codes], np.arange(len(codes))
-                else:
-                    names, starts = ([x.values.to_numpy() for x in row[c][0]] for c in ("names", "starts"))
-                    at, top = starts.pop(), names.pop()
-                    top = np.where(codes >= 0, name[np.maximum(codes, 0)], top) if len(name) else top
-                names, starts = [*names, top], [*starts, at]
-                parts = pa.array([], _PARTS)
-                code = np.zeros(0, np.int32)
-                if not last:
-                    n = stretches.field("n").to_numpy()
-                    first, a, c, b, m = elements(top, at, np.cumsum(n) - n, k)
-                    code = np.full(len(first), -1, np.int32)
+                names = name[codes] if k == 0 else np.where(codes >= 0, name[codes], names)
+                starts = np.arange(len(codes), dtype=np.int32) if k == 0 else starts
+                following, at, code, a, b, times = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64))
+                if k < ROUNDS:
+                    first, following, c, second, m = elements(names, starts, np.cumsum(n, dtype=np.int64) - n, k)
+                    at = starts[first]
                     new = np.flatnonzero((c > 1) | (m > 0))
-                    one, number = _distinct_parts(a[new], c[new], b[new], m[new])
+                    one, number = _distinct_parts(following[new], second[new], (c[new] << 32) + m[new])
+                    code = np.full(len(first), -1, np.int32)
                     code[new] = number
                     new = new[one]
-                    parts = pa.StructArray.from_arrays([pa.array(a[new]), pa.array(c[new].astype(np.int32)), pa.array(b[new]), pa.array(m[new].astype(np.int32))], fields=list(_PARTS))
-                    names, starts = [*names, a], [*starts, at[first]]  # elements that are one symbol keep its name
-                levels = lambda xs, t: pa.array([xs], pa.list_(pa.list_(t)))
+                    a, b, times = following[new], second[new], (c[new] << 32) + m[new]
                 yield pa.RecordBatch.from_arrays(
-                    [row["chunk"], row["stretches"], levels(names, pa.int64()), levels([s.astype(np.int32) for s in starts], pa.int32()), _one_list(pa.array(code)), _one_list(parts)],
-                    ["chunk", "stretches", "names", "starts", "codes", "parts"],
+                    [row["chunk"], *(_one_list(pa.array(x)) for x in (n, names, starts, following, at, code, a, b, times))], ["chunk", "n", "names", "starts", "next", "next_starts", "codes", "a", "b", "times"]
                 )
 
     return run
 
 
-def _named(chunks: DataFrame, column: str, k: int) -> DataFrame:
-    """(chunk, given): the names of all ``column`` values of each chunk, by a global dictionary of one row a value.
+def _named(listed: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(chunk, given): the names of the ``keys`` at each place of each chunk (chunk, pos, keys), by a global dictionary of one row for each different key.
 
     The number of a name ends in its round, so names of different rounds differ.
     """
-    listed = chunks.select("chunk", F.posexplode(column).alias("pos", "value"))
-    dictionary = materialise(listed.select("value").groupBy("value").agg(F.count(F.lit(1)).alias("chunks")).select("value", (F.monotonically_increasing_id() * (ROUNDS + 1) + k).alias("name")), f"names-{k}")
-    given = listed.join(dictionary, "value").groupBy("chunk").agg(F.collect_list(F.struct("pos", "name")).alias("given"))
+    dictionary = listed.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("chunks")).select(*keys, (F.monotonically_increasing_id() * (ROUNDS + 1) + k).alias("name"))
+    dictionary = materialise(dictionary, f"names-{k}")
+    given = listed.join(dictionary, keys).groupBy("chunk").agg(F.collect_list(F.struct("pos", "name")).alias("given"))
     given = materialise(given, f"given-{k}")
     discard(dictionary)
     return given
 
 
-def rounds(chunks: DataFrame) -> DataFrame:
-    """``chunks`` (chunk, stretches, codes, words) with the names and first words of their symbols after each round."""
-    none = "cast(array() as array<array<bigint>>) as names", "cast(array() as array<array<int>>) as starts"
+def rounds(chunks: DataFrame) -> list[DataFrame]:
+    """For each round (chunk, names, starts): the names and first words of all symbols of ``chunks`` (chunk, stretches, codes, words) after it."""
+    none, done = F.array().cast("array<struct<pos:int,name:bigint>>"), []
     for k in range(ROUNDS + 1):
-        given = _named(chunks, "words" if k == 0 else "parts", k)
-        rows = chunks.join(given, "chunk", "left").withColumn("given", F.coalesce("given", F.array().cast("array<struct<pos:int,name:bigint>>")))
-        rows = rows.selectExpr("chunk", "stretches", "codes", "given", *(none if k == 0 else ("names", "starts")))
-        done = materialise(rows.mapInArrow(_round(k, k == ROUNDS), CHUNK), f"round-{k}")
-        discard(chunks, given)
-        chunks = done
-    return chunks
+        if k == 0:
+            listed, keys = chunks.select("chunk", F.posexplode("words").alias("pos", "word")), ["word"]
+            rows = chunks.select("chunk", F.col("stretches.n").alias("n"), "codes", F.array().cast("array<bigint>").alias("names"), F.array().cast("array<int>").alias("starts"))
+        else:
+            keys = ["a", "b", "times"]
+            listed = done[-1].select("chunk", F.posexplode(F.arrays_zip(*keys)).alias("pos", "p")).select("chunk", "pos", *[F.col(f"p.{c}").alias(c) for c in keys])
+            rows = done[-1].select("chunk", "n", "codes", F.col("next").alias("names"), F.col("next_starts").alias("starts"))
+        given = _named(listed, keys, k)
+        rows = rows.join(given, "chunk", "left").withColumn("given", F.coalesce("given", none))
+        done.append(materialise(rows.mapInArrow(_round(k), ROUND), f"round-{k}"))
+        discard(given)
+    return done
 
 
 # ---------------------------------------------------------------- finding
@@ -332,15 +342,31 @@ class Levels:
         return found
 
     def anchors(self, low: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(level, symbol): the longest symbol of the highest level that has any inside; of equal length by a hash of the name, then the first."""
-        level, symbol = np.full(len(low), -1), np.zeros(len(low), np.int64)
-        for k, (l, r) in reversed(list(enumerate(self.inside(low, end)))):
-            at = np.flatnonzero((r > l) & (level < 0))
+        """(level, symbol): the longest symbol of the highest level, up to ``ANCHOR_LEVEL``, that has any inside; of equal length by a hash of the name, then the first.
+
+        Long runs may leave only single words inside: then it is a word that differs from the one before it. In a
+        window of one word over and over there is none: the level is ``RUN`` and the symbol the run's first word.
+        """
+        level, symbol = np.full(len(low), RUN), np.zeros(len(low), np.int64)
+
+        def choose(k: int, at: np.ndarray, length: np.ndarray, name: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:
+            index = np.arange(len(name), dtype=np.uint64)
+            score = (np.minimum(length, 1023).astype(np.uint64) << np.uint64(54)) | ((mix(name.view(np.uint64), 41) >> np.uint64(42)) << np.uint64(32)) | (_LOW - index)
+            level[at] = k
+            return (_LOW - (_range_best(score, l[at], r[at]) & _LOW)).astype(np.int64)
+
+        for k, (l, r) in reversed(list(enumerate(self.inside(low, end)[1 : ANCHOR_LEVEL + 1], 1))):
+            at = np.flatnonzero((r > l) & (level == RUN))
             if len(at):
-                index = np.arange(len(self.names[k]), dtype=np.uint64)
-                length = np.minimum(self.ends[k] - self.starts[k], 1023).astype(np.uint64)
-                score = (length << np.uint64(54)) | ((mix(self.names[k].view(np.uint64), 41) >> np.uint64(42)) << np.uint64(32)) | (_LOW - index)
-                level[at], symbol[at] = k, (_LOW - (_range_best(score, l[at], r[at]) & _LOW)).astype(np.int64)
+                symbol[at] = choose(k, at, self.ends[k] - self.starts[k], self.names[k], l, r)
+        words = self.names[0]
+        turns = _changes(words)
+        l, r = np.searchsorted(turns, low + 1), np.searchsorted(turns, end)
+        at = np.flatnonzero((r > l) & (level == RUN))
+        if len(at):
+            symbol[at] = turns[choose(0, at, np.ones(len(turns), np.int64), words[turns], l, r)]
+        at = np.flatnonzero(level == RUN)
+        symbol[at] = turns[np.searchsorted(turns, low[at], side="right") - 1]
         return level, symbol
 
     def spelled(self, low: np.ndarray, end: np.ndarray, head: np.ndarray) -> pa.Array:
@@ -378,8 +404,7 @@ def _stretches(window: int):
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                levels = Levels(*([x.values.to_numpy() for x in row[c][0]] for c in ("names", "starts")))
-                levels.starts = [s.astype(np.int64) for s in levels.starts]
+                levels = Levels(*([row[f"{c}{k}"].flatten().to_numpy().astype(np.int64) for k in range(ROUNDS + 1)] for c in ("names", "starts")))
                 of = row["stretches"].flatten()
                 r1, r2, start, n = (of.field(c).to_numpy() for c in ("r1", "r2", "start", "n"))
                 begin = np.cumsum(n, dtype=np.int64) - n
@@ -389,15 +414,20 @@ def _stretches(window: int):
                 edge = _changes(text, level, symbol)
                 low, high, text = s[edge], s[np.r_[edge[1:], len(s)] - 1], text[edge]
                 level, symbol = level[edge], symbol[edge]
-                key, q = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
+                # Windows of one word over and over are equal: one row stands for all of a run, another for the last of several.
+                run = np.flatnonzero((level == RUN) & (high > low))
+                low, high, text, level, symbol = (np.r_[x, x[run]] for x in (low, high, text, level, symbol))
+                low[len(edge) :] = high[len(edge) :]
+                key, q = -levels.names[0][low] - 1, low.copy()
                 for k in range(len(levels.names)):
                     m = level == k
                     key[m], q[m] = levels.names[k][symbol[m]], levels.starts[k][symbol[m]]
-                whole = levels.spelled(low, high + window, (q - low) * 4096 + (high - low))
+                windows = np.where(level == RUN, 1, high - low + 1)
+                whole = levels.spelled(low, low + windows - 1 + window, (q - low) * 4096 + windows)
                 k = high - low + 1
-                each = _ragged(low, k)
+                each = _ragged(low, windows)
                 hashed = range_hasher(mix(levels.names[0].view(np.uint64), 17), _BASES[1])
-                hashes = mix(hashed(each, each + window) + mix((np.repeat(q, k) - each).astype(np.uint64), 73), 79)
+                hashes = mix(hashed(each, each + window) + mix((np.repeat(q, windows) - each).astype(np.uint64), 73), 79)
                 place = mix(mix(r1[text].view(np.uint64), 47) + (q - begin[text] + start[text]).astype(np.uint64), 53)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -408,7 +438,7 @@ def _stretches(window: int):
                         whole,
                         pa.array(low - begin[text] + start[text]),
                         pa.array(k),
-                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)].astype(np.int32)), _signed(hashes)),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows)].astype(np.int32)), _signed(hashes)),
                     ],
                     ["key", "place", "r1", "r2", "whole", "low", "n", "windows"],
                 )
@@ -462,9 +492,12 @@ def repeated(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFra
     chunks = materialise(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     discard(keys)
     parsed = rounds(chunks)
-    found = parsed.select("stretches", "names", "starts").mapInArrow(_stretches(window), "key long, place long, r1 long, r2 long, whole binary, low long, n long, windows array<long>")
+    whole = chunks.select("chunk", "stretches")
+    for k, level in enumerate(parsed):
+        whole = whole.join(level.select("chunk", F.col("names").alias(f"names{k}"), F.col("starts").alias(f"starts{k}")), "chunk")
+    found = whole.drop("chunk").mapInArrow(_stretches(window), "key long, place long, r1 long, r2 long, whole binary, low long, n long, windows array<long>")
     found = materialise(found, "stretches")
-    discard(parsed)
+    discard(chunks, *parsed)
 
     spellings = found.groupBy("key", "whole").agg((F.min("place") != F.max("place")).alias("many"), F.first("windows").alias("windows"))
     spellings = materialise(spellings, "spellings")

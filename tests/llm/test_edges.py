@@ -128,7 +128,7 @@ def test_large_buckets_are_split_and_no_pair_is_judged_twice(spark, monkeypatch)
 
 def test_pairs_of_unequal_size_at_the_threshold_are_found(spark):
     """A text of 160 runs and itself with 40 more, a similarity of exactly 0.8, for which the chance to share too few picks is largest."""
-    assert jaccard_join.runs_and_share(0.8, 0.9999) == (2, 0.25)
+    assert jaccard_join.runs_and_share(0.8, 0.9999) == (2, 0.25) and jaccard_join.split_chance(0.8, 2) < 1e-5
     assert 9e-4 < jaccard_join.miss_chance(0.8, 2, 0.4) < 2e-3
     rows = []
     for i in range(6000):
@@ -153,6 +153,48 @@ def test_pairs_of_unequal_size_in_large_buckets_are_found(spark):
     assert {i: r["class_id"] for i, r in found.items()} == roots
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """A line that all texts share makes a bucket of all of them; further picks split it, so it isn't compared pair by pair, and no link is lost."""
+    rng = random.Random(12)
+    text = lambda shared, i: f"{shared} " + " ".join(f"t{i}w{j}" for j in range(60))
+    lines = [" ".join(f"v{v}b{i}" for i in range(7)) for v in range(60)]
+    pairs = spark.createDataFrame([(v, i, text(line, i)) for v, line in enumerate(lines) for i in range(2)], "v int, i int, text string")
+    sketched = pairs.select("v", "i", jaccard_join._sketcher(5, 2)("text").alias("s"))
+    shared = {}
+    for r in sketched.collect():
+        mine = [set(r["s"][f"picks{level}"]) for level in (0, 1)]
+        shared[r["v"]] = [a & b for a, b in zip(shared.get(r["v"], mine), mine)]
+    line = lines[next(v for v, (top, deeper) in shared.items() if top and not deeper)]
+    rows = []
+    for i in range(600):
+        rows.append(text(line, i))
+        if i % 5 == 0:
+            rows.append(rows[-1].replace(f"w{rng.randrange(60)} ", "w99 ", 1))
+    links, roots = components({i: shingles(t) for i, t in enumerate(rows)}, 0.8)
+    split, made = jaccard_join._split, []
+    monkeypatch.setattr(jaccard_join, "runs_and_share", lambda threshold, target: (2, 0.05))  # a share so low that no pick may be left out
+    monkeypatch.setattr(jaccard_join, "_split", lambda large, classes, small: made.append((large.count(), split(large, classes, small))) or made[-1][1])
+    found = by_id(jaccard_join.groups(jaccard_join.join(docs(spark, list(enumerate(rows))), small=8)).withColumnRenamed("key", "doc_id"))
+    assert {i: r["n_links"] for i, r in found.items()} == links and {i: r["class_id"] for i, r in found.items()} == roots
+    before, ends = made[0]
+    assert before >= 600 and sum(links.values()) >= 200 and ends.agg({"blocks": "max"}).first()[0] < 20
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.95])
+def test_recall_with_real_splits(spark, threshold):
+    """Every pair at the threshold is found, whatever it is, where buckets are split and cut into blocks."""
+    rng = random.Random(int(threshold * 100))
+    passages = [" ".join(f"p{i}w{j}" for j in range(16)) for i in range(60)]
+    rows = []
+    for _ in range(500):
+        base = rng.sample(passages, 12)
+        rows += [" and so it is ".join(base[: rng.choice([8, 10, 11, 12])]) for _ in range(2)]
+    links, roots = components({i: shingles(t) for i, t in enumerate(rows)}, threshold)
+    found = by_id(jaccard_join.groups(jaccard_join.join(docs(spark, list(enumerate(rows))), threshold=threshold, small=16)).withColumnRenamed("key", "doc_id"))
+    lost = sum(links.values()) - sum(r["n_links"] for r in found.values())
+    assert sum(links.values()) > 200 and 0 <= lost <= 2 and all(r["n_links"] <= links[i] for i, r in found.items())
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(0, 12)] + [(20, 25), (22, 25)], "a long, b long")
     assert {r["cid"]: r["root"] for r in jaccard_join.components(chain).collect()} == {**{i: 0 for i in range(13)}, 20: 20, 22: 20, 25: 20}
@@ -401,3 +443,38 @@ def test_url_filter(spark):
         assert (len(r["rule"]), len(r["rule"].partition("/")[0]), r["verdict"] == "block") == max(fits), r
     assert url_filter.judge(df.where("false"), rules).count() == 0
     assert {r["verdict"] for r in url_filter.judge(df, [], default="block").collect()} == {"block"}
+
+
+# ---------------------------------------------------------------- the pipeline
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage on nulls in any column, empty and very long texts, ties, repeated rows, clashing columns and an empty table."""
+    import corpus_pipeline
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, plain, "en", "a", 1), (1, plain, "en", "a", 1), (2, plain + "  more", None, None, None), (None, None, None, None, None), (3, "", "en", "a", 0), (4, " ", "en", "a", 1), (5, LONG, "la", "b", 9),
+            (6, f"{plain.upper()} {item}. {plain}", "en", "a", 7), (7, item, "en", "a", 7), (None, item + " x", None, "a", 7), (8, "\u00e9 short", "fr", "b", 7)]
+    extra = {"row": "r", "score": "s", "predicted": "p", "kept": "k", "keep_id": "i", "ids": "d", "decoded": "e", "__length": "l", "__key": "y", "a.b": "z"}
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    df = spark.createDataFrame([(*r, *extra.values()) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    found = {name: stage(spark, df, str(tmp_path)).collect() for name, stage in stages.items()}
+    for name, stage in stages.items():
+        assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+        if name != "tokenise":
+            assert all(r.asDict().keys() == dict(zip(df.columns, df.columns)).keys() and all(r[c] == v for c, v in extra.items()) for r in found[name])
+    ids = lambda name: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found[name])
+    every = sorted((i is None, i or 0) for i, *_ in rows)
+    assert ids("quality") == every  # no labels
+    assert ids("exact_dedup") == [(False, i) for i in range(1, 9)] + [(True, 0)]  # the null text is a copy of 3
+    assert ids("near_dedup") == [(False, i) for i in (1, 3, 5, 6, 7, 8)]
+    clean = {(r["doc_id"], r["source"]): r for r in found["decontaminate"]}
+    assert ids("decontaminate") == sorted(x for x in every if x not in ((False, 7),)) [:-1]
+    assert clean[6, "a"]["text"] == f"{plain.upper()} . {plain}" and clean[6, "a"]["n_chars"] == len(clean[6, "a"]["text"])
+    assert clean[None, None]["text"] is None and clean[None, None]["n_chars"] is None and clean[5, "b"]["n_chars"] == 9
+    tokens = {(r["doc_id"], r["source"]): r for r in found["tokenise"]}
+    assert len(found["tokenise"]) == len(rows) and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in found["tokenise"])
+    assert tokens[None, None]["ids"] == [] and tokens[5, "b"]["n_tokens"] > 100_000

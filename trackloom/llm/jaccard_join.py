@@ -3,11 +3,15 @@
 A text is the set of its runs of ``size`` words. In each run of the join every set picks the members
 whose hash falls below ``PICKS`` / its size, so similar sets pick mostly the same ones. Sets that
 picked a common member fall into one bucket. A bucket of at most ``small`` sets is compared by brute
-force, a larger one by brute force in blocks, so no bucket and no pair of one is dropped. Large
-buckets with common sets become one bucket where that makes less work, as in a group of near copies,
-whose sets meet in as many large buckets as they have common picks. The runs have hashes of their own. Pairs that share enough picks are then
-verified on their whole sets; the number of runs and the share that is enough follow together from
-the target recall, by the chance that a pair at the threshold shares too few (``miss_chance``).
+force. A larger one is split: its sets pick again, by hashes of the next level, and those with a common
+pick fall into a smaller bucket, up to ``DEPTH`` times. Where that would not make smaller buckets, as in a
+group of near copies, which share most picks on any level, the bucket is compared by brute force in
+blocks, so no bucket and no pair of one is dropped; whether it would is estimated from some ``TRIAL`` of its
+sets. Large buckets with common sets become one bucket where that makes less work. Buckets of few but large sets
+count as larger, so that a task holds a bounded number of runs. The runs have hashes of their own. Pairs
+that share enough picks are then verified on their whole sets; the number of runs and the share that is
+enough follow together from the target recall, by the chance that a pair at the threshold shares too few
+(``miss_chance``) or loses its path in a split (``split_chance``).
 
 No pair leaves its bucket. Two sets that meet in several buckets are judged in the one whose name is
 the smallest, which both know as they carry the names of all theirs. A first pass over the buckets
@@ -29,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,11 @@ SMALL = 2048
 TINY = 48
 #: Values, or pairs of values, that one numpy step takes at once.
 STEP = 2_000_000
+#: Times that a large bucket may be split, and sets of it that tell whether that helps.
+DEPTH = 2
+TRIAL = 256
+#: Members of sets that count as one set of a bucket at least.
+MEMBERS = 4000
 #: Low bits of a pick that hold its run.
 RUN_BITS = 15
 #: Shares of the larger sample that a pair may have to have in common to be verified.
@@ -74,11 +84,16 @@ def miss_chance(threshold: float, runs: int, share: float) -> float:
     return float(max(0.0, 1 - kept))
 
 
+def split_chance(threshold: float, runs: int) -> float:
+    """Chance that a pair at the threshold shares no pick in some of the splits, for the worst sizes: those of ``miss_chance``."""
+    return DEPTH * math.exp(-runs * PICKS * threshold)
+
+
 def runs_and_share(threshold: float, target: float) -> tuple[int, float]:
     """The fewest runs, and the largest share of common picks, with which a pair at the threshold is missed with a chance of at most 1 - ``target``."""
     for runs in range(1, RUN_BITS + 2):
         for share in SHARES:
-            if miss_chance(threshold, runs, share) <= 1 - target:
+            if miss_chance(threshold, runs, share) + split_chance(threshold, runs) <= 1 - target:
                 return runs, share
     raise ValueError(f"a recall of {target} at {threshold} needs more than {RUN_BITS + 1} runs")
 
@@ -99,37 +114,38 @@ def word_runs(raw: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray,
     return runs[new], text[new]
 
 
-_SKETCH = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("picks", pa.list_(pa.int64()))])
+_SKETCH = pa.struct([("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), *[(f"picks{level}", pa.list_(pa.int64())) for level in range(DEPTH + 1)]])
+SKETCH = "struct<n:bigint,s1:bigint,s2:bigint," + ",".join(f"picks{level}:array<bigint>" for level in range(DEPTH + 1)) + ">"
 
 
 def _sketcher(size: int, runs: int):
-    @F.arrow_udf("struct<n:bigint,s1:bigint,s2:bigint,picks:array<bigint>>")
+    def picked(members: np.ndarray, text: np.ndarray, n: np.ndarray, level: int) -> pa.ListArray:
+        bar = np.minimum(PICKS / np.maximum(n, 1), 1.0) * 2.0**53
+        found, owner = [], []
+        for run in range(runs):
+            chance = mix(members, 200 + run + 100 * level)
+            below = np.flatnonzero((chance >> np.uint64(11)).astype(np.float64) < bar[text])
+            order = below[np.lexsort((chance[below], text[below]))]
+            # the run goes into the lowest bits, so picks of different runs never meet
+            found.append((mix(members[order], 300 + level) & ~np.uint64(RUN_BITS)) | np.uint64(run))
+            owner.append(text[order])
+        found, owner = np.concatenate(found), np.concatenate(owner)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[np.argsort(owner, kind="stable")].view(np.int64)))
+
+    @F.arrow_udf(SKETCH)
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = [pa.array([], _SKETCH)]
             for lo, hi, raw, off in text_slices(batch):
                 members, text = word_runs(raw, off, size)
-                k = hi - lo
-                n = np.bincount(text, minlength=k)
+                n = np.bincount(text, minlength=hi - lo)
+                edge = np.concatenate([[0], np.cumsum(n)])
                 sums = []
                 for lane in (1, 2):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(members, 100 + lane))])
-                    edge = np.concatenate([[0], np.cumsum(n)])
                     sums.append((total[edge[1:]] - total[edge[:-1]]).view(np.int64))
-                bar = np.minimum(PICKS / np.maximum(n, 1), 1.0) * 2.0**53
-                found, owner = [], []
-                for run in range(runs):
-                    chance = mix(members, 200 + run)
-                    below = np.flatnonzero((chance >> np.uint64(11)).astype(np.float64) < bar[text])
-                    order = below[np.lexsort((chance[below], text[below]))]
-                    # the run goes into the lowest bits, so picks of different runs never meet
-                    found.append((mix(members[order], 300) & ~np.uint64(RUN_BITS)) | np.uint64(run))
-                    owner.append(text[order])
-                found, owner = np.concatenate(found), np.concatenate(owner)
-                order = np.argsort(owner, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=k))]).astype(np.int32)
-                picks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found[order].view(np.int64)))
-                parts.append(pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), picks], ["n", "s1", "s2", "picks"]))
+                parts.append(pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), *map(pa.array, sums), *(picked(members, text, n, level) for level in range(DEPTH + 1))], fields=list(_SKETCH)))
             yield pa.concat_arrays(parts)
 
     return sketch
@@ -328,21 +344,53 @@ def _verified(threshold: float, share: float, size: int):
     return _whole_buckets(work)
 
 
-def _joined(large: DataFrame, block: float) -> DataFrame:
-    """(cid, node, blocks) of large buckets (cid, node, m): those connected by common sets are one where that makes fewer rows, and so fewer pairs."""
+def _large():
+    """How large a bucket counts: its sets, or the members of them if those are many."""
+    return F.greatest(F.count(F.lit(1)), F.ceil(F.sum("n") / MEMBERS))
+
+
+def _blocks(m, small: int):
+    return F.ceil(m / (small / 2)).cast("int")
+
+
+def _joined(large: DataFrame, small: int) -> DataFrame:
+    """(cid, n, node, m) of large buckets (cid, n, node, m): those connected by common sets are one where that makes fewer rows, and so fewer pairs."""
     first = large.groupBy("cid").agg(F.min("node").alias("a"))
     roots = components(large.join(first, "cid").select("a", F.col("node").alias("b")).where("a <> b").distinct())
-    named = large.join(F.broadcast(roots.withColumnRenamed("cid", "node")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    blocks = lambda m: F.ceil(m / block).cast("int")
-    sets = named.groupBy("root", "cid").agg(F.sum(blocks(F.col("m"))).alias("rows"))
-    whole = sets.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("rows").alias("rows")).where(F.col("sets") * blocks(F.col("sets")) <= F.col("rows"))
-    named = named.join(F.broadcast(whole.select("root", "sets")), "root", "left")
-    node = F.when(F.col("sets").isNull(), F.col("node")).otherwise(F.xxhash64("root"))
-    return materialise(named.select("cid", node.alias("node"), blocks(F.coalesce("sets", "m")).alias("blocks")).distinct(), "large")
+    named = large.join(roots.withColumnRenamed("cid", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sets = named.groupBy("root", "cid").agg(F.sum(_blocks(F.col("m"), small)).alias("rows"), F.first("n").alias("n"))
+    whole = sets.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), _large().alias("size"), F.sum("rows").alias("rows")).where(F.col("sets") * _blocks(F.col("size"), small) <= F.col("rows"))
+    named = named.join(whole.select("root", "size"), "root", "left")
+    node = F.when(F.col("size").isNull(), F.col("node")).otherwise(F.xxhash64("root"))
+    return materialise(named.select("cid", "n", node.alias("node"), F.coalesce("size", "m").alias("m")).distinct(), "large")
+
+
+def _split(large: DataFrame, classes: DataFrame, small: int) -> DataFrame:
+    """(cid, node, blocks) that large buckets (cid, n, node, m) end in: split by further picks where that makes at most half the rows of comparing them in blocks."""
+    done: list[DataFrame] = []
+    blocks = F.when(F.col("m") <= small, 1).otherwise(_blocks(F.col("m"), small))
+    for level in range(1, DEPTH + 1):
+        deeper = classes.select("cid", F.explode(f"picks{level}").alias("pick"))
+        tried = large.where(F.pmod(F.xxhash64("cid", F.lit(level)), F.ceil(F.col("m") / TRIAL)) == 0)
+        shares = tried.groupBy("node").agg(F.count(F.lit(1)).alias("tried"), F.first("m").alias("m"))
+        counts = tried.select("cid", "node").join(deeper, "cid").groupBy("node", "pick").agg(F.count(F.lit(1)).alias("c")).join(shares, "node")
+        child = F.col("c") * F.col("m") / F.col("tried")
+        rows = F.sum(child * F.when(child <= small, 1).otherwise(_blocks(child, small)))
+        better = counts.groupBy("node").agg(rows.alias("rows"), F.first("m").alias("m")).where(F.col("rows") * 2 < F.col("m") * _blocks(F.col("m"), small))
+        better = materialise(better.select("node"), "splits")
+        if better.isEmpty():
+            break
+        done.append(large.join(better, "node", "left_anti").select("cid", "node", blocks.alias("blocks")))
+        children = large.join(better, "node", "left_semi").join(deeper, "cid").select("cid", "n", F.xxhash64("node", "pick").alias("node"))
+        sizes = children.groupBy("node").agg(F.count(F.lit(1)).alias("sets"), _large().alias("m")).where("sets > 1").drop("sets")
+        children = materialise(children.join(sizes, "node"), "children")
+        done.append(children.where(F.col("m") <= small).select("cid", "node", F.lit(1).alias("blocks")))
+        large = children.where(F.col("m") > small)
+    return reduce(DataFrame.unionAll, [*done, large.select("cid", "node", blocks.alias("blocks"))])
 
 
 def buckets(classes: DataFrame, share: float, small: int = SMALL) -> DataFrame:
-    """(unit, node, side, cid, n, members, count, picks, leaves): the rows of all buckets of ``classes`` (cid, n, members, picks).
+    """(unit, node, side, cid, n, members, count, picks, leaves): the rows of all buckets of ``classes`` (cid, n, members, picks of each level).
 
     ``picks`` are those picks that another set has too, of ``count`` in all; ``leaves`` are the
     buckets that the set ends in. Pairs have to share ``share`` of the picks of either, so if
@@ -351,20 +399,20 @@ def buckets(classes: DataFrame, share: float, small: int = SMALL) -> DataFrame:
     two of its blocks form a unit, whose pairs are those between different ``side`` s, or all where
     it is -1.
     """
-    every = classes.select("cid", F.explode("picks").alias("node"))
+    every = classes.select("cid", F.explode("picks0").alias("node"))
     counts = every.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     listed = every.join(counts, "node").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("m", "node"))).alias("ps"))
-    held = listed.join(classes.select("cid", "n", "members", F.size("picks").alias("count")), "cid").withColumn("picks", F.transform("ps", lambda p: p["node"]))
+    held = listed.join(classes.select("cid", "n", "members", F.size("picks0").alias("count")), "cid").withColumn("picks", F.transform("ps", lambda p: p["node"]))
     left_out = F.ceil(F.col("count") * share).cast("int") - 1
     held = materialise(held.withColumn("indexed", F.slice("picks", 1, F.greatest(F.size("picks") - left_out, F.lit(0)))).drop("ps"), "picks")
 
-    picked = held.select("cid", F.explode("indexed").alias("node"))
-    counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    picked = held.select("cid", "n", F.explode("indexed").alias("node"))
+    counts = picked.groupBy("node").agg(F.count(F.lit(1)).alias("sets"), _large().alias("m")).where("sets > 1").drop("sets")
     tagged = materialise(picked.join(counts, "node"), "nodes")
     every = tagged.where(F.col("m") <= small).select("cid", F.struct("node", F.lit(1).alias("blocks")).alias("b"))
     large = tagged.where(F.col("m") > small)
     if not large.isEmpty():
-        every = every.unionAll(_joined(large, small / 2).select("cid", F.struct("node", "blocks").alias("b")))
+        every = every.unionAll(_split(_joined(large, small), classes, small).select("cid", F.struct("node", "blocks").alias("b")))
     ends = every.groupBy("cid").agg(F.collect_list("b").alias("bs"))
     known = ends.join(held.drop("indexed"), "cid").select("cid", "n", "members", "count", "picks", F.transform("bs", lambda b: b["node"]).alias("leaves"), F.explode("bs").alias("b"))
     block = F.pmod(F.xxhash64("cid"), F.col("b.blocks").cast("long")).cast("int")
@@ -409,8 +457,9 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     runs, share = runs_and_share(threshold, target_recall)
     r1, r2 = text_identity(text_or_empty(text))
     sketched = df.select(F.col(f"`{key}`").alias("key"), r1.alias("r1"), r2.alias("r2"), _sketcher(size, runs)(text_or_empty(text)).alias("s"))
-    sketched = materialise(sketched.select("key", "r1", "r2", "s.n", "s.s1", "s.s2", "s.picks"), "sketches")
-    grouped = sketched.groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("r1", "r2")).alias("text"), F.first("picks").alias("picks"))
+    sketched = materialise(sketched.select("key", "r1", "r2", "s.*"), "sketches")
+    levels = [f"picks{level}" for level in range(DEPTH + 1)]
+    grouped = sketched.groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("r1", "r2")).alias("text"), *[F.first(c).alias(c) for c in levels])
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def texts(wanted: DataFrame) -> DataFrame:

@@ -471,3 +471,15 @@ def test_sound_headers(spark):
     assert value(spark, media.audio_config(F.unhex(F.lit("12100000000000")))).asDict() == {"object_type": 2, "sample_rate": 44100, "channels": 2}
     assert value(spark, containers.decoded_pcm(F.unhex(F.lit("0080FF7F01")))) == [-32768, 32767]
     assert value(spark, containers.decoded_pcm(F.unhex(F.lit("AA8000BB0100")), 24)) == [128, 1]
+
+
+def test_caption_messages(spark):
+    long = bytes([4, 255, 10]) + b"x" * 265
+    unit = bytes([6, 1, 2, 7, 7]) + long + bytes([5, 1, 9, 0x80])
+    assert octets.sei_messages(unit) == ([(1, 1, 4), (4, 5, 268), (5, 273, 3)], True)
+    kept = bytes([6, 4, 5, 1, 0, 0, 3, 1, 9, 0x80])
+    assert octets.sei_messages(kept) == ([(4, 1, 8)], True)
+    assert octets.sei_messages(bytes([6, 4, 9, 1])) == ([], False) and octets.sei_messages(bytes([6, 255, 255]))[1] is False
+    df = spark.createDataFrame([(unit,), (bytes([6, 1, 1, 7, 0x80]),), (bytes([6, 4, 9, 1]),), (None,)], "x binary")
+    out = [None if r["y"] is None else bytes(r["y"]) for r in df.select(octets.captions(F.col("x")).alias("y")).collect()]
+    assert out == [(270).to_bytes(4, "big") + bytes([6]) + long + bytes([0x80]), b"", None, None]

@@ -114,6 +114,56 @@ def convert_nals(content: Column, to: str, prefix: int = 4) -> Column:
     return turned(content)
 
 
+#: The message of registered user data, which captions are, and the byte that keeps start codes out.
+CAPTION_MESSAGE, PREVENTION, TRAILING = 4, 3, 0x80
+
+
+def sei_messages(data: bytes) -> tuple[list[tuple[int, int, int]], bool]:
+    """(type, first byte, size) of the messages of an SEI unit, headers included, and whether all could be read.
+
+    Types and sizes are sums of bytes of which all but the last are 255; bytes that keep start codes out count
+    besides the size.
+    """
+    found, at = [], 1
+    while len(data) - at > 1:
+        place, values = at, []
+        for _ in range(2):
+            value = 0
+            while place < len(data) and data[place] == 255:
+                value, place = value + 255, place + 1
+            if place >= len(data):
+                return found, False
+            values.append(value + data[place])
+            place += 1
+        kind, size = values
+        k = 0
+        while k < size - 2:
+            if place + k + 2 >= len(data):
+                return found, False
+            size += data[place + k : place + k + 3] == bytes([0, 0, PREVENTION])
+            k += 1
+        found.append((kind, at, place + size - at))
+        at = place + size
+    return found, True
+
+
+def captions(content: Column, prefix: int = 4) -> Column:
+    """The caption messages of an SEI unit as a unit of their own after its size; empty if there are none, null if the unit can't be read."""
+
+    @F.arrow_udf("binary")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                found, whole = sei_messages(x) if x is not None else ([], False)
+                body = b"".join(x[a : a + n] for kind, a, n in found if kind == CAPTION_MESSAGE)
+                unit = bytes([6]) + body + bytes([TRAILING])
+                out.append(None if not whole else len(unit).to_bytes(prefix, "big") + unit if body else b"")
+            yield pa.array(out, pa.binary())
+
+    return cut(content)
+
+
 def has_type(units: Column, kind: int) -> Column:
     return F.exists(units, lambda u: u["type"] == kind)
 

@@ -186,6 +186,45 @@ def weights(spark: SparkSession, source: int, target: int, kernel=lanczos, lobes
     return raw.select("out_idx", "tap", (F.col("raw") / whole).alias("weight"), F.round(F.col("raw") / whole * 65536).cast("int").alias("fixed"))
 
 
+def resampled(planes: DataFrame, keys: list[str], taps: DataFrame, axis: str, plane_axes: tuple[str, str] = ("x", "y")) -> DataFrame:
+    """Values (keys, x, y, v) along one axis by 16.16 weights (out_idx, tap, fixed): an equi-join of values and taps, then a sum for each place.
+
+    The taps of an axis are a few times its length, so the join is a broadcast by their size; the sums are
+    pre-aggregated. Results are rounded and kept within a byte.
+    """
+    other = plane_axes[1] if axis == plane_axes[0] else plane_axes[0]
+    joined = planes.join(taps.select(F.col("tap").cast("int").alias(axis), F.col("out_idx").cast("int").alias("out"), "fixed"), axis)
+    sums = joined.groupBy(*keys, other, "out").agg(F.sum(F.col("v") * F.col("fixed").cast("long")).alias("s"))
+    value = F.greatest(F.lit(0), F.least(F.lit(255), F.shiftright(F.col("s") + 32768, 16))).cast("int")
+    return sums.select(*keys, other, F.col("out").alias(axis), value.alias("v"))
+
+
+def pixels_of(planes: DataFrame, keys: list[str], plane: str, width: int) -> DataFrame:
+    """Planes of rows of ``width`` as (keys, x, y, v)."""
+    rows = planes.select(*keys, F.posexplode(plane).alias("i", "v"))
+    return rows.select(*keys, (F.col("i") % width).alias("x"), div(F.col("i"), width).cast("int").alias("y"), "v")
+
+
+def looked_up(pixels: DataFrame, table: DataFrame, value: str = "v") -> DataFrame:
+    """Values through a table (value, out) of at most 256 rows: an equi-join on the byte."""
+    return pixels.join(table, value)
+
+
+def palette_medians(assigned: DataFrame, keys: list[str], axes: list[str], least: float = 0.001) -> DataFrame:
+    """(keys, n, axes, share) of pixels with a cluster ``n``: the real colour nearest to each cluster's median, of clusters with more than ``least`` of the pixels.
+
+    Colours are counted before they are shuffled; of equally near ones the smallest counts.
+    """
+    colours = assigned.groupBy(*keys, "n", *axes).agg(F.count(F.lit(1)).alias("c"))
+    sizes = colours.groupBy(*keys, "n").agg(F.sum("c").alias("size"))
+    sizes = sizes.withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy(*keys)))
+    middle = assigned.groupBy(*keys, "n").agg(*[F.median(a).alias(f"m_{a}") for a in axes])
+    near = colours.join(middle, [*keys, "n"])
+    far = sum(((F.col(a) - F.col(f"m_{a}")) * (F.col(a) - F.col(f"m_{a}")) for a in axes[1:]), (F.col(axes[0]) - F.col(f"m_{axes[0]}")) * (F.col(axes[0]) - F.col(f"m_{axes[0]}")))
+    best = near.groupBy(*keys, "n").agg(F.min(F.struct(far.alias("far"), *axes)).alias("b"))
+    return best.join(sizes, [*keys, "n"]).where(F.col("share") > least).select(*keys, "n", *[F.col(f"b.{a}").alias(a) for a in axes], "share")
+
+
 def lookup_table(spark: SparkSession, size: int) -> DataFrame:
     """The identity table of size**3 colours."""
     steps = spark.range(size**3)

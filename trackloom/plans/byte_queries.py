@@ -61,6 +61,18 @@ def annexb_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("track_id", "idx", F.explode(octets.nal_units(F.col("payload"))).alias("u")).select("track_id", "idx", "u.*")
 
 
+@query("caption_units", f"""
+    SELECT track_id, idx, CASE WHEN type = 'caption' THEN printf('%08x', n + 4) || '06' || '04' || printf('%02x', n) || body || '80' ELSE '' END AS caption
+    FROM (SELECT track_id, idx, type, length(type) + idx % 5 AS n, lower(hex(encode(type))) || repeat('61', (idx % 5)::int) AS body FROM {SAMPLES})""")
+def caption_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.samples(spark, sf_dir)
+    body = F.encode(F.concat("type", F.repeat(F.lit("a"), (F.col("idx") % 5).cast("int"))), "utf-8")
+    message = lambda kind: F.concat(octet(kind), octet(F.octet_length(body)), body)
+    kind = F.when(F.col("type") == "caption", 4).otherwise(5)
+    unit = F.concat(F.unhex(F.lit("06")), message(F.lit(1)), message(kind), F.unhex(F.lit("80")))
+    return rows.select("track_id", "idx", _hex(octets.captions(unit)).alias("caption"))
+
+
 @query("extradata", """
     SELECT doc_id, printf('%04x', strlen(source)) || lower(hex(encode(source))) || printf('%04x', strlen(lang)) || lower(hex(encode(lang))) AS iso,
         '00000001' || lower(hex(encode(source))) || '00000001' || lower(hex(encode(lang))) AS annex_b, printf('%08x', strlen(source)) || lower(hex(encode(source))) || printf('%08x', strlen(lang)) || lower(hex(encode(lang))) AS avcc

@@ -120,3 +120,37 @@ def plane_crop_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lookup_table", "SELECT i AS entry, round(i % 8 * 255.0 / 7)::int AS r, round(i // 8 % 8 * 255.0 / 7)::int AS g, round(i // 64 % 8 * 255.0 / 7)::int AS b FROM range(512) AS r(i)")
 def lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.lookup_table(spark, 8)
+
+
+_TAPS = """
+    o AS (SELECT i AS out_idx, (i + 0.5::double) * 2 AS c FROM range(4) AS r(i)),
+    k AS (SELECT out_idx, tap, (tap + 0.5::double - c) / 2 AS x FROM o, range(8) AS q(tap) WHERE tap BETWEEN floor(c - 6) AND ceil(c + 6)),
+    l AS (SELECT *, CASE WHEN abs(x) >= 3 THEN 0 WHEN abs(x) < 1e-9 THEN 1 ELSE sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) END AS raw FROM k),
+    w AS (SELECT out_idx, tap, round(raw / sum(raw) OVER (PARTITION BY out_idx) * 65536)::bigint AS f FROM l WHERE raw <> 0)"""
+
+
+@query("resample_planes", f"""
+    WITH {_TAPS}, p AS (SELECT frame_id, i % 8 AS x, i // 8 AS y, plane[i + 1] AS v FROM {FRAMES}, range(64) AS r(i)),
+    h AS (SELECT frame_id, y, out_idx AS x, greatest(0, least(255, (sum(v * f) + 32768)::bigint >> 16)) AS v FROM p JOIN w ON tap = x GROUP BY frame_id, y, out_idx)
+    SELECT frame_id, x::int AS x, out_idx::int AS y, greatest(0, least(255, (sum(v * f) + 32768)::bigint >> 16))::int AS v FROM h JOIN w ON tap = y GROUP BY frame_id, x, out_idx""")
+def resample_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taps = images.weights(spark, 8, 4)
+    values = images.pixels_of(views.frames(spark, sf_dir), ["frame_id"], "plane", 8)
+    return images.resampled(images.resampled(values, ["frame_id"], taps, "x"), ["frame_id"], taps, "y").select("frame_id", "x", "y", "v")
+
+
+@query("range_lookup", f"SELECT frame_id, (i % 8)::int AS x, (i // 8)::int AS y, (plane[i + 1] * 219 // 255 + 16)::int AS out FROM {FRAMES}, range(64) AS r(i)")
+def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.range(256).select(F.col("id").cast("int").alias("v"), colour.limited_range(F.col("id")).alias("out"))
+    values = images.pixels_of(views.frames(spark, sf_dir), ["frame_id"], "plane", 8)
+    return images.looked_up(values, table).select("frame_id", "x", "y", "out")
+
+
+@query("palette_medians", f"""
+    WITH p AS (SELECT label, (i % 3)::int AS n, r, g, b FROM {PIXELS}),
+    m AS (SELECT label, n, median(r) AS mr, median(g) AS mg, median(b) AS mb, count(*) AS c FROM p GROUP BY ALL)
+    SELECT label, n, arg_min(r, k)::int AS r, arg_min(g, k)::int AS g, arg_min(b, k)::int AS b, round(any_value(share), 6) AS share
+    FROM (SELECT p.*, ((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb), r, g, b) AS k, share FROM p JOIN (SELECT *, c / sum(c) OVER (PARTITION BY label) AS share FROM m) m USING (label, n)) WHERE share > 0.001 GROUP BY label, n""")
+def palette_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = pixels(spark, sf_dir).withColumn("n", (F.col("i") % 3).cast("int"))
+    return images.palette_medians(assigned, ["label"], list("rgb")).withColumn("share", F.round("share", 6))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import arith, media, octets
 from trackloom.operators import compare, containers, editboxes, images, stitching, tools, track, transforms
-from trackloom.sources import readers
+from trackloom.sources import mp4, readers
 
 SAMPLE = "track_id long, idx long, pts long, dts long, timescale long, keyframe boolean, type string, size int"
 BOX = "track_id long, ord int, start_pts long, duration_pts long"
@@ -483,3 +483,16 @@ def test_caption_messages(spark):
     df = spark.createDataFrame([(unit,), (bytes([6, 1, 1, 7, 0x80]),), (bytes([6, 4, 9, 1]),), (None,)], "x binary")
     out = [None if r["y"] is None else bytes(r["y"]) for r in df.select(octets.captions(F.col("x")).alias("y")).collect()]
     assert out == [(270).to_bytes(4, "big") + bytes([6]) + long + bytes([0x80]), b"", None, None]
+
+
+def test_sample_tables_by_hand(spark):
+    """A file as others write it: runs in its tables, fixed sizes, chunks of different lengths, no table of keyframes, offsets that are negative."""
+    n = lambda x, size=4: x.to_bytes(size, "big")
+    box = lambda kind, body=b"": n(8 + len(body)) + kind + body
+    table = lambda kind, *rows: box(kind, n(0) + n(len(rows)) + b"".join(n(v % (1 << 32)) for r in rows for v in r))
+    stbl = box(b"stbl", table(b"stts", (3, 10), (3, 20)) + table(b"ctts", (1, 0), (1, -5), (4, 7)) + box(b"stsz", n(0) + n(4) + n(6)) + table(b"stsc", (1, 2, 1), (3, 1, 1)) + table(b"stco", (100,), (200,), (300,), (400,)))
+    trak = box(b"trak", box(b"mdia", box(b"mdhd", n(0) * 3 + n(600) + n(0) * 2) + box(b"hdlr", n(0) * 2 + b"soun" + n(0) * 3 + b"x") + box(b"minf", stbl)))
+    df = spark.createDataFrame([("a", box(b"ftyp", b"isom") + box(b"moov", trak + box(b"trak"))), ("b", b""), ("c", b"xx")], "path string, content binary")
+    found = [(r["path"], r["type"], r["timescale"], r["idx"], r["pts"], r["dts"], r["keyframe"], r["pos"], r["size"]) for r in mp4.sample_tables(df).orderBy("idx").collect()]
+    expected = zip((0, 10, 20, 30, 50, 70), (0, -5, 7, 7, 7, 7), (100, 104, 200, 204, 300, 400))
+    assert found == [("a", "audio", 600, i, d + o, d, True, at, 4) for i, (d, o, at) in enumerate(expected)]

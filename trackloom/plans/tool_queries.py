@@ -9,7 +9,8 @@ from trackloom.operators import compare, containers, editboxes, stitching, tools
 from trackloom.operators.track import reindexed
 from trackloom.plans.catalog import query
 from trackloom.plans.track_queries import LENGTH_MS, REAL_PTS, START_MS, TRIMMED
-from trackloom.sources import views
+from trackloom.sources import mp4, views
+from trackloom.sources.tables import materialise
 from trackloom.sources.views import CROSSED, DAY, EDIT_BOXES, SAMPLES
 
 # ---------------------------------------------------------------- stitching
@@ -253,3 +254,12 @@ def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("work_parts")
 def work_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.work_parts(views.samples(spark, sf_dir).drop("nal"), 3)
+
+
+@query("mp4_tables", f"""
+    WITH v AS (SELECT track_id, row_number() OVER w - 1 AS idx, dts // 1000 AS dts, pts // 1000 - dts // 1000 AS off, size, keyframe FROM {SAMPLES} WHERE type = 'video' WINDOW w AS (PARTITION BY track_id ORDER BY idx))
+    SELECT track_id, idx, dts - first_value(dts) OVER w + off AS pts, dts - first_value(dts) OVER w AS dts, keyframe, (sum(size) OVER w - size)::bigint AS pos, size::bigint AS size, 'video' AS type, 1000::bigint AS timescale FROM v WINDOW w AS (PARTITION BY track_id ORDER BY idx)""")
+def mp4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    video = reindexed(views.samples(spark, sf_dir).where("type = 'video'").drop("nal")).selectExpr("track_id", "idx", "pts div 1000 as pts", "dts div 1000 as dts", "size", "keyframe", "1000L as timescale")
+    files = materialise(mp4.written(video), "mp4")
+    return mp4.sample_tables(files, "track_id").drop("trak")

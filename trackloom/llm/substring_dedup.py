@@ -154,11 +154,11 @@ class Anchors:
 def _emit_anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r1, r2 = (batch[c].to_numpy().view(np.uint64) for c in ("r1", "r2"))
+            r1 = batch["r1"].to_numpy().view(np.uint64)
             for lo, hi, raw, off in text_slices(batch["text"]):
                 a = Anchors(raw, off, window)
                 place = mix(mix(r1[lo:hi][a.text], 47) + (a.q - a.firsts[a.text]).astype(np.uint64), 53)
-                yield pa.RecordBatch.from_arrays([_signed(a.keys), _signed(place), _signed(r1[lo:hi][a.text]), _signed(r2[lo:hi][a.text])], ["key", "place", "r1", "r2"])
+                yield pa.RecordBatch.from_arrays([_signed(a.keys), _signed(place), _signed(r1[lo:hi][a.text])], ["key", "place", "r1"])
 
     return run
 
@@ -299,20 +299,24 @@ def _named(listed: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 def rounds(chunks: DataFrame) -> list[DataFrame]:
     """For each round (chunk, names, starts): the names and first words of all symbols of ``chunks`` (chunk, stretches, codes, words) after it."""
-    none, done = F.array().cast("array<struct<pos:int,name:bigint>>"), []
+    none, levels, last = F.array().cast("array<struct<pos:int,name:bigint>>"), [], None
     for k in range(ROUNDS + 1):
-        if k == 0:
+        if last is None:
             listed, keys = chunks.select("chunk", F.posexplode("words").alias("pos", "word")), ["word"]
             rows = chunks.select("chunk", F.col("stretches.n").alias("n"), "codes", F.array().cast("array<bigint>").alias("names"), F.array().cast("array<int>").alias("starts"))
         else:
             keys = ["a", "b", "times"]
-            listed = done[-1].select("chunk", F.posexplode(F.arrays_zip(*keys)).alias("pos", "p")).select("chunk", "pos", *[F.col(f"p.{c}").alias(c) for c in keys])
-            rows = done[-1].select("chunk", "n", "codes", F.col("next").alias("names"), F.col("next_starts").alias("starts"))
+            listed = last.select("chunk", F.posexplode(F.arrays_zip(*keys)).alias("pos", "p")).select("chunk", "pos", *[F.col(f"p.{c}").alias(c) for c in keys])
+            rows = last.select("chunk", "n", "codes", F.col("next").alias("names"), F.col("next_starts").alias("starts"))
         given = _named(listed, keys, k)
         rows = rows.join(given, "chunk", "left").withColumn("given", F.coalesce("given", none))
-        done.append(materialise(rows.mapInArrow(_round(k), ROUND), f"round-{k}"))
+        done = materialise(rows.mapInArrow(_round(k), ROUND), f"round-{k}")
         discard(given)
-    return done
+        if last is not None:  # what the next round was made of isn't needed any more
+            levels.append(materialise(last.select("chunk", "names", "starts"), f"level-{k - 1}"))
+            discard(last)
+        last = done
+    return [*levels, last]
 
 
 # ---------------------------------------------------------------- finding
@@ -483,11 +487,12 @@ def repeated(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFra
     """
     r1, r2 = text_identity(text_or_empty(text))
     texts = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
-    anchors = materialise(texts.mapInArrow(_emit_anchors(window), "key long, place long, r1 long, r2 long"), "anchors")
+    anchors = materialise(texts.select("r1", "text").mapInArrow(_emit_anchors(window), "key long, place long, r1 long"), "anchors")
     shared = materialise(_several(anchors, "key"), "shared")
-    keys = materialise(anchors.join(shared, "key", "left_semi").groupBy("r1", "r2").agg(F.collect_set("key").alias("keys")), "keys")
+    # Half the identity is enough here: a text that gets another's keys too has no such anchors.
+    keys = materialise(anchors.join(shared, "key", "left_semi").groupBy("r1").agg(F.collect_set("key").alias("keys")), "keys")
     discard(anchors, shared)
-    held = texts.join(keys, ["r1", "r2"]).select("r1", "r2", "text", "keys")
+    held = texts.join(keys, "r1").select("r1", "r2", "text", "keys")
     chunks = held.mapInArrow(_set_aside(window), f"stretches {_STRETCHES}, codes array<int>, words array<binary>")
     chunks = materialise(chunks.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     discard(keys)

@@ -57,6 +57,8 @@ DEPTH = 2
 TRIAL = 256
 #: Members of sets that count as one set of a bucket at least.
 MEMBERS = 4000
+#: Rows of a table of buckets that may be broadcast.
+FEW = 100_000
 #: Low bits of a pick that hold its run.
 RUN_BITS = 15
 #: Shares of the larger sample that a pair may have to have in common to be verified.
@@ -353,14 +355,19 @@ def _blocks(m, small: int):
     return F.ceil(m / (small / 2)).cast("int")
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, to be sent to all tasks if it has at most ``FEW`` (short) rows, so that a hot key of the other side stays where it is."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 def _joined(large: DataFrame, small: int) -> DataFrame:
     """(cid, n, node, m) of large buckets (cid, n, node, m): those connected by common sets are one where that makes fewer rows, and so fewer pairs."""
     first = large.groupBy("cid").agg(F.min("node").alias("a"))
     roots = components(large.join(first, "cid").select("a", F.col("node").alias("b")).where("a <> b").distinct())
-    named = large.join(roots.withColumnRenamed("cid", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = large.join(_few(roots).withColumnRenamed("cid", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     sets = named.groupBy("root", "cid").agg(F.sum(_blocks(F.col("m"), small)).alias("rows"), F.first("n").alias("n"))
     whole = sets.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), _large().alias("size"), F.sum("rows").alias("rows")).where(F.col("sets") * _blocks(F.col("size"), small) <= F.col("rows"))
-    named = named.join(whole.select("root", "size"), "root", "left")
+    named = named.join(_few(materialise(whole.select("root", "size"), "joined")), "root", "left")
     node = F.when(F.col("size").isNull(), F.col("node")).otherwise(F.xxhash64("root"))
     return materialise(named.select("cid", "n", node.alias("node"), F.coalesce("size", "m").alias("m")).distinct(), "large")
 
@@ -377,7 +384,7 @@ def _split(large: DataFrame, classes: DataFrame, small: int) -> DataFrame:
         child = F.col("c") * F.col("m") / F.col("tried")
         rows = F.sum(child * F.when(child <= small, 1).otherwise(_blocks(child, small)))
         better = counts.groupBy("node").agg(rows.alias("rows"), F.first("m").alias("m")).where(F.col("rows") * 2 < F.col("m") * _blocks(F.col("m"), small))
-        better = materialise(better.select("node"), "splits")
+        better = _few(materialise(better.select("node"), "splits"))
         if better.isEmpty():
             break
         done.append(large.join(better, "node", "left_anti").select("cid", "node", blocks.alias("blocks")))

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import ROW, materialise, pack, text_or_empty, unpack
+from trackloom.llm.common import ROW, discard, materialise, pack, text_or_empty, unpack
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -47,7 +47,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", normalise=norm
     alone = dealt.where("shared is null")
     shared = dealt.where("shared")
     active = shared.select("rid", F.col("digit").alias("part"), body.alias("rest")).withColumn("rest", F.expr(f"substring(rest, {FIRST_DIGIT + 1})"))
-    ended, width = [], FIRST_DIGIT * (GROWTH - 1)
+    ended, steps, width = [], [], FIRST_DIGIT * (GROWTH - 1)
     while True:
         split = active.withColumn("digit", F.substring("rest", 1, width)).withColumn("over", F.expr(f"octet_length(rest) <= {width}"))
         groups = split.groupBy("part", "digit", "over").agg(F.min("rid").alias("group"), F.count(F.lit(1)).alias("n"))
@@ -55,6 +55,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", normalise=norm
             "rid", "group", F.expr("over or n = 1").alias("done"), F.expr(f"case when not over and n > 1 then substring(rest, {width + 1}) end").alias("rest")
         )
         step = materialise(step, "radix-level")
+        steps.append(step)
         ended.append(step.where("done").select("rid", "group"))
         active = step.where("not done").select("rid", F.col("group").alias("part"), "rest")
         width *= GROWTH
@@ -65,6 +66,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", normalise=norm
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("first")
     classes = members.groupBy("group").agg(F.count(F.lit(1)).alias("group_size"), first)
     verdicts = members.join(classes, "group").select("rid", "group_size", F.col("first.key").alias("keep"), (F.col("first.rid") == F.col("rid")).alias("stays"))
+    verdicts = materialise(verdicts, "radix-verdicts")  # short rows; the levels, which hold rests of texts, can go
+    discard(*steps)
     again = shared.select("rid", ROW).join(verdicts, "rid").select(ROW, "keep", "group_size", "stays")
     whole = alone.select(ROW, F.col("key").alias("keep"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("stays")).unionByName(again)
     normal = normalise(F.coalesce(F.col(f"{ROW}.`{text}`").cast("string"), F.lit("")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, langid, license_scan, quality, substring_dedup, token_counts, url_filter
+from trackloom.llm import bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, langid, license_scan, quality, spelling, substring_dedup, token_counts, url_filter
 
 #: The rules of the url query: (verdict, host and path).
 URL_RULES = [
@@ -90,6 +90,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_counts": op12_token_counts,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -1,13 +1,16 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator."""
 
+import math
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
+from pyspark.sql import functions as F
 
-from tests.llm.brute import components, repeated_words, shingles
-from trackloom.llm import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, langid, license_scan, quality, substring_dedup, url_filter
+from tests.llm.brute import components, negatives, repeated_words, shingles, variants
+from trackloom.llm import bpe, chat_format, decontaminate, exact_dedup, hard_negatives, jaccard_join, langid, license_scan, quality, spelling, substring_dedup, token_counts, url_filter
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 LONG = "lorem ipsum dolor sit amet " * 40_000
@@ -33,7 +36,7 @@ def test_no_column_of_the_caller_is_touched(spark):
     outputs = [
         decontaminate.find(df, items), decontaminate.find(df, items, block_words=1), exact_dedup.dedup(df), jaccard_join.dedup(df), substring_dedup.remove(df), license_scan.scan(df),
         bpe.encode_and_decode(df, RANKS, PATTERN), quality.score(df, model, share), langid.predict(df, langid.fit([("one two three", "en")])), decontaminate.clean(df, items),
-        url_filter.judge(df, [("block", "x/")], url="text"),
+        url_filter.judge(df, [("block", "x/")], url="text"), token_counts.count(df, public_tokenizers.path("word_bpe_49k.json")),
     ]
     for n, out in enumerate(outputs):
         assert len(out.columns) == len(set(out.columns))
@@ -478,3 +481,121 @@ def test_pipeline_stages(spark, tmp_path):
     tokens = {(r["doc_id"], r["source"]): r for r in found["tokenise"]}
     assert len(found["tokenise"]) == len(rows) and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in found["tokenise"])
     assert tokens[None, None]["ids"] == [] and tokens[5, "b"]["n_tokens"] > 100_000
+
+
+# ---------------------------------------------------------------- token counts
+
+def test_token_counts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    odd = ["  It's\u2003ΣΑΣ İstanbul e\u0301 \x1c\x1d\x85 '\u2019LL <|endoftext|>x<|startoftext|>", "中文字符" * 300, "9½²", "a" * 50_000, "x\t" * 30_000, "\ua7cb\u0558\U00032808\U00010d50"]
+    rows = [(1, None), (2, ""), (3, LONG), *[(4 + i, t) for i, t in enumerate(odd)], (4, odd[0])]
+    found = token_counts.count(docs(spark, rows, ", n_tokens string, other int", ("mine", 7)), path, limit=3).collect()
+    assert len(found) == len(rows) and all(r["other"] == 7 for r in found)
+    for r in found:
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len((r["text"] or "").encode()), n > 3)
+    assert token_counts.count(docs(spark, []), path).count() == 0
+
+
+def test_merging_takes_the_lowest_rank_first():
+    """Against plain merging: the lowest pair of all, the leftmost of equal ones, again and again."""
+    held = token_counts.load_merges(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    for _ in range(300):
+        word = bytes(rng.choice(b"aeinrsthlo\xc3\xa9") for _ in range(rng.randint(1, 24)))
+        ids = [held.inner[b] for b in word[:-1]] + [held.final[word[-1]]]
+        while True:
+            ranks = [(held.ranks[(a << token_counts.SHIFT) + b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (a << token_counts.SHIFT) + b in held.ranks]
+            if not ranks:
+                break
+            rank, i = min(ranks)
+            ids[i : i + 2] = [held.merges[rank][2]]
+        assert held.merged(word) == len(ids)
+
+
+# ---------------------------------------------------------------- spelling variants
+
+def spelled(df, **options):
+    rows = [tuple(r) for r in spelling.variants(df, **options).select("word", "form", "root", "n", "n_near", "form_n").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
+def test_spelling_variants(spark):
+    rng = random.Random(2)
+    letters = "abcé×"
+    base = ["".join(rng.choice(letters) for _ in range(rng.randint(7, 9))) for _ in range(40)]
+    words = [w[: (i := rng.randrange(len(w)))] + rng.choice(["", *letters]) + w[i + rng.randint(0, 1) :] for w in base * 8] + base * 30 + ["internat" + rng.choice(letters) + "nal" for _ in range(200)]
+    rng.shuffle(words)
+    rows = [(i, " ".join(words[i * 40 : i * 40 + 40])) for i in range(len(words) // 40)]
+    rows += [(None, "Variant1Variant_variant Varianté"), (7, None), (8, ""), (9, "x" * 300 + " " + "x" * 299 + "y"), (9, "x" * 300 + " " + "x" * 299 + "y"), (10, LONG)]
+    df = docs(spark, rows, ", word string, n int", ("mine", 7))
+    wanted = variants(rows)
+    assert any(r[1] for r in wanted) and any(r[4] > 3 for r in wanted)
+    for block in (None, 25):
+        assert spelled(df, block=block) == wanted
+    assert spelled(docs(spark, [])) == set() and spelled(docs(spark, [(1, None)])) == set()
+
+
+def test_spelling_sub_blocks(spark, monkeypatch):
+    """Words beyond what is worked on at once are taken in parts."""
+    rows = [(i, "wordone wordtwo wordsix wardone wordon wordone " * 12 + "ab" * 40 + " " + "ab" * 39 + "ac") for i in range(3)]
+    monkeypatch.setattr(spelling, "CELLS", 16)
+    held = [f"{a}{b}{c}etter".encode() for a in "lmn" for b in "abc" for c in "xyz"]
+    found = spelling.near(held, 8, held, np.zeros(27, int), np.full(27, 9))
+    assert len(found[0]) == 27 * 6
+    assert spelled(docs(spark, rows)) == variants(rows)
+
+
+# ---------------------------------------------------------------- hard negatives
+
+def mined(df, anchor="id % 5 = 0", **options):
+    found = hard_negatives.mine(df, F.expr(anchor), **options)
+    return sorted(map(tuple, found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()))
+
+
+def whole(rows):
+    width = max(len(v) for _, v, _ in rows)
+    return [(i, l, [math.floor(256 * x) for x in v] + [0] * (width - len(v))) for i, v, l in rows]
+
+
+SCHEMA = "vec_id long, embedding array<float>, label int, id string, cid string"
+
+
+def test_hard_negatives(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0.3, 0.4, 6).round(2)], int(rng.integers(3))) for i in range(160)]
+    rows += [(200 + i, [0.5] * 6, i % 2) for i in range(60)]  # one vector in many rows
+    rows += [(300, [], 1), (305, [0.25], 2), (310, [0.0] * 6, 0), (20, rows[20][1], rows[20][2])]  # short ones, zeros, a repeated row
+    odd = [(400, None, 1), (405, [0.1, None], 1), (410, [float("nan")] * 6, 1), (415, [float("inf")] * 6, 1), (420, [0.5] * 6, None), (None, [0.5] * 6, 1)]
+    df = spark.createDataFrame([(*r, "mine", "mine") for r in rows + odd], SCHEMA)
+    wanted = negatives(whole(rows), lambda i: i % 5 == 0)
+    assert mined(df) == wanted and len(wanted) > 300
+    small = hard_negatives.LEAST_CELL, hard_negatives.LEAST_SAMPLED, hard_negatives.QUERIES
+    try:  # several cells, buckets and blocks of anchors
+        hard_negatives.LEAST_CELL, hard_negatives.LEAST_SAMPLED, hard_negatives.QUERIES = 8, 8, 16
+        assert mined(df, cell=8) == wanted
+    finally:
+        hard_negatives.LEAST_CELL, hard_negatives.LEAST_SAMPLED, hard_negatives.QUERIES = small
+    assert mined(df.where("false")) == [] and mined(df, "id = 1000000") == []
+    with pytest.raises(ValueError, match="2\\*\\*53"):
+        mined(spark.createDataFrame([(0, [1e30, 1.0], 1, "", "")], SCHEMA))
+
+
+def test_tree_walk_is_nearest_first():
+    """A small leaf size: the walk inside a window gives what sorting all rows gives."""
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-40, 60, (500, 5)).astype(float)
+    square = (rows**2).sum(1)
+    tree = hard_negatives.Tree(rows, np.sqrt(square.max() - square), 8)
+    ids, fits = [[i] for i in range(500)], rng.random(500) < 0.6
+    queries = rng.integers(-40, 60, (30, 5)).astype(float)
+    far = tree.vantages(queries)
+    for q, query in enumerate(queries):
+        scores = rows @ query
+        for low, high in ((-1e9, 1e9), (100, 900), (-50, 0), (5000, 4000)):
+            best = hard_negatives.Best(4, low)
+            found = hard_negatives.walk(tree, query, far[q], (query**2).sum() + square.max(), low, high, fits, ids, best, {})
+            wanted = sorted((-int(scores[i]), i, i) for i in range(500) if fits[i] and low <= scores[i] <= high)[:4]
+            assert found == wanted

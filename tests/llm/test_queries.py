@@ -3,14 +3,16 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 
 import pytest
 import public_tokenizers
 import tiktoken
+import tokenizers
 from pyspark.sql import functions as F
 
-from tests.llm.brute import components, shingles
+from tests.llm.brute import components, negatives, shingles, variants
 from tests.oracle_tools import connect, same
 from trackloom.llm.oracle import ORACLE_SQL
 from trackloom.llm.queries import QUERIES, read
@@ -50,6 +52,28 @@ def test_tokens_as_the_library_makes_them(spark, data):
         assert found[r["doc_id"]]["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
 
 
+def test_spelling_variants_as_brute_force_finds_them(spark):
+    texts = [(r["doc_id"], r["text"]) for r in read(spark, SMALL, "documents").collect()]
+    rows = [tuple(r) for r in QUERIES["op11_spelling_variants"](spark, SMALL).select("word", "form", "root", "n", "n_near", "form_n").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == variants(texts) and any(r[1] for r in rows)
+
+
+def test_token_counts_as_the_library_makes_them(spark):
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in read(spark, SMALL, "documents").collect()}
+    found = {r["doc_id"]: r for r in QUERIES["op12_token_counts"](spark, SMALL).collect()}
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (found[i]["n_bytes"], found[i]["n_tokens"], found[i]["over_limit"]) == (len(t.encode()), n, n > 2048)
+
+
+def test_hard_negatives_as_brute_force_finds_them(spark):
+    rows = [(r["vec_id"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"], [math.floor(256 * x) for x in r["embedding"]]) for r in read(spark, SMALL, "embeddings").collect()]
+    found = QUERIES["op13_hard_negatives"](spark, SMALL).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    assert sorted(map(tuple, found.collect())) == negatives(rows, lambda i: i % 50 == 0)
+
+
 def test_similar_texts_as_brute_force_finds_them(spark):
     texts = {r["doc_id"]: r["text"] for r in read(spark, SMALL, "documents").collect()}
     links, roots = components({i: shingles(t) for i, t in texts.items()}, 0.8)
@@ -108,5 +132,5 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = collections.Counter(n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n))
-    assert names == {f"op{n}": 1 for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}": 1 for n in range(1, 14)} and "pipeline" in entry.queries()
     assert F.col("x") is not None

@@ -3,13 +3,56 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_lock = threading.Lock()
+#: Writes under way in each session, and what its setting was before the first of them.
+_writing: dict[int, tuple[int, str | None]] = {}
+_recorded: ContextVar[list[str] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """``CLEANUP`` is on while any thread of the session writes, and as it was before when the last one is done."""
+    session = id(spark._jsparkSession)
+    with _lock:
+        n, before = _writing.get(session, (0, spark.conf.get(CLEANUP, None)))
+        _writing[session] = n + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(session)
+            if n > 1:
+                _writing[session] = n - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of all tables that are written inside, also by what runs inside and records its own."""
+    made: list[str] = []
+    outer = _recorded.set(made)
+    try:
+        yield made
+    finally:
+        _recorded.reset(outer)
+        if (around := _recorded.get()) is not None:
+            around += made
+
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's part of the folder the cluster names in ``spark.checkpoint.dir``.
@@ -35,22 +78,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned_up(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+    if (made := _recorded.get()) is not None:
+        made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def read_by(*tables: DataFrame) -> set[str]:
+    """The folders of files that ``tables`` read."""
+    return {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}
+
+
+def discard_made(spark: SparkSession, made: list[str], *kept: DataFrame) -> None:
+    """Delete the recorded tables that none of ``kept`` reads; those stay recorded."""
+    ends = {folder.rsplit("/", 1)[-1] for folder in read_by(*kept)}  # names are unique, whatever way the path is written
+    for folder in [x for x in made if x.rsplit("/", 1)[-1] not in ends]:
+        _delete(spark, folder)
+        made.remove(folder)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote, once what was made of them is written too."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for folder in read_by(df):
             if f"/trackloom/{df.sparkSession.sparkContext.applicationId}/" in folder:
                 _delete(df.sparkSession, folder)
 

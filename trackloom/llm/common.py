@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.sources.tables import discard, drop_tables, materialise, shared_dir  # noqa: F401
+from trackloom.sources.tables import discard, discard_made, drop_tables, materialise, recorded, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy step takes at once (a longer single text is taken whole).
 SLICE_BYTES = 1 << 20

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import materialise
+from trackloom.llm.common import discard_made, materialise, recorded
 
 SAMPLE = 4096
 CELL = 16_384
@@ -281,7 +281,15 @@ def usable(df: DataFrame, key: str, vector: str, label: str, scale: int) -> Data
     return rows.where("id is not null and label is not null and v is not null").where(sound).select("id", "label", whole.alias("vec"))
 
 
-def mine(
+def mine(df: DataFrame, anchor: Column, **options) -> DataFrame:
+    """``mined`` with only the tables that it reads left."""
+    with recorded() as made:
+        found = mined(df, anchor, **options)
+        discard_made(df.sparkSession, made, found)
+    return found
+
+
+def mined(
     df: DataFrame, anchor: Column, key: str = "vec_id", vector: str = "embedding", label: str = "label", n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256, cell: int = CELL
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) for the rows where ``anchor`` (of the column ``id``) holds.
@@ -349,10 +357,10 @@ def mine(
     found = found.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("window", "n"))).alias("negatives"))
     known = materialise(positives.join(found, "qid").withColumnRenamed("qid", "cid"), "negatives")
 
-    mined = anchors.join(known, "cid")
+    whole = anchors.join(known, "cid")
     own = F.filter("positives", lambda p: (p["id"] == F.col("anchor_id")) & (p["of"] == F.col("cid")))
     others = F.slice(F.filter("positives", lambda p: F.coalesce(p["place"] != F.get(own, 0)["place"], F.lit(True))), 1, n_positives)
-    pairs = mined.select("anchor_id", F.explode(others).alias("p"), "negatives")
+    pairs = whole.select("anchor_id", F.explode(others).alias("p"), "negatives")
     triples = pairs.select("anchor_id", "p", F.explode(F.try_element_at("negatives", F.col("p.score"))).alias("n"))
     return triples.select(
         "anchor_id", F.col("p.id").alias("positive_id"), F.col("n.place").cast("int").alias("rank"), F.col("n.id").alias("negative_id"), F.col("p.score").alias("positive_score"), F.col("n.score").alias("negative_score")

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import find_words, lower_table, materialise, mix, pack, range_hasher, text_identity, text_or_empty, text_slices, unpack, word_hashes, word_table
+from trackloom.llm.common import discard_made, find_words, lower_table, materialise, mix, pack, range_hasher, recorded, text_identity, text_or_empty, text_slices, unpack, word_hashes, word_table
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -430,27 +430,36 @@ def buckets(classes: DataFrame, share: float, small: int = SMALL) -> DataFrame:
     return known.select(unit.alias("unit"), F.col("b.node").alias("node"), side.alias("side"), "cid", "n", "members", "count", "picks", "leaves")
 
 
-def verified(rows: DataFrame, texts: DataFrame, threshold: float, share: float, size: int) -> DataFrame:
-    """(cid, root, linked) of each bucket's rows that have links there; ``texts`` has a text for each cid."""
+def promising(rows: DataFrame, threshold: float, share: float) -> DataFrame:
+    """The rows of buckets that have a pair to be judged there, as a table."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_promising(threshold, share), rows.schema)
-    dealt = materialise(dealt, "promising")
+    return materialise(dealt, "promising")
+
+
+def verified(dealt: DataFrame, texts: DataFrame, threshold: float, share: float, size: int) -> DataFrame:
+    """(cid, root, linked) of each bucket's rows that have links there, as a table; ``texts`` has a text for each cid."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     read = dealt.join(texts(dealt.select("cid").distinct()), "cid")
-    return read.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_verified(threshold, share, size), "cid long, root long, linked long")
+    found = read.repartition(parts, "unit").sortWithinPartitions("unit", "cid").mapInArrow(_verified(threshold, share, size), "cid long, root long, linked long")
+    return materialise(found, "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cid, root): the smallest id of each connected component; only ids with an edge are listed."""
-    both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")), "edges")
-    roots = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "roots")
-    while True:
-        near = both.join(roots.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        stepped = roots.join(near, "u").select("u", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = roots.select(F.col("u").alias("root"), F.col("root").alias("far"))
-        stepped = materialise(stepped.join(jump, "root", "left").select("u", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
-        roots = stepped.select("u", "root")
-        if stepped.where("old <> root").isEmpty():
-            return roots.select(F.col("u").alias("cid"), "root")
+    """(cid, root): the smallest id of each connected component, as a table; only ids with an edge are listed."""
+    with recorded() as made:
+        both = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select("b", "a")), "edges")
+        roots = materialise(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "roots")
+        while True:
+            near = both.join(roots.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
+            stepped = roots.join(near, "u").select("u", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+            jump = roots.select(F.col("u").alias("root"), F.col("root").alias("far"))
+            stepped = materialise(stepped.join(jump, "root", "left").select("u", "old", F.least("root", F.coalesce("far", "root")).alias("root")), "roots")
+            roots = stepped.select("u", "root")
+            discard_made(edges.sparkSession, made, both, stepped)
+            if stepped.where("old <> root").isEmpty():
+                discard_made(edges.sparkSession, made, stepped)
+                return roots.select(F.col("u").alias("cid"), "root")
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL, small: int = SMALL) -> dict[str, DataFrame]:
@@ -459,22 +468,29 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZ
     ``rows``: (key, r1, r2, cid), a row for each row of ``df``, with its text's identity and its class;
     ``classes``: (cid, n, members), the classes of equal sets; ``links``: (cid, root, linked), a row for
     each bucket in which a class has links: a class it is connected with there, and with how many rows
-    of other classes it is linked there; ``roots``: (cid, root) of every class.
+    of other classes it is linked there; ``roots``: (cid, root) of every class. Tables that none of these
+    reads are deleted as soon as what is made of them is written.
     """
     runs, share = runs_and_share(threshold, target_recall)
     r1, r2 = text_identity(text_or_empty(text))
     sketched = df.select(F.col(f"`{key}`").alias("key"), r1.alias("r1"), r2.alias("r2"), _sketcher(size, runs)(text_or_empty(text)).alias("s"))
     sketched = materialise(sketched.select("key", "r1", "r2", "s.*"), "sketches")
     levels = [f"picks{level}" for level in range(DEPTH + 1)]
-    grouped = sketched.groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("r1", "r2")).alias("text"), *[F.first(c).alias(c) for c in levels])
+    grouped = sketched.groupBy("n", "s1", "s2").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("r1", "r2", "key")).alias("text"), *[F.first(c).alias(c) for c in levels])
     classes = materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        ends = wanted.join(classes, "cid").select("cid", "text.r1", "text.r2")
-        every = df.select(r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
-        return every.join(ends, ["r1", "r2"]).groupBy("cid").agg(F.first("text").alias("text"))
-
-    links = materialise(verified(buckets(classes.where("n > 0"), share, small), texts, threshold, share, size), "links")
+        """One row's text for each class, found by its key too: the other rows of a text that many have aren't shuffled to it."""
+        ends = wanted.join(classes, "cid").select("cid", F.col("text.r1").alias("a"), F.col("text.r2").alias("b"), F.col("text.key").alias("k"))
+        every = df.select(F.col(f"`{key}`").alias("key"), r1.alias("r1"), r2.alias("r2"), text_or_empty(text).alias("text"))
+        same = (every["r1"] == ends["a"]) & (every["r2"] == ends["b"]) & every["key"].eqNullSafe(ends["k"])
+        return every.join(ends, same).groupBy("cid").agg(F.first("text").alias("text"))
+
+    with recorded() as made:
+        rows_with_pairs = promising(buckets(classes.where("n > 0"), share, small), threshold, share)
+        discard_made(df.sparkSession, made, rows_with_pairs)
+        links = verified(rows_with_pairs, texts, threshold, share, size)
+        discard_made(df.sparkSession, made, links)
     found = components(links.where("cid <> root").select(F.col("root").alias("a"), F.col("cid").alias("b")))
     roots = classes.select("cid").join(found, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
     rows = sketched.join(classes.select("n", "s1", "s2", "cid"), ["n", "s1", "s2"]).select("key", "r1", "r2", "cid")
@@ -497,11 +513,21 @@ def groups(tables: dict[str, DataFrame]) -> DataFrame:
     return rows.join(known, "cid").select("key", "r1", "r2", "class_id", "set_id", "n_links")
 
 
+def linked(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``groups`` of ``join``, with only the tables that it reads left."""
+    with recorded() as made:
+        found = groups(join(df, key, text, **options))
+        discard_made(df.sparkSession, made, found)
+    return found
+
+
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` with one row of each group of linked texts: the one with the smallest key (of equal keys, the smallest text identity; of equal rows, one)."""
-    found = groups(join(df, key, text, **options))
-    stays = found.groupBy("class_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")).alias("s"))
-    stays = materialise(stays.select(F.col("s.key").alias("k"), F.col("s.r1").alias("a"), F.col("s.r2").alias("b")), "stays")
+    with recorded() as made:
+        found = linked(df, key, text, **options)
+        stays = found.groupBy("class_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "r1", "r2")).alias("s"))
+        stays = materialise(stays.select(F.col("s.key").alias("k"), F.col("s.r1").alias("a"), F.col("s.r2").alias("b")), "stays")
+        discard_made(df.sparkSession, made, stays)
     r1, r2 = text_identity(text_or_empty(text))
     keyed = pack(df, key=F.col(f"`{key}`"), r1=r1, r2=r2)
     kept = keyed.join(stays, (keyed["r1"] == stays["a"]) & (keyed["r2"] == stays["b"]) & keyed["key"].eqNullSafe(stays["k"]), "left_semi")

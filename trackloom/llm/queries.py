@@ -66,8 +66,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = jaccard_join.join(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return jaccard_join.groups(tables).select(F.col("key").alias("doc_id"), "class_id", "set_id", "n_links")
+    return jaccard_join.linked(read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("key").alias("doc_id"), "class_id", "set_id", "n_links")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import discard, materialise
+from trackloom.llm.common import discard_made, materialise, recorded
 
 LEAST = 7
 #: Words of a block, at least and at most, and sampled words for its bounds.
@@ -320,18 +320,20 @@ def variants(df: DataFrame, key: str = "doc_id", text: str = "text", least_n: in
 
     ``form`` is the near word of the largest n if that is at least ``times`` the word's; ``root`` is where forms lead to.
     """
-    words = materialise(count_words(df, key, text).where(F.col("n") >= least_n), "words")
-    found = materialise(neighbours(words, block), "near")
-    rows = words.join(found, "word", "left")
-    formed = F.col("best_n") >= times * F.col("n")
-    rows = rows.select("word", F.when(formed, F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(formed, F.col("best_n")).alias("form_n"))
-    rows = materialise(rows, "forms")
-    discard(found, words)
-    links = rows.where("form is not null").select("word", F.col("form").alias("root"))
-    while True:  # the way to the root is halved in each round; n grows along it, so it ends
-        further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        stepped = materialise(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
-        if stepped.where("moved").isEmpty():
-            break
-        links = stepped.select("word", "root")
-    return rows.join(stepped.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    with recorded() as made:
+        words = materialise(count_words(df, key, text).where(F.col("n") >= least_n), "words")
+        found = materialise(neighbours(words, block), "near")
+        rows = words.join(found, "word", "left")
+        formed = F.col("best_n") >= times * F.col("n")
+        rows = rows.select("word", F.when(formed, F.col("best")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(formed, F.col("best_n")).alias("form_n"))
+        rows = materialise(rows, "forms")
+        discard_made(df.sparkSession, made, rows)
+        links = rows.where("form is not null").select("word", F.col("form").alias("root"))
+        while True:  # the way to the root is halved in each round; n grows along it, so it ends
+            further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
+            stepped = materialise(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+            discard_made(df.sparkSession, made, rows, stepped)
+            links = stepped.select("word", "root")
+            if stepped.where("moved").isEmpty():
+                break
+    return rows.join(links, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

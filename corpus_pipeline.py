@@ -2,25 +2,50 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row its predecessor kept; all but the last
 return the columns of ``documents``. ``run`` writes each stage's rows as a table in the shared folder
-and reads them again, so a lost executor never costs more than one stage.
+and reads them again, so a lost executor never costs more than one stage. A stage's result reads tables
+that the stage has written; it has to be written itself before the next stage is called, which deletes
+those of them that its own ``docs`` don't read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from trackloom.llm.common import discard, materialise
+from trackloom.llm.common import discard_made, materialise, recorded
 from trackloom.llm.queries import read, remainder
 
+#: Folders of the tables that stages have written and that are still there, by application.
+_LEFT: dict[str, list[str]] = {}
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes the tables of stages before it, but for those that its documents are read from."""
+
+    @wraps(work)
+    def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+        discard_made(spark, left, docs)
+        with recorded() as made:
+            done = work(spark, docs, sf_dir)
+            discard_made(spark, made, done)
+        left += made
+        return done
+
+    return clean
+
 
 def held(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text): each document whole beside what the operators look at, so that no column of it can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
 
 
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labels of these documents, doesn't reject.
 
@@ -32,6 +57,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(held(docs), model, share).where("predicted = 1").select("row.*")
 
 
+@stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space: the one with the smallest doc_id.
 
@@ -42,6 +68,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.dedup(held(docs)).where("kept").select("row.*")
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more of five-word runs: the one with the smallest doc_id.
 
@@ -52,6 +79,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return jaccard_join.dedup(held(docs)).select("row.*")
 
 
+@stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages they share with the benchmark; texts of which such passages are more than half go.
 
@@ -67,6 +95,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+@stage
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, exact): the ids of each text, and whether they decode to its very bytes.
 
@@ -92,11 +121,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Each stage's table is deleted when the next one is written."""
+    """The last stage's rows, the only table that is left."""
     docs = read(spark, sf_dir, "documents")
-    for n, (name, stage) in enumerate(STAGES):
-        done = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-        if n:
-            discard(docs)
+    left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+    for name, work in STAGES:
+        with recorded() as made:
+            done = materialise(work(spark, docs, sf_dir), f"stage-{name}")
+        left += [x for x in made if x not in left]
+        discard_made(spark, left, done)
         docs = done
+    left.clear()  # the result is the caller's
     return docs

@@ -134,3 +134,16 @@ def test_registered(spark):
     names = collections.Counter(n.split("_")[0] for n in entry.queries() if re.match(r"op\d+_", n))
     assert names == {f"op{n}": 1 for n in range(1, 14)} and "pipeline" in entry.queries()
     assert F.col("x") is not None
+
+
+def test_pipeline_leaves_only_its_result(spark, data):
+    import pathlib
+
+    import corpus_pipeline
+    from trackloom.llm.common import shared_dir
+
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    rows = corpus_pipeline.run(spark, data)
+    left = {p.name for p in folder.iterdir() if p.is_dir()} - before
+    assert len(left) == 1 and left.pop().startswith("stage-tokenise") and rows.count() > 0

@@ -294,7 +294,9 @@ def test_license_scan(spark):
     assert (found[5][0]["n_base"], found[5][0]["first_word"]) == (1, 5) and found[6][0]["n_base"] == 0 and found[8][0]["labels"] == ""
     assert sorted(r["labels"] for r in found[7]) == ["gpl-3", "mit"]
     notices = [(i, f"{LONG if i == 3 else ''}{'* ' * i}{' '.join(t.words)} and more") for i, t in enumerate(license_scan.OWN)] + [(100, " ".join(w for t in license_scan.OWN for w in sorted(t.words)))]
+    notices.append((101, " x ".join(" ".join(t.words) for t in license_scan.OWN)))
     read = by_id(license_scan.scan(docs(spark, notices)))
+    assert {*read[101]["labels"].split(",")} >= {t.label for t in license_scan.OWN}  # a file of all notices keeps every label
     for i, t in enumerate(license_scan.OWN):
         assert t.label in read[i]["labels"].split(",") and read[i]["score"] == 1.0, t
     assert read[100]["base_labels"] == ""
@@ -599,3 +601,27 @@ def test_tree_walk_is_nearest_first():
             found = hard_negatives.walk(tree, query, far[q], (query**2).sum() + square.max(), low, high, fits, ids, best, {})
             wanted = sorted((-int(scores[i]), i, i) for i in range(500) if fits[i] and low <= scores[i] <= high)[:4]
             assert found == wanted
+
+
+# ---------------------------------------------------------------- samples of repeated rows
+
+def test_language_sample_of_repeated_rows(spark):
+    """Copies of one text count once, so they take no place from another language; junk labels are an error."""
+    rows = [("the same words again", "en")] * 3000 + [(f"der Satz Nummer {i} ist noch da", "de") for i in range(40)] + [(None, "fr"), ("", "it"), ("no label", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    found = langid.sample(df, "text", "lang", 400)
+    assert sorted(found) == sorted(set(r for r in rows if r[0] and r[1]))
+    assert langid.fit(found).labels == ["de", "en"]
+    assert len(langid.sample(df, "text", "lang", 10)) == 11
+    with pytest.raises(ValueError, match="labels"):
+        langid.sample(df, "text", "lang", 400, max_labels=1)
+
+
+def test_quality_sample_of_repeated_rows(spark):
+    """Many rows of a labelled id are one to learn from: both labels are learned, and one row a key is collected."""
+    rows = [(i, f"good words in a row {i} here" if i % 2 else "### 000 $$$ " * 5) for i in range(300) for _ in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] * 3 + [(i, 1) for i in range(1000, 3000)], "doc_id long, quality int")
+    model, share = quality.train(docs(spark, rows), labels, per_label=100)
+    assert model is not None and 0.9 < share < 1
+    judged = {r["text"]: r["score"] for r in quality.score(docs(spark, rows[:24]), model, share).collect()}
+    assert judged["good words in a row 1 here"] > judged["### 000 $$$ " * 5]

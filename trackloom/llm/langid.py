@@ -3,8 +3,8 @@
 Subwords are the byte 3- and 4-grams of lower-cased words with a blank at each word's edges, hashed
 into ``BUCKETS`` rows of an embedding table. A text is the average of its subwords' embeddings; a
 linear softmax on it gives the languages. The table and the softmax are trained by mini-batch
-stochastic gradient descent in numpy on a bounded sample: ``per_label`` texts a language, fewer where
-there are more than ``TOTAL`` / ``per_label`` languages; of a text longer than ``FIT_PIECES`` pieces of
+stochastic gradient descent in numpy on a bounded sample: ``per_label`` different texts a language, fewer
+where there are more than ``TOTAL`` / ``per_label`` languages; of a text longer than ``FIT_PIECES`` pieces of
 ``PIECE_CHARS`` characters so many pieces, evenly spaced over all of it, so long texts are learned from
 and what the driver holds is bounded. The texts are cut into segments of ``SEGMENT_BYTES``, of which
 ``MAX_SEGMENTS`` in all are learned, so that short texts are learned too. A fifth of the sampled texts,
@@ -17,7 +17,8 @@ As the model is linear after the embedding, a text's logits are the average over
 the data) is what is broadcast. Prediction is row-local over every whole text: no shuffle.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a text with letters
-always gets a learned language; without any training row every text is ``und``; of equal scores the
+always gets a learned language; without any training row every text is ``und``;
+repeated rows are learned once and predicted each; an empty table gives an empty result; of equal scores the
 language first in alphabetical order wins; result columns replace input columns of their names.
 """
 
@@ -32,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trackloom.llm.common import evenly, pack, text_or_empty, text_slices, unpack
 
@@ -39,6 +41,7 @@ BUCKETS = 1 << 15
 DIM = 16
 PER_LABEL = 400
 TOTAL = 4000
+MAX_LABELS = 1000
 FIT_PIECES, PIECE_CHARS = 32, 512
 SEGMENT_BYTES = 256
 MAX_SEGMENTS = 4000
@@ -90,18 +93,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample(df: DataFrame, text: str, label: str, per_label: int) -> list[tuple[str, str]]:
-    """About ``per_label`` (text, label) rows of each label, and ``TOTAL`` in all, chosen by a hash of the text; never more than twice that."""
-    rows = df.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{label}`").cast("string").alias("l")).where("l is not null and t <> ''")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+def sample(df: DataFrame, text: str, label: str, per_label: int, max_labels: int = MAX_LABELS) -> list[tuple[str, str]]:
+    """At most ``per_label`` different texts of each label, and ``TOTAL`` in all, chosen by a hash of the text; copies count once.
+
+    More than ``max_labels`` labels are an error: such a column doesn't name languages.
+    """
+    words = F.col(f"`{text}`").cast("string")
+    rows = df.select(words.alias("t"), F.col(f"`{label}`").cast("string").alias("l"), F.xxhash64(words).alias("rank"), F.hash(words).alias("more")).where("l is not null and t <> ''")
+    names = rows.select("l").distinct().limit(max_labels + 1).count()
+    if names > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    if not names:
         return []
-    per_label = min(per_label, max(1, TOTAL // len(counts)))
-    share = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(min(1.0, per_label / n)))])
-    rank = F.xxhash64("t")
-    picked = rows.where(F.pmod(rank, F.lit(1_000_003)) < share[F.col("l")] * 1_000_003)
-    picked = picked.select(evenly(F.col("t"), FIT_PIECES, PIECE_CHARS).alias("t"), "l", rank.alias("rank"))
-    return [(r["t"], r["l"]) for r in picked.orderBy("rank", "l").limit(2 * min(per_label * len(counts), TOTAL)).collect()]
+    first = Window.partitionBy("l").orderBy("rank", "more")
+    known = rows.select("l", "rank", "more").distinct().withColumn("place", F.row_number().over(first))
+    known = known.where(F.col("place") <= min(per_label, max(1, TOTAL // names))).drop("place")  # TOTAL short rows at most
+    picked = rows.join(F.broadcast(known), ["l", "rank", "more"]).groupBy("l", "rank", "more").agg(F.first(evenly(F.col("t"), FIT_PIECES, PIECE_CHARS)).alias("t"))
+    return [(r["t"], r["l"]) for r in picked.orderBy("rank", "more", "l").collect()]
 
 
 def fit(rows: list[tuple[str, str]], epochs: int = 3, batch: int = 64, rate: float = 6.0, seed: int = 7) -> Model | None:

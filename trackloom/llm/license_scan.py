@@ -3,8 +3,8 @@
 Each template is a licence notice as words, with a mandatory key phrase at a known place. The index
 has a posting (word, template, place) for every place of the ``INDEXED`` words of each template that
 have the highest inverse document frequency over the whole table, and of the rarest word of its key
-phrase. Every file is looked up by the ``LOOKED_UP`` rarest indexed words it holds (and by those that
-stand for a base phrase, if it holds them); each of their places in the file, less their place in a
+phrase. Every file is looked up by all indexed words it holds, which are the rarest of some licence, so a
+file of many notices loses none of them; each of their places in the file, less their place in a
 template, proposes where that template would begin. Proposals are intersected by position: a notice
 begins only where at least ``AGREE`` rare words propose it, a base phrase wherever its word does. There
 the mandatory key phrase is verified, and the share of the template's words that stand at their places
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import ROW, pack, text_or_empty, unpack
 
 INDEXED = 8
-LOOKED_UP = 16
 AGREE = 2
 MIN_SHARE = 0.5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII characters that no word holds, and those that change.
+BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -127,8 +128,9 @@ OWN = [
 
 
 def words_of(text: Column) -> Column:
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """Words of lower-cased text: what stands between blanks when all other ASCII marks are blanks too."""
+    blanked = F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(blanked, " "), "")
 
 
 def constant(value, schema: str) -> Column:
@@ -144,20 +146,20 @@ def frequencies(df: DataFrame, templates: list[Template], text: str = "text") ->
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["n"] for r in rows}
 
 
-def index(templates: list[Template], counts: dict[str, int], indexed: int = INDEXED) -> tuple[list[str], list[dict], list[str]]:
-    """The indexed words, rarest first; the postings of each; and the words that stand for base phrases."""
+def index(templates: list[Template], counts: dict[str, int], indexed: int = INDEXED) -> tuple[list[str], list[list[dict]]]:
+    """The indexed words, rarest first, and the postings of each."""
     rarity = lambda w: (counts[w], w)
     chosen = [{*sorted(set(t.words), key=rarity)[:indexed], min(t.key, key=rarity)} for t in templates]
     words = sorted({w for c in chosen for w in c}, key=rarity)
     postings = [[{"t": n, "p": p} for n, (t, c) in enumerate(zip(templates, chosen, strict=True)) for p, x in enumerate(t.words) if x == w and w in c] for w in words]
-    return words, postings, sorted({min(t.key, key=rarity) for t in templates if t.base})
+    return words, postings
 
 
 def scan(df: DataFrame, templates: list[Template] | None = None, text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """``df`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels`` and ``score``."""
     templates = templates or BASE + OWN
-    listed, posted, fixed = index(templates, frequencies(df, templates, text))
-    rare_words, base_words = constant(listed, "array<string>"), constant(fixed, "array<string>")
+    listed, posted = index(templates, frequencies(df, templates, text))
+    rare_words = constant(listed, "array<string>")
     postings = constant(posted, "array<array<struct<t:int,p:int>>>")
     known = constant(
         [{"label": t.label, "base": t.base, "words": t.words, "key": t.key, "at": t.at} for t in templates], "array<struct<label:string,base:boolean,words:array<string>,key:array<string>,at:int>>"
@@ -165,7 +167,6 @@ def scan(df: DataFrame, templates: list[Template] | None = None, text: str = "te
 
     rows = pack(df, words=words_of(text_or_empty(text)))
     rows = rows.withColumn("held", F.array_intersect(rare_words, "words"))  # rarest first, as the index lists them
-    rows = rows.withColumn("held", F.array_union(F.slice("held", 1, LOOKED_UP), F.array_intersect(base_words, "held")))
     located = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("held", x["w"]))
 
     def proposals(x: Column) -> Column:

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 from trackloom.llm.chat_format import ENCODED
-from trackloom.llm.license_scan import AGREE, BASE, INDEXED, LOOKED_UP, MIN_SHARE, OWN
+from trackloom.llm.license_scan import AGREE, BASE, INDEXED, MIN_SHARE, OWN
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,10 +26,8 @@ _LICENSES = f"""
     ranked AS (
         SELECT t, word, base, row_number() OVER (PARTITION BY t ORDER BY n, word) AS k, CASE WHEN in_key THEN row_number() OVER (PARTITION BY t, in_key ORDER BY n, word) END AS kk
         FROM (SELECT t, word, any_value(base) AS base, bool_or(in_key) AS in_key FROM tw GROUP BY t, word) JOIN n USING (word)),
-    chosen AS (SELECT t, word, base AND coalesce(kk = 1, false) AS fixed FROM ranked WHERE k <= {INDEXED} OR kk = 1),
-    idx AS (SELECT word, any_value(n) AS n, bool_or(fixed) AS fixed FROM chosen JOIN n USING (word) GROUP BY word),
-    held AS (SELECT r, word, fixed, row_number() OVER (PARTITION BY r ORDER BY n, word) AS k FROM (SELECT DISTINCT r, word FROM lw) JOIN idx USING (word)),
-    hit AS (SELECT lw.r, lw.word, lw.i FROM lw JOIN held USING (r, word) WHERE k <= {LOOKED_UP} OR fixed),
+    chosen AS (SELECT t, word FROM ranked WHERE k <= {INDEXED} OR kk = 1),
+    hit AS (SELECT r, word, i FROM lw SEMI JOIN chosen USING (word)),
     proposed AS (
         SELECT r, tw.t, i - p AS s, count(*) AS c FROM hit JOIN chosen USING (word) JOIN tw ON tw.t = chosen.t AND tw.word = hit.word GROUP BY ALL),
     m AS (

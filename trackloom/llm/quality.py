@@ -147,15 +147,19 @@ def fit(rows: list[tuple[str, int]], share: float, epochs: int = 25, batch: int
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", per_label: int = PER_LABEL) -> tuple[Model | None, float]:
     """The model of ``labels`` (key, label 0 or 1) over the texts of ``df``, and label 1's share of the labels.
 
-    The labels are sampled first, by a hash of the key, so that only their keys (at most twice
-    ``per_label`` short rows) are broadcast to the texts.
+    Labels with a text are sampled first, by a hash of the key, so that only their keys (at most twice
+    ``per_label`` short rows) are broadcast to the texts. Repeated labels count once; of several texts of
+    a key the one with the smallest hash is learned.
     """
-    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("l")).where("k is not null and l in (0, 1)")
+    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("l")).where("k is not null and l in (0, 1)").distinct()
     counts = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 1.0
-    picked = [known.where(F.col("l") == c).orderBy(F.xxhash64("k"), "k").limit(per_label) for c in (0, 1)]
-    texts = df.select(F.col(f"`{key}`").alias("k"), evenly(text_or_empty(text), FIT_PIECES, PASSAGE_BYTES).alias("t"))
-    rows = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "k").orderBy("k", "l", F.xxhash64("t")).limit(4 * per_label).collect()
+    texts = df.select(F.col(f"`{key}`").alias("k"), text_or_empty(text).alias("t"))
+    held = known.join(texts.select("k"), "k", "left_semi")  # a label without a text takes no place of the sample
+    picked = [held.where(F.col("l") == c).orderBy(F.xxhash64("k"), "k").limit(per_label) for c in (0, 1)]
+    found = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "k")
+    one = F.min(F.struct(F.xxhash64("t").alias("h"), evenly(F.col("t"), FIT_PIECES, PASSAGE_BYTES).alias("t"))).alias("one")
+    rows = found.groupBy("k", "l").agg(one).select("k", "l", "one.t").orderBy("k", "l").collect()  # a row for a key and label
     return fit([(r["t"], r["l"]) for r in rows], share), share
 
 

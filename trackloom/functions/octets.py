@@ -67,6 +67,8 @@ def annexb_units(data: bytes) -> list[dict[str, int]]:
     if len(raw) < 4:
         return []
     marks = np.flatnonzero((raw[:-2] == 0) & (raw[1:-1] == 0) & (raw[2:] == 1)).tolist()
+    if not marks:
+        return []
     begins = [(m - 1, 4) if m and raw[m - 1] == 0 else (m, 3) for m in marks]
     ends = [b for b, _ in begins[1:]] + [len(raw)]
     return [{"type": _kind(data[b + p]), "byte_offset": b + p, "size": e - b - p, "prefix": p} for (b, p), e in zip(begins, ends, strict=True) if b + p < e]

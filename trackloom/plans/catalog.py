@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from trackloom.plans import byte_queries, image_queries, scalar_queries, tool_queries, track_queries, transport_queries  # noqa: E402, F401
+from trackloom.plans import byte_queries, file_queries, image_queries, scalar_queries, tool_queries, track_queries, transport_queries  # noqa: E402, F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.octets import sniff
 
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"moof", b"traf"}
 
 
 class MissingDependency(RuntimeError):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.octets import big_endian
 from trackloom.operators import captions
 from trackloom.plans.catalog import query
-from trackloom.sources import mp4, views
+from trackloom.sources import exif, mp4, views
 from trackloom.sources.tables import materialise
 from trackloom.sources.views import SAMPLES
 
@@ -111,3 +111,42 @@ def captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captions.tracks(captioned(spark, sf_dir))
     return found.select("track_id", "idx", "pts", "dts", "keyframe", "type", "size", _hex(F.col("content")).alias("content"))
+
+
+# ---------------------------------------------------------------- image metadata
+
+_WORDS = ("make", "model", "software", "modify_date", "latitude_ref", "longitude_ref", "speed_ref", "direction_ref", "bearing_ref", "date_stamp")
+_RATIOS = ("x_resolution", "y_resolution", "exposure_time", "altitude", "speed", "direction", "bearing")
+_THREES = ("latitude", "longitude", "time_stamp")
+
+
+def _words(name: str) -> str:
+    return f"coalesce(source, '') || ' {name} ' || repeat('{name[0]}', (doc_id % 7)::int)"
+
+
+#: Where a value is missing by a rule of the row: every fifth has no places, every seventh a bad orientation, every tenth is cut off.
+_EXIF = ", ".join(
+    [f"CASE WHEN cut OR (gps AND {str(n in _WORDS[4:]).lower()}) THEN NULL ELSE {_words(n)} END AS {n}" for n in _WORDS]
+    + [f"CASE WHEN cut OR (gps AND {str(n in _RATIOS[3:]).lower()}) OR (doc_id + {k}) % 6 = 0 THEN NULL ELSE (doc_id + {k}) || '/' || (doc_id + {k}) % 6 END AS {n}" for k, n in enumerate(_RATIOS)]
+    + [f"CASE WHEN cut OR gps THEN NULL ELSE doc_id || '/1 ' || doc_id % 60 || '/{k + 1} ' || n_chars || '/100' END AS {n}" for k, n in enumerate(_THREES)]
+    + ["CASE WHEN cut OR doc_id % 9 NOT BETWEEN 1 AND 8 THEN 1 ELSE doc_id % 9 END::int AS orientation", "CASE WHEN cut OR doc_id % 5 NOT BETWEEN 1 AND 3 THEN NULL ELSE doc_id % 5 END::int AS resolution_unit", "CASE WHEN cut OR gps OR doc_id % 4 > 1 THEN NULL ELSE doc_id % 4 END::int AS altitude_ref"]
+)
+
+
+@query("exif_round_trip", f"SELECT doc_id, {_EXIF} FROM (SELECT *, doc_id % 5 = 4 AS gps, doc_id % 10 = 9 AS cut FROM documents)")
+def exif_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tags written for every document and read back; some blocks without places, some values out of range, some blocks cut off."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    i, gps = F.col("doc_id"), F.col("doc_id") % 5 == 4
+    ratio = lambda a, b: F.struct(a.cast("long").alias("numerator"), b.cast("long").alias("denominator"))
+    word = lambda n: F.concat(F.coalesce("source", F.lit("")), F.lit(f" {n} "), F.expr(f"repeat('{n[0]}', cast(doc_id % 7 as int))"))
+    values = {n: F.when(~gps, word(n)) if n in _WORDS[4:] else word(n) for n in _WORDS}
+    values |= {n: F.when(~gps | F.lit(n not in _RATIOS[3:]), ratio(i + k, (i + k) % 6)) for k, n in enumerate(_RATIOS)}
+    values |= {n: F.when(~gps, F.array(ratio(i, F.lit(1)), ratio(i % 60, F.lit(k + 1)), ratio(F.col("n_chars"), F.lit(100)))) for k, n in enumerate(_THREES)}
+    values |= {"orientation": (i % 9).cast("int"), "resolution_unit": (i % 5).cast("int"), "altitude_ref": F.when(~gps, (i % 4).cast("int"))}
+    made = exif.written(docs.withColumns(values), "block").select("doc_id", "block")
+    made = made.withColumn("block", F.when(i % 10 == 9, F.substring("block", 1, 15)).otherwise(F.col("block")))
+    found = exif.read(made, "block", {"orientation": 1})
+    shown = lambda r: F.concat_ws("/", r["numerator"], r["denominator"])
+    texts = {n: F.when(F.col(n).isNotNull(), shown(F.col(n))) for n in _RATIOS} | {n: F.when(F.col(n).isNotNull(), F.array_join(F.transform(n, shown), " ")) for n in _THREES}
+    return found.withColumns(texts).select("doc_id", *_WORDS, *_RATIOS, *_THREES, "orientation", "resolution_unit", "altitude_ref")

@@ -33,87 +33,82 @@ KINDS = {"text": ((2,), None, 1), "short": ((3, 8), 1, 2), "rational": ((5, 10),
 LIMITS = {"orientation": (1, 8), "resolution_unit": (1, 3), "altitude_ref": (0, 1)}
 LONGEST_TEXT = 255
 
-_RATIONAL = "struct<numerator:bigint,denominator:bigint>"
-TYPES = {"text": "string", "short": "int", "rational": _RATIONAL, "three": f"array<{_RATIONAL}>", "byte": "int"}
 
+#: Bytes of a value by its kind's number, from 0 on.
+SIZES = (0, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)
 
-def _num(c: Column, at: Column, size: int, big: Column) -> Column:
-    """``size`` bytes from byte ``at`` as a number in either order; null beyond the data."""
-    b = [F.conv(F.hex(F.substring(c, (at + k + 1).cast("int"), F.lit(1))), 16, 10).cast("long") for k in range(size)]
-    high = sum((F.shiftleft(x, 8 * (size - 1 - k)) for k, x in enumerate(b)), F.lit(0).cast("long"))
-    low = sum((F.shiftleft(x, 8 * k) for k, x in enumerate(b)), F.lit(0).cast("long"))
-    return F.when((at >= 0) & (at + size <= F.octet_length(c)), F.when(big, high).otherwise(low))
 
+def _num(at: Column, size: int) -> Column:
+    """``size`` bytes from byte ``at`` as a number in the block's order; null beyond the data.
 
-def _entries(c: Column, at: Column, kind: Column, big: Column) -> Column:
+    Numbers of a little-endian block are read from its bytes in reverse, where they stand the other way round and count from the end.
+    """
+    place = F.when(F.col("__big"), at).otherwise(F.col("__size") - at - size)
+    return F.when((at >= 0) & (at + size <= F.col("__size")), F.conv(F.hex(F.substring("__bytes", (place + 1).cast("int"), F.lit(size))), 16, 10).cast("long"))
+
+
+def _entries(at: Column, kind: Column) -> Column:
     """A directory's entries that lie within the data: (kind, tag, type, count, at), ``at`` being where the value or its place stands."""
-    n = F.coalesce(F.least(_num(c, at, 2, big), F.floor((F.octet_length(c) - at - 2) / F.lit(12))), F.lit(0))
-    one = lambda i: F.struct(
-        kind.alias("kind"), _num(c, at + 2 + i * 12, 2, big).alias("tag"), _num(c, at + 4 + i * 12, 2, big).alias("type"), _num(c, at + 6 + i * 12, 4, big).alias("count"), (at + 10 + i * 12).alias("at")
-    )
-    none = "array<struct<kind:int,tag:bigint,type:bigint,count:bigint,at:bigint>>"
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), one)).otherwise(F.array().cast(none))
+    n = F.coalesce(F.least(_num(at, 2), F.floor((F.col("__size") - at - 2) / F.lit(12))), F.lit(0))
+    one = lambda i: F.struct(kind.alias("kind"), _num(at + 2 + i * 12, 2).alias("tag"), _num(at + 4 + i * 12, 2).alias("type"), _num(at + 6 + i * 12, 4).alias("count"), (at + 10 + i * 12).alias("at"))
+    # A sequence that ends before it begins counts down; of one row more the first is taken off.
+    return F.transform(F.slice(F.sequence(F.lit(-1).cast("long"), n.cast("long") - 1), F.lit(2), n.cast("int")), one)
 
 
-def _value(c: Column, e: Column, name: str, kind: str, big: Column) -> Column:
-    """An entry's value, null if it isn't valid."""
+def _values(entries: Column, name: str, kind: str) -> Column:
+    """The values of entries (with ``place`` and ``length``) of one tag, null where they aren't valid."""
     _, many, size = KINDS[kind]
-    length = e["count"] * size
-    at = F.when(length <= 4, e["at"]).otherwise(_num(c, e["at"], 4, big))
-    inside = at + length <= F.octet_length(c)
     if kind == "text":
-        body = F.substring(c, (at + 1).cast("int"), (length - 1).cast("int"))
-        ended = _num(c, at + length - 1, 1, big) == 0
-        return F.when((e["count"] > 0) & (e["count"] <= LONGEST_TEXT) & inside & ended, F.decode(body, "ISO-8859-1"))
+        ended = lambda e: (e["count"] > 0) & (e["count"] <= LONGEST_TEXT) & (_num(e["place"] + e["length"] - 1, 1) == 0)
+        return F.transform(entries, lambda e: F.when(ended(e), F.decode(F.substring("__c", (e["place"] + 1).cast("int"), (e["length"] - 1).cast("int")), "ISO-8859-1")))
     if kind in ("short", "byte"):
-        value = _num(c, at, size, big).cast("int")
         low, high = LIMITS.get(name, (0, (1 << 8 * size) - 1))
-        return F.when((e["count"] == many) & value.between(low, high), value)
-
-    def rational(k: int) -> Column:
-        return F.struct(_num(c, at + 8 * k, 4, big).alias("numerator"), _num(c, at + 8 * k + 4, 4, big).alias("denominator"))
-
-    parts = [rational(k) for k in range(many)]
-    sound = inside & (e["count"] == many)
-    for p in parts:
-        sound = sound & (p["denominator"] > 0) & (p["denominator"] < 1 << 31) & (p["numerator"] < 1 << 31)
-    return F.when(sound, parts[0] if kind == "rational" else F.array(*parts))
+        numbers = F.transform(entries, lambda e: F.when(e["count"] == many, _num(e["place"], size).cast("int")))
+        return F.transform(numbers, lambda v: F.when(v.between(low, high), v))
+    parts = lambda e: F.array(*[F.struct(_num(e["place"] + 8 * k, 4).alias("numerator"), _num(e["place"] + 8 * k + 4, 4).alias("denominator")) for k in range(many)])
+    ratios = F.transform(entries, lambda e: F.when(e["count"] == many, parts(e)))
+    sound = lambda r: (r["denominator"] > 0) & (r["denominator"] < 1 << 31) & (r["numerator"] < 1 << 31)
+    return F.transform(ratios, lambda v: F.when(F.forall(v, lambda r: F.coalesce(sound(r), F.lit(False))), v[0] if kind == "rational" else v))
 
 
 def read(blocks: DataFrame, content: str = "content", defaults: dict | None = None) -> DataFrame:
     """``blocks`` with a column for each of ``TAGS``, from a block without or with the six bytes of its marker."""
     marked = F.substring(content, 1, 6) == F.lit(b"Exif\x00\x00")
     rows = blocks.withColumn("__c", F.when(marked, F.substring(F.col(content), F.lit(7), F.octet_length(content))).otherwise(F.col(content)))
-    c = F.col("__c")
-    rows = rows.withColumn("__big", F.substring("__c", 1, 2) == F.lit(b"MM"))
-    big = F.col("__big")
-    valid = F.coalesce((_num(c, F.lit(2), 2, big) == 42) & (_num(c, F.lit(4), 4, big) == 8), F.lit(False))
-    fits = lambda at: at + 14 <= F.octet_length(c)  # noqa: E731  a directory has a number and an entry at least
+    big = F.substring("__c", 1, 2) == F.lit(b"MM")
+    turned = F.encode(F.reverse(F.decode("__c", "ISO-8859-1")), "ISO-8859-1")
+    rows = rows.withColumns({"__big": big, "__size": F.octet_length("__c").cast("long"), "__bytes": F.when(big, F.col("__c")).otherwise(turned)})
+    valid = F.coalesce((_num(F.lit(2), 2) == 42) & (_num(F.lit(4), 4) == 8), F.lit(False))
+    rows = rows.withColumn("__next", F.when(valid, _num(F.lit(10) + 12 * _num(F.lit(8), 2), 4)))
+    fits = lambda at: at + 14 <= F.col("__size")  # noqa: E731  a directory has a number and an entry at least
     directory = lambda at, kind: F.struct(at.cast("long").alias("at"), kind.cast("int").alias("kind"))
-    none = F.array().cast("array<struct<at:bigint,kind:int>>")
-    next_ = _num(c, F.lit(10).cast("long") + 12 * _num(c, F.lit(8), 2, big), 4, big)
-    second = F.when((next_ > 0) & fits(next_), F.array(directory(next_, F.lit(IMAGE)))).otherwise(none)
-    start = F.when(valid, F.concat(F.array(directory(F.lit(8), F.lit(IMAGE))), F.coalesce(second, none))).otherwise(none)
+    known = F.array(directory(F.lit(8), F.lit(IMAGE)), directory(F.col("__next"), F.lit(IMAGE)))
+    start = F.when(valid, F.filter(known, lambda d: (d["at"] > 0) & fits(d["at"]))).otherwise(F.array().cast("array<struct<at:bigint,kind:int>>"))
     rows = rows.withColumn("__start", start)
+    kind_of = F.create_map(*[F.lit(x) for pair in SUBDIRECTORIES.items() for x in pair])
 
-    def visit(queue: Column, i: Column) -> Column:
-        """The queue with the directories that the i-th one names."""
-        d = F.get(queue, i)
-        kind_of = F.create_map(*[F.lit(x) for pair in SUBDIRECTORIES.items() for x in pair])
-        named = F.filter(_entries(c, d["at"], d["kind"], big), lambda e: (e["kind"] == IMAGE) & e["tag"].isin(*SUBDIRECTORIES))
-        found = F.transform(named, lambda e: directory(_num(c, e["at"], 4, big), kind_of[e["tag"].cast("int")]))
-        return F.when(i < F.size(queue), F.slice(F.concat(queue, F.filter(found, lambda x: fits(x["at"]))), 1, MOST_DIRECTORIES + 1)).otherwise(queue)
+    def named(d: Column) -> Column:
+        """The directories that a directory's entries name."""
+        entries = F.filter(_entries(d["at"], d["kind"]), lambda e: (e["kind"] == IMAGE) & e["tag"].isin(*SUBDIRECTORIES))
+        found = F.transform(entries, lambda e: directory(_num(e["at"], 4), kind_of[e["tag"].cast("int")]))
+        return F.filter(found, lambda x: fits(x["at"]))
 
+    visit = lambda queue, i: F.slice(F.concat(queue, F.flatten(F.transform(F.slice(queue, i + 1, F.lit(1)), named))), 1, MOST_DIRECTORIES + 1)
     rows = rows.withColumn("__queue", F.aggregate(F.sequence(F.lit(0), F.lit(MOST_DIRECTORIES)), F.col("__start"), visit))
-    rows = rows.withColumn("__entries", F.flatten(F.transform("__queue", lambda d: _entries(c, d["at"], d["kind"], big))))
+    rows = rows.withColumn("__entries", F.flatten(F.transform("__queue", lambda d: _entries(d["at"], d["kind"]))))
+    sizes = F.array(*map(F.lit, SIZES))
+    measured = F.transform("__entries", lambda e: F.struct(e.alias("e"), (e["count"] * F.coalesce(F.get(sizes, e["type"].cast("int")), F.lit(0))).alias("length")))
+    placed = F.transform(measured, lambda m: F.struct(m["e"]["kind"].alias("kind"), m["e"]["tag"].alias("tag"), m["e"]["type"].alias("type"), m["e"]["count"].alias("count"), m["length"].alias("length"), F.when(m["length"] <= 4, m["e"]["at"]).otherwise(_num(m["e"]["at"], 4)).alias("place")))
+    rows = rows.withColumn("__entries", placed)
+
     def first(name: str, tag: int, where: int, kind: str) -> Column:
         fitting = F.filter("__entries", lambda e: (e["tag"] == tag) & (e["kind"] == where) & e["type"].isin(*KINDS[kind][0]))
-        return F.get(F.filter(F.transform(fitting, lambda e: _value(c, e, name, kind, big)), lambda v: v.isNotNull()), 0)
+        return F.get(F.filter(_values(fitting, name, kind), lambda v: v.isNotNull()), 0)
 
     values = {name: first(name, tag, where, kind) for name, tag, where, kind in TAGS}
     for name, value in (defaults or {}).items():
         values[name] = F.coalesce(values[name], F.lit(value))
-    return rows.withColumns(values).drop("__c", "__big", "__start", "__queue", "__entries")
+    return rows.withColumns(values).drop("__c", "__big", "__size", "__bytes", "__next", "__start", "__queue", "__entries")
 
 
 # ---------------------------------------------------------------- writing

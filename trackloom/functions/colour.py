@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from trackloom.functions.arith import clamp, div
 
 GAMMA = 2.2
-#: D65 white and the linear RGB to XYZ rows, as published for sRGB.
-WHITE = (0.95047, 1.0, 1.08883)
-RGB_TO_XYZ = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
+#: The Lab range that counts as 0 to 1, D65 white, linear RGB to XYZ and back, and where the curve becomes a line.
+LAB_MIN, LAB_MAX = (0.0, -86.1777648, 94.4802017), (100.0, 98.2391204, -107.852676)
+WHITE = (95.0429, 100.0, 108.8900)
+RGB_TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950220))
+XYZ_TO_RGB = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+LINE_BELOW, LINE = 216.0 / 24389.0, 24389.0 / 27.0
 #: Fixed value: the exponent that stands for a cube root.
 CUBE_ROOT = 0.333333
 
@@ -20,7 +23,8 @@ def byte_to_unit(b: Column) -> Column:
 
 
 def unit_to_byte(x: Column) -> Column:
-    return F.floor(clamp(x, F.lit(0.0), F.lit(1.0)) * 255.0 + 0.5).cast("int")
+    """Truncated, within 0 to 255."""
+    return clamp((x * 255.0).cast("int"), F.lit(0), F.lit(255))
 
 
 def to_linear(x: Column) -> Column:
@@ -39,15 +43,31 @@ def hsv(r: Column, g: Column, b: Column) -> Column:
     return F.struct(F.when(sector < 0, sector + 1.0).otherwise(sector).alias("h"), F.when(high == 0, F.lit(0.0)).otherwise(d / high).alias("s"), high.alias("v"))
 
 
+def _dot(row: tuple[float, ...], values: list[Column]) -> Column:
+    return values[0] * row[0] + values[1] * row[1] + values[2] * row[2]
+
+
 def lab(r: Column, g: Column, b: Column) -> Column:
-    """(l, a, b) of sRGB components in 0..1; l in 0..1, a and b about -1..1."""
-    lin = [to_linear(c) for c in (r, g, b)]
+    """(l, a, b) of sRGB components in 0..1, each as its share of the way from ``LAB_MIN`` to ``LAB_MAX``."""
+    linear = [to_linear(c) * 100.0 for c in (r, g, b)]
 
     def curve(t: Column) -> Column:
-        return F.when(t > 0.008856, F.pow(t, F.lit(CUBE_ROOT))).otherwise(t * 7.787 + 16.0 / 116.0)
-
-    x, y, z = (curve(sum((c * k for c, k in zip(lin[1:], row[1:], strict=True)), lin[0] * row[0]) / w) for row, w in zip(RGB_TO_XYZ, WHITE, strict=True))
-    return F.struct((y * 1.16 - 0.16).alias("l"), ((x - y) * 5.0).alias("a"), ((y - z) * 2.0).alias("b"))
+        return F.when(t > LINE_BELOW, F.pow(t, F.lit(CUBE_ROOT))).otherwise((t * LINE + 16.0) / 116.0)
+
+    x, y, z = (curve(_dot(row, linear) / w) for row, w in zip(RGB_TO_XYZ, WHITE, strict=True))
+    share = [((v - low) / (high - low)).alias(n) for v, low, high, n in zip((y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0), LAB_MIN, LAB_MAX, "lab", strict=True)]
+    return F.struct(*share)
+
+
+def srgb_of_lab(c: Column) -> Column:
+    """(r, g, b) of a colour as ``lab`` gives it; what lies below 0 in linear light is 0."""
+    l, a, b = (c[n] * (high - low) + low for n, low, high in zip("lab", LAB_MIN, LAB_MAX, strict=True))
+    fy = (l + 16.0) / 116.0
+    fx, fz = fy + a / 500.0, fy - b / 200.0
+    cubed = lambda f: F.when(f * f * f > LINE_BELOW, f * f * f).otherwise((f * 116.0 - 16.0) / LINE)
+    y = F.when(l > LINE_BELOW, fy * fy * fy).otherwise(l / LINE)
+    xyz = [v * w / 100.0 for v, w in zip((cubed(fx), y, cubed(fz)), WHITE, strict=True)]
+    return F.struct(*[to_srgb(F.greatest(_dot(row, xyz), F.lit(0.0))).alias(n) for row, n in zip(XYZ_TO_RGB, "rgb", strict=True)])
 
 
 #: Integer weights of red, green, blue for y, u and v, before a shift by 8.

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.arith import div
-from trackloom.functions.colour import byte_to_unit, lab
+from trackloom.functions.colour import byte_to_unit, hsv, lab
 from trackloom.sources.tables import discard, materialise
 
-BINS = 24
 
 
 def cropped(plane: Column, width: int, left: int, top: int, w: int, h: int) -> Column:
@@ -67,37 +69,85 @@ def matrix_of_rotation(quarter: Column) -> Column:
     return F.array(cos, sin, F.lit(0), -sin, cos, F.lit(0), F.lit(0), F.lit(0), F.lit(1))
 
 
-def histogram(pixels: DataFrame, keys: list[str], r: Column, g: Column, b: Column, weight: Column, bins: int = BINS) -> DataFrame:
-    """Weighted counts of Lab bins."""
-    colour = lab(byte_to_unit(r), byte_to_unit(g), byte_to_unit(b))
-    binned = pixels.select(*keys, colour.alias("c"), weight.alias("w"))
-
-    def index(x: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(x * bins))).cast("int")
-
-    placed = binned.select(*keys, index(F.col("c.l")).alias("x"), index((F.col("c.a") + 1.0) / 2.0).alias("y"), index((F.col("c.b") + 1.0) / 2.0).alias("z"), "w")
-    return placed.groupBy(*keys, "x", "y", "z").agg(F.sum("w").alias("weight"))
-
-
-def peaks(bins: DataFrame, keys: list[str], count: int, radius: int = 1) -> DataFrame:
-    """Bins with the largest sums over their neighbourhood, ``count`` for each key, none next to a larger one's bin."""
-    near = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = bins.select(*keys, "x", "y", "z", "weight", F.explode(near).alias("i")).select("*", F.explode(near).alias("j")).select("*", F.explode(near).alias("k"))
-    summed = spread.groupBy(*keys, (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y"), (F.col("z") + F.col("k")).alias("z")).agg(F.sum("weight").alias("total"))
-    summed = summed.join(bins.select(*keys, "x", "y", "z"), [*keys, "x", "y", "z"], "left_semi")
-    # An image has at most BINS**3 bins, so they travel as one value and are picked from one after the other.
-    listed = summed.groupBy(*keys).agg(F.collect_list(F.struct("total", *[(-F.col(c)).cast("int").alias(c) for c in "xyz"])).alias("bins"))
-    kind = dict(listed.dtypes)["bins"]
-    zero = F.struct(F.col("bins").alias("left"), F.array().cast(kind).alias("chosen"))
-
-    def step(acc: Column, _: Column) -> Column:
-        best = F.array_max(acc["left"])
-        apart = lambda b: (F.abs(b["x"] - best["x"]) > 2 * radius) | (F.abs(b["y"] - best["y"]) > 2 * radius) | (F.abs(b["z"] - best["z"]) > 2 * radius)
-        return F.when(F.size(acc["left"]) == 0, acc).otherwise(F.struct(F.filter(acc["left"], apart).alias("left"), F.array_append(acc["chosen"], best).alias("chosen")))
-
-    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(count)), zero, step, lambda acc: acc["chosen"])
-    found = listed.select(*keys, F.posexplode(chosen).alias("n", "b"))
-    return found.select(*keys, "n", *[(-F.col(f"b.{c}")).alias(c) for c in "xyz"], F.col("b.total").alias("total"))
+#: Bins of an axis, and how far the search box reaches on each, for palettes of several colours (Lab) and of one (HSV).
+SEARCH = {"lab": (24, (4, 1, 1)), "hsv": (16, (1, 2, 4))}
+#: Alpha above which a pixel counts, and the share of an image above which a colour does.
+SEEN, LEAST_SHARE = 128, 0.001
+#: Decimals of sums that are compared.
+EXACT = 6
+
+
+def binned(pixels: DataFrame, space: str = "lab") -> DataFrame:
+    """``pixels`` (r, g, b, and a if they have alpha) that can be seen, with the bin (x, y, z) of their colour and its ``weight``: in Lab how far it is from grey, in HSV 1."""
+    size = SEARCH[space][0]
+    units = [byte_to_unit(F.col(c)) for c in "rgb"]
+    seen = pixels.where(F.col("a") > SEEN) if "a" in pixels.columns else pixels
+    rows = seen.withColumn("__c", lab(*units) if space == "lab" else hsv(*units))
+    c = [F.col(f"__c.{n}") for n in space]
+    place = lambda v: F.greatest(F.lit(0), F.least(F.lit(size - 1), (v * size).cast("int")))
+    grey = F.sqrt((c[1] - 0.5) * (c[1] - 0.5) + (c[2] - 0.5) * (c[2] - 0.5))
+    weight = F.greatest(F.abs(c[0] - 0.5), grey) if space == "lab" else F.lit(1.0)
+    return rows.withColumns({"x": place(c[0]), "y": place(c[1]), "z": place(c[2]), "weight": weight}).drop("__c")
+
+
+def histogram(pixels: DataFrame, keys: list[str], space: str = "lab") -> DataFrame:
+    """(keys, x, y, z, weight): the summed weights of each image's bins that have any."""
+    return binned(pixels, space).groupBy(*keys, "x", "y", "z").agg(F.round(F.sum("weight"), EXACT).alias("weight"))
+
+
+def _box_sums(volume: np.ndarray, reach: tuple[int, int, int], wraps: bool) -> np.ndarray:
+    """The sum of every box around a cell, from eight values of the running sums; the first axis can go round."""
+    size = len(volume)
+    padded = np.zeros([size + 2 * r + 1 for r in reach])
+    padded[tuple(slice(r + 1, r + 1 + size) for r in reach)] = volume
+    if wraps:  # what lies before the first is the last but one, as what is looked up there is moved by one
+        r = reach[0]
+        inside = padded[r + 1 : r + 1 + size].copy()
+        for k in range(1, r + 1):
+            padded[r + 1 - k], padded[r + size + k] = inside[size - k - 1], inside[k - 1]
+    sums = padded.cumsum(0).cumsum(1).cumsum(2)
+    out = np.zeros(volume.shape)
+    for corner in range(8):
+        up = [corner >> k & 1 for k in range(3)]
+        cut = tuple(slice(2 * r + 1, 2 * r + 1 + size) if u else slice(0, size) for r, u in zip(reach, up, strict=True))
+        out += (-1) ** (3 - sum(up)) * sums[cut]
+    return out.round(EXACT)
+
+
+_PEAKS = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("z", pa.int32()), ("total", pa.float64())]))
+
+
+def peaks(bins: DataFrame, keys: list[str], count: int, space: str = "lab") -> DataFrame:
+    """(keys, n, x, y, z, total): the boxes of bins with the largest sums, ``count`` for each key.
+
+    One after the other: bins of a box that is chosen count negative from then on, so boxes may overlap but what is taken isn't
+    taken again. Boxes are centred on any bin; of equal sums the first in the order of bins is chosen, none if no sum is positive.
+    An image has at most 13,824 bins, which travel as one value.
+    """
+    size, reach = SEARCH[space]
+    listed = bins.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "z", F.col("weight").cast("double").alias("w"))).alias("__bins"))
+
+    @F.arrow_udf("array<struct<x:int,y:int,z:int,total:double>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for held in batch.to_pylist():
+                volume = np.zeros((size, size, size))
+                for b in held:
+                    volume[b["x"], b["y"], b["z"]] = b["w"]
+                chosen = []
+                for _ in range(count):
+                    sums = _box_sums(volume, reach, space == "hsv")
+                    at = np.unravel_index(int(sums.argmax()), sums.shape)
+                    if sums[at] <= 0:
+                        break
+                    chosen.append(dict(zip(("x", "y", "z", "total"), (*map(int, at), float(sums[at])), strict=True)))
+                    near = tuple(slice(max(0, c - r), c + r + 1) for c, r in zip(at, reach, strict=True))
+                    volume[near] = -np.abs(volume[near])
+                out.append(chosen)
+            yield pa.array(out, _PEAKS)
+
+    return listed.select(*keys, F.posexplode(found("__bins")).alias("n", "b")).select(*keys, "n", "b.x", "b.y", "b.z", "b.total")
 
 
 def nearest(pixels: DataFrame, palette: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
@@ -210,23 +260,32 @@ def looked_up(pixels: DataFrame, table: DataFrame, value: str = "v") -> DataFram
     return pixels.join(table, value)
 
 
-def palette_medians(assigned: DataFrame, keys: list[str], axes: list[str], least: float = 0.001) -> DataFrame:
-    """(keys, n, axes, share) of pixels with a cluster ``n``: the real colour nearest to each cluster's median, of clusters with more than ``least`` of the pixels.
+def palette(pixels: DataFrame, keys: list[str], count: int, order: list[str]) -> DataFrame:
+    """(keys, place, r, g, b, share): the colours of each image, largest share of all its pixels first.
 
-    Colours are counted before they are shuffled; of equally near ones the smallest counts.
+    Each peak stands for the pixels in its box, whose upper median of each channel is looked up among their own colours: the nearest
+    one, of equally near ones the first in the ``order`` of pixels. One colour is searched in HSV, several in Lab. Colours are
+    counted before they are shuffled, and medians are read off counts of at most 256 values.
     """
-    colours = assigned.groupBy(*keys, "n", *axes).agg(F.count(F.lit(1)).alias("c"))
-    sizes = colours.groupBy(*keys, "n").agg(F.sum("c").alias("size"))
-    sizes = sizes.withColumn("share", F.col("size") / F.sum("size").over(Window.partitionBy(*keys)))
-    middle = assigned.groupBy(*keys, "n").agg(*[F.median(a).alias(f"m_{a}") for a in axes])
-    near = colours.join(middle, [*keys, "n"])
-    far = sum(((F.col(a) - F.col(f"m_{a}")) * (F.col(a) - F.col(f"m_{a}")) for a in axes[1:]), (F.col(axes[0]) - F.col(f"m_{axes[0]}")) * (F.col(axes[0]) - F.col(f"m_{axes[0]}")))
-    best = near.groupBy(*keys, "n").agg(F.min(F.struct(far.alias("far"), *axes)).alias("b"))
-    return best.join(sizes, [*keys, "n"]).where(F.col("share") > least).select(*keys, "n", *[F.col(f"b.{a}").alias(a) for a in axes], "share")
-
-
-def lookup_table(spark: SparkSession, size: int) -> DataFrame:
-    """The identity table of size**3 colours."""
-    steps = spark.range(size**3)
-    part = lambda n: F.round(div(F.col("id"), n) % size * 255.0 / (size - 1)).cast("int")
-    return steps.select(F.col("id").alias("entry"), part(1).alias("r"), part(size).alias("g"), part(size * size).alias("b"))
+    space = "hsv" if count == 1 else "lab"
+    size, reach = SEARCH[space]
+    shown = binned(pixels, space)
+    found = peaks(shown.groupBy(*keys, "x", "y", "z").agg(F.round(F.sum("weight"), EXACT).alias("weight")), keys, count, space)
+    listed = found.groupBy(*keys).agg(F.collect_list(F.struct("n", "x", "y", "z")).alias("__peaks"))
+    all_pixels = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"))
+    away = lambda p, c: F.abs(F.col(c) - p[c]) % size if space == "hsv" and c == "x" else F.abs(F.col(c) - p[c])
+    inside = lambda p: (away(p, "x") <= reach[0]) & (away(p, "y") <= reach[1]) & (away(p, "z") <= reach[2])
+    colours = shown.groupBy(*keys, "x", "y", "z", "r", "g", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*order)).alias("__first"))
+    each = colours.join(listed, keys).withColumn("p", F.explode(F.filter("__peaks", inside))).select(*keys, F.col("p.n").alias("n"), "r", "g", "b", "c", "__first")
+
+    channel = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in "rgb"]))
+    counts = each.select(*keys, "n", "c", channel.alias("h")).groupBy(*keys, "n", "h.axis", "h.v").agg(F.sum("c").alias("c"))
+    one = Window.partitionBy(*keys, "n", "axis")
+    counts = counts.withColumns({"so_far": F.sum("c").over(one.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "size": F.sum("c").over(one)})
+    middle = counts.where(F.col("so_far") > div(F.col("size"), 2)).groupBy(*keys, "n").agg(*[F.min(F.when(F.col("axis") == a, F.col("v"))).alias(f"m_{a}") for a in "rgb"], F.max("size").alias("size"))
+    near = each.join(middle, [*keys, "n"])
+    far = sum(((F.col(a) - F.col(f"m_{a}")) * (F.col(a) - F.col(f"m_{a}")) for a in "gb"), (F.col("r") - F.col("m_r")) * (F.col("r") - F.col("m_r")))
+    best = near.groupBy(*keys, "n").agg(F.min(F.struct(far.alias("far"), "__first", "r", "g", "b")).alias("x"), F.max("size").alias("size"))
+    shares = best.join(all_pixels, keys).withColumn("share", F.col("size") / F.col("__all")).where(F.col("share") > LEAST_SHARE)
+    ranked = Window.partitionBy(*keys).orderBy(F.desc("share"), "n")
+    return shares.select(*keys, (F.row_number().over(ranked) - 1).alias("place"), "x.r", "x.g", "x.b", "share")

@@ -221,7 +221,7 @@ _LINEAR = "pow({} / 255.0::double, 2.2::double)"
     WITH u AS (SELECT *, r / 255.0::double AS ur, g / 255.0::double AS ug, b / 255.0::double AS ub FROM {PIXELS}),
     h AS (SELECT *, greatest(ur, ug, ub) AS hi, greatest(ur, ug, ub) - least(ur, ug, ub) AS d FROM u),
     s AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = ur THEN (ug - ub) / d WHEN hi = ug THEN (ub - ur) / d + 2 ELSE (ur - ug) / d + 4 END / 6 AS sector FROM h)
-    SELECT frame_id, i::int AS i, round({_LINEAR.format("r")}, 6) AS linear, r::int AS back, round(CASE WHEN sector < 0 THEN sector + 1 ELSE sector END, 6) AS h, round(CASE WHEN hi = 0 THEN 0 ELSE d / hi END, 6) AS s, round(hi, 6) AS v,
+    SELECT frame_id, i::int AS i, round({_LINEAR.format("r")}, 6) AS linear, greatest(0, least(255, trunc((ur * 0.75::double + 0.0987::double) * 255)))::int AS back, greatest(0, least(255, trunc((ur * 3 - 1.0007::double) * 255)))::int AS kept, round(CASE WHEN sector < 0 THEN sector + 1 ELSE sector END, 6) AS h, round(CASE WHEN hi = 0 THEN 0 ELSE d / hi END, 6) AS s, round(hi, 6) AS v,
         round(pow({_LINEAR.format("r")} * 0.25 + {_LINEAR.format("g")} * 0.75, 1 / 2.2::double), 6) AS mixed, greatest(0, least(255, trunc((r - 16) * 255 / 219)))::int AS wide,
         ((r + g + b + r) >> 2)::int AS chroma, round(0.2126 * {_LINEAR.format("r")} + 0.7152 * {_LINEAR.format("g")} + 0.0722 * {_LINEAR.format("b")}, 6) AS luminance
     FROM s""")
@@ -231,10 +231,10 @@ def colour_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     lin = [colour.to_linear(u) for u in unit]
     rows = pixels(spark, sf_dir)
     found = rows.select(
-        "frame_id", "i", F.round(lin[0], 6).alias("linear"), colour.unit_to_byte(colour.to_srgb(lin[0])).alias("back"), colour.hsv(*unit).alias("hsv"), F.round(colour.over(unit[0], unit[1], F.lit(0.25)), 6).alias("mixed"),
+        "frame_id", "i", F.round(lin[0], 6).alias("linear"), colour.unit_to_byte(unit[0] * 0.75 + 0.0987).alias("back"), colour.unit_to_byte(unit[0] * 3 - 1.0007).alias("kept"), colour.hsv(*unit).alias("hsv"), F.round(colour.over(unit[0], unit[1], F.lit(0.25)), 6).alias("mixed"),
         colour.full_range(r).alias("wide"), colour.chroma_average(r, g, b, r).alias("chroma"), F.round(arith.luminance(*lin), 6).alias("luminance"),
     )
-    return found.select("frame_id", "i", "linear", "back", *[F.round(f"hsv.{c}", 6).alias(c) for c in "hsv"], "mixed", "wide", "chroma", "luminance")
+    return found.select("frame_id", "i", "linear", "back", "kept", *[F.round(f"hsv.{c}", 6).alias(c) for c in "hsv"], "mixed", "wide", "chroma", "luminance")
 
 
 @query("opaque_planes", f"SELECT frame_id, list_min(plane) >= 125 AS opaque FROM {FRAMES}")

@@ -54,42 +54,118 @@ def limited_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(spark, sf_dir).select("frame_id", "i", colour.limited_range(F.col("r")).alias("y"), colour.limited_range(F.col("g"), True).alias("u"))
 
 
-_LIN = "pow({} / 255.0::double, 2.2::double)"
-_T = "CASE WHEN ({0}) > 0.008856 THEN pow({0}, 0.333333::double) ELSE ({0}) * 7.787::double + 16.0::double / 116.0::double END"
-_XYZ = [" + ".join(f"{_LIN.format(c)} * {k}::double" for c, k in zip("rgb", row, strict=True)) for row in colour.RGB_TO_XYZ]
-_CURVES = [_T.format(f"(({row}) / {w}::double)") for row, w in zip(_XYZ, colour.WHITE, strict=True)]
+# ---------------------------------------------------------------- colours
+
+#: Fixed values, as written for the SQL: linear RGB to XYZ with its white, and the Lab range.
+_XYZ = ((0.412453, 0.357580, 0.180423, 95.0429), (0.212671, 0.715160, 0.072169, 100.0), (0.019334, 0.119193, 0.950220, 108.8900))
+_BACK = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+
+
+def _d(x: float) -> str:
+    return f"({x!r}::double)"
+
+
+_CURVED = ", ".join(
+    f"CASE WHEN q{n} > 216.0::double / 24389.0::double THEN pow(q{n}, 0.333333::double) ELSE (24389.0::double / 27.0::double * q{n} + 16) / 116.0::double END AS f{n}" for n in "xyz"
+)
+_RATIOS = ", ".join("(" + " + ".join(f"pow({c} / 255.0::double, 2.2::double) * 100 * {_d(k)}" for c, k in zip("rgb", row[:3], strict=True)) + f") / {_d(row[3])} AS q{n}" for n, row in zip("xyz", _XYZ, strict=True))
+#: Every pixel with its alpha and its relative Lab colour.
+_LAB = f"""
+    al AS (SELECT *, (r * 7 + i * 37) % 256 AS a FROM {PIXELS}), qs AS (SELECT *, {_RATIOS} FROM al), fs AS (SELECT *, {_CURVED} FROM qs),
+    lb AS (
+        SELECT *, (116 * fy - 16) / 100 AS cl, (500 * (fx - fy) - {_d(-86.1777648)}) / ({_d(98.2391204)} - {_d(-86.1777648)}) AS ca, (200 * (fy - fz) - {_d(94.4802017)}) / ({_d(-107.852676)} - {_d(94.4802017)}) AS cb FROM fs)"""
+
+
+def seen_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).withColumn("a", (F.col("r") * 7 + F.col("i") * 37) % 256)
+
+
+_RGB = ", ".join(f"round(pow(greatest({' + '.join(f'{_d(k)} * w{n}' for n, k in zip('xyz', row, strict=True))}, 0), 1 / 2.2::double), 5) AS {c}" for c, row in zip("rgb", _BACK, strict=True))
 
 
 @query("colour_lab", f"""
-    WITH t AS (SELECT frame_id, i, {_CURVES[0]} AS x, {_CURVES[1]} AS y, {_CURVES[2]} AS z FROM {PIXELS})
-    SELECT frame_id, i::int AS i, round(y * 1.16::double - 0.16::double, 6) AS l, round((x - y) * 5, 6) AS a, round((y - z) * 2, 6) AS b FROM t""")
+    WITH {_LAB}, o AS (SELECT frame_id, i, round(cl, 6) AS cl, round(ca, 6) AS ca, round(cb, 6) AS cb, (cl * 100 + 16) / 116 AS gy, cl * 100 AS la, (ca * ({_d(98.2391204)} - {_d(-86.1777648)}) + {_d(-86.1777648)}) / 500 AS ga,
+        (cb * ({_d(-107.852676)} - {_d(94.4802017)}) + {_d(94.4802017)}) / 200 AS gb FROM lb),
+    x AS (SELECT *, gy + ga AS gx, gy - gb AS gz FROM o),
+    w AS (
+        SELECT *, CASE WHEN gx * gx * gx > 216.0::double / 24389 THEN gx * gx * gx ELSE (116 * gx - 16) / (24389.0::double / 27) END * {_d(95.0429)} / 100 AS wx,
+            CASE WHEN la > 216.0::double / 24389 THEN gy * gy * gy ELSE la / (24389.0::double / 27) END AS wy,
+            CASE WHEN gz * gz * gz > 216.0::double / 24389 THEN gz * gz * gz ELSE (116 * gz - 16) / (24389.0::double / 27) END * {_d(108.89)} / 100 AS wz FROM x)
+    SELECT frame_id, i::int AS i, cl, ca, cb, {_RGB} FROM w""")
 def colour_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pixels(spark, sf_dir).select("frame_id", "i", colour.lab(*[colour.byte_to_unit(F.col(c)) for c in "rgb"]).alias("c"))
-    return found.select("frame_id", "i", *[F.round(f"c.{k}", 6).alias(k) for k in "lab"])
+    found = found.withColumn("back", colour.srgb_of_lab(F.col("c")))
+    return found.select("frame_id", "i", *[F.round(f"c.{k}", 6).alias(f"c{k}") for k in "lab"], *[F.round(f"back.{k}", 5).alias(k) for k in "rgb"])
+
+
+def _bin(v: str, size: int) -> str:
+    return f"greatest(0, least({size - 1}, trunc({v} * {size})))::int"
+
+
+_LAB_BINS = f"""{_LAB},
+    px AS (SELECT *, {_bin("cl", 24)} AS x, {_bin("ca", 24)} AS y, {_bin("cb", 24)} AS z, greatest(abs(cl - 0.5), sqrt((ca - 0.5) * (ca - 0.5) + (cb - 0.5) * (cb - 0.5))) AS w FROM lb),
+    h0 AS (SELECT label, x, y, z, round(sum(w), 6) AS w FROM px WHERE a > 128 GROUP BY ALL)"""
+#: One colour: hue goes round, and what lies before the first bin is the last but one.
+_HSV_BINS = f"""
+    al AS (SELECT *, (r * 7 + i * 37) % 256 AS a, r / 255.0::double AS ur, g / 255.0::double AS ug, b / 255.0::double AS ub FROM {PIXELS}),
+    hl AS (SELECT *, greatest(ur, ug, ub) AS hi, greatest(ur, ug, ub) - least(ur, ug, ub) AS d FROM al),
+    hs AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN hi = ur THEN (ug - ub) / d WHEN hi = ug THEN (ub - ur) / d + 2 ELSE (ur - ug) / d + 4 END / 6 AS s FROM hl),
+    px AS (SELECT *, {_bin("CASE WHEN s < 0 THEN s + 1 ELSE s END", 16)} AS x, {_bin("CASE WHEN hi = 0 THEN 0 ELSE d / hi END", 16)} AS y, {_bin("hi", 16)} AS z FROM hs),
+    h0 AS (SELECT label, x, y, z, count(*)::double AS w FROM px WHERE a > 128 GROUP BY ALL)"""
+
+
+def _peak(k: int, size: int, reach: tuple[int, int, int], wraps: bool = False) -> str:
+    """The k-th peak of the bins that are left, and the bins left after it."""
+    x = "CASE WHEN b.x + i >= 16 THEN b.x + i - 16 ELSE b.x + i END" if wraps else "b.x + i"
+    # A box at x looks at x + i, and below 0 at 16 + x + i - 1: a bin is seen from those x.
+    spread = f"SELECT label, c.x AS x, y + j AS y, z + k AS z, w FROM h{k} b, range({size}) AS c(x), range(-{reach[1]}, {reach[1] + 1}) AS u(j), range(-{reach[2]}, {reach[2] + 1}) AS v(k), range(-{reach[0]}, {reach[0] + 1}) AS t(i) WHERE b.x = CASE WHEN c.x + i >= {size} THEN c.x + i - {size} WHEN c.x + i < 0 THEN {size} + c.x + i - 1 ELSE c.x + i END" if wraps else (
+        f"SELECT label, {x} AS x, y + j AS y, z + k AS z, w FROM h{k} b, range(-{reach[0]}, {reach[0] + 1}) AS t(i), range(-{reach[1]}, {reach[1] + 1}) AS u(j), range(-{reach[2]}, {reach[2] + 1}) AS v(k)"
+    )
+    near = f"abs(h{k}.x - p{k}.x) <= {reach[0]} AND abs(h{k}.y - p{k}.y) <= {reach[1]} AND abs(h{k}.z - p{k}.z) <= {reach[2]}"
+    return f"""
+    s{k} AS (SELECT label, x, y, z, round(sum(w), 6) AS total FROM ({spread}) WHERE x BETWEEN 0 AND {size - 1} AND y BETWEEN 0 AND {size - 1} AND z BETWEEN 0 AND {size - 1} GROUP BY ALL),
+    p{k} AS (SELECT label, {k} AS n, x, y, z, total FROM s{k} WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY total DESC, x, y, z) = 1),
+    h{k + 1} AS (SELECT h{k}.label, h{k}.x, h{k}.y, h{k}.z, CASE WHEN {near} THEN -abs(w) ELSE w END AS w FROM h{k} LEFT JOIN p{k} USING (label))"""
+
+
+_PEAKS = f"{_LAB_BINS}, {', '.join(_peak(k, 24, (4, 1, 1)) for k in range(3))}, pk AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"
 
 
-@query("colour_histogram", f"""
-    WITH t AS (SELECT label, {_CURVES[0]} AS x, {_CURVES[1]} AS y, {_CURVES[2]} AS z FROM {PIXELS})
-    SELECT label, greatest(0, least(23, floor((y * 1.16::double - 0.16::double) * 24)))::int AS x, greatest(0, least(23, floor(((x - y) * 5 + 1) / 2 * 24)))::int AS y,
-        greatest(0, least(23, floor(((y - z) * 2 + 1) / 2 * 24)))::int AS z, count(*) AS weight FROM t GROUP BY ALL""")
+@query("colour_histogram", f"WITH {_LAB_BINS} SELECT label, x, y, z, w AS weight FROM h0")
 def colour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.histogram(pixels(spark, sf_dir), ["label"], F.col("r"), F.col("g"), F.col("b"), F.lit(1).cast("long"))
-
-
-@query("colour_peaks", f"""
-    WITH RECURSIVE t AS (SELECT label, {_CURVES[0]} AS x, {_CURVES[1]} AS y, {_CURVES[2]} AS z FROM {PIXELS}),
-    h AS (SELECT label, greatest(0, least(23, floor((y * 1.16::double - 0.16::double) * 24)))::int AS x, greatest(0, least(23, floor(((x - y) * 5 + 1) / 2 * 24)))::int AS y, greatest(0, least(23, floor(((y - z) * 2 + 1) / 2 * 24)))::int AS z FROM t),
-    b AS (SELECT label, x, y, z, count(*) AS w FROM h GROUP BY ALL),
-    s AS (SELECT a.label, a.x, a.y, a.z, sum(o.w)::bigint AS total FROM b a JOIN b o ON o.label = a.label AND abs(o.x - a.x) <= 1 AND abs(o.y - a.y) <= 1 AND abs(o.z - a.z) <= 1 GROUP BY ALL),
-    l AS (SELECT label, list({{'total': total, 'x': -x, 'y': -y, 'z': -z}}) AS bins FROM s GROUP BY label),
-    p AS (
-        SELECT label, 0 AS n, list_max(bins) AS c, bins FROM l
-        UNION ALL SELECT label, n + 1, list_max(k), k FROM (SELECT label, n, list_filter(bins, lambda q: abs(q.x - c.x) > 2 OR abs(q.y - c.y) > 2 OR abs(q.z - c.z) > 2) AS k FROM p WHERE n < 2) WHERE len(k) > 0)
-    SELECT label, n::int AS n, -c.x AS x, -c.y AS y, -c.z AS z, c.total AS total FROM p""")
+    return images.histogram(seen_pixels(spark, sf_dir), ["label"])
+
+
+@query("colour_peaks", f"WITH {_PEAKS} SELECT label, n::int AS n, x::int AS x, y::int AS y, z::int AS z, total FROM pk")
 def colour_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.peaks(colour_histogram(spark, sf_dir), ["label"], 3)
 
 
+@query("colour_peak_hsv", f"WITH {_HSV_BINS}, {_peak(0, 16, (1, 2, 4), True)} SELECT label, n::int AS n, x::int AS x, y::int AS y, z::int AS z, total FROM p0")
+def colour_peak_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.peaks(images.histogram(seen_pixels(spark, sf_dir), ["label"], "hsv"), ["label"], 1, "hsv")
+
+
+def _palette(inside: str) -> str:
+    return f"""
+    n AS (SELECT label, count(*) AS pixels FROM px GROUP BY label),
+    e AS (SELECT px.label, pk.n, px.frame_id, px.i, r, g, b FROM px JOIN pk ON pk.label = px.label AND a > 128 AND {inside}),
+    m AS (SELECT label, n, list_sort(list(r))[count(*) // 2 + 1] AS mr, list_sort(list(g))[count(*) // 2 + 1] AS mg, list_sort(list(b))[count(*) // 2 + 1] AS mb, count(*) AS size FROM e GROUP BY ALL),
+    f AS (SELECT e.*, size, row_number() OVER (PARTITION BY label, n ORDER BY (r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb), frame_id, i) AS k FROM e JOIN m USING (label, n)),
+    v AS (SELECT label, n, r, g, b, size / pixels AS share FROM f JOIN n USING (label) WHERE k = 1)
+    SELECT label, (row_number() OVER (PARTITION BY label ORDER BY share DESC, n) - 1)::int AS place, r::int AS r, g::int AS g, b::int AS b, round(share, 6) AS share FROM v WHERE share > 0.001"""
+
+
+@query("palette_medians", f"WITH {_PEAKS}, {_palette('abs(px.x - pk.x) <= 4 AND abs(px.y - pk.y) <= 1 AND abs(px.z - pk.z) <= 1')}")
+def palette_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.palette(seen_pixels(spark, sf_dir), ["label"], 3, ["frame_id", "i"]).withColumn("share", F.round("share", 6))
+
+
+@query("palette_one", f"WITH {_HSV_BINS}, {_peak(0, 16, (1, 2, 4), True)}, pk AS (SELECT * FROM p0), {_palette('abs(px.x - pk.x) % 16 <= 1 AND abs(px.y - pk.y) <= 2 AND abs(px.z - pk.z) <= 4')}")
+def palette_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.palette(seen_pixels(spark, sf_dir), ["label"], 1, ["frame_id", "i"]).withColumn("share", F.round("share", 6))
+
+
 @query("palette_nearest")
 def palette_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pixels(spark, sf_dir).select("label", "frame_id", "i", *[F.col(c).cast("double").alias(c) for c in "rgb"])
@@ -117,11 +193,6 @@ def plane_crop_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.frames(spark, sf_dir).select("frame_id", text(images.cropped(plane, 8, 1, 2, 4, 4)).alias("crop"), text(images.rotated(plane, 8, 8, 1)).alias("turned"), text(images.halved_plane(plane, 8, 8)).alias("half"))
 
 
-@query("lookup_table", "SELECT i AS entry, round(i % 8 * 255.0 / 7)::int AS r, round(i // 8 % 8 * 255.0 / 7)::int AS g, round(i // 64 % 8 * 255.0 / 7)::int AS b FROM range(512) AS r(i)")
-def lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.lookup_table(spark, 8)
-
-
 _TAPS = """
     o AS (SELECT i AS out_idx, (i + 0.5::double) * 2 AS c FROM range(4) AS r(i)),
     k AS (SELECT out_idx, tap, (tap + 0.5::double - c) / 2 AS x FROM o, range(8) AS q(tap) WHERE tap BETWEEN floor(c - 6) AND ceil(c + 6)),
@@ -144,13 +215,3 @@ def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.range(256).select(F.col("id").cast("int").alias("v"), colour.limited_range(F.col("id")).alias("out"))
     values = images.pixels_of(views.frames(spark, sf_dir), ["frame_id"], "plane", 8)
     return images.looked_up(values, table).select("frame_id", "x", "y", "out")
-
-
-@query("palette_medians", f"""
-    WITH p AS (SELECT label, (i % 3)::int AS n, r, g, b FROM {PIXELS}),
-    m AS (SELECT label, n, median(r) AS mr, median(g) AS mg, median(b) AS mb, count(*) AS c FROM p GROUP BY ALL)
-    SELECT label, n, arg_min(r, k)::int AS r, arg_min(g, k)::int AS g, arg_min(b, k)::int AS b, round(any_value(share), 6) AS share
-    FROM (SELECT p.*, ((r - mr) * (r - mr) + (g - mg) * (g - mg) + (b - mb) * (b - mb), r, g, b) AS k, share FROM p JOIN (SELECT *, c / sum(c) OVER (PARTITION BY label) AS share FROM m) m USING (label, n)) WHERE share > 0.001 GROUP BY label, n""")
-def palette_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = pixels(spark, sf_dir).withColumn("n", (F.col("i") % 3).cast("int"))
-    return images.palette_medians(assigned, ["label"], list("rgb")).withColumn("share", F.round("share", 6))

@@ -78,15 +78,39 @@ def audio_config(content: Column) -> Column:
     return F.struct(bits(content, 0, 5).cast("int").alias("object_type"), rate.alias("sample_rate"), channels.cast("int").alias("channels"))
 
 
+#: Fixed value: bytes of a parameter set at most.
+MOST_HEADER = 0x1000
+
+
 def avc_config(content: Column) -> Column:
-    """Of an H.264 configuration box: (length_size, sps, pps), the first of each; null if it holds none."""
+    """Of an H.264 configuration: (length_size, sps, pps, error), all but ``error`` null where there is one.
+
+    Invalid: another version, too short, not one sequence set, an empty set, sizes that don't end with the data; Unsupported: sizes of one
+    or three bytes, not one picture set, extensions; Unsafe: a set that is too large. Four more bytes may follow the sets.
+    """
+    byte = lambda at: F.conv(F.hex(F.substring(content, (at + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    size = F.octet_length(content)
     length = (bits(content, 38, 2) + 1).cast("int")
     sps_size = number(content, 6, 2)
-    sps = F.substring(content, F.lit(9), sps_size.cast("int"))
-    at = (sps_size + 8).cast("int")
-    pps_count = F.conv(F.hex(F.substring(content, at + 1, F.lit(1))), 16, 10).cast("int")
-    pps_size = F.conv(F.hex(F.substring(content, at + 2, F.lit(2))), 16, 10).cast("int")
-    return F.when((bits(content, 43, 5) > 0) & (pps_count > 0), F.struct(length.alias("length_size"), sps.alias("sps"), F.substring(content, at + 4, pps_size).alias("pps")))
+    at = sps_size + 8
+    pps_size = byte(at + 1) * 256 + byte(at + 2)
+    end = at + 3 + pps_size
+    error = (
+        F.when(size <= 8, "Invalid")
+        .when(byte(F.lit(0)) != 1, "Invalid")
+        .when(length.isin(1, 3), "Unsupported")
+        .when((bits(content, 43, 5) != 1) | (sps_size == 0), "Invalid")
+        .when(sps_size > MOST_HEADER, "Unsafe")
+        .when(size <= at + 2, "Invalid")
+        .when(byte(at) != 1, "Unsupported")
+        .when(F.coalesce(pps_size, F.lit(0)) == 0, "Invalid")
+        .when(pps_size > MOST_HEADER, "Unsafe")
+        .when((end != size) & (end + 4 != size), "Invalid")
+        .when((end + 4 == size) & (byte(end + 3) != 0), "Unsupported")
+    )
+    ok = lambda c: F.when(error.isNull(), c)
+    sps, pps = F.substring(content, F.lit(9), sps_size.cast("int")), F.substring(content, (at + 4).cast("int"), pps_size)
+    return F.when(content.isNotNull(), F.struct(ok(length).alias("length_size"), ok(sps).alias("sps"), ok(pps).alias("pps"), error.alias("error")))
 
 
 def digits(text: Column) -> Column:

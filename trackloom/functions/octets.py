@@ -223,21 +223,34 @@ def offsets(text: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(F.split(p, ":")[0].cast("double").alias("audio"), F.split(p, ":")[1].cast("double").alias("video")))
 
 
+def _parsed(text: Column, pattern: str, k: int) -> Column:
+    """A group of the pattern as a number; null without a match or beyond its range."""
+    return F.regexp_extract(text, pattern, k).try_cast("int")
+
+
 def wanted_size(text: Column) -> Column:
-    """``WxH``, ``W%xH%``, ``W%`` or ``W`` as (width, height, percent)."""
-    w = F.regexp_extract(text, r"^(\d+)", 1)
-    h = F.regexp_extract(text, r"x(\d+)", 1)
-    return F.struct(w.cast("int").alias("width"), F.when(h == "", w).otherwise(h).cast("int").alias("height"), F.contains(text, F.lit("%")).alias("percent"))
+    """``WxH``, ``W%xH%``, ``W%`` or ``W``, whatever follows, as (width, height, percent); one number is percent of both, with its mark or without. Null if it is none of them."""
+    both, plain, one = r"^\s*(\d+)%x(\d+)", r"^\s*(\d+)x(\d+)", r"^\s*(\d+)"
+    size = lambda w, h, p: F.struct(w.alias("width"), h.alias("height"), p.alias("percent"))
+    return (
+        F.when(_parsed(text, both, 2).isNotNull(), size(_parsed(text, both, 1), _parsed(text, both, 2), F.lit(True)))
+        .when(_parsed(text, plain, 2).isNotNull(), size(_parsed(text, plain, 1), _parsed(text, plain, 2), F.lit(False)))
+        .when(_parsed(text, one, 1).isNotNull(), size(_parsed(text, one, 1), _parsed(text, one, 1), F.lit(True)))
+    )
 
 
 def region(text: Column) -> Column:
-    """``WxHLxTy`` as (width, height, left, top)."""
-    part = lambda k: F.regexp_extract(text, r"^(\d+)x(\d+)L(\d+)T(\d+)$", k).cast("int")
-    return F.struct(part(1).alias("width"), part(2).alias("height"), part(3).alias("left"), part(4).alias("top"))
+    """``WxH``, ``WxHTy``, ``WxHLx`` or ``WxHLxTy``, whatever follows, as (width, height, left, top), missing places being 0. Null if it is none of them."""
+    size, only_top, places = r"^\s*(\d+)x(\d+)", r"^\s*\d+x\d+T(\d+)", r"^\s*\d+x\d+L(\d+)(?:T(\d+))?"
+    or_0 = lambda c: F.coalesce(c, F.lit(0))
+    top = F.coalesce(_parsed(text, only_top, 1), _parsed(text, places, 2))
+    whole = F.struct(_parsed(text, size, 1).alias("width"), _parsed(text, size, 2).alias("height"), or_0(_parsed(text, places, 1)).alias("left"), or_0(top).alias("top"))
+    return F.when(_parsed(text, size, 1).isNotNull() & _parsed(text, size, 2).isNotNull(), whole)
 
 
 def hex_colour(text: Column) -> Column:
-    """``#rrggbb`` as (r, g, b)."""
-    digits = F.regexp_replace(text, "^#", "")
+    """``#rrggbb`` as (r, g, b): the three bytes of the number behind the mark. Null without mark and digits, or if the number has more bytes."""
+    digits = F.lpad(F.regexp_extract(text, "^#0*([0-9a-fA-F]*)", 1), 6, "0")
     part = lambda k: F.conv(F.substring(digits, k, 2), 16, 10).cast("int")
-    return F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b"))
+    fits = F.regexp_like(text, F.lit("^#[0-9a-fA-F]")) & (F.length(F.regexp_extract(text, "^#0*([0-9a-fA-F]*)", 1)) <= 6)
+    return F.when(fits, F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))

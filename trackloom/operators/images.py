@@ -43,14 +43,20 @@ def halved_plane(plane: Column, width: int, height: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit((width // 2) * (height // 2) - 1)), at)
 
 
-#: How much of the free width and height lies before the region.
-GRAVITY = {"center": (1, 1), "top": (1, 0), "bottom": (1, 2), "left": (0, 1), "right": (2, 1), "top_left": (0, 0), "top_right": (2, 0), "bottom_left": (0, 2), "bottom_right": (2, 2)}
+#: How many halves of the free width and height lie before the region.
+GRAVITY = {"center": (1, 1), "left": (0, 1), "top": (1, 0), "right": (2, 1), "bottom": (1, 2)}
 
 
-def gravity_region(width: Column, height: Column, w: Column, h: Column, gravity: str) -> Column:
-    """Where a region of w x h lies in an image."""
-    gx, gy = GRAVITY[gravity]
-    return F.struct(w.alias("width"), h.alias("height"), div((width - w) * gx, 2).alias("left"), div((height - h) * gy, 2).alias("top"))
+def gravity_region(width: Column, height: Column, w: Column, h: Column, gravity: str = "heuristic") -> Column:
+    """Where a region of w x h lies in an image; one that is larger begins at 0 and is as wide or high as the image.
+
+    ``heuristic`` is the top of an image that is higher than wide, else the middle.
+    """
+    def place(free: Column, axis: int) -> Column:
+        halves = F.when(height > width, GRAVITY["top"][axis]).otherwise(GRAVITY["center"][axis]) if gravity == "heuristic" else F.lit(GRAVITY[gravity][axis])
+        return F.when(free < 0, 0).otherwise(div(free * halves, 2))
+
+    return F.struct(F.least(w, width).alias("width"), F.least(h, height).alias("height"), place(width - w, 0).alias("left"), place(height - h, 1).alias("top"))
 
 
 def turns(orientation: Column) -> Column:

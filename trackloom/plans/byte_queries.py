@@ -83,14 +83,22 @@ def extradata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *[_hex(octets.extradata(sps, pps, form=f)).alias(f) for f in ("iso", "annex_b", "avcc")])
 
 
+#: Every eleventh configuration has one of these faults: version, length size, number of sets, an empty set, a byte too many, an extension, cut off.
 @query("avc_config", """
-    SELECT doc_id, (doc_id % 4 + 1)::int AS length_size, source AS sps, lang AS pps FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL""")
+    WITH d AS (SELECT *, CASE WHEN doc_id % 11 > 7 OR coalesce(lang, '') = '' THEN -1 ELSE doc_id % 11 END AS fault, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents),
+    e AS (SELECT *, CASE WHEN fault = 7 OR fault = 0 THEN 'Invalid' WHEN fault = 1 OR (fault <> 0 AND doc_id % 4 IN (0, 2)) THEN 'Unsupported' WHEN s = '' OR fault = 2 THEN 'Invalid' WHEN fault = 3 THEN 'Unsupported' WHEN l = '' OR fault = 4 THEN 'Invalid' WHEN fault = 5 THEN 'Unsupported' END AS error FROM d)
+    SELECT doc_id, CASE WHEN error IS NULL THEN (doc_id % 4 + 1)::int END AS length_size, CASE WHEN error IS NULL THEN s END AS sps, CASE WHEN error IS NULL THEN l END AS pps, error FROM e""")
 def avc_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("source is not null and lang is not null")
-    sized = lambda c: F.concat(octet(F.octet_length(c), 2), F.encode(c, "utf-8"))
-    content = F.concat(F.unhex(F.lit("0164001F")), octet(F.col("doc_id") % 4 + 0xFC), octet(F.lit(0xE1)), sized("source"), octet(F.lit(1)), sized("lang"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", *[F.encode(F.coalesce(c, F.lit("")), "utf-8").alias(c) for c in ("source", "lang")])
+    fault = F.when((F.col("doc_id") % 11 > 7) | (F.octet_length("lang") == 0), -1).otherwise(F.col("doc_id") % 11)
+    sized = lambda c: F.concat(octet(F.octet_length(c), 2), F.col(c))
+    pick = lambda k, a, b: F.when(fault == k, F.lit(a)).otherwise(F.lit(b))
+    length = octet(F.when(fault == 1, 2).otherwise(F.col("doc_id") % 4) + 0xFC)
+    more = F.when(fault == 4, F.lit(b"\x00")).when(fault == 5, F.lit(b"\xfd\xf8\xf8\x01")).when(fault == 6, F.lit(b"\xfd\xf8\xf8\x00")).otherwise(F.lit(b""))
+    content = F.concat(pick(0, b"\x02", b"\x01"), F.lit(b"\x64\x00\x1f"), length, pick(2, b"\xe2", b"\xe1"), sized("source"), pick(3, b"\x02", b"\x01"), sized("lang"), more)
+    content = F.when(fault == 7, F.substring(content, 1, 7)).otherwise(content)
     found = rows.select("doc_id", media.avc_config(content).alias("c"))
-    return found.select("doc_id", "c.length_size", F.decode("c.sps", "utf-8").alias("sps"), F.decode("c.pps", "utf-8").alias("pps"))
+    return found.select("doc_id", "c.length_size", F.decode("c.sps", "utf-8").alias("sps"), F.decode("c.pps", "utf-8").alias("pps"), "c.error")
 
 
 RATES = "[" + ", ".join(map(str, arith.SAMPLE_RATES)) + "]"
@@ -182,20 +190,28 @@ def settings_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("text_arguments", """
-    SELECT o_orderkey, (o_orderkey % 100)::double / 4 AS audio0, -1.0::double AS video1, 2::int AS pairs, (o_orderkey % 900)::int AS width, (o_custkey % 700)::int AS height, o_orderkey % 2 = 0 AS percent,
-        (o_orderkey % 50)::int AS left, (o_custkey % 60)::int AS top, (o_orderkey % 256)::int AS r, (o_custkey % 256)::int AS g, 16::int AS b, o_orderkey % 3 <> 0 AS digits FROM orders""")
+    SELECT o_orderkey, (o_orderkey % 100)::double / 4 AS audio0, -1.0::double AS video1, 2::int AS pairs, CASE WHEN o_orderkey % 6 <> 5 THEN (o_orderkey % 900)::int END AS width,
+        CASE o_orderkey % 6 WHEN 0 THEN (o_custkey % 700)::int WHEN 1 THEN (o_custkey % 700)::int WHEN 2 THEN (o_custkey % 700)::int WHEN 5 THEN NULL ELSE (o_orderkey % 900)::int END AS height, CASE WHEN o_orderkey % 6 <> 5 THEN o_orderkey % 6 IN (0, 3, 4) END AS percent,
+        CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE (o_orderkey % 900)::int END AS region_width, CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 0 THEN (o_orderkey % 50)::int WHEN 3 THEN (o_orderkey % 50)::int ELSE 0 END AS left,
+        CASE o_orderkey % 5 WHEN 4 THEN NULL WHEN 0 THEN (o_custkey % 60)::int WHEN 1 THEN (o_custkey % 60)::int ELSE 0 END AS top,
+        CASE WHEN o_orderkey % 7 <> 6 THEN CASE WHEN o_orderkey % 7 = 5 THEN 0 ELSE (o_orderkey % 256)::int END END AS r, CASE WHEN o_orderkey % 7 <> 6 THEN CASE WHEN o_orderkey % 7 = 5 THEN 0 ELSE (o_custkey % 256)::int END END AS g,
+        CASE WHEN o_orderkey % 7 < 6 THEN 16::int END AS b, o_orderkey % 3 <> 0 AS digits FROM orders""")
 def text_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    form = lambda n, *cases: F.coalesce(*[F.when(k % n == i, t) for i, t in enumerate(cases)])
+    w, h, x, y = k % 900, c % 700, k % 50, c % 60
+    sizes = form(6, text(w, "%x", h, "%"), text(w, "x", h), text(w, "x", h, " pixels"), text(w, "%"), text(w), text("x", h))
+    regions = form(5, text(w, "x", h, "L", x, "T", y), text(w, "x", h, "T", y), text(w, "x", h, "and more"), text(w, "x", h, "L", x), text(w, "by", h))
+    full = text("#", _hex(octet(k % 256)), _hex(octet(c % 256)), "10")
+    colours = F.when(k % 7 == 6, text("rgb", w)).when(k % 7 == 5, F.lit("#10")).otherwise(full)
     rows = table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        octets.offsets(F.concat((k % 100).cast("double") / 4, F.lit(":0.5;0.25:-1.0"))).alias("o"),
-        octets.wanted_size(F.when(k % 2 == 0, F.concat(k % 900, F.lit("%x"), c % 700, F.lit("%"))).otherwise(F.concat(k % 900, F.lit("x"), c % 700))).alias("s"),
-        octets.region(F.concat(k % 900, F.lit("x"), c % 700, F.lit("L"), k % 50, F.lit("T"), c % 60)).alias("g"),
-        octets.hex_colour(F.concat(F.lit("#"), _hex(octet(k % 256)), _hex(octet(c % 256)), F.lit("10"))).alias("h"),
-        media.digits(F.when(k % 3 == 0, F.concat(k, F.lit("\n"))).otherwise(k.cast("string"))).alias("digits"),
-    )
+        "o_orderkey", octets.offsets(text((k % 100).cast("double") / 4, ":0.5;0.25:-1.0")).alias("o"), octets.wanted_size(sizes).alias("s"), octets.region(regions).alias("g"), octets.hex_colour(colours).alias("h"),
+        media.digits(F.when(k % 3 == 0, text(k, "\n")).otherwise(k.cast("string"))).alias("digits"),
+    )
     return rows.select(
-        "o_orderkey", F.col("o")[0]["audio"].alias("audio0"), F.col("o")[1]["video"].alias("video1"), F.size("o").alias("pairs"), "s.width", "s.height", "s.percent", F.col("g.left"), F.col("g.top"), "h.r", "h.g", "h.b", "digits"
+        "o_orderkey", F.col("o")[0]["audio"].alias("audio0"), F.col("o")[1]["video"].alias("video1"), F.size("o").alias("pairs"), "s.width", "s.height", "s.percent", F.col("g.width").alias("region_width"), F.col("g.left"), F.col("g.top"),
+        "h.r", "h.g", "h.b", "digits",
     )
 
 
@@ -244,18 +260,19 @@ def opaque_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("gravity_regions", """
-    SELECT p_partkey, (p_size * 10 - p_size * 4) // 2 AS center_left, (p_size * 8 - p_size * 2) // 2 AS center_top, p_size * 10 - p_size * 4 AS right_left, p_size * 8 - p_size * 2 AS bottom_top,
-        CASE p_size % 9 WHEN 6 THEN 1 WHEN 3 THEN 2 WHEN 8 THEN 3 ELSE 0 END::int AS turns, (p_size % 4)::int AS quarter FROM part""")
+    WITH p AS (SELECT p_partkey, p_size, p_size * 10 AS w, (p_partkey % 100) * 8 AS h, p_size * 4 + p_partkey % 7 * 50 AS rw, p_size * 2 + p_partkey % 5 * 100 AS rh FROM part)
+    SELECT p_partkey, greatest(w - rw, 0)::int // 2 AS center_left, greatest(h - rh, 0)::int // 2 AS center_top, greatest(w - rw, 0)::int AS right_left, greatest(h - rh, 0)::int AS bottom_top, least(w, rw)::int AS width, least(h, rh)::int AS height,
+        (CASE WHEN h > w THEN 0 ELSE greatest(h - rh, 0) // 2 END)::int AS own_top, CASE p_size % 9 WHEN 6 THEN 1 WHEN 3 THEN 2 WHEN 8 THEN 3 ELSE 0 END::int AS turns, (p_size % 4)::int AS quarter FROM p""")
 def gravity_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_size")
-    at = lambda g: images.gravity_region(n * 10, n * 8, n * 4, n * 2, g)
+    n, k = F.col("p_size"), F.col("p_partkey")
+    at = lambda g: images.gravity_region(n * 10, (k % 100) * 8, n * 4 + k % 7 * 50, n * 2 + k % 5 * 100, g)
     quarter = n % 4
     m = images.matrix_of_rotation(quarter)
     back = images.rotation_of_matrix(F.get(m, F.lit(0)), F.get(m, F.lit(1)))
     whole = lambda c: c.cast("int")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", whole(at("center")["left"]).alias("center_left"), whole(at("center")["top"]).alias("center_top"), whole(at("right")["left"]).alias("right_left"), whole(at("bottom_right")["top"]).alias("bottom_top"),
-        images.turns(n % 9).alias("turns"), back.alias("quarter"),
+        "p_partkey", whole(at("center")["left"]).alias("center_left"), whole(at("center")["top"]).alias("center_top"), whole(at("right")["left"]).alias("right_left"), whole(at("bottom")["top"]).alias("bottom_top"),
+        whole(at("left")["width"]).alias("width"), whole(at("top")["height"]).alias("height"), whole(at("heuristic")["top"]).alias("own_top"), images.turns(n % 9).alias("turns"), back.alias("quarter"),
     )
 
 

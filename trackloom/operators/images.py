@@ -295,3 +295,41 @@ def palette(pixels: DataFrame, keys: list[str], count: int, order: list[str]) ->
     shares = best.join(all_pixels, keys).withColumn("share", F.col("size") / F.col("__all")).where(F.col("share") > LEAST_SHARE)
     ranked = Window.partitionBy(*keys).orderBy(F.desc("share"), "n")
     return shares.select(*keys, (F.row_number().over(ranked) - 1).alias("place"), "x.r", "x.g", "x.b", "share")
+
+
+# ---------------------------------------------------------------- frames of one image
+
+#: What becomes of a frame before the next one is drawn.
+KEEP, BACKGROUND, PREVIOUS = 1, 2, 3
+
+
+def composited(frames: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """(keys, idx, x, y, v, alpha): each frame of an image as it is shown.
+
+    ``frames`` have ``idx`` from 0, a region (``left``, ``top``, ``width``, ``height``), a ``disposal`` and the array ``values`` of the
+    region's pixels by rows, null where they are transparent. What a frame doesn't cover stays as it was; a region that is cleared, and
+    what the first frame leaves transparent in its region, is white without alpha; before all frames there is nothing.
+
+    A frame that gives way to what was before it shows in its own place only, so a pixel shows its own value, or the newest one
+    of the frames before that stay: a running last value by pixel. A clearing that is followed by such a frame shows with it and is
+    taken back with it. Frames of that kind that no other frame precedes stay, as nothing was kept to go back to.
+    """
+    order = Window.partitionBy(*keys).orderBy("idx")
+    before = F.lag("disposal").over(order)
+    others = F.max((F.col("disposal") != PREVIOUS).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    last_region = F.struct("left", "top", "width", "height")
+    rows = frames.withColumns({"__stays": (F.col("disposal") != PREVIOUS) | (F.coalesce(others, F.lit(0)) == 0), "__cleared": F.when(before == BACKGROUND, F.lag(last_region).over(order))})
+    places = F.explode(F.sequence(F.lit(0), F.lit(width * height - 1)))
+    rows = rows.withColumn("__at", places).withColumns({"x": (F.col("__at") % width).cast("int"), "y": div(F.col("__at"), width).cast("int")})
+    covers = lambda r: (F.col("x") >= r("left")) & (F.col("x") < r("left") + r("width")) & (F.col("y") >= r("top")) & (F.col("y") < r("top") + r("height"))
+    inside = covers(F.col)
+    value = F.when(inside, F.get("values", ((F.col("y") - F.col("top")) * F.col("width") + F.col("x") - F.col("left")).cast("int")))
+    colour = lambda v, alpha: F.struct(v.cast("int").alias("v"), F.lit(alpha).alias("alpha"))
+    white = colour(F.lit(255), 0)
+    drawn = F.when(value.isNotNull(), colour(value, 255)).when(inside & (F.col("idx") == 0), white)
+    cleared = F.when(F.coalesce(covers(lambda c: F.col(f"__cleared.{c}")), F.lit(False)), white)
+    rows = rows.select(*keys, "idx", "x", "y", "__stays", F.coalesce(drawn, cleared).alias("__new"))
+    kept = F.last(F.when(F.col("__stays"), F.col("__new")), ignorenulls=True)
+    pixel = Window.partitionBy(*keys, "x", "y").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    shown = F.coalesce("__new", kept.over(pixel), colour(F.lit(0), 0))
+    return rows.withColumn("__shown", shown).select(*keys, "idx", "x", "y", F.col("__shown.v").alias("v"), F.col("__shown.alpha").alias("alpha"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import colour
@@ -215,3 +215,29 @@ def range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.range(256).select(F.col("id").cast("int").alias("v"), colour.limited_range(F.col("id")).alias("out"))
     values = images.pixels_of(views.frames(spark, sf_dir), ["frame_id"], "plane", 8)
     return images.looked_up(values, table).select("frame_id", "x", "y", "out")
+
+
+#: Frames of a label's image: regions that move and reach over its edges, all disposals, every fifth value transparent.
+_SHOTS = f"""
+    s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY frame_id) - 1 AS idx, frame_id % 3 AS l, frame_id % 2 AS t, 9 - frame_id % 4 AS w, 8 - frame_id % 3 AS h, (frame_id * 5 + frame_id // 7) % 4 AS d, plane FROM {FRAMES})"""
+
+
+@query("frames_composited", f"""
+    WITH RECURSIVE {_SHOTS},
+    p AS (SELECT s.*, x, y, CASE WHEN x >= l AND x < l + w AND y >= t AND y < t + h THEN plane[((y - t) * w + x - l) % 64 + 1] END AS own FROM s, range(8) AS u(x), range(8) AS v(y)),
+    q AS (SELECT label, idx, d, x, y, own IS NOT NULL AS inside, CASE WHEN own % 5 <> 0 THEN own * 2 + 1 END AS c, lag(d) OVER k AS before, lag(own IS NOT NULL) OVER k AS was FROM p WINDOW k AS (PARTITION BY label, x, y ORDER BY idx)),
+    -- A pixel is its value doubled, plus one if it has alpha; kept is what it goes back to.
+    r AS (
+        SELECT label, idx, x, y, NULL::int AS kept, coalesce(c, CASE WHEN inside THEN 510 ELSE 0 END)::int AS shown FROM q WHERE idx = 0
+        UNION ALL
+        SELECT label, idx, x, y, saved, coalesce(c, CASE WHEN before = 2 AND was THEN 510 WHEN before = 3 AND saved IS NOT NULL THEN saved ELSE old END)::int
+        FROM (SELECT q.*, r.shown AS old, CASE WHEN q.d = 3 AND q.before <> 3 THEN r.shown ELSE r.kept END AS saved FROM r JOIN q ON q.label = r.label AND q.x = r.x AND q.y = r.y AND q.idx = r.idx + 1))
+    SELECT label, idx, x::int AS x, y::int AS y, (shown >> 1)::int AS v, (CASE WHEN shown & 1 = 1 THEN 255 ELSE 0 END)::int AS alpha FROM r""")
+def frames_composited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("frame_id")
+    rows = views.frames(spark, sf_dir).withColumn("idx", (F.row_number().over(Window.partitionBy("label").orderBy("frame_id")) - 1).cast("long"))
+    region = {"left": n % 3, "top": n % 2, "width": 9 - n % 4, "height": 8 - n % 3, "disposal": (n * 5 + F.floor(n / 7)) % 4}
+    size = (9 - n % 4) * (8 - n % 3)
+    value = lambda i: F.get("plane", (i % 64).cast("int"))
+    values = F.transform(F.sequence(F.lit(0).cast("long"), size - 1), lambda i: F.when(value(i) % 5 != 0, value(i)))
+    return images.composited(rows.withColumns(region | {"values": values}), ["label"], 8, 8)

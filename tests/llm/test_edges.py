@@ -625,3 +625,15 @@ def test_quality_sample_of_repeated_rows(spark):
     assert model is not None and 0.9 < share < 1
     judged = {r["text"]: r["score"] for r in quality.score(docs(spark, rows[:24]), model, share).collect()}
     assert judged["good words in a row 1 here"] > judged["### 000 $$$ " * 5]
+
+
+def test_long_items_come_in_pieces(spark):
+    """A benchmark item of more words than a block is cut into overlapping pieces; every window of it is still found, once for its id."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(300)}" for _ in range(500)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "short item here"), (3, None)], "item_id long, text string")
+    rows = [(i, " ".join(["x"] + words[a : a + n] + ["y"])) for i, (a, n) in enumerate([(0, 10), (37, 10), (38, 9), (490, 10), (100, 60), (0, 500), (31, 12)])] + [(50, "short item here")]
+    whole = by_id(decontaminate.find(docs(spark, rows), items))
+    cut = by_id(decontaminate.find(docs(spark, rows), items, block_words=40))
+    assert {i: r.asDict() for i, r in whole.items()} == {i: r.asDict() for i, r in cut.items()}
+    assert whole[5]["n_hit"] == 500 and whole[2]["n_hit"] == 0 and cut[4]["items"] == ["1"]

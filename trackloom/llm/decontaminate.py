@@ -220,23 +220,33 @@ _ARROW = pa.struct(
 )
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Blocks of items with at most ``block_words`` words (or one item); partition by partition, never the whole table."""
+def _pieces(words: list[bytes], window: int, most: int) -> Iterator[list[bytes]]:
+    """An item's words, or if they are more than ``most`` pieces that overlap by a window less one word, so that each window is in one."""
+    most = max(most, 2 * window)
+    if len(words) <= most:
+        yield words
+        return
+    for at in range(0, len(words) - window + 1, most - window + 1):
+        yield words[at : at + most]
+
+
+def _blocks(items: DataFrame, item_id: str, text: str, block_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Blocks of items, or of pieces of long ones, with at most ``block_words`` words; partition by partition, never the whole table."""
     block, size = [], 0
     for row in items.select(F.col(f"`{item_id}`").cast("string").alias("i"), text_or_empty(text).alias("t")).toLocalIterator():
-        words = words_of(row["t"])
-        if size and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["i"] if row["i"] is not None else "null", words))
-        size += len(words)
+        for words in _pieces(words_of(row["t"]), window, block_words):
+            if size and size + len(words) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((row["i"] if row["i"] is not None else "null", words))
+            size += len(words)
     yield block
 
 
 def find(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``df`` with ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``spans`` of covered words and characters."""
     sent = lambda block: df.sparkSession.sparkContext.broadcast(Automaton(block, window))
-    blocks = _blocks(items, item_id, item_text, block_words)
+    blocks = _blocks(items, item_id, item_text, block_words, window)
     first, second = next(blocks), next(blocks, None)
     rows = pack(df, text=text_or_empty(text))
     if second is None:

@@ -41,8 +41,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", normalise=norm
     first_digit = F.substring(F.encode(normalise(text_or_empty(text)), "utf-8"), 1, FIRST_DIGIT)
     rows = pack(df, digit=first_digit, key=F.col(f"`{key}`"))
     groups = rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = rows.join(groups.select("digit", F.lit(True).alias("shared")), "digit", "left")
+    # As a table, so that nothing but the join asks for a digit's rows together and a hot digit can be split.
+    groups = materialise(groups.select("digit", F.lit(True).alias("shared")), "radix-digits")
+    dealt = rows.join(groups, "digit", "left")
     dealt = materialise(dealt.withColumn("rid", F.monotonically_increasing_id()), "radix-first")
+    discard(groups)
 
     alone = dealt.where("shared is null")
     shared = dealt.where("shared")

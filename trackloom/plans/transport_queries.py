@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.functions import media
-from trackloom.operators import transforms
+from trackloom.functions import media, timed
+from trackloom.functions.octets import big_endian
+from trackloom.operators import editboxes, retiming, transforms
+from trackloom.plans import track_queries
 from trackloom.plans.catalog import query
 from trackloom.sources import transport, views
 from trackloom.sources.views import HOUR, SAMPLES
@@ -184,3 +186,69 @@ def transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streams that written files name."""
     made = transport.as_files(transport.packet_cells(streams_of(spark, sf_dir), ["dts", F.desc("kind"), "packet"]))
     return transport.streams(transport.cells(made)).select("path", "pid", "kind")
+
+
+# ---------------------------------------------------------------- timed metadata
+
+@query("timed_info", """
+    WITH e AS (SELECT event_id, event_id % 8 AS k, round(value, 2) AS v, props FROM events),
+    f AS (SELECT *, CASE WHEN k = 5 THEN 'Unsupported' WHEN k IN (6, 7) THEN 'Invalid' END AS error FROM e)
+    SELECT event_id, CASE WHEN error IS NULL AND k NOT IN (1, 4) THEN (event_id % 1000 + 0.25)::double END AS clock, CASE WHEN error IS NULL AND k NOT IN (2, 4) THEN (((event_id * 45) % 360 + 45) // 90 % 4)::int END AS orientation, error FROM f""")
+def timed_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data samples with a clock and an orientation, one of them, none, an older clock before, or faulty ones."""
+    rows = views.table(spark, sf_dir, "events").select("event_id", "props")
+    k = F.col("event_id") % 8
+
+    def frame(name: str, text: Column, encoding: Column | None = None, more: int = 0) -> Column:
+        body = F.concat(encoding if encoding is not None else F.lit(b"\x03"), F.encode(text, "utf-8"), F.lit(b"\x00"))
+        return F.concat(F.lit(name.encode()), big_endian((F.octet_length(body) + more).cast("long")), F.lit(b"\x00\x00"), body)
+
+    clock, turn = F.concat((F.col("event_id") % 1000).cast("string"), F.lit(".25")), (F.col("event_id") * 45).cast("string")
+    empty, before = F.lit(b""), F.concat(F.lit(b"ID3\x04\x00"), F.encode("props", "utf-8"))
+    content = F.concat(
+        before, F.when(k == 3, frame("TIT3", F.lit("7 TKEY"))).otherwise(empty),
+        F.when(k.isin(1, 4), empty).when(k == 5, frame("TIT3", clock, F.lit(b"\x01"))).when(k == 6, frame("TIT3", F.concat(F.lit("-"), clock))).otherwise(frame("TIT3", clock)), F.encode("props", "utf-8"),
+        F.when(k.isin(2, 4), empty).when(k == 7, frame("TKEY", turn, more=50)).otherwise(frame("TKEY", turn)),
+    )
+    return rows.select("event_id", timed.timed_info(content).alias("i")).select("event_id", "i.clock", "i.orientation", "i.error")
+
+
+# ---------------------------------------------------------------- pictures encoded anew
+
+#: Every second played time gets a picture of the encoder; every fifth track has a picture too many.
+_AGAIN = f"""
+    t AS (SELECT track_id, real_pts, row_number() OVER (PARTITION BY track_id ORDER BY real_pts, idx) - 1 AS rank, min(real_pts) OVER (PARTITION BY track_id) AS first, count(*) OVER (PARTITION BY track_id) AS n FROM {track_queries.REAL_PTS} JOIN (SELECT track_id, idx, type FROM {SAMPLES}) USING (track_id, idx) WHERE real_pts >= 0 AND type = 'video'),
+    v AS (SELECT track_id, rank // 2 AS idx, real_pts - first AS pts, first FROM t WHERE rank % 2 = 0 AND track_id % 5 <> 0)"""
+
+
+def encoded_again(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    real = editboxes.with_real_pts(views.samples(spark, sf_dir).where("type = 'video'").drop("nal"), views.edit_boxes(spark, sf_dir))
+    counts = real.where("real_pts >= 0").groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    many = F.expr("(n + 1) div 2 + if(track_id % 5 = 0, 1, 0)")
+    frames = counts.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("idx"))
+    return frames.withColumns({"keyframe": F.col("idx") % 30 == 0, "timescale": F.lit(1_000_000).cast("long")}), real
+
+
+@query("retimed_pictures", f"WITH {_AGAIN} SELECT track_id, idx, pts, pts AS dts, idx % 30 = 0 AS keyframe FROM v")
+def retimed_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retiming.retimed(*encoded_again(spark, sf_dir), 2)[0].select("track_id", "idx", "pts", "dts", "keyframe")
+
+
+@query("retimed_sound", f"""
+    WITH {_AGAIN}, l AS (SELECT track_id, (max(pts)::real / 1000000::real)::real AS last, any_value(first) AS first FROM v GROUP BY track_id),
+    a AS (
+        SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY s.idx) - 1 AS idx, dts, pts - min(dts) OVER (PARTITION BY track_id) AS pts FROM {SAMPLES} s JOIN l USING (track_id)
+        WHERE type = 'audio' AND (dts::real / 1000000::real)::real < last AND dts >= first)
+    SELECT track_id, idx, dts - min(dts) OVER (PARTITION BY track_id) AS dts, pts, min(dts) OVER (PARTITION BY track_id) AS audio_first FROM a""")
+def retimed_sound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures, tracks = retiming.retimed(*encoded_again(spark, sf_dir), 2)
+    sound = views.samples(spark, sf_dir).where("type = 'audio'").drop("nal")
+    return retiming.sound_within(sound, pictures, tracks).select("track_id", "idx", "pts", "dts", "audio_first")
+
+
+@query("retimed_boxes", f"""
+    SELECT track_id, ord, start_pts + CASE WHEN ord = 0 THEN 5 * track_id ELSE 0 END - 7 * track_id AS start_pts, duration_pts - CASE WHEN ord = 0 THEN 5 * track_id ELSE 0 END AS duration_pts FROM {views.EDIT_BOXES}""")
+def retimed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = views.edit_boxes(spark, sf_dir)
+    firsts = boxes.select("track_id").distinct().selectExpr("track_id", "7 * track_id as audio_first", "5 * track_id as offset")
+    return retiming.boxes_within(boxes, firsts).select("track_id", "ord", "start_pts", "duration_pts")

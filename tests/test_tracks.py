@@ -496,3 +496,12 @@ def test_sample_tables_by_hand(spark):
     found = [(r["path"], r["type"], r["timescale"], r["idx"], r["pts"], r["dts"], r["keyframe"], r["pos"], r["size"]) for r in mp4.sample_tables(df).orderBy("idx").collect()]
     expected = zip((0, 10, 20, 30, 50, 70), (0, -5, 7, 7, 7, 7), (100, 104, 200, 204, 300, 400))
     assert found == [("a", "audio", 600, i, d + o, d, True, at, 4) for i, (d, o, at) in enumerate(expected)]
+
+
+def test_exchanges_of_stitching_and_trimming(spark, data):
+    """Facts are found once; what is made of them meets the samples in a few exchanges."""
+    from trackloom.plans.catalog import QUERIES
+
+    for name in ("stitch_av", "trim_track"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert sum(plan.count(x) for x in ("Exchange hashpartitioning", "Exchange SinglePartition", "BroadcastExchange")) <= 8

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.arith import ms_to_ticks, ms_to_ticks_up, round_divide, seconds, whole_median
 from trackloom.operators.editboxes import BOXES, as_array, trimmed, valid
 from trackloom.operators.track import TRACK, ordered, running
+from trackloom.sources.tables import materialise
 
 LOOKBACK, ADJUSTMENTS = 16, 32
 
@@ -31,8 +32,8 @@ def trim(samples: DataFrame, boxes: DataFrame | None, start_ms: int, duration_ms
     after the first sample of the range; a result of no duration. Unsupported: the keyframe is decoded after the
     range begins. Such tracks, and those without samples in the range, give no rows.
 
-    One windowed pass finds each row's step, one aggregate each track's facts; then only rows of the range
-    meet the few rows that say what it is.
+    What the range is, is found in a pass over the samples and written as a table of a row a track; samples meet it in one join,
+    and what they amount to is seen over each track's kept rows.
     """
     if duration_ms <= 0:
         raise ValueError("InvalidArguments: a range without duration")
@@ -61,24 +62,26 @@ def trim(samples: DataFrame, boxes: DataFrame | None, start_ms: int, duration_ms
         F.min(F.when(F.col("keyframe"), F.col("idx"))).alias("first_key"),
     )
     late = F.coalesce(F.col("first_key") > F.col("first"), F.lit(False))
-    limits = limits.select(*TRACK, late.alias("late"), "key", "last", F.coalesce(~late & (F.col("first") >= F.col("key")) & (F.col("last") >= F.col("first")), F.lit(False)).alias("found"))
-    kept = inside.join(limits.where("found").select(*TRACK, "key", "last"), TRACK).where("idx between key and last")
+    found = F.coalesce(~late & (F.col("first") >= F.col("key")) & (F.col("last") >= F.col("first")), F.lit(False))
+    limits = cut.join(limits.select(*TRACK, late.alias("late"), "key", "last", found.alias("found")), TRACK, "left")
+    limits = materialise(limits, "limits")  # a row a track
+
+    kept = stepped.join(limits.where("found").select(*TRACK, "key", "last", "low"), TRACK).where("idx between key and last")
+    track = Window.partitionBy(*TRACK)
     step = F.when(F.col("idx") > F.col("key"), F.col("delta"))
-    facts = kept.groupBy(*TRACK).agg(
-        F.min(F.when(F.col("idx") == F.col("key"), F.col("dts"))).alias("base"), F.first("key").alias("key"), F.first("last").alias("last"), F.first("low").alias("low"), F.first("boxes").alias("boxes"),
-        (F.coalesce(F.sum(step), F.lit(0)) + whole_median(step)).alias("duration"), F.coalesce(F.min(step) < 0, F.lit(False)).alias("falls"),
-    )
-    facts = facts.withColumn("error", F.when(F.col("base") > F.col("low"), "Unsupported").when(F.col("falls") | (F.col("duration") == 0), "Invalid"))
-    good = facts.where("error is null")
-    out = rows.join(good.select(*TRACK, "base", "key", "last"), TRACK).where("idx between key and last")
+    base = lambda over: over(F.min(F.when(F.col("idx") == F.col("key"), F.col("dts"))))
+    length = lambda over: F.coalesce(over(F.sum(step)), F.lit(0)) + F.coalesce(F.floor(over(F.median(step))).cast("long"), F.lit(0).cast("long"))
+    error = lambda over: F.when(base(over) > over(F.max("low")), "Unsupported").when(F.coalesce(over(F.min(step)) < 0, F.lit(False)) | (length(over) == 0), "Invalid")
+    along, alone = lambda c: c.over(track), lambda c: c
+    out = kept.withColumns({"base": base(along), "error": error(along)}).where("error is null")
     moved = {"idx": F.col("idx") - F.col("key"), "pts": F.col("pts") - F.col("base"), "dts": F.col("dts") - F.col("base")}
     result = out.select(*TRACK, *[moved.get(c, F.col(c)).alias(c) for c in own])
-    exploded = good.select(*TRACK, "base", F.posexplode("boxes").alias("ord", "b"))
+    facts = limits.join(kept.groupBy(*TRACK).agg(base(alone).alias("base"), length(alone).alias("duration"), error(alone).alias("error")), TRACK, "left")
+    exploded = facts.where("base is not null and error is null").select(*TRACK, "base", F.posexplode("boxes").alias("ord", "b"))
     # A leading empty box is re-based like the others.
     new_boxes = exploded.select(*TRACK, "ord", (F.col("b.start") - F.col("base")).alias("start_pts"), F.col("b.duration").alias("duration_pts"))
-    summary = cut.select(*TRACK, "wrong").join(limits.select(*TRACK, "late"), TRACK, "left").join(facts.select(*TRACK, "duration", "error"), TRACK, "left")
-    error = F.coalesce("wrong", F.when(F.col("late"), "Invalid"), "error")
-    return result, new_boxes, summary.select(*TRACK, F.when(error.isNull(), F.coalesce("duration", F.lit(0).cast("long"))).alias("duration"), error.alias("error_category"))
+    wrong = F.coalesce("wrong", F.when(F.col("late"), "Invalid"), "error")
+    return result, new_boxes, facts.select(*TRACK, F.when(wrong.isNull(), F.coalesce("duration", F.lit(0).cast("long"))).alias("duration"), wrong.alias("error_category"))
 
 
 def without_overlap(samples: DataFrame, block: int | None = None) -> DataFrame:

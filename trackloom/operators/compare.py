@@ -54,23 +54,22 @@ def bucket_quality(reference: DataFrame, test: DataFrame, plane: str = "plane")
 
     ``real_pts`` (below zero where no box plays a frame) and ``timescale`` give the bucket. Two test frames
     in a bucket make the track Invalid; several reference frames may share one test frame; frames
-    without a partner are counted only. An equi-join on (track, bucket): nothing is compared across.
+    without a partner are counted only. Frames meet in their (track, bucket): nothing is compared across.
     """
-    def shown(df: DataFrame, name: str) -> DataFrame:
-        return df.where("real_pts >= 0").select(*TRACK, bucket(F.col("real_pts"), F.col("timescale")).alias("time"), F.col(plane).alias(name))
-
-    one, two = shown(reference, "a"), shown(test, "b")
-    taken = two.groupBy(*TRACK, "time").agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"))
-    counts = one.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("n_reference"))
-    tests = taken.groupBy(*TRACK).agg(F.sum("n").alias("n_test"), (F.max("n") > 1).alias("twice"))
-    pairs = one.join(taken, [*TRACK, "time"])
+    def shown(df: DataFrame, test_: bool) -> DataFrame:
+        return df.where("real_pts >= 0").select(*TRACK, bucket(F.col("real_pts"), F.col("timescale")).alias("time"), F.col(plane).alias("a"), F.lit(test_).alias("test"))
+
+    # Both sides in one table: each bucket is seen as a whole once, and each track is summed up once.
+    both = shown(reference, False).unionByName(shown(test, True))
+    w = Window.partitionBy(*TRACK, "time")
+    both = both.withColumns({"tests": F.sum(F.col("test").cast("int")).over(w), "b": F.first(F.when(F.col("test"), F.struct("a")), ignorenulls=True).over(w)["a"]})
     same = F.col("a").eqNullSafe(F.col("b"))
-    sums = pairs.groupBy(*TRACK).agg(
-        F.count(F.lit(1)).alias("matched"),
-        F.sum(F.when(same, F.lit(0).cast("long")).otherwise(squared_error(F.col("a"), F.col("b")))).alias("sse"),
-        F.sum(F.when(same, F.lit(0)).otherwise(F.size("a")).cast("long")).alias("pixels"),
-    )
-    every = counts.join(tests, TRACK, "full").join(sums, TRACK, "left")
+    pair = ~F.col("test") & (F.col("tests") > 0)
+    every = both.groupBy(*TRACK).agg(
+        F.count_if(~F.col("test")).alias("n_reference"), F.count_if("test").alias("n_test"), (F.max("tests") > 1).alias("twice"), F.count_if(pair).alias("matched"),
+        F.sum(F.when(pair, F.when(same, F.lit(0).cast("long")).otherwise(squared_error(F.col("a"), F.col("b"))))).alias("sse"),
+        F.sum(F.when(pair, F.when(same, F.lit(0)).otherwise(F.size("a")).cast("long"))).alias("pixels"),
+    )
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     bad = F.coalesce("twice", F.lit(False))
     valid = lambda c: F.when(~bad, zero(F.col(c))).alias(c)

@@ -251,7 +251,14 @@ def parameter_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.parameter_changes(views.samples(spark, sf_dir).drop("nal"), F.when(F.col("keyframe"), F.expr("size div 4")))
 
 
-@query("work_parts")
+@query("work_parts", f"""
+    WITH RECURSIVE v AS (SELECT track_id, dts, keyframe, max(dts) OVER (PARTITION BY track_id) AS final FROM {SAMPLES} WHERE type = 'video'),
+    k AS (SELECT track_id, dts, (final + 1) // 3 AS share, row_number() OVER (PARTITION BY track_id ORDER BY dts) AS n FROM v WHERE keyframe AND dts < final),
+    c AS (
+        SELECT DISTINCT track_id, 0::bigint AS n, 0::bigint AS cut, true AS cuts FROM k
+        UNION ALL SELECT k.track_id, k.n, CASE WHEN k.dts > cut + share THEN k.dts ELSE cut END, k.dts > cut + share FROM c JOIN k ON k.track_id = c.track_id AND k.n = c.n + 1),
+    p AS (SELECT v.track_id, v.dts, count(*) - 1 AS part FROM v JOIN c ON c.track_id = v.track_id AND cuts AND cut <= v.dts GROUP BY v.track_id, v.dts)
+    SELECT track_id, part::int AS part, min(dts) AS first_dts, max(dts) AS last_dts, count(*) AS n FROM v JOIN p USING (track_id, dts) GROUP BY ALL""")
 def work_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.work_parts(views.samples(spark, sf_dir).drop("nal"), 3)
 

@@ -186,12 +186,26 @@ def remove_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.without_overlap(views.coarse(spark, sf_dir), BLOCK).select("track_id", "idx", "dts")
 
 
-@query("remove_overlap_fold")
+@query("remove_overlap_fold", f"""
+    WITH RECURSIVE r AS (SELECT track_id, idx, pts, dts, row_number() OVER (PARTITION BY track_id ORDER BY idx DESC) AS n FROM {SAMPLES}),
+    k AS (
+        SELECT track_id, n, pts AS p, dts AS d, true AS keep FROM r WHERE n = 1
+        UNION ALL
+        SELECT r.track_id, r.n, CASE WHEN pts < p AND dts < d THEN pts ELSE p END, CASE WHEN pts < p AND dts < d THEN dts ELSE d END, pts < p AND dts < d FROM k JOIN r ON r.track_id = k.track_id AND r.n = k.n + 1)
+    SELECT track_id, idx, pts, dts FROM r JOIN k USING (track_id, n) WHERE keep""")
 def remove_overlap_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.without_overlap_fold(views.samples(spark, sf_dir).select("track_id", "idx", "pts", "dts"))
 
 
-@query("unique_pts_repair")
+@query("unique_pts_repair", f"""
+    WITH RECURSIVE r AS (SELECT track_id, idx, dts // {HOUR} AS t, row_number() OVER (PARTITION BY track_id ORDER BY idx) AS n FROM {SAMPLES}),
+    -- The sixteen largest values so far of either kind, and the least number by which both must be moved so that neither is taken.
+    u AS (
+        SELECT track_id, n, t AS pts, t AS dts, [t] AS sp, [t] AS sd FROM r WHERE n = 1
+        UNION ALL
+        SELECT track_id, n, t + j, t + j, list_append(CASE WHEN len(sp) >= 16 THEN list_filter(sp, lambda x: x <> list_min(sp)) ELSE sp END, t + j), list_append(CASE WHEN len(sd) >= 16 THEN list_filter(sd, lambda x: x <> list_min(sd)) ELSE sd END, t + j)
+        FROM (SELECT r.track_id, r.n, t, sp, sd, list_filter(range(0, 64), lambda i: NOT list_contains(sp, t + i) AND NOT list_contains(sd, t + i))[1] AS j FROM u JOIN r ON r.track_id = u.track_id AND r.n = u.n + 1))
+    SELECT track_id, idx, u.pts, u.dts FROM r JOIN u USING (track_id, n)""")
 def unique_pts_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.unique_times(views.coarse(spark, sf_dir).select("track_id", "idx", "pts", "dts"))
 
@@ -212,7 +226,14 @@ def rescale_video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.rescaled(video, F.lit(90_000).cast("long")).select("track_id", "idx", "pts", "dts")
 
 
-@query("adts_packing")
+@query("adts_packing", f"""
+    WITH RECURSIVE r AS (SELECT track_id, idx, pts * 9 // 100 AS pts, dts * 9 // 100 AS dts, size, row_number() OVER (PARTITION BY track_id ORDER BY idx) AS n FROM {SAMPLES} WHERE type = 'audio'),
+    k AS (
+        SELECT track_id, n, 0::bigint AS packet, size + 7 AS used, 1::bigint AS frames, pts AS p, dts AS d FROM r WHERE n = 1
+        UNION ALL
+        SELECT track_id, n, packet + CASE WHEN fresh THEN 1 ELSE 0 END, CASE WHEN fresh THEN 0 ELSE used END + size + 7, CASE WHEN fresh THEN 0 ELSE frames END + 1, CASE WHEN fresh THEN pts ELSE p END, CASE WHEN fresh THEN dts ELSE d END
+        FROM (SELECT r.*, packet, used, frames, p, d, used + size + 7 > {20 * 184 - 19} OR abs(p + 90000 * frames * 1024 // 44100 - pts) > 10 OR abs(d + 90000 * frames * 1024 // 44100 - dts) > 10 AS fresh FROM k JOIN r ON r.track_id = k.track_id AND r.n = k.n + 1))
+    SELECT track_id, idx, pts, dts, size, packet FROM r JOIN k USING (track_id, n)""")
 def adts_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = containers.transport_times(views.samples(spark, sf_dir).where("type = 'audio'")).select("track_id", "idx", "pts", "dts", "size")
     return transforms.packed_adts(sound, 44_100)

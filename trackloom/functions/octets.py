@@ -233,8 +233,8 @@ def wanted_size(text: Column) -> Column:
     both, plain, one = r"^\s*(\d+)%x(\d+)", r"^\s*(\d+)x(\d+)", r"^\s*(\d+)"
     size = lambda w, h, p: F.struct(w.alias("width"), h.alias("height"), p.alias("percent"))
     return (
-        F.when(_parsed(text, both, 2).isNotNull(), size(_parsed(text, both, 1), _parsed(text, both, 2), F.lit(True)))
-        .when(_parsed(text, plain, 2).isNotNull(), size(_parsed(text, plain, 1), _parsed(text, plain, 2), F.lit(False)))
+        F.when(_parsed(text, both, 1).isNotNull() & _parsed(text, both, 2).isNotNull(), size(_parsed(text, both, 1), _parsed(text, both, 2), F.lit(True)))
+        .when(_parsed(text, plain, 1).isNotNull() & _parsed(text, plain, 2).isNotNull(), size(_parsed(text, plain, 1), _parsed(text, plain, 2), F.lit(False)))
         .when(_parsed(text, one, 1).isNotNull(), size(_parsed(text, one, 1), _parsed(text, one, 1), F.lit(True)))
     )
 

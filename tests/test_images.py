@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import colour, media, octets
 from trackloom.functions.timed import timed_info
 from trackloom.operators import images, retiming
+from trackloom.plans.catalog import QUERIES
 from trackloom.sources import exif
 
 
@@ -125,6 +126,12 @@ def test_timed_info(spark):
     assert found == [(12.5, 1, None), (13.5, 1, None), (5.0, None, None), (None, None, None), None, (None, None, "Invalid"), (None, None, "Unsupported"), (None, None, "Invalid")]
 
 
+def test_timed_info_decodes_a_sample_once(spark, data):
+    """The bytes that a query makes are an expression, which is evaluated anew wherever it stands: once in the walk of a sample's frames, however many those are."""
+    plan = QUERIES["timed_info"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("decode(") == 1
+
+
 def test_retiming_rules(spark):
     played = spark.createDataFrame([(1, i, p) for i, p in enumerate([30, 10, -1, 20, 50])] + [(2, 0, 5)], "track_id long, idx long, real_pts long")
     encoded = spark.createDataFrame([(1, 0, 1000), (1, 1, 1000), (2, 0, 1000), (2, 1, 1000), (3, 0, 1000)], "track_id long, idx long, timescale long")

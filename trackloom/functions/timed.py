@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def _code(text: Column, at: Column) -> Column:
     return F.ascii(F.substring(text, (at + 1).cast("int"), F.lit(1))).cast("long")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once: inside a lambda an expression is evaluated anew at each of its uses, a variable isn't."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def timed_info(content: Column) -> Column:
     """Of a data sample: (clock in seconds, orientation in quarter turns, error).
 
@@ -20,8 +27,12 @@ def timed_info(content: Column) -> Column:
     of each kind counts, missing ones are null. A frame's text ends with a zero byte and begins with digits, of which the number that
     they begin counts. Invalid: other text, or a frame beyond the data; Unsupported: another encoding than UTF-8. An error ends the search.
     """
-    # One character a byte; the text is cut before each place where a frame could begin, and the pieces are walked in order.
-    text = F.decode(content, "ISO-8859-1")
+    # One character a byte.
+    return F.when(content.isNotNull(), _once(F.decode(content, "ISO-8859-1"), _walked))
+
+
+def _walked(text: Column) -> Column:
+    """``timed_info`` of a text of one character a byte, cut before each place where a frame could begin; the pieces are walked in order."""
     pieces = F.split(text, f"(?={CLOCK}|{TURN})")
     number = lambda s: F.regexp_extract(s, r"^([0-9]+(?:\.[0-9]*)?(?:[eE][+-]?[0-9]+)?)", 1).cast("double")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("until"), F.lit(None).cast("double").alias("clock"), F.lit(None).cast("double").alias("turn"), F.lit(None).cast("string").alias("error"))
@@ -29,22 +40,22 @@ def timed_info(content: Column) -> Column:
     def step(state: Column, piece: Column) -> Column:
         kind, at = F.substring(piece, 1, 4), state["at"]
         frame = kind.isin(CLOCK, TURN) & (at >= state["until"]) & state["error"].isNull()
+        then = lambda until, clock, turn, error: F.struct((at + F.length(piece)).alias("at"), until.alias("until"), clock.alias("clock"), turn.alias("turn"), error.alias("error"))
+
+        def sized(size: Column) -> Column:
+            body = F.substring(text, (at + HEAD + 2).cast("int"), (size - 1).cast("int"))
+            error = (
+                F.when((size < 2) | (at + HEAD + size > F.length(text)), "Invalid")
+                .when(_code(text, at + HEAD) != UTF8, "Unsupported")
+                .when(~F.regexp_like(body, F.lit(r"(?s)^[0-9].*\x00$")), "Invalid")
+            )
+            last = lambda e, of, old: F.when(e.isNull() & (kind == of), number(body)).otherwise(old)
+            return _once(error, lambda e: then(at + HEAD + size, last(e, CLOCK, state["clock"]), last(e, TURN, state["turn"]), e))
+
         size = F.shiftleft(_code(text, at + 4), 21) + F.shiftleft(_code(text, at + 5), 14) + F.shiftleft(_code(text, at + 6), 7) + _code(text, at + 7)
-        end = at + HEAD + size
-        body = F.substring(text, (at + HEAD + 2).cast("int"), (size - 1).cast("int"))
-        error = (
-            F.when((size < 2) | (end > F.length(text)), "Invalid")
-            .when(_code(text, at + HEAD) != UTF8, "Unsupported")
-            .when(~F.regexp_like(body, F.lit(r"(?s)^[0-9].*\x00$")), "Invalid")
-        )
-        sound = frame & error.isNull()
-        return F.struct(
-            (at + F.length(piece)).alias("at"), F.when(frame, end).otherwise(state["until"]).alias("until"),
-            F.when(sound & (kind == CLOCK), number(body)).otherwise(state["clock"]).alias("clock"), F.when(sound & (kind == TURN), number(body)).otherwise(state["turn"]).alias("turn"),
-            F.when(frame & error.isNotNull(), error).otherwise(state["error"]).alias("error"),
-        )
+        return F.when(frame, _once(size, sized)).otherwise(then(*[state[c] for c in ("until", "clock", "turn", "error")]))
 
     found = lambda s: F.struct(
         F.when(s["error"].isNull(), s["clock"]).alias("clock"), F.when(s["error"].isNull(), F.floor(F.pmod(F.floor(s["turn"]), F.lit(360)) / 90.0 + 0.5) % 4).cast("int").alias("orientation"), s["error"].alias("error")
     )
-    return F.when(content.isNotNull(), F.aggregate(pieces, start, step, found))
+    return F.aggregate(pieces, start, step, found)

@@ -99,6 +99,15 @@ def test_palette_of_two_colours(spark):
     assert images.palette(df.where("a < 200"), ["image"], 3, ["i"]).count() == 0
 
 
+def test_means_read_each_colour_once_a_round(spark, monkeypatch):
+    read, nearest = [], images._nearest
+    monkeypatch.setattr(images, "_nearest", lambda points, *more: read.append(points.count()) or nearest(points, *more))
+    rows = [("a", float(x), 0.0) for x in (0, 0, 0, 4, 9, 9)] + [("b", 5.0, 5.0)] * 3
+    found = images.means(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], ["x", "y"], 2).orderBy("k", "n").collect()
+    assert [tuple(r) for r in found] == [("a", 0, 1.0, 0.0), ("a", 1, 9.0, 0.0), ("b", 0, 5.0, 5.0)]
+    assert set(read) == {4}
+
+
 # ---------------------------------------------------------------- arguments and timed metadata
 
 def test_text_arguments_never_fail(spark):

@@ -156,10 +156,13 @@ def peaks(bins: DataFrame, keys: list[str], count: int, space: str = "lab") -> D
     return listed.select(*keys, F.posexplode(found("__bins")).alias("n", "b")).select(*keys, "n", "b.x", "b.y", "b.z", "b.total")
 
 
-def nearest(pixels: DataFrame, palette: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
-    """Each pixel's nearest colour of its image's palette (at most a few colours a key)."""
-    listed = palette.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", *axes))).alias("palette"))
-    joined = pixels.join(listed, keys)
+def _palettes(colours: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """(keys, palette): the numbered colours of each image in one value."""
+    return colours.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", *axes))).alias("palette"))
+
+
+def _nearest(pixels: DataFrame, palettes: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    joined = pixels.join(palettes, keys)
 
     def far(p: Column) -> Column:
         return sum(((p[a] - F.col(a)) * (p[a] - F.col(a)) for a in axes[1:]), (p[axes[0]] - F.col(axes[0])) * (p[axes[0]] - F.col(axes[0])))
@@ -167,31 +170,40 @@ def nearest(pixels: DataFrame, palette: DataFrame, keys: list[str], axes: list[s
     return joined.withColumn("n", F.array_min(F.transform("palette", lambda p: F.struct(far(p).alias("d"), p["n"].alias("n"))))["n"]).drop("palette")
 
 
+def nearest(pixels: DataFrame, palette: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """Each pixel's nearest colour of its image's palette (at most a few colours a key)."""
+    return _nearest(pixels, _palettes(palette, keys, axes), keys, axes)
+
+
 def means(pixels: DataFrame, keys: list[str], axes: list[str], k: int, rounds: int = 100, delta: float = 1e-8) -> DataFrame:
     """(keys, n, axes): k-means of each image's pixels, from ``k`` of its different colours evenly spaced in their order.
 
-    Each round gives every pixel its nearest centre, of which an image has ``k`` in one value, and averages
-    pixels by centre, summed before they are shuffled; it is written as a table of ``k`` rows an image. It
+    Pixels are counted by colour once, as all of one colour go to the same centre; that table is what every round reads.
+    Each round gives every colour its nearest centre, of which an image has ``k`` in one value, and averages
+    colours by centre, weighted by their pixels and summed before they are shuffled; it is written as a table of one row an image. It
     ends when no centre moves by more than ``delta``, after ``rounds`` at the latest. A centre without pixels stays.
     """
-    points = pixels.select(*keys, *axes)
+    points = materialise(pixels.groupBy(*keys, *axes).agg(F.count(F.lit(1)).alias("__pixels")), "colours")
     order = Window.partitionBy(*keys).orderBy(*axes)
-    ranked = points.distinct().withColumns({"at": F.row_number().over(order) - 1, "of": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
+    ranked = points.withColumns({"at": F.row_number().over(order) - 1, "of": F.count(F.lit(1)).over(Window.partitionBy(*keys))})
     m = F.least(F.col("of"), F.lit(k))
     places = F.transform(F.sequence(F.lit(0).cast("long"), m - 1), lambda i: F.when(m > 1, div(i * (F.col("of") - 1), F.greatest(m - 1, F.lit(1)))).otherwise(0))
     number = F.array_position(places, F.col("at").cast("long")) - 1
-    centres = materialise(ranked.withColumn("n", number.cast("int")).where("n >= 0").select(*keys, "n", *axes), "centres")
+    first = ranked.withColumn("n", number.cast("int")).where("n >= 0").select(*keys, "n", *[F.col(a).cast("double").alias(a) for a in axes])
+    centres = materialise(_palettes(first, keys, axes), "centres")
     for _ in range(rounds):
-        near = nearest(points, centres, keys, axes)
-        moved = near.groupBy(*keys, "n").agg(*[F.avg(a).alias(f"new_{a}") for a in axes])
-        stepped = centres.join(moved, [*keys, "n"], "left")
-        far = F.greatest(F.lit(0.0), *[F.coalesce(F.abs(F.col(f"new_{a}") - F.col(a)), F.lit(0.0)) for a in axes])
-        after = materialise(stepped.select(*keys, "n", *[F.coalesce(f"new_{a}", a).alias(a) for a in axes], far.alias("far")), "centres")
+        sums = _nearest(points, centres, keys, axes).groupBy(*keys, "n").agg(F.sum("__pixels").alias("__all"), *[F.sum(F.col(a) * F.col("__pixels")).alias(a) for a in axes])
+        moved = _palettes(sums.select(*keys, "n", *[(F.col(a) / F.col("__all")).alias(a) for a in axes]), keys, axes).withColumnRenamed("palette", "__moved")
+        new = lambda p: F.coalesce(F.get(F.filter("__moved", lambda q: q["n"] == p["n"]), 0), p)
+        stepped = centres.join(moved, keys, "left").withColumn("__moved", F.transform("palette", new))
+        far = F.zip_with("palette", "__moved", lambda p, q: F.greatest(F.lit(0.0), *[F.abs(q[a] - p[a]) for a in axes]))
+        after = materialise(stepped.select(*keys, F.col("__moved").alias("palette"), F.array_max(far).alias("far")), "centres")
         discard(centres)
         centres = after.drop("far")
         if after.where(F.col("far") > delta).isEmpty():
             break
-    return centres
+    discard(points)
+    return centres.select(*keys, F.explode("palette").alias("p")).select(*keys, "p.n", *[f"p.{a}" for a in axes])
 
 
 # ---------------------------------------------------------------- resampling

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import media
 from trackloom.operators import captions
+from trackloom.plans.catalog import QUERIES
 from trackloom.sources import mp4, transport
 
 AUD, MARK = transport.DELIMITER, b"\x00\x00\x00\x01"
@@ -126,6 +127,34 @@ def test_sound_headers_agree(spark):
     assert bytes(row["h"]) == adts(b"x" * 50)[:7]
 
 
+def plan_of(spark, data, name):
+    return QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pictures_come_from_one_pass_each(spark, data):
+    """Facts and bytes of pictures are two passes over the events; their numbers need no join of the events with themselves."""
+    assert plan_of(spark, data, "transport_pictures").count("Relation [") == 2
+
+
+def test_cells_make_packets_once(spark, data):
+    """The cells that name the streams come from the same packets as the others."""
+    assert plan_of(spark, data, "transport_cells").count("ArrowEvalPython") == 1
+
+
+def test_carry_tables_only_where_asked(spark):
+    """A track of one block needs no table of all 184 states."""
+    df = spark.createDataFrame([("f", 0, 0, 0, True, MARK + b"\x65x")], "path string, idx long, pts long, dts long, keyframe boolean, content binary")
+    plan = transport.carries(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(__block" in plan
+
+
+@pytest.mark.parametrize("name", ["transport_streams", "transport_round_trip"])
+def test_streams_are_read_from_written_files(spark, data, name):
+    """What reads files finds them, or their packets, in a table, instead of making them for each use."""
+    plan = plan_of(spark, data, name)
+    assert "event_type" not in plan and "Relation [" in plan
+
+
 # ---------------------------------------------------------------- files and captions
 
 def test_header_reads_no_payload(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once: inside a lambda an expression is evaluated anew at each of its uses, a variable isn't."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def div(a, b) -> Column:
     """Integer division that truncates towards zero."""
     return F.call_function("div", _c(a), _c(b))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackloom.functions.arith import once
+
 #: The frames of the clock and of the orientation, bytes of a frame's head, and the mark of UTF-8 text.
 CLOCK, TURN, HEAD, UTF8 = "TIT3", "TKEY", 10, 3
 
@@ -15,11 +15,6 @@ def _code(text: Column, at: Column) -> Column:
     return F.ascii(F.substring(text, (at + 1).cast("int"), F.lit(1))).cast("long")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is evaluated once: inside a lambda an expression is evaluated anew at each of its uses, a variable isn't."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def timed_info(content: Column) -> Column:
     """Of a data sample: (clock in seconds, orientation in quarter turns, error).
 
@@ -28,7 +23,7 @@ def timed_info(content: Column) -> Column:
     they begin counts. Invalid: other text, or a frame beyond the data; Unsupported: another encoding than UTF-8. An error ends the search.
     """
     # One character a byte.
-    return F.when(content.isNotNull(), _once(F.decode(content, "ISO-8859-1"), _walked))
+    return F.when(content.isNotNull(), once(F.decode(content, "ISO-8859-1"), _walked))
 
 
 def _walked(text: Column) -> Column:
@@ -50,10 +45,10 @@ def _walked(text: Column) -> Column:
                 .when(~F.regexp_like(body, F.lit(r"(?s)^[0-9].*\x00$")), "Invalid")
             )
             last = lambda e, of, old: F.when(e.isNull() & (kind == of), number(body)).otherwise(old)
-            return _once(error, lambda e: then(at + HEAD + size, last(e, CLOCK, state["clock"]), last(e, TURN, state["turn"]), e))
+            return once(error, lambda e: then(at + HEAD + size, last(e, CLOCK, state["clock"]), last(e, TURN, state["turn"]), e))
 
         size = F.shiftleft(_code(text, at + 4), 21) + F.shiftleft(_code(text, at + 5), 14) + F.shiftleft(_code(text, at + 6), 7) + _code(text, at + 7)
-        return F.when(frame, _once(size, sized)).otherwise(then(*[state[c] for c in ("until", "clock", "turn", "error")]))
+        return F.when(frame, once(size, sized)).otherwise(then(*[state[c] for c in ("until", "clock", "turn", "error")]))
 
     found = lambda s: F.struct(
         F.when(s["error"].isNull(), s["clock"]).alias("clock"), F.when(s["error"].isNull(), F.floor(F.pmod(F.floor(s["turn"]), F.lit(360)) / 90.0 + 0.5) % 4).cast("int").alias("orientation"), s["error"].alias("error")

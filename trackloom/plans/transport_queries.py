@@ -37,8 +37,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def events_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    ids = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("track_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), "event_id")
-    return numbered(views.samples(spark, sf_dir).where(F.col("type") == kind).join(ids, ["track_id", "idx"]))
+    return numbered(views.samples(spark, sf_dir, "event_id").where(F.col("type") == kind))
 
 
 def picture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

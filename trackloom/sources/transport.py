@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions import media
-from trackloom.functions.arith import div
+from trackloom.functions.arith import div, once
 from trackloom.functions.octets import big_endian, extradata, nal_units, number
+from trackloom.sources.tables import materialise
 
 CELL, CAPACITY = 188, 184
 #: Kinds of streams by their type number, ids of packets, the delimiter before a picture, and how many frames a track may have.
@@ -34,8 +35,8 @@ MOST_FRAMES = 0x1000
 #: Numbers that written streams use.
 PROGRAM, PIDS = 0x1000, {"video": 0x100, "audio": 0x101, "data": 0x102}
 STREAM = ["path", "pid"]
-#: Pictures whose carries are composed as one.
-BLOCK = 512
+#: Pictures whose carries are composed as one, and those that are walked as one.
+BLOCK, CHAIN = 512, 32
 
 _WRAP = 1 << 32
 
@@ -59,8 +60,9 @@ def _joined(order: str, piece: str = "piece") -> Column:
 def cells(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(path, n, pid, starts, counter, random, payload, error) of every whole cell of files."""
     count = div(F.octet_length(content), CELL)
-    cut = F.when(count > 0, F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: _at(F.col(content), i * CELL, CELL)))
-    rows = files.select(F.col(key).alias("path"), F.posexplode(cut).alias("n", "cell"))
+    # A row for each cell first and its bytes after that, as a lambda would be interpreted.
+    rows = files.select(F.col(key).alias("path"), F.col(content).alias("__content"), F.explode(F.when(count > 0, F.sequence(F.lit(0), count.cast("int") - 1))).alias("n"))
+    rows = rows.select("path", "n", _at(F.col("__content"), F.col("n") * CELL, CELL).alias("cell"))
     head, control, extra = number(F.col("cell"), 1, 2), _byte(F.col("cell"), 3), _byte(F.col("cell"), 4)
     has = lambda flag: control.bitwiseAND(F.lit(flag)) != 0
     begin = F.when(has(0x20), extra + 5).otherwise(4)
@@ -226,8 +228,11 @@ def sounds(rows: DataFrame) -> DataFrame:
 
 
 def read(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(path, type, idx, pts, dts, keyframe, content, error) of all frames of transport streams; data packets are frames as they are."""
-    all_packets = packets(cells(files, key, content))
+    """(path, type, idx, pts, dts, keyframe, content, error) of all frames of transport streams; data packets are frames as they are.
+
+    Packets are a table that the three kinds read, so files are cut into cells once for them.
+    """
+    all_packets = materialise(packets(cells(files, key, content)), "packets")
     video = pictures(all_packets.where("kind = 'video'")).select("path", F.lit("video").alias("type"), "idx", "pts", "dts", "keyframe", "content", "error")
     audio = sounds(all_packets.where("kind = 'audio'")).select("path", F.lit("audio").alias("type"), "idx", "pts", "dts", F.lit(True).alias("keyframe"), "content", "error")
     data = all_packets.where("kind = 'data'").select("path", F.lit("data").alias("type"), F.col("packet").alias("idx"), F.pmod("pts", F.lit(_WRAP)).alias("pts"), F.pmod("dts", F.lit(_WRAP)).alias("dts"), F.lit(True).alias("keyframe"), F.col("data").alias("content"), F.lit(None).cast("string").alias("error"))
@@ -259,17 +264,24 @@ def carries(frames: DataFrame) -> DataFrame:
     rows = frames.withColumns({"__units": units, "__last": F.lead("idx").over(order).isNull()})
     facts = F.struct("idx", "pts", "dts", "keyframe", F.octet_length("content").alias("size"), F.coalesce(F.get("__units", F.size("__units") - 1)["size"], F.lit(-1)).alias("unit"), F.col("__last").alias("last"))
     blocks = rows.groupBy("path", div(F.col("idx"), BLOCK).alias("__block")).agg(F.array_sort(F.collect_list(facts)).alias("__frames"))
-    states = F.transform(F.sequence(F.lit(0), F.lit(CAPACITY - 1)), lambda s: F.aggregate("__frames", s, _carry))
-    blocks = blocks.withColumn("__table", states)
+    # What a block makes of each state is only asked by a later block: of the first one for the state 0, of others for all states.
+    along = Window.partitionBy("path").orderBy("__block")
+    blocks = blocks.withColumns({"__first": F.lag("__block").over(along).isNull(), "__asked": F.lead("__block").over(along).isNotNull()})
+    begins = F.when(F.col("__first"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(CAPACITY - 1)))
+    blocks = blocks.withColumn("__table", F.when(F.col("__asked"), F.transform(begins, lambda s: F.aggregate("__frames", s, _carry))))
     # The block before leaves what its table says for the state it began with; tables of all blocks before are composed in order.
     before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     begun = F.aggregate(F.collect_list("__table").over(before), F.lit(0), lambda s, t: F.get(t, s))
     blocks = blocks.withColumn("__begun", begun)
     empty = F.array().cast("array<struct<idx:bigint,waits:int,held:int>>")
+    # A block is walked in pieces of CHAIN pictures, as each step copies what its piece has found so far.
+    pieces = F.transform(F.sequence(F.lit(0), div(F.size("__frames") - 1, CHAIN).cast("int")), lambda i: F.slice("__frames", i * CHAIN + 1, F.lit(CHAIN)))
+    step = lambda a, f: once(_carry(a["s"], f), lambda w: F.struct(w.alias("s"), F.concat(a["out"], F.array(F.struct(f["idx"].alias("idx"), w.alias("waits"), a["s"].alias("held")))).alias("out")))
     walked = F.aggregate(
-        "__frames", F.struct(F.col("__begun").alias("s"), empty.alias("out")),
-        lambda a, f: F.struct(_carry(a["s"], f).alias("s"), F.concat(a["out"], F.array(F.struct(f["idx"].alias("idx"), _carry(a["s"], f).alias("waits"), a["s"].alias("held")))).alias("out")),
-    )["out"]
+        pieces, F.struct(F.col("__begun").alias("s"), F.array().cast("array<array<struct<idx:bigint,waits:int,held:int>>>").alias("done")),
+        lambda a, piece: once(F.aggregate(piece, F.struct(a["s"].alias("s"), empty.alias("out")), step), lambda p: F.struct(p["s"].alias("s"), F.concat(a["done"], F.array(p["out"])).alias("done"))),
+        lambda a: F.flatten(a["done"]),
+    )
     found = blocks.select("path", F.explode(walked).alias("w")).select("path", F.col("w.idx").alias("idx"), F.col("w.waits").alias("waits"), F.col("w.held").alias("held"))
     return frames.join(found, ["path", "idx"])
 
@@ -362,13 +374,16 @@ def packet_cells(rows: DataFrame, order: list[str]) -> DataFrame:
         control = F.pmod(F.col("counter") + j, F.lit(16)) + F.when(timed | (free > 0), 0x30).otherwise(0x10)
         return F.concat(F.lit(b"\x47"), big_endian(head.cast("long"), 2), big_endian(control.cast("long"), 1), extra, _at(F.col("whole"), start, taken))
 
-    made = rows.select("path", "pid", "begin", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("count") - 1), cell)).alias("j", "cell"))
-    made = made.select("path", (F.col("begin") + F.col("j")).alias("n"), "pid", "cell")
-    kinds = rows.groupBy("path").agg(F.array_sort(F.collect_set("kind"), lambda a, b: F.when(a == b, 0).when(a == "video", -1).when(b == "video", 1).when(a < b, -1).otherwise(1)).alias("kinds"))
     named = [[k for i, k in enumerate(PIDS) if mask >> i & 1] for mask in range(1, 1 << len(PIDS))]
     tables = F.create_map(*[x for c in named for x in (F.lit(",".join(c)), F.array(*map(F.lit, program_cells(c))))])
-    heads = kinds.select("path", F.posexplode(tables[F.array_join("kinds", ",")]).alias("n", "cell"))
-    return made.unionByName(heads.select("path", F.col("n").cast("long").alias("n"), F.when(F.col("n") == 0, 0).otherwise(PROGRAM).alias("pid"), "cell"))
+    kinds = F.array_sort(F.collect_set("kind").over(Window.partitionBy("path")), lambda a, b: F.when(a == b, 0).when(a == "video", -1).when(b == "video", 1).when(a < b, -1).otherwise(1))
+    # The first packet makes the two cells that name the streams too, so packets are made once; a row for each cell first, its bytes after that.
+    from_ = F.when(F.row_number().over(Window.partitionBy("path").orderBy(*order)) == 1, -2).otherwise(0).cast("long")
+    rows = rows.withColumns({"kinds": kinds, "from": from_, "last": F.coalesce("count", F.lit(0).cast("long")) - 1})
+    made = rows.withColumn("heads", F.when(F.col("from") < 0, tables[F.array_join("kinds", ",")]))
+    made = made.withColumn("j", F.explode(F.when(F.col("from") <= F.col("last"), F.sequence("from", "last"))))
+    j = F.col("j")
+    return made.select("path", (F.col("begin") + j).alias("n"), F.when(j == -2, 0).when(j == -1, PROGRAM).otherwise(F.col("pid")).alias("pid"), F.when(j < 0, F.get("heads", (j + 2).cast("int"))).otherwise(cell(j)).alias("cell"))
 
 
 def as_files(rows: DataFrame) -> DataFrame:

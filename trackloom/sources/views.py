@@ -18,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One track for each user; decode order is time order, presentation order differs by whole hours."""
+def samples(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One track for each user; decode order is time order, presentation order differs by whole hours. ``more`` names columns of the events to keep."""
     events = table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type").isin("view", "signup"), "video").when(F.col("event_type") == "click", "audio").when(F.col("event_type") == "purchase", "data").otherwise("caption")
     return events.select(
@@ -31,7 +31,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") == "signup").alias("keyframe"),
         kind.alias("type"),
         F.octet_length("props").alias("size"),
-        F.encode("props", "utf-8").alias("nal"),
+        F.encode("props", "utf-8").alias("nal"), *more,
     )
 
 

@@ -11,6 +11,7 @@ from trackloom.operators import editboxes, retiming, transforms
 from trackloom.plans import track_queries
 from trackloom.plans.catalog import query
 from trackloom.sources import transport, views
+from trackloom.sources.tables import materialise
 from trackloom.sources.views import HOUR, SAMPLES
 
 _hex = lambda c: F.lower(F.hex(c))
@@ -168,13 +169,18 @@ def transport_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.col("pid") == transport.PIDS["video"]).select("path", "n", "pid", _hex(F.col("cell")).alias("cell"))
 
 
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): files of pictures and sound, written as a table, as what reads them looks for their programs, their streams and their packets."""
+    return materialise(transport.as_files(transport.packet_cells(streams_of(spark, sf_dir), ["dts", F.desc("kind"), "packet"])), "streams")
+
+
 @query("transport_round_trip", f"""
     WITH {_V}, {_S} {_PICTURES}
     UNION ALL
     SELECT track_id::varchar, 'audio', idx, 90000 + idx * {90000 * 1024} // {RATE} + idx // 16 * 2000 AS pts, 90000 + idx * {90000 * 1024} // {RATE} + idx // 16 * 2000, true, content, NULL FROM g""")
 def transport_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures and sound written into files of cells and read back."""
-    made = transport.as_files(transport.packet_cells(streams_of(spark, sf_dir), ["dts", F.desc("kind"), "packet"]))
+    made = files_of(spark, sf_dir)
     return transport.read(made).select("path", "type", "idx", "pts", "dts", "keyframe", _hex(F.col("content")).alias("content"), "error")
 
 
@@ -183,7 +189,7 @@ def transport_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM events WHERE event_type IN ('view', 'signup', 'click') GROUP BY ALL""")
 def transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streams that written files name."""
-    made = transport.as_files(transport.packet_cells(streams_of(spark, sf_dir), ["dts", F.desc("kind"), "packet"]))
+    made = files_of(spark, sf_dir)
     return transport.streams(transport.cells(made)).select("path", "pid", "kind")
 
 

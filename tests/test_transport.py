@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import media
 from trackloom.operators import captions
 from trackloom.plans.catalog import QUERIES
-from trackloom.sources import mp4, transport
+from trackloom.sources import mp4, readers, transport
 
 AUD, MARK = transport.DELIMITER, b"\x00\x00\x00\x01"
 SETS = MARK + b"\x67s" + MARK + b"\x68p"
@@ -171,6 +171,16 @@ def test_header_reads_no_payload(spark):
         mp4.whole(read.withColumn("dts", F.lit(1).cast("long"))).collect()
 
 
+def test_boxes_are_read_where_bytes_lie(spark):
+    """No file is copied to be looked at, and none, empty and broken ones have no boxes."""
+    box = lambda kind, b=b"": (8 + len(b)).to_bytes(4, "big") + kind + b
+    rows = [(0, box(b"ftyp", b"isom") + box(b"moov", box(b"trak"))), (1, None), (2, b""), (3, b"\x00\x00\x00\xffmoov"), (4, box(b"\xa9abc"))]
+    found = {r["i"]: [tuple(b) for b in r["boxes"]] for r in readers.mp4_boxes(spark.createDataFrame(rows, "i int, content binary")).collect()}
+    assert found == {0: [("ftyp", 0, 12, 0), ("moov", 12, 16, 0), ("trak", 20, 8, 1)], 1: [], 2: [], 3: [], 4: [("\xa9abc", 0, 8, 0)]}
+    kept = memoryview(rows[0][1])
+    assert list(readers.boxes_of(kept)) == list(readers.boxes_of(rows[0][1]))
+
+
 def test_captions_are_cut(spark):
     unit = lambda b: len(b).to_bytes(4, "big") + b
     caption, slice_, broken = unit(b"\x06\x04\x02hi\x80"), unit(b"\x41abc"), unit(b"\x06\x04\xff\xff")

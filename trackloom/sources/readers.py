@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", sniff(F.col("content")).alias("kind"), "content")
 
 
-def boxes_of(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[str, int, int, int]]:
+def boxes_of(data: bytes | memoryview, start: int = 0, end: int | None = None, depth: int = 0) -> Iterator[tuple[str, int, int, int]]:
     """(type, offset, size, depth) of all boxes of an MP4 file; a size of 0 reaches to the end, 1 has 8 more bytes of size."""
     end, at = len(data) if end is None else end, start
     while at + 8 <= end:
@@ -48,7 +51,7 @@ def boxes_of(data: bytes, start: int = 0, end: int | None = None, depth: int = 0
         size = size or end - at
         if size < head or at + size > end:
             return
-        kind = data[at + 4 : at + 8]
+        kind = bytes(data[at + 4 : at + 8])
         yield kind.decode("latin-1"), at, size, depth
         if kind in CONTAINERS:
             yield from boxes_of(data, at + head, at + size, depth + 1)
@@ -56,12 +59,22 @@ def boxes_of(data: bytes, start: int = 0, end: int | None = None, depth: int = 0
 
 
 def mp4_boxes(files: DataFrame, content: str = "content") -> DataFrame:
-    """``files`` with the array ``boxes`` of their box headers."""
-    kind = pa.list_(pa.struct([("type", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("depth", pa.int32())]))
+    """``files`` with the array ``boxes`` of their box headers.
+
+    A batch may hold thousands of files: their bytes are looked at where they lie, and boxes are four columns instead of objects.
+    """
 
     @F.arrow_udf("array<struct<type:string,offset:bigint,size:bigint,depth:int>>")
     def boxes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[dict(zip(("type", "offset", "size", "depth"), b, strict=True)) for b in boxes_of(x or b"")] for x in batch.to_pylist()], kind)
+            ends, kinds, numbers = array("i", [0]), [], (array("q"), array("q"), array("i"))
+            for x in batch:
+                for kind, *found in boxes_of(memoryview(x.as_buffer()) if x.is_valid else b""):
+                    kinds.append(sys.intern(kind))
+                    for column, n in zip(numbers, found, strict=True):
+                        column.append(n)
+                ends.append(len(kinds))
+            columns = [pa.array(kinds, pa.string()), *(pa.array(np.asarray(c)) for c in numbers)]
+            yield pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.StructArray.from_arrays(columns, names=["type", "offset", "size", "depth"]))
 
     return files.withColumn("boxes", boxes(content))

@@ -231,6 +231,37 @@ def test_substring_dedup_of_long_texts(spark):
     assert found[1]["n_removed"] == 100 and found[1]["n_words"] == 60_000
 
 
+def test_windows_of_substring_dedup_are_shuffled_without_their_spelling(spark, monkeypatch):
+    """Passages cut at a place of each text's own: comparing the windows at their edges a second time shuffles about what the first time does."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passages = [[word() for _ in range(90)] for _ in range(40)]
+    rows = [(i, " ".join([*(word() for _ in range(20)), *passages[i % 40][rng.randrange(30) : 60 + rng.randrange(30)], *(word() for _ in range(20))])) for i in range(800)]
+    sc, written, materialise = spark.sparkContext, {}, substring_dedup.materialise
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {(x := found.apply(i)).stageId(): x.shuffleWriteBytes() for i in range(found.size())}
+
+    def counted(df, name):
+        before = max(stages(), default=-1)
+        table = materialise(df, name)
+        written[name] = sum(n for stage, n in stages().items() if stage > before)
+        return table
+
+    monkeypatch.setattr(substring_dedup, "materialise", counted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = by_id(substring_dedup.remove(docs(spark, rows)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    for (i, _), kept in zip(rows, repeated_words([t for _, t in rows], 35), strict=True):
+        assert found[i]["kept_text"] == " ".join(kept), i
+    assert 0 < written["good"] < 2 * written["windows"], written
+
+
 # ---------------------------------------------------------------- benchmark passages
 
 def test_decontaminate(spark):

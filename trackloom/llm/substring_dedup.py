@@ -95,6 +95,11 @@ def _range_best(score: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return best
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of some pieces begins that stand one after the other."""
+    return np.cumsum(sizes, dtype=np.int64) - sizes
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before."""
     new = np.ones(len(columns[0]), bool)
@@ -222,7 +227,7 @@ def _set_aside(window: int):
 
 # ---------------------------------------------------------------- rounds
 
-ROUND = "chunk long, n array<int>, names array<bigint>, starts array<int>, next array<bigint>, next_starts array<int>, codes array<int>, a array<bigint>, b array<bigint>, times array<bigint>"
+ROUND = "chunk long, n array<int>, names array<bigint>, sizes array<int>, next array<bigint>, next_sizes array<int>, codes array<int>, a array<bigint>, b array<bigint>, times array<bigint>"
 
 
 def elements(names: np.ndarray, starts: np.ndarray, heads: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -261,16 +266,16 @@ def _round(k: int):
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                n, codes, names, starts = (row[c].flatten().to_numpy() for c in ("n", "codes", "names", "starts"))
+                n, codes, names, sizes = (row[c].flatten().to_numpy() for c in ("n", "codes", "names", "sizes"))
                 given = row["given"].flatten()
                 name = np.zeros(len(given) + 1, np.int64)
                 name[given.field("pos").to_numpy()] = given.field("name").to_numpy()
                 names = name[codes] if k == 0 else np.where(codes >= 0, name[codes], names)
-                starts = np.arange(len(codes), dtype=np.int32) if k == 0 else starts
-                following, at, code, a, b, times = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64))
+                sizes = np.ones(len(codes), np.int32) if k == 0 else sizes
+                following, next_sizes, code, a, b, times = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64))
                 if k < ROUNDS:
-                    first, following, c, second, m = elements(names, starts, np.cumsum(n, dtype=np.int64) - n, k)
-                    at = starts[first]
+                    first, following, c, second, m = elements(names, _starts(sizes), np.cumsum(n, dtype=np.int64) - n, k)
+                    next_sizes = np.add.reduceat(sizes, first, dtype=np.int32) if len(first) else next_sizes
                     new = np.flatnonzero((c > 1) | (m > 0))
                     one, number = _distinct_parts(following[new], second[new], (c[new] << 32) + m[new])
                     code = np.full(len(first), -1, np.int32)
@@ -278,7 +283,7 @@ def _round(k: int):
                     new = new[one]
                     a, b, times = following[new], second[new], (c[new] << 32) + m[new]
                 yield pa.RecordBatch.from_arrays(
-                    [row["chunk"], *(_one_list(pa.array(x)) for x in (n, names, starts, following, at, code, a, b, times))], ["chunk", "n", "names", "starts", "next", "next_starts", "codes", "a", "b", "times"]
+                    [row["chunk"], *(_one_list(pa.array(x)) for x in (n, names, sizes, following, next_sizes, code, a, b, times))], ["chunk", "n", "names", "sizes", "next", "next_sizes", "codes", "a", "b", "times"]
                 )
 
     return run
@@ -298,22 +303,22 @@ def _named(listed: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def rounds(chunks: DataFrame) -> list[DataFrame]:
-    """For each round (chunk, names, starts): the names and first words of all symbols of ``chunks`` (chunk, stretches, codes, words) after it."""
+    """For each round (chunk, names, sizes): the names and numbers of words of all symbols of ``chunks`` (chunk, stretches, codes, words) after it."""
     none, levels, last = F.array().cast("array<struct<pos:int,name:bigint>>"), [], None
     for k in range(ROUNDS + 1):
         if last is None:
             listed, keys = chunks.select("chunk", F.posexplode("words").alias("pos", "word")), ["word"]
-            rows = chunks.select("chunk", F.col("stretches.n").alias("n"), "codes", F.array().cast("array<bigint>").alias("names"), F.array().cast("array<int>").alias("starts"))
+            rows = chunks.select("chunk", F.col("stretches.n").alias("n"), "codes", F.array().cast("array<bigint>").alias("names"), F.array().cast("array<int>").alias("sizes"))
         else:
             keys = ["a", "b", "times"]
             listed = last.select("chunk", F.posexplode(F.arrays_zip(*keys)).alias("pos", "p")).select("chunk", "pos", *[F.col(f"p.{c}").alias(c) for c in keys])
-            rows = last.select("chunk", "n", "codes", F.col("next").alias("names"), F.col("next_starts").alias("starts"))
+            rows = last.select("chunk", "n", "codes", F.col("next").alias("names"), F.col("next_sizes").alias("sizes"))
         given = _named(listed, keys, k)
         rows = rows.join(given, "chunk", "left").withColumn("given", F.coalesce("given", none))
         done = materialise(rows.mapInArrow(_round(k), ROUND), f"round-{k}")
         discard(given)
         if last is not None:  # what the next round was made of isn't needed any more
-            levels.append(materialise(last.select("chunk", "names", "starts"), f"level-{k - 1}"))
+            levels.append(materialise(last.select("chunk", "names", "sizes"), f"level-{k - 1}"))
             discard(last)
         last = done
     return [*levels, last]
@@ -408,7 +413,8 @@ def _stretches(window: int):
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1)
-                levels = Levels(*([row[f"{c}{k}"].flatten().to_numpy().astype(np.int64) for k in range(ROUNDS + 1)] for c in ("names", "starts")))
+                names, sizes = ([row[f"{c}{k}"].flatten().to_numpy().astype(np.int64) for k in range(ROUNDS + 1)] for c in ("names", "sizes"))
+                levels = Levels(names, [_starts(x) for x in sizes])
                 of = row["stretches"].flatten()
                 r1, r2, start, n = (of.field(c).to_numpy() for c in ("r1", "r2", "start", "n"))
                 begin = np.cumsum(n, dtype=np.int64) - n
@@ -499,31 +505,34 @@ def repeated(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFra
     parsed = rounds(chunks)
     whole = chunks.select("chunk", "stretches")
     for k, level in enumerate(parsed):
-        whole = whole.join(level.select("chunk", F.col("names").alias(f"names{k}"), F.col("starts").alias(f"starts{k}")), "chunk")
+        whole = whole.join(level.select("chunk", F.col("names").alias(f"names{k}"), F.col("sizes").alias(f"sizes{k}")), "chunk")
     found = whole.drop("chunk").mapInArrow(_stretches(window), "key long, place long, r1 long, r2 long, whole binary, low long, n long, windows array<long>")
     found = materialise(found, "stretches")
     discard(chunks, *parsed)
 
     spellings = found.groupBy("key", "whole").agg((F.min("place") != F.max("place")).alias("many"), F.first("windows").alias("windows"))
-    spellings = materialise(spellings, "spellings")
+    spellings = materialise(spellings.withColumn("id", F.monotonically_increasing_id()), "spellings")
     lone = materialise(spellings.where("not many").select("key").distinct(), "lone")
     slim = found.select("key", "r1", "r2", "low", "n")
     none = F.lit(None).cast("array<int>")
     whole = slim.join(lone, "key", "left_anti").select("r1", "r2", F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + window).alias("b"), none.alias("ks"))
     whole = materialise(whole, "whole")
 
-    # Equal stretches are compared once: a window repeats if its stretch does, or if another stretch has it too.
-    edges = spellings.join(lone, "key", "left_semi")
-    each = edges.select("key", "whole", "many", F.posexplode("windows").alias("k", "window"))
-    twice = each.groupBy("key", "window").agg(F.max("many").alias("many"), F.min("whole").alias("p"), F.max("whole").alias("q")).where("many or p <> q").select("key", "window")
+    # Equal stretches are compared once: a window repeats if its stretch does, or if another stretch has it too. A window's row has
+    # its stretch's number instead of the spelling, and as the table isn't dealt out by key, an anchor's windows meet in many tasks.
+    edges = materialise(spellings.join(lone, "key", "left_semi").select("id", "key", "many", "windows"), "edges")
+    each = edges.select("id", "key", "many", F.posexplode("windows").alias("k", "window"))
+    twice = each.groupBy("key", "window").agg(F.max("many").alias("many"), F.min("id").alias("p"), F.max("id").alias("q")).where("many or p <> q").select("key", "window")
     twice = materialise(twice, "windows")
-    good = each.join(twice, ["key", "window"], "left_semi").groupBy("key", "whole").agg(F.array_sort(F.collect_list("k")).alias("ks"))
-    good = materialise(good, "good")
-    single = found.select("key", "whole", "r1", "r2", "low").join(good, ["key", "whole"])
-    single = single.select("r1", "r2", F.col("low").alias("a"), F.lit(None).cast("long").alias("b"), "ks")
+    partly = each.where("not many").join(twice, ["key", "window"], "left_semi").groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    made = materialise(partly.unionByName(edges.where("many").select("id", none.alias("ks"))), "good")
+    discard(edges, twice)
+    good = spellings.select("id", "key", "whole").join(made, "id").drop("id")
+    single = found.select("key", "whole", "r1", "r2", "low", "n").join(good, ["key", "whole"])
+    single = single.select("r1", "r2", F.col("low").alias("a"), F.when(F.col("ks").isNull(), F.col("low") + F.col("n") - 1 + window).alias("b"), "ks")
     ranges = whole.unionByName(single).groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b", "ks")).alias("ranges"))
     ranges = materialise(ranges, "ranges")
-    discard(found, spellings, lone, whole, twice, good)
+    discard(found, spellings, lone, whole, made)
     return ranges
 
 
